@@ -42,8 +42,8 @@ WORDS_PER_SHINGLE = 5
 SKETCH_SIZE = 64
 #: A link needs 100 * |A & B| >= PERCENT * |A | B|.
 PERCENT = 75
-#: Further stars are made while the rest holds more than this many pairs a posting.
-REST_PER_POSTING = 4
+#: Further stars are made while the rest holds more than this many pairs a posting (a pair counts in each list that has it).
+REST_PER_POSTING = 64
 MAX_STARS = 8
 _WORD_CACHE = 300_000
 

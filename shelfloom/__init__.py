@@ -1,0 +1 @@
+"""Digital-shelf analytics and training-corpus preparation as Spark jobs."""

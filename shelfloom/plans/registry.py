@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfloom.operators import shelf as S
 from shelfloom.sources import views as V
 
-from . import analytics
+from . import analytics, insight
 
-MODULES = [analytics]
+MODULES = [analytics, insight]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

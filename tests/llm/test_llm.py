@@ -112,7 +112,7 @@ def test_texts_of_one_id_reach_each_other(spark):
 
 def test_components(spark):
     dice = random.Random(1)
-    edges = [(dice.randrange(300), dice.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)]
+    edges = [(dice.randrange(300), dice.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(20)]
     parent = {}
 
     def root(i):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from shelfloom.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from shelfloom.llm.common import shared_folder
-from shelfloom.llm.queries import vocabulary
+from shelfloom.llm.queries import ship, vocabulary
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,6 +69,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):

@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, exact_dedup, html_text, licenses, mixing, near_dedup, quality, rules, urls, warc
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application: their Python
+    workers import it when they run the operators' functions."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(__file__).parents[2]
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/shelfloom", "zip", root, "shelfloom"))
+        _SHIPPED.add(context.applicationId)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -10,10 +10,13 @@
    listed. A passage that very many texts share falls out of the lists, unless
    it is most of a text.
 4. Within a list every member is compared with one pivot (a star, so work is
-   linear in the list). Whatever is then still in different components is
-   enumerated exactly, without the pairs already compared. If that rest is
-   large, further stars come first: members outside a list's largest component
-   meet another pivot from inside it.
+   linear in the list): the member whose retained values most texts have, as an
+   original has them among its copies. Whatever is then still in different
+   components is enumerated exactly, without the pairs already compared. If that
+   rest is large, further stars come first: members outside a list's largest
+   component meet another pivot from inside it and the most typical of their own.
+   Two texts that share several lists are enumerated in the first only: if they
+   also have the same list before this one, they meet there.
 5. The sketch of the union (the ``k`` smallest of both) estimates the overlap
    and drops pairs; the survivors' full shingle sets are built from the texts
    and compared exactly.
@@ -117,7 +120,9 @@ def least_overlap(k: int, percent: int) -> int:
 
 
 def _postings(nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """``(value, node)``: the rarest retained values of every node that others have too."""
+    """``(value, node, n, weight, previous)``: the rarest retained values of every
+    node that others have too. ``weight`` is how many texts have a retained value
+    of the node on average, ``previous`` the node's next rarer listed value."""
     listed = nodes.select("node", "n", F.explode("sketch").alias("value"))
     shared = listed.groupBy("value").count().where("count > 1")
     per_node = Window.partitionBy("node", "n")
@@ -128,10 +133,12 @@ def _postings(nodes: DataFrame, k: int, percent: int) -> DataFrame:
         listed.join(shared, "value")
         .withColumn("place", F.row_number().over(per_node.orderBy("count", "value")))
         .withColumn("unique", held - F.count("*").over(per_node))
+        .withColumn("weight", F.sum("count").over(per_node) / held)
         .where(F.col("place") + F.col("unique") <= held - need + 1)
-        .select("value", "node", "n")
+        .select("value", "node", "n", "place", "weight")
     )
-    return rare.join(rare.groupBy("value").count().where("count > 1").select("value"), "value", "left_semi")
+    several = rare.join(rare.groupBy("value").count().where("count > 1").select("value"), "value", "left_semi")
+    return several.withColumn("previous", F.lag("value").over(Window.partitionBy("node").orderBy("place"))).drop("place")
 
 
 def _compared(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, size: int, percent: int) -> DataFrame:
@@ -197,7 +204,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = materialize(_same_id(rows, nodes))
     done = None
-    pivots = postings.groupBy("value").agg(F.min("node").alias("pivot"))
+    typical = F.max_by("node", F.struct("weight", -F.col("node"))).alias("pivot")
+    pivots = postings.groupBy("value").agg(typical)
     outside = postings
     before = None
     for turn in range(1, MAX_STARS + 1):
@@ -218,14 +226,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not rest[0] or rest[0] <= REST_PER_POSTING * rest[1] or (before and rest[0] > 0.8 * before):
             break
         before = rest[0]
-        # a member of the list's largest component for those that are not in it
-        pivots = lists.where("component = main").groupBy("value").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot"))
-        outside = lists.where("component <> main").select("value", "node")
+        # for those that are not in the list's largest component: a member of it, and the most typical among themselves
+        outside = lists.where("component <> main").select("value", "node", "weight")
+        inner = lists.where("component = main").groupBy("value").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot"))
+        pivots = inner.unionByName(outside.groupBy("value").agg(typical))
     if rest[0]:
-        other = lists.select("value", F.col("node").alias("node2"), F.col("component").alias("component2"), F.col("n").alias("n2"))
+        other = lists.select("value", *(F.col(c).alias(f"{c}2") for c in ("node", "component", "n", "previous")))
         fresh = (
             lists.join(other, "value")
-            .where("node < node2 and component <> component2")
+            .where("node < node2 and component <> component2 and not coalesce(previous = previous2, false)")
             .where(F.least("n", "n2") * 100 >= percent * F.greatest("n", "n2"))
             .select(*_pair("node", "node2")).distinct().join(done, ["a", "b"], "left_anti")
         )

@@ -11,12 +11,14 @@
    it is most of a text.
 4. Within a list every member is compared with one pivot (a star, so work is
    linear in the list): the member whose retained values most texts have, as an
-   original has them among its copies. Whatever is then still in different
-   components is enumerated exactly, without the pairs already compared. If that
-   rest is large, further stars come first: members outside a list's largest
+   original has them among its copies. If lists still hold many pairs of
+   different components, further stars follow: members outside a list's largest
    component meet another pivot from inside it and the most typical of their own.
-   Two texts that share several lists are enumerated in the first only: if they
-   also have the same list before this one, they meet there.
+   The members of whatever lists are then still open are listed anew by their
+   full sets, whose prefixes are exact and half as long, and the pairs of
+   different components in these lists are enumerated. Two texts that share
+   several lists are enumerated in the first only: if they also have the same
+   list before this one, they meet there.
 5. The sketch of the union (the ``k`` smallest of both) estimates the overlap
    and drops pairs; the survivors' full shingle sets are built from the texts
    and compared exactly.
@@ -141,6 +143,40 @@ def _postings(nodes: DataFrame, k: int, percent: int) -> DataFrame:
     return several.withColumn("previous", F.lag("value").over(Window.partitionBy("node").orderBy("place"))).drop("place")
 
 
+def _full_postings(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """``(value, node, n, component, previous, onward)`` for ``members`` (node,
+    component): the rarest values of every full set, as many as leave no linked
+    pair without a common one. ``onward`` counts the shared values of the set from
+    this one on, so two sets whose first common value it is share no more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHashes()
+        for batch in sliced(batches, "text", 1 << 20):
+            sets = [shingle_hashes(t.lower().split(), known, size) for t in as_bytes(batch, "text")]
+            each = np.array([len(h) for h in sets], np.int64)
+            place = pa.array(np.repeat(np.arange(len(sets)), each))
+            values = np.concatenate(sets) if sets else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").take(place), batch.column("body").take(place), pa.array(np.repeat(each, each)), pa.array(values, pa.int64())], names=["node", "body", "n", "value"]
+            )
+
+    # an id that occurs with several texts has a set for each of them
+    chosen = texts.join(members, "node", "left_semi").select("node", F.xxhash64("text").alias("body"), "text")
+    listed = materialize(chosen.mapInArrow(run, "node long, body long, n long, value long"))
+    shared = listed.groupBy("value").count().where("count > 1")
+    per_text = Window.partitionBy("node", "body")
+    in_order = per_text.orderBy("count", "value")
+    return (
+        listed.join(shared, "value")
+        .withColumn("place", F.row_number().over(in_order))
+        .withColumn("previous", F.lag("value").over(in_order))
+        .withColumn("onward", F.count("*").over(per_text) - F.col("place") + 1)
+        .where(F.col("onward") * 100 >= F.col("n") * percent)
+        .join(members, "node")
+        .select("value", "node", "n", "component", "previous", "onward")
+    )
+
+
 def _compared(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, size: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets are similar enough."""
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
@@ -231,11 +267,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         inner = lists.where("component = main").groupBy("value").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot"))
         pivots = inner.unionByName(outside.groupBy("value").agg(typical))
     if rest[0]:
-        other = lists.select("value", *(F.col(c).alias(f"{c}2") for c in ("node", "component", "n", "previous")))
+        full = materialize(_full_postings(lists.select("node", "component").distinct(), texts, size, percent))
+        other = full.select("value", *(F.col(c).alias(f"{c}2") for c in ("node", "component", "n", "previous", "onward")))
         fresh = (
-            lists.join(other, "value")
+            full.join(other, "value")
             .where("node < node2 and component <> component2 and not coalesce(previous = previous2, false)")
-            .where(F.least("n", "n2") * 100 >= percent * F.greatest("n", "n2"))
+            .where(F.least("onward", "onward2") * (100 + percent) >= percent * (F.col("n") + F.col("n2")))
             .select(*_pair("node", "node2")).distinct().join(done, ["a", "b"], "left_anti")
         )
         found = materialize(_compared(materialize(fresh), inside, texts, k, size, percent))

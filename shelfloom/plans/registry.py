@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfloom.operators import shelf as S
 from shelfloom.sources import views as V
 
-from . import analytics, insight
+from . import analytics, insight, reports
 
-MODULES = [analytics, insight]
+MODULES = [analytics, insight, reports]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

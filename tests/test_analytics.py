@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfloom.functions import scalars as X
+from shelfloom.operators import claims as C
 from shelfloom.operators import evaluation as E
 from shelfloom.operators import graph as G
 from shelfloom.operators import period as P
@@ -191,6 +192,30 @@ def test_breaker_opens_and_closes(spark, tmp_path):
     assert [r.state for r in spark.table("brk").orderBy("ts").collect()] == ["open", "closed"]
 
 
+def test_claims_have_offsets_and_context(spark):
+    text = "up 12% then 7.5 % of all"
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "none")], "doc_id long, text string")
+    out = sorted(map(tuple, C.extract(docs, ["percent"]).collect()))
+    assert out == [(1, "percent", 0, 3, "12%", "up ", " then "), (1, "percent", 1, 12, "7.5 %", " then ", " of all")]
+    assert all(text[r[3] :].startswith(r[4]) for r in out)
+
+
+def test_claims_are_verified(spark):
+    claims = spark.createDataFrame([("a", 104.0), ("b", 109.0), ("c", 150.0), ("d", 1.0)], "k string, claimed double")
+    facts = spark.createDataFrame([(k, 100.0) for k in "abc"], "k string, fact double")
+    assert {r.k: r.status for r in C.verify(claims, facts, ["k"]).collect()} == {"a": "verified", "b": "close", "c": "refuted", "d": "unknown"}
+
+
+def test_budget_skips_and_goes_on(spark):
+    rows = spark.createDataFrame([("g", 1, 5), ("g", 2, 9), ("g", 3, 4), ("h", 1, 99)], "k string, i int, n int")
+    assert sorted((r.k, r.i) for r in C.within_budget(rows, "k", [F.col("i")], F.col("n"), 10).collect()) == [("g", 1), ("g", 3)]
+
+
+def test_fallback_uses_later_sources_for_new_keys_only(spark):
+    a, b = spark.createDataFrame([(1, "a")], "d int, v string"), spark.createDataFrame([(1, "b"), (2, "b"), (2, "c")], "d int, v string")
+    assert sorted(map(tuple, C.with_fallback([a, b], "d").collect())) == [(1, "a"), (2, "b"), (2, "c")]
+
+
 def test_registry(spark):
     assert set(registry.oracle_sql()) <= set(registry.queries()) and len(registry.queries()) > 100
     assert registry.flagship(spark, SF).count() > 0

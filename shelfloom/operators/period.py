@@ -157,9 +157,12 @@ def recent_trend(shelf: DataFrame, target: str, n: int = 14) -> DataFrame:
     return daily.orderBy(F.desc(DATE)).limit(n)
 
 
-def rank_series(shelf: DataFrame, dates: list) -> DataFrame:
-    """Products against the given dates: best rank of each (pivot)."""
+def rank_series(shelf: DataFrame, dates: list | None = None) -> DataFrame:
+    """Products against the given dates: best rank of each (pivot). Without
+    dates every snapshot month has a column; the driver holds their names."""
     named = shelf.withColumn("d", F.date_format(DATE, "yyyyMM"))
+    if dates is None:
+        dates = [r.d for r in named.select("d").distinct().orderBy("d").collect()]
     return named.groupBy("asin").pivot("d", dates).agg(F.min("rank")).toDF("asin", *(f"r{d}" for d in dates))
 
 

@@ -101,7 +101,7 @@ add("product_share", V.shelf, P.product_share, "SELECT category_id, product, wei
 add("brand_matrix", V.shelf, P.brand_matrix, "SELECT brand, count(*) AS products, avg(rank) AS avg_rank, avg(rating) AS avg_rating FROM shelf GROUP BY 1 HAVING count(*) >= 2 ORDER BY products DESC, brand LIMIT 10", "avg_rank avg_rating")
 add("recent_sos_trend", V.shelf, lambda s: P.recent_trend(s, TARGET), f"SELECT * FROM ({DAILY}) ORDER BY snapshot_date DESC LIMIT 14", "sos")
 MONTHS = ["199701", "199702", "199703"]
-add("rank_series_pivot", V.shelf, lambda s: P.rank_series(s.where("snapshot_date between '1997-01-01' and '1997-03-01'"), MONTHS), "SELECT asin, " + ", ".join(f"min(rank) FILTER (strftime(snapshot_date, '%Y%m') = '{m}') AS r{m}" for m in MONTHS) + " FROM shelf WHERE snapshot_date BETWEEN DATE '1997-01-01' AND DATE '1997-03-01' GROUP BY 1")
+add("rank_series_pivot", V.shelf, P.rank_series, "SELECT asin, " + ", ".join(f"min(rank) FILTER (strftime(snapshot_date, '%Y%m') = '{m}') AS r{m}" for m in MONTHS) + " FROM shelf WHERE snapshot_date BETWEEN DATE '1997-01-01' AND DATE '1997-03-01' GROUP BY 1")
 add("discount_trend", V.shelf, P.discount_trend, "SELECT snapshot_date, category_id, avg(discount_percent) AS avg_discount, min_by(discount_percent, rank) AS best_product_discount, max(discount_percent) AS max_discount FROM shelf GROUP BY 1, 2", "avg_discount best_product_discount max_discount")
 add("growth_types", V.shelf, P.growth_types, "SELECT category_id, CASE WHEN discount_percent > 5 THEN 'promotion' ELSE 'organic' END AS growth, count(*) AS rows FROM shelf GROUP BY 1, 2")
 add("duplicate_groups", V.shelf, lambda s: P.duplicate_groups(s.union(s.where("rank <= 3"))), "SELECT snapshot_date, asin, category_id, 2::BIGINT AS n FROM shelf WHERE rank <= 3")

@@ -172,7 +172,7 @@ PERIOD = "SELECT o_orderkey, o_custkey, least(o_orderdate, l_shipdate) AS a, gre
 
 
 def _periods(s, d):
-    o, i = V.table(s, d, "orders"), V.table(s, d, "lineitem").where("l_linenumber = 1")
+    o, i = V.table(s, d, "orders"), V.table(s, d, "lineitem")
     rows = o.join(i, o.o_orderkey == i.l_orderkey).select("o_orderkey", "o_custkey", F.to_date(F.least("o_orderdate", "l_shipdate")).alias("a"), F.to_date(F.greatest("o_orderdate", "l_shipdate")).alias("b"), "l_returnflag")
     return P.overlaps(rows.where("l_returnflag = 'N'"), rows.where("l_returnflag = 'R'"), "o_custkey", "a", "b", 365).select("o_orderkey", "o_custkey").distinct()
 

@@ -224,3 +224,19 @@ def test_registry(spark):
 def test_scan_reads_only_needed_columns(spark):
     plan = registry.queries()["deals_by_brand"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and "l_tax" not in plan and "PushedFilters" in plan
+
+
+def test_periods_take_every_line(spark, tmp_path):
+    at = lambda day: dt.datetime(1997, 1, day)
+    spark.createDataFrame([(1, 7, at(1)), (2, 7, at(2)), (3, 8, at(1))], "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(str(tmp_path / "orders.parquet"))
+    lines = [(1, 2, "N", at(9)), (2, 3, "R", at(5)), (2, 1, "A", at(3)), (3, 1, "N", at(4))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_returnflag string, l_shipdate timestamp").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert list(map(tuple, registry.queries()["period_overlap"](spark, str(tmp_path)).collect())) == [(1, 7)]
+
+
+def test_rank_pivot_has_every_month(spark):
+    out = registry.queries()["rank_series_pivot"](spark, SF)
+    months = {r.snapshot_date.strftime("r%Y%m") for r in V.shelf(spark, SF).select("snapshot_date").distinct().collect()}
+    assert set(out.columns) == months | {"asin"} and len(months) > 3
+    held = V.shelf(spark, SF).select("asin", "snapshot_date").distinct().count()
+    assert sum(v is not None for r in out.drop("asin").collect() for v in r) == held

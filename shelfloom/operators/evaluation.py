@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,26 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def ranked(found: DataFrame, key: str, k: int = 10, hits: int = 3) -> DataFrame:
+    """All of the measures above from rows (key, rank, right, gold): whether the
+    item at that rank is gold, and how many gold items the key has. Gold of any
+    size is a number here and never a list."""
+    right = F.col("right") & (F.col("rank") <= k)
+    per = found.groupBy(key).agg(
+        F.max("gold").alias("gold"), F.count_if(F.col("rank") <= k).alias("found"), F.count_if(right).alias("both"), F.min(F.when(right, F.col("rank"))).alias("first"),
+        F.sum(F.when(right, 1 / F.log2(F.col("rank") + F.lit(1.0))).otherwise(0.0)).alias("gain"),
+    )
+    ideals = F.array(*(F.lit(sum(1 / math.log2(i + 2) for i in range(n + 1))) for n in range(k)))
+    ideal = lambda n: F.element_at(ideals, F.least(n, F.lit(k)).cast("int"))
+    none, gold, found_n, both = F.col("gold") == 0, F.col("gold"), F.col("found"), F.col("both")
+    return per.select(
+        key, F.when(none, 1.0).otherwise(both / gold).alias("recall"), F.when(found_n == 0, 0.0).otherwise(both / found_n).alias("precision"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"),
+        F.when(none, 1.0).otherwise(F.coalesce(F.col("first") <= hits, F.lit(False)).cast("double")).alias("hits"),
+        F.when(both == 0, 0.0).otherwise(F.col("gain") / ideal(F.greatest(gold, F.lit(1)))).alias("standard"), F.when(both == 0, 0.0).otherwise(F.col("gain") / ideal(F.greatest(both, F.lit(1)))).alias("retrieved"),
+        F.when(found_n + gold == 0, 1.0).otherwise(2.0 * both / (found_n + gold)).alias("f1"), F.when(found_n + gold == 0, 1.0).otherwise(both / (found_n + gold - both)).alias("jaccard"),
+    )
+
+
 def overall(l1: Column, l2: Column, l3: Column, l4: Column) -> Column:
     """Layer scores weigh 0.45, 0.35, 0.10 and 0.10."""
     return 0.45 * l1 + 0.35 * l2 + 0.10 * l3 + 0.10 * l4

@@ -121,20 +121,21 @@ KNN_SQL = f"SELECT query, list(vec_id ORDER BY rank) AS found FROM ({VEC_SQL}) G
 
 
 def judged(s, d):
-    """Found neighbours of each query vector and, as gold, the first 20 vectors of its label."""
-    e = V.table(s, d, "embeddings")
-    gold = e.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("rn <= 20").groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("gold"))
-    found = vectors(s, d).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("f")).select("query", F.col("f.vec_id").alias("found"))
-    return found.join(e.select(F.col("vec_id").alias("query"), "label"), "query").join(gold, "label")
+    """Measures of the neighbours found for each query vector; gold is every vector of its label."""
+    e = V.table(s, d, "embeddings").select("vec_id", "label")
+    found = vectors(s, d).select("query", "vec_id", "rank").join(e.withColumnRenamed("label", "found_label"), "vec_id")
+    asked = e.select(F.col("vec_id").alias("query"), "label").join(e.groupBy("label").agg(F.count("*").alias("gold")), "label")
+    right = F.coalesce(F.col("found_label") == F.col("label"), F.lit(False))
+    return E.ranked(found.join(asked, "query").select("query", "rank", right.alias("right"), "gold"), "query")
 
 
 JUDGED = f"(SELECT * FROM ({KNN_SQL}) JOIN (SELECT vec_id AS query, label FROM embeddings) USING (query) JOIN (SELECT label, list(vec_id ORDER BY vec_id) AS gold FROM (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 20) GROUP BY 1) USING (label))"
 GAIN = "list_sum(list_transform(found[1:10], lambda x, i: list_contains(gold, x)::INT / log2(i + 1.0)))"
-add("recall_precision_mrr", lambda s, d: judged(s, d).select("query", E.recall_at(F.col("found"), F.col("gold"), 10).alias("recall"), E.precision_at(F.col("found"), F.col("gold"), 10).alias("precision"), E.reciprocal_rank(F.col("found"), F.col("gold")).alias("mrr"), E.hits_at(F.col("found"), F.col("gold"), 3).alias("hits")),
+add("recall_precision_mrr", lambda s, d: judged(s, d).select("query", "recall", "precision", "mrr", "hits"),
     f"SELECT query, len(list_intersect(found, gold))::DOUBLE / len(gold) AS recall, len(list_filter(found, lambda x: list_contains(gold, x)))::DOUBLE / len(found) AS precision, coalesce(1.0::DOUBLE / list_min(list_filter(list_transform(found, lambda x, i: CASE WHEN list_contains(gold, x) THEN i END), lambda x: x IS NOT NULL)), 0) AS mrr, list_has_any(found[1:3], gold)::INT::DOUBLE AS hits FROM {JUDGED}", "recall precision mrr")
-add("ndcg", lambda s, d: judged(s, d).select("query", E.ndcg_at(F.col("found"), F.col("gold"), 10).alias("standard"), E.ndcg_at(F.col("found"), F.col("gold"), 10, "retrieved").alias("retrieved")),
+add("ndcg", lambda s, d: judged(s, d).select("query", "standard", "retrieved"),
     f"SELECT query, {GAIN} / list_sum(list_transform(range(1, least(len(gold), 10) + 1), lambda i: 1 / log2(i + 1.0))) AS standard, CASE WHEN len(list_intersect(found, gold)) = 0 THEN 0 ELSE {GAIN} / list_sum(list_transform(range(1, len(list_intersect(found, gold)) + 1), lambda i: 1 / log2(i + 1.0))) END AS retrieved FROM {JUDGED}", "standard retrieved")
-add("set_f1", lambda s, d: judged(s, d).select("query", E.set_f1(F.col("found").cast("array<string>"), F.col("gold").cast("array<string>")).alias("f1"), E.jaccard(F.col("found"), F.col("gold")).alias("jaccard")),
+add("set_f1", lambda s, d: judged(s, d).select("query", "f1", "jaccard"),
     f"SELECT query, 2.0::DOUBLE * len(list_intersect(found, gold)) / (len(found) + len(gold)) AS f1, len(list_intersect(found, gold))::DOUBLE / len(list_distinct(list_concat(found, gold))) AS jaccard FROM {JUDGED}", "f1 jaccard")
 BYDIM = "SELECT {c} FROM (SELECT o_orderstatus AS domain, o_orderpriority AS difficulty, o_totalprice / 1000 AS score FROM orders)"
 add("eval_report", on("orders")(lambda o: E.report(o.select(F.col("o_orderstatus").alias("domain"), F.col("o_orderpriority").alias("difficulty"), (F.col("o_totalprice") / 1000).alias("score")), ["domain", "difficulty"], ["score"])), BYDIM.format(c="domain, difficulty, avg(score) AS score, count(*) AS items") + " GROUP BY ROLLUP (domain, difficulty)", "score")

@@ -240,3 +240,22 @@ def test_rank_pivot_has_every_month(spark):
     assert set(out.columns) == months | {"asin"} and len(months) > 3
     held = V.shelf(spark, SF).select("asin", "snapshot_date").distinct().count()
     assert sum(v is not None for r in out.drop("asin").collect() for v in r) == held
+
+
+def test_gold_is_every_vector_of_the_label(spark, tmp_path):
+    rows = [(i, [1.0, i / 1000], 0) for i in range(1, 40)] + [(100, [1.0, 0.0395], 0), (101, [0.0, 1.0], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    assert list(map(tuple, run("recall_precision_mrr"))) == [(100, 0.25, 1.0, 1.0, 1.0)]
+    assert list(map(tuple, run("ndcg"))) == [(100, 1.0, 1.0)]
+    assert list(map(tuple, run("set_f1"))) == [(100, 0.4, 0.25)]
+
+
+def test_ranked_measures_equal_the_lists(spark):
+    cases = {1: ([5, 7, 9, 4], [9, 4, 30, 31]), 2: ([1, 2], [3]), 3: ([8], [8])}
+    rows = [(q, i + 1, x in g, len(g)) for q, (f, g) in cases.items() for i, x in enumerate(f)]
+    got = {r.q: r for r in E.ranked(spark.createDataFrame(rows, "q int, rank int, right boolean, gold long"), "q").collect()}
+    for q, lists in cases.items():
+        f, g = (F.array(*map(F.lit, x)) for x in lists)
+        want = [E.recall_at(f, g, 10), E.precision_at(f, g, 10), E.reciprocal_rank(f, g), E.hits_at(f, g, 3), E.ndcg_at(f, g, 10), E.ndcg_at(f, g, 10, "retrieved"), E.set_f1(f.cast("array<string>"), g.cast("array<string>")), E.jaccard(f, g)]
+        assert list(got[q])[1:] == pytest.approx(list(spark.range(1).select(*want).first()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -120,13 +120,22 @@ def market_position(shares: DataFrame) -> DataFrame:
 
 
 def importance(edges: DataFrame) -> DataFrame:
-    """Eviction order of triples: score, and whether it is among the lowest tenth."""
+    """Eviction order of triples: scores and how many triples have them."""
     score = 0.5 + F.when(F.col("predicate") == "hasProduct", 10.0).otherwise(0.0) + 2 * F.col("confidence") + F.when(F.col("predicate").isin("directCompetitor", "belongsToCategory"), 1.0).otherwise(0.0)
     rows = edges.distinct().withColumn("score", score)
     counts = rows.groupBy("score").agg(F.count("*").alias("n"))
     return counts.select("score", "n")
 
 
+def eviction(edges: DataFrame, share: float = 0.1) -> DataFrame:
+    """(score, n, evicted): how many triples of each score are among the lowest
+    tenth, rounded down. Few scores exist, so their running sum is one small task."""
+    counts = importance(edges)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = F.floor(F.sum("n").over(Window.partitionBy()) * share) - before
+    return counts.select("score", "n", F.greatest(F.lit(0), F.least(F.col("n"), room)).cast("long").alias("evicted"))
+
+
 def ancestors(edges: DataFrame, predicate: str = "parentCategory", depth: int = 5) -> DataFrame:
     """Chain of parents of every entity: (entity, ancestor, steps)."""
     up = edges.where(F.col("predicate") == predicate).select("subject", "object").distinct()

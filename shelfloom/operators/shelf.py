@@ -80,9 +80,11 @@ def churn(shelf: DataFrame, top_n: int = 100) -> DataFrame:
     return each.groupBy(F.col("at").alias("snapshot_date"), "category_id").agg(new.alias("entered"), gone.alias("left"), ((new + gone) / (2.0 * top_n)).alias("churn_rate"))
 
 
-def product_history(shelf: DataFrame, window: int = 7, shock: int = 5, streak_n: int = 10) -> DataFrame:
+def product_history(shelf: DataFrame, window: int = 7, shock: int = 5, streak_n: int = 10, promoted: float = 5.0) -> DataFrame:
     """Per product and snapshot: rank change, shock, volatility, streak, rating
-    trend and best rank, all from one sort of the product's history."""
+    trend and best rank, all from one sort of the product's history. Price change
+    over ``window`` snapshots; so far, the share of rises with a discount above
+    ``promoted`` (overlap) and of steps with a rise and a larger discount (score)."""
     history = Window.partitionBy("category_id", "asin").orderBy("snapshot_date")
     last = history.rowsBetween(-(window - 1), 0)
     so_far = history.rowsBetween(Window.unboundedPreceding, 0)
@@ -91,11 +93,15 @@ def product_history(shelf: DataFrame, window: int = 7, shock: int = 5, streak_n:
     rows = shelf.withColumn("idx", F.row_number().over(history)).withColumn("miss", F.sum((~top(n=streak_n)).cast("int")).over(so_far))
     change = F.col("rank") - F.lag("rank").over(history)
     streak = F.sum(top(n=streak_n).cast("int")).over(Window.partitionBy("category_id", "asin", "miss").orderBy("snapshot_date").rowsBetween(Window.unboundedPreceding, 0))
+    rose = F.coalesce(change < 0, F.lit(False))
+    rows = rows.withColumns({"rose": rose, "rose_promoted": rose & (F.col("discount_percent") > promoted), "rose_cheaper": rose & F.coalesce(F.col("discount_percent") > F.lag("discount_percent").over(history), F.lit(False))})
+    times = lambda c: F.sum(F.col(c).cast("int")).over(so_far)
     return rows.select(
-        *GROUP, "asin", "brand", "rank", "price", "rating", change.alias("rank_change"), (F.col("rank") - F.lag("rank", window).over(history)).alias("rank_change_7"),
+        *GROUP, "asin", "brand", "rank", "price", "rating", "reviews_count", change.alias("rank_change"), (F.col("rank") - F.lag("rank", window).over(history)).alias("rank_change_7"),
         F.coalesce(F.abs(change) >= shock, F.lit(False)).alias("rank_shock"), F.when(n >= 2, F.stddev_pop("rank").over(last)).alias("volatility"),
         F.when(n >= 2, F.covar_pop(x, y).over(last) / F.nullif(F.var_pop(x).over(last), F.lit(0.0))).alias("rating_trend"), streak.alias("streak"), F.min("rank").over(so_far).alias("best_rank"),
-        (F.max("rank").over(last) - F.min("rank").over(last)).alias("rank_range"),
+        (F.max("rank").over(last) - F.min("rank").over(last)).alias("rank_range"), (F.col("price") / F.nullif(F.lag("price", window).over(history), F.lit(0.0)) - 1).alias("price_change"),
+        (times("rose_promoted") / F.nullif(times("rose"), F.lit(0))).alias("discount_overlap"), (times("rose_cheaper") / F.nullif(F.col("idx") - 1, F.lit(0))).alias("discount_score"),
     )
 
 
@@ -128,3 +134,11 @@ def metric_alerts(history: DataFrame) -> DataFrame:
         F.when(F.col("rank_shock"), F.struct(F.lit("rank_shock").alias("alert"), F.lit("warning").alias("severity"))),
     )
     return history.select(*GROUP, "asin", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("a")).select(*GROUP, "asin", "a.*")
+
+
+def best_products(history: DataFrame) -> DataFrame:
+    """Per brand: the history figures of its best ranked product of the snapshot,
+    and whether any of its products had a shock."""
+    names = "rank_change rank_change_7 volatility streak rating_trend price_change discount_overlap discount_score".split()
+    best = F.min_by(F.struct(*names, F.col("reviews_count").alias("reviews")), "rank")
+    return history.groupBy(*GROUP, "brand").agg(best.alias("best"), F.bool_or("rank_shock").alias("rank_shock")).select(*GROUP, "brand", "best.*", "rank_shock")

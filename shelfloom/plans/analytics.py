@@ -136,6 +136,7 @@ add("kg_merge", V.triples, lambda t: G.merged(t.union(t.where("confidence < 1").
 add("kg_dominance", V.triples, lambda t: G.dominance(t, 0.05), f"SELECT category, brand, products::DOUBLE / n AS share, least(1, products::DOUBLE / n + 0.5) AS confidence FROM (SELECT *, sum(products) OVER (PARTITION BY category) AS n FROM ({CB})) WHERE products::DOUBLE / n >= 0.05", "share confidence")
 add("price_position", V.shelf, lambda s: G.price_position(s.select(F.col("category_id").alias("category"), "brand", "price")), "SELECT category, brand, ratio, CASE WHEN ratio >= 1.3 THEN 'premium' WHEN ratio <= 0.7 THEN 'value' ELSE 'mid' END AS position FROM (SELECT category_id AS category, brand, avg(price) / max(m) AS ratio FROM (SELECT *, avg(price) OVER (PARTITION BY category_id) AS m FROM shelf) GROUP BY 1, 2)", "ratio")
 add("kg_importance", V.triples, G.importance, "SELECT score, count(*) AS n FROM (SELECT DISTINCT *, 0.5::DOUBLE + CASE WHEN predicate = 'hasProduct' THEN 10 ELSE 0 END + 2 * confidence + CASE WHEN predicate IN ('directCompetitor', 'belongsToCategory') THEN 1 ELSE 0 END AS score FROM triples) GROUP BY 1", "score")
+add("kg_eviction", V.triples, G.eviction, "SELECT score, n, greatest(0, least(n, floor(sum(n) OVER () * 0.1::DOUBLE) - coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS evicted FROM (SELECT score, count(*) AS n FROM (SELECT DISTINCT *, 0.5::DOUBLE + CASE WHEN predicate = 'hasProduct' THEN 10 ELSE 0 END + 2 * confidence + CASE WHEN predicate IN ('directCompetitor', 'belongsToCategory') THEN 1 ELSE 0 END AS score FROM triples) GROUP BY 1)", "score")
 add("kg_ancestors", V.triples, lambda t: G.ancestors(t), "SELECT subject AS entity, object AS ancestor, 1 AS steps FROM triples WHERE predicate = 'parentCategory'")
 VALID = " OR ".join(f"(predicate = '{p}' AND sk IN ('{s}', 'entity') AND ok IN ('{o}', 'entity'))" for s, p, o in G.ALLOWED)
 KIND = "CASE WHEN regexp_matches({c}, '^P[0-9]+$') THEN 'product' WHEN {c} LIKE 'Brand%' THEN 'brand' WHEN {c} LIKE 'Supplier%' THEN 'supplier' ELSE 'entity' END"

@@ -37,9 +37,9 @@ CONTEXT_SQL = """b AS (SELECT snapshot_date, category_id, brand, count(*)::DOUBL
 ctx AS (SELECT *, sum(sos * sos) OVER g AS hhi, count(*) OVER g - 1 AS competitors, sos - lag(sos) OVER (PARTITION BY category_id, brand ORDER BY snapshot_date) AS sos_change, brand = 'Brand#23' AS is_target FROM b WINDOW g AS (PARTITION BY snapshot_date, category_id))"""
 
 
-def context(spark, sf):
+def brand_context(shelf):
     """One row of metrics per (month, category, brand)."""
-    m = S.brand_metrics(V.shelf(spark, sf))
+    m = S.brand_metrics(shelf)
     g = Window.partitionBy("snapshot_date", "category_id")
     before = Window.partitionBy("category_id", "brand").orderBy("snapshot_date")
     return m.select(
@@ -48,6 +48,13 @@ def context(spark, sf):
     )
 
 
+def context(spark, sf):
+    """The same with the brand's best product and its category's churn: all metrics that the tables hold."""
+    shelf = V.shelf(spark, sf)
+    churn = S.churn(shelf).select("snapshot_date", "category_id", "churn_rate")
+    return brand_context(shelf).join(S.best_products(S.product_history(shelf)), KEYS, "left").join(churn, KEYS[:2], "left")
+
+
 USED = ("market_dominance_fragmented", "market_dominance_concentrated", "challenger_position", "fragmented_market_competition", "strong_avg_rank", "competitive_pressure", "price_quality_mismatch",
         "category_entry_opportunity", "top3_achievement", "strong_rating_position", "value_position", "premium_price_position", "premium_defense_success")
 PICKED = [r for r in N.RULES if r[0] in USED]
@@ -58,7 +65,7 @@ add("rule_hits", lambda s, d: N.infer(context(s, d), KEYS).groupBy("rule", "kind
 add("rule_hits_top2", lambda s, d: N.infer(context(s, d), KEYS, 2).groupBy("brand", "rule").agg(F.count("*").alias("n")), RULE_SQL + " SELECT brand, rule, count(*) AS n FROM (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY snapshot_date, category_id, brand ORDER BY priority DESC, rule) <= 2) GROUP BY ALL")
 add("insight_merge", lambda s, d: N.merge_insights(N.infer(context(s, d), KEYS).select("category_id", F.col("kind").alias("text"), F.col("priority").alias("ordinal"), "confidence").distinct(), ["category_id"]))
 LIMITS = [("sos", ">=", 0.1, "info"), ("cpi", ">", 110.0, "warning"), ("hhi", "<", 0.15, "info"), ("cpi", "~", 1.0, "none")]
-add("threshold_rules", lambda s, d: N.thresholds(context(s, d).unpivot(KEYS, ["sos", "cpi", "hhi"], "metric", "value"), s.createDataFrame(LIMITS, "metric string, op string, limit double, severity string")).groupBy("metric", "severity").agg(F.count("*").alias("n")),
+add("threshold_rules", lambda s, d: N.thresholds(brand_context(V.shelf(s, d)).unpivot(KEYS, ["sos", "cpi", "hhi"], "metric", "value"), s.createDataFrame(LIMITS, "metric string, op string, limit double, severity string")).groupBy("metric", "severity").agg(F.count("*").alias("n")),
     f"WITH {V.SHELF_SQL}, {CONTEXT_SQL} SELECT 'sos' AS metric, 'info' AS severity, count(*) AS n FROM ctx WHERE sos >= 0.1 UNION ALL SELECT 'cpi', 'warning', count(*) FROM ctx WHERE cpi > 110 UNION ALL SELECT 'hhi', 'info', count(*) FROM ctx WHERE hhi < 0.15")
 
 # --- retrieval

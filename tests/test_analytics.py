@@ -259,3 +259,31 @@ def test_ranked_measures_equal_the_lists(spark):
         f, g = (F.array(*map(F.lit, x)) for x in lists)
         want = [E.recall_at(f, g, 10), E.precision_at(f, g, 10), E.reciprocal_rank(f, g), E.hits_at(f, g, 3), E.ndcg_at(f, g, 10), E.ndcg_at(f, g, 10, "retrieved"), E.set_f1(f.cast("array<string>"), g.cast("array<string>")), E.jaccard(f, g)]
         assert list(got[q])[1:] == pytest.approx(list(spark.range(1).select(*want).first()))
+
+
+def test_rules_see_product_history_and_churn(spark):
+    history = S.product_history(V.shelf(spark, SF)).collect()
+    churn = {(r.snapshot_date, r.category_id): r.churn_rate for r in S.churn(V.shelf(spark, SF)).collect()}
+    best, shocked = {}, set()
+    for r in history:
+        key = (r.snapshot_date, r.category_id, r.brand)
+        best[key] = min(best.get(key, r), r, key=lambda x: x.rank)
+        if r.rank_shock:
+            shocked.add(key)
+    want = {"prime_day_impact": sum((r.rank_change or 0) < -10 for r in best.values()), "market_disruption": sum(churn[k[:2]] > 0.2 for k in shocked),
+            "rank_decline_alert": sum((r.rank_change_7 or 0) > 0 and (r.volatility or 0) > 5 for r in best.values()), "viral_effect": sum(r.price_change is not None and abs(r.price_change) < 0.05 and r.rank_change_7 < 0 for r in best.values())}
+    got = {r.rule: r.entities for r in registry.queries()["rule_hits"](spark, SF).collect()}
+    assert {n: got.get(n, 0) for n in want} == want and want["prime_day_impact"]
+
+
+def test_promotion_history(spark):
+    steps = [(9, 0.0), (5, 6.0), (3, 4.0), (8, 9.0), (2, 10.0)]
+    rows = shelf(spark, [(i, 1, "A", r) for i, (r, _) in enumerate(steps)]).drop("discount_percent").join(spark.createDataFrame([(DAY + dt.timedelta(i), d) for i, (_, d) in enumerate(steps)], "snapshot_date date, discount_percent double"), "snapshot_date")
+    out = sorted(S.product_history(rows, 2).collect(), key=lambda r: r.snapshot_date)
+    assert [r.discount_overlap for r in out] == [None, 1.0, 0.5, 0.5, pytest.approx(2 / 3)]
+    assert [r.discount_score for r in out] == [None, 1.0, 0.5, pytest.approx(1 / 3), 0.5] and [r.price_change for r in out] == [None, None, 0.0, 0.0, 0.0]
+
+
+def test_eviction_takes_the_lowest_tenth(spark):
+    edges = spark.createDataFrame([(f"s{i}", "p", "o", 0.1 if i < 3 else 0.9) for i in range(59)], "subject string, predicate string, object string, confidence double")
+    assert [(r.n, r.evicted) for r in G.eviction(edges).orderBy("score").collect()] == [(3, 3), (56, 2)]

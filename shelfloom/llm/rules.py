@@ -3,7 +3,9 @@
 The ratio of raw to zstandard-compressed bytes tells repetitive text (high) and
 incompressible text (low) from prose. It depends on length, so the limits are
 given per length band. The ratio is taken over the whole text and over fixed
-chunks of it, so that one repetitive stretch inside a long text is seen too.
+chunks of it, the last one moved back to end with the text, so that one
+repetitive stretch inside a long text is seen too: one bad chunk rejects, and a
+stretch of two chunks holds a whole one wherever it lies.
 """
 
 from __future__ import annotations
@@ -22,8 +24,6 @@ LEVEL = 3
 CHUNK_BYTES = 4096
 #: (bytes up to, least ratio, most ratio); the last band has no upper length.
 BANDS = ((256, 0.5, 3.0), (512, 1.1, 3.5), (1024, 1.2, 4.0), (2048, 1.4, 5.0), (4096, 1.5, 6.0), (16384, 1.6, 8.0), (None, 1.7, 10.0))
-#: Share of chunks outside their band that rejects.
-BAD_CHUNKS = 0.5
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -43,18 +43,16 @@ def ratios(text: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, int, i
     whole = len(text) / len(packer.compress(text))
     chunks = bad = 0
     for start in range(0, len(text), CHUNK_BYTES):
-        chunk = text[start : start + CHUNK_BYTES]
-        if len(chunk) < CHUNK_BYTES and start:
-            break  # the tail belongs to the whole only
+        chunk = text[max(0, min(start, len(text) - CHUNK_BYTES)) :][:CHUNK_BYTES]
         low, high = band(len(chunk))
         chunks += 1
         bad += not low <= len(chunk) / len(packer.compress(chunk)) <= high
     return whole, chunks, bad
 
 
-def in_bands(size: int, whole: float, chunks: int, bad: int) -> bool:
+def in_bands(size: int, whole: float, bad: int) -> bool:
     low, high = band(size)
-    return not size or (low <= whole <= high and bad <= BAD_CHUNKS * chunks)
+    return not size or (low <= whole <= high and not bad)
 
 
 def counts(text: bytes) -> tuple[int, int, int, int, int]:
@@ -97,7 +95,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 n, chars, symbols, dup, repeat = counts(text)
                 failed = n < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n
                 whole, chunks, bad = ratios(text, packer)
-                rows.append((n, chars, symbols, dup, repeat, failed, not failed and in_bands(len(text), whole, chunks, bad), whole, chunks, bad))
+                rows.append((n, chars, symbols, dup, repeat, failed, not failed and in_bands(len(text), whole, bad), whole, chunks, bad))
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64(), pa.int64(), pa.int64()]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=names)

@@ -423,6 +423,19 @@ def test_compression_bands(spark):
     assert rules.quality_rules(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("prose_bytes,bad_bytes", [(60_000, 45_000), (3_900, 3_600)])
+def test_one_bad_stretch_rejects_wherever_it_lies(spark, prose_bytes, bad_bytes):
+    dice = random.Random(4)
+    prose = " ".join("".join(dice.choices("etaoinshrdlu", k=dice.randrange(2, 9))) for _ in range(20_000))[:prose_bytes]
+    bad = ("incomprehensible characterizations notwithstanding everything. " * 2000)[:bad_bytes]
+    at = len(prose) // 2
+    texts = [(0, prose), (1, bad + prose), (2, prose + bad)] + ([(3, prose[:at] + bad + prose[at:])] if bad_bytes > 2 * rules.CHUNK_BYTES else [])
+    out = {r.doc_id: r for r in rules.quality_rules(docs(spark, texts)).collect()}
+    assert not any(r.base_failed for r in out.values()) and all(rules.in_bands(len(t), out[i].ratio, 0) for i, t in texts)
+    assert {i: r.kept for i, r in out.items()} == {i: i == 0 for i, _ in texts}
+    assert all(r.chunks == -(-len(dict(texts)[i]) // rules.CHUNK_BYTES) for i, r in out.items())
+
+
 # --- pipeline
 
 

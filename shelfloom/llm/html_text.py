@@ -2,8 +2,8 @@
 
 A tokenizer feeds a tree builder that knows void elements and implied end tags
 (an open paragraph ends at the next block, a list item at the next item, a cell
-at the next cell or row). Invisible elements (by name, ``hidden``, or an inline
-style) are skipped whole. The renderer joins inline text with single blanks,
+at the next cell or row, the head at whatever can't be in it). Invisible elements
+(by name, a ``hidden`` attribute, or an inline style) are skipped whole. The renderer joins inline text with single blanks,
 starts blocks on new lines, leaves one empty line around paragraphs and
 headings, marks and indents list items, keeps preformatted text, and pads the
 cells of a table to columns.
@@ -23,7 +23,13 @@ from .common import sliced
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe object svg math audio video canvas datalist noembed noframes title select".split())
+UNSEEN = frozenset("head script style template noscript iframe object svg audio video canvas datalist noembed noframes title".split())
+#: Anything else ends the head. In a foreign element a slash at the tag's end closes it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+FOREIGN = frozenset("svg math".split())
+#: These end an open foreign element, unless inside one of its text elements.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset article section".split())
 BLOCK = SPACED | frozenset("html body div main header footer nav aside address form li dt dd hr center figcaption details summary tr caption thead tbody tfoot option".split())
 #: An opening tag ends these open elements, up to the given boundary.
@@ -31,10 +37,13 @@ ENDS = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}), "thead": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}), "tfoot": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}),
-    "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
+    "option": ({"option"}, {"select"}),
 }
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_UNSEEN_STYLE = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!\s*important\s*)?(?=;|$)")
+_BARE_END = re.compile(r"=\s*[^\s\"'>]+$")
+_COMMENT = re.compile(r"/\*.*?\*/", re.S)
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -45,14 +54,46 @@ class Node:
         self.tag, self.hidden, self.children = tag, hidden, []
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether there is a ``hidden`` attribute or a style that hides; values of others don't count."""
+    seen = set()
+    for name, double, single, bare in _ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name in seen:  # the first of a name counts
+            continue
+        seen.add(name)
+        if name == "hidden" or name == "style" and _UNSEEN_STYLE.search(_COMMENT.sub("", entities.unescape(double or single or bare))):
+            return True
+    return False
+
+
+def _foreign(stack: list[Node]) -> int:
+    """Place of the foreign element that holds the next tag, 0 if none."""
+    for i in range(len(stack) - 1, 0, -1):
+        if stack[i].tag in INTEGRATION:
+            return 0
+        if stack[i].tag in FOREIGN:
+            return i
+    return 0
+
+
 def build(page: str) -> Node:
     """The tree of a page; text nodes are strings with entities resolved."""
     root = Node("html")
     stack = [root]
     at = 0
 
+    head = foreign = False
+
+    def leave_head() -> None:
+        nonlocal head
+        head = False
+        _end(stack, {"head"}, {"template", "noscript"})
+
     def text(part: str) -> None:
         if part:
+            if head and stack[-1].tag == "head" and part.strip():
+                leave_head()
             stack[-1].children.append(entities.unescape(part) if "&" in part else part)
 
     while found := _TOKEN.search(page, at):
@@ -65,14 +106,22 @@ def build(page: str) -> Node:
         if closing:
             _close(stack, tag)
             continue
+        if head and tag not in IN_HEAD and stack[-1].tag == "head":
+            leave_head()
         if tag in ("html", "body") and any(n.tag == tag for n in stack):
             continue
+        if foreign and tag in BREAKOUT and (i := _foreign(stack)):
+            del stack[i:]
         if tag in BLOCK and any(n.tag == "p" for n in stack[1:]):
             _end(stack, {"p"}, {"table", "td", "th", "button", "li"})
         if tag in ENDS:
             _end(stack, *ENDS[tag])
-        node = Node(tag, tag in UNSEEN or bool(attributes and _HIDDEN.search(attributes)))
+        node = Node(tag, tag in UNSEEN or bool(attributes and _hidden(attributes)))
         stack[-1].children.append(node)
+        head = head or tag == "head"
+        foreign = foreign or tag in FOREIGN
+        if foreign and attributes.endswith("/") and not _BARE_END.search(attributes) and (tag in FOREIGN or _foreign(stack)):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             stop = end.start() if end else len(page)

@@ -379,6 +379,18 @@ def test_html_loses_no_visible_text(spark):
         assert got[p.page_id].n_chars == len(got[p.page_id].text)
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [('<p title="the hidden valley">a</p>', "a"), ('<div class="nav hidden md:block">b</div>', "b"), ("<p aria-hidden=true>c</p>", "c"), ('<p data-style="display:none">d</p>', "d"),
+     ("<p hidden>no</p><p HIDDEN=''>no</p><p title='a' hidden>no</p><p style='color:red; display : none !important'>no</p>e", "e"), ("<div class=a / hidden>no</div>f", "f"),
+     ("<head><title>T</title><p>text", "text"), ("<head><meta charset=x>text", "text"), ("<head><style>s</style><link rel=x></head><body>b", "b"),
+     ('<div><svg width="1"/>after<math/>more</div>', "aftermore"), ('<div><svg><path d="x"/></svg>after</div>', "after"), ("<svg width=1/>no</svg>g", "g"), ("<svg><path><p>h</p>", "h"),
+     ("<math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "x=1"), ("<select><option>one<option>two</select>", "one\ntwo"), ("<video>no</video><p>i", "i")],
+)
+def test_html_visibility(page, want):
+    assert html_text.page_text(page) == want
+
+
 def test_html_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "<div>" * 5000 + "deep"), (4, "</p></li><td>x"), (5, "<"), (5, "<"), (None, "a<!-- open"), (6, "<table><tr><td>")]
     out = html_text.extract_text(spark.createDataFrame(rows, "page_id long, html string")).collect()

@@ -5,11 +5,11 @@ a file is a plain sequence of WARC/1.1 records and any Hadoop path works. Equal
 payloads are stored once: the page with the smallest id is a response, the
 others are revisits that refer to it.
 
-Reading takes whole files (bounded by the writer's records per file) as bytes.
-A record must have a version line, headers, a length that fits and the
-terminator; if it names a block digest, the block must match. After a failed
-check the reader looks for the next version line (in gzip files: the next member
-that inflates), goes on there, and logs the bytes between as quarantined.
+Reading takes whole files (the writer bounds their bytes) as bytes. A record
+must have a version line, headers, a length that fits and the terminator; if it
+names a block digest, the block must match. After a failed check the reader looks
+for the next good record, plain or in a gzip member, whichever comes first, goes
+on there, and logs the bytes between as quarantined.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import shared_folder, sliced
 
 END = "\r\n\r\n"
-#: Files hold at most this many payload bytes, about; binary files are read whole.
-FILE_BYTES = 8 << 20
+#: Files hold at most this many bytes (a larger record is alone); binary files are read whole.
+FILE_BYTES = 128 << 20
 RECORDS_PER_FILE = 2000
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _GZIP = b"\x1f\x8b\x08"
@@ -73,7 +73,12 @@ def _record_at(data: bytes, at: int) -> tuple[Record, int] | str:
         name, colon, value = line.partition(b":")
         if not colon or not name.strip():
             return "malformed header"
-        headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        name = name.decode("utf-8", "replace").strip().lower()
+        if name in headers and name != "warc-concurrent-to":
+            return "repeated header"  # cut inside its headers, another's follow
+        headers[name] = value.decode("utf-8", "replace").strip()
+    if "warc-record-id" not in headers:
+        return "no record id"
     size = headers.get("content-length", "")
     if not size.isascii() or not size.isdigit():
         return "no content length"
@@ -109,40 +114,63 @@ def read_plain(data: bytes, shift: int = 0) -> Archive:
     return out
 
 
-def read_gzip(data: bytes) -> Archive:
-    """Records of concatenated gzip members, one or more records a member.
-    Offsets of records and gaps count compressed bytes of the file."""
+def _member_at(data: bytes, at: int) -> tuple[Archive, int] | str:
+    """The records of the gzip member at a place and its end, or what is wrong
+    with it. They have the member's offset in the file; a gap inside it counts
+    inflated bytes, its place there is in the reason."""
+    inflater = zlib.decompressobj(31)
+    try:
+        plain = inflater.decompress(memoryview(data)[at:])
+    except zlib.error:
+        return "no gzip member"
+    if not inflater.eof:
+        return "truncated member"
+    inner = read_plain(plain)
+    for record in inner.records:
+        record.offset = at
+    inner.gaps = [Gap(at, g.length, f"in member at {g.offset}: {g.reason}") for g in inner.gaps]
+    return inner, len(data) - len(inflater.unused_data)
+
+
+def read_archive(data: bytes) -> Archive:
+    """Records of plain bytes and of gzip members (one or more records each), in
+    any mixture. Where neither begins, the next record that holds or the next
+    member that holds one is sought; a packed payload holds none."""
     out, at = Archive(), 0
-    broken: tuple[int, str] | None = None
     while at < len(data):
-        inflater = zlib.decompressobj(31)
-        try:
-            plain = inflater.decompress(data[at:]) if data.startswith(_GZIP, at) else None
-        except zlib.error:
-            plain = None
-        if plain is None or not inflater.eof:
-            broken = broken or (at, "no gzip member" if plain is None else "truncated member")
-            at = data.find(_GZIP, at + 1)
-            if at < 0:
-                break
-            continue
-        if broken:
-            out.gaps.append(Gap(broken[0], at - broken[0], broken[1]))
-            broken = None
-        end = len(data) - len(inflater.unused_data)
-        inner = read_plain(plain)
-        for record in inner.records:
-            record.offset = at
-        out.records += inner.records
-        out.gaps += [Gap(at, end - at, f"in member: {g.reason}") for g in inner.gaps[:1]]
+        if data.startswith(_GZIP, at):
+            got = _member_at(data, at)
+            if not isinstance(got, str):
+                out.records += got[0].records
+                out.gaps += got[0].gaps
+                at = got[1]
+                continue
+        else:
+            got = _record_at(data, at)
+            if not isinstance(got, str):
+                out.records.append(got[0])
+                at = got[1]
+                continue
+        end = _next_good(data, at + 1)
+        out.gaps.append(Gap(at, end - at, got))
         at = end
-    if broken:
-        out.gaps.append(Gap(broken[0], len(data) - broken[0], broken[1]))
     return out
 
 
-def read_archive(data: bytes) -> Archive:
-    return read_gzip(data) if data.startswith(_GZIP) or (b"WARC/1." not in data[:4096] and _GZIP in data) else read_plain(data)
+def _next_good(data: bytes, at: int) -> int:
+    """The next place of a good record or of a member with one, else the end."""
+    found = _VERSION.search(data, at)
+    while found and isinstance(_record_at(data, found.start()), str):
+        # a version line inside a broken record may belong to a good one: try each
+        found = _VERSION.search(data, found.start() + 1)
+    plain = found.start() if found else len(data)
+    packed = data.find(_GZIP, at, plain)
+    while packed >= 0:
+        got = _member_at(data, packed)
+        if not isinstance(got, str) and got[0].records:
+            return packed
+        packed = data.find(_GZIP, packed + 1, plain)
+    return plain
 
 
 def base32_sha1(c: Column) -> Column:
@@ -182,8 +210,17 @@ def records_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     return rows.select("id", record.alias("record"))
 
 
+def longest_record(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> int:
+    """A bound of the bytes of the longest record: its page, address and at most 1,024 of headers."""
+    size = F.coalesce(F.octet_length(html_col), F.lit(0)).cast("long") + F.coalesce(F.octet_length(url_col), F.lit(0))
+    return 1024 + (pages.agg(F.max(size)).first()[0] or 0)
+
+
 def write_archives(pages: DataFrame, folder: str, records_per_file: int = RECORDS_PER_FILE, **columns) -> None:
-    """Write the rows as WARC files to a folder that executors share."""
+    """Write the rows as WARC files to a folder that executors share. The
+    longest record tells how many fit into ``FILE_BYTES``."""
+    longest = longest_record(pages, columns.get("url_col", "url"), columns.get("html_col", "html"))
+    records_per_file = max(1, min(records_per_file, FILE_BYTES // longest))
     records_of(pages, **columns).select("record").write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(folder)
 
 

@@ -346,6 +346,30 @@ def test_warc_salvage(packed):
     assert ids(cut) == list(range(5)) and cut.gaps[0].offset == len(whole) - len(parts[5])
 
 
+def test_warc_plain_archive_with_packed_payloads():
+    packed = gzip.compress(b"a packed page")
+    parts = [record(0, b"x" * 5000), record(1, packed), record(2, b"y"), record(3, packed)]
+    whole = b"".join(parts)
+    archive = warc.read_archive(b"J" + whole[1:])
+    assert ids(archive) == [1, 2, 3] and [(g.offset, g.length) for g in archive.gaps] == [(0, len(parts[0]))]
+    broken = parts[0] + b"J" + parts[1][1:] + parts[2] + gzip.compress(parts[3])
+    assert ids(warc.read_archive(broken)) == [0, 2, 3]
+
+
+def test_warc_logs_every_gap_of_a_member():
+    inner = b"junk" * 3 + record(0, b"a") + b"more junk" + record(1, b"b") + b"end"
+    archive = warc.read_archive(gzip.compress(inner) + gzip.compress(record(2, b"c")))
+    assert ids(archive) == [0, 1, 2] and [g.length for g in archive.gaps] == [12, 9, 3]
+
+
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 50_000)
+    pages = spark.createDataFrame([(i, "u", chr(97 + i) * 10_000) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"))
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert max(sizes) <= 50_000 and len(ids(warc.read_archive(b"".join(f.read_bytes() for f in (tmp_path / "w").glob("part-*"))))) == 20
+
+
 def test_warc_reads_damaged_files_in_spark(spark, tmp_path):
     body = record(1, b"a") + record(2, b"b")[:-30] + record(3, b"c")
     (tmp_path / "one.warc").write_bytes(body)

@@ -52,6 +52,37 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or the same with underscores, whatever no column of ``df`` is called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key counts as hot if it has more than one of this many rows.
+HOT = 1000
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows``, each with the columns of its class, null without one.
+
+    ``classes`` is a written table, one row a key; ``n`` counts the rows of a
+    key. Keys with over a thousandth of the classed rows are fewer than a
+    thousand, so these classes are broadcast; their rows spread over the tasks
+    of the second join, which has no hot key.
+    """
+    values = [c for c in classes.columns if c != key]
+    total = classes.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * HOT > total
+    named = lambda part, mark: part.select(F.col(key).alias(f"{mark}{key}"), *(F.col(v).alias(f"{mark}{v}") for v in values))
+    some = rows.join(F.broadcast(named(classes.where(hot), "_hot_")), F.col(key) == F.col(f"_hot_{key}"), "left")
+    spread = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
+    some = some.withColumn("_key", F.when(F.col(f"_hot_{key}").isNull(), F.col(key)).otherwise(spread))
+    every = some.join(named(classes.where(~hot), "_rest_"), F.col("_key") == F.col(f"_rest_{key}"), "left")
+    return every.select(*rows.columns, *(F.coalesce(f"_hot_{v}", f"_rest_{v}").alias(v) for v in values))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one piece holds about ``max_bytes`` of the
     column, whatever the length of the texts; a longer text is alone."""

@@ -1,15 +1,21 @@
 """WARC archives: writing, and a reader that salvages what it can.
 
-Writing uses Spark's text sink with the record terminator as line separator, so
-a file is a plain sequence of WARC/1.1 records and any Hadoop path works. Equal
-payloads are stored once: the page with the smallest id is a response, the
-others are revisits that refer to it.
-
-Reading takes whole files (the writer bounds their bytes) as bytes. A record
-must have a version line, headers, a length that fits and the terminator; if it
-names a block digest, the block must match. After a failed check the reader looks
-for the next good record, plain or in a gzip member, whichever comes first, goes
-on there, and logs the bytes between as quarantined.
+Every record is a gzip member of its own, so damage to one leaves the others
+readable. Tasks write whole files to a folder that all executors share, each
+under a name of its own, and hand back one row per file; the table of these
+rows, which Spark commits once, is the archive. A task that is run again after
+a lost executor leaves at most files that no row names. Equal payloads are
+stored once: the page with the smallest id is a response, the others are
+revisits that refer to it.
+
+Reading takes a whole file (the writer bounds its bytes) as bytes. A record must
+have a version line, well-formed ASCII header names, record id, type and length
+once each, a length that fits and the terminator; if it names a block digest,
+the block must match. After a failed check the reader looks for the next good
+record, plain or in a gzip member, whichever comes first, goes on there, and
+logs the bytes between as quarantined. A member that breaks off gives the
+records that its readable part holds. What a look has found out is remembered,
+so the work stays linear in the file.
 """
 
 from __future__ import annotations
@@ -23,17 +29,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, sliced
+from .common import join_classes, materialize, shared_folder, sliced
 
 END = "\r\n\r\n"
-#: Files hold at most this many bytes (a larger record is alone); binary files are read whole.
-FILE_BYTES = 128 << 20
-RECORDS_PER_FILE = 2000
+#: Files hold at most this many bytes (a larger record is alone); they are read whole.
+FILE_BYTES = 32 << 20
+#: A member that inflates to more is read up to here and counts as broken.
+MEMBER_BYTES = 1 << 30
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_NEXT = re.compile(rb"\nWARC/1\.[01]\r\n")
+_NAME = re.compile(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+")
 _GZIP = b"\x1f\x8b\x08"
+_REQUIRED = ("warc-record-id", "warc-type", "content-length")
 
 
 @dataclass
@@ -60,119 +71,160 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _record_at(data: bytes, at: int) -> tuple[Record, int] | str:
-    """The record at a version line and its end, or what is wrong with it."""
-    version = _VERSION.match(data, at)
-    if not version:
-        return "no version line"
-    stop = data.find(b"\r\n\r\n", at)
-    if stop < 0:
-        return "headers without end"
-    headers: dict[str, str] = {}
-    for line in data[version.end() : stop].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
-        if not colon or not name.strip():
-            return "malformed header"
-        name = name.decode("utf-8", "replace").strip().lower()
-        if name in headers and name != "warc-concurrent-to":
-            return "repeated header"  # cut inside its headers, another's follow
-        headers[name] = value.decode("utf-8", "replace").strip()
-    if "warc-record-id" not in headers:
-        return "no record id"
-    size = headers.get("content-length", "")
-    if not size.isascii() or not size.isdigit():
-        return "no content length"
-    start = stop + 4
-    end = start + int(size)
-    if end > len(data):
-        return "truncated block"
-    if data[end : end + 4] != b"\r\n\r\n":
-        return "no terminator"
-    block = data[start:end]
-    if (digest := headers.get("warc-block-digest", "")).startswith("sha1:") and digest[5:] != sha1_base32(block):
-        return "block digest differs"
-    return Record(at, headers, block), end + 4
-
-
-def read_plain(data: bytes, shift: int = 0) -> Archive:
-    """Records of uncompressed bytes; ``shift`` is added to offsets."""
-    out, at = Archive(), 0
+class _Source:
+    """Bytes, and what earlier looks at them have found out."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self._end = (0, -1)  # no blank line in between, and its place
+        self._plain: tuple[int, int] | None = None
+
+    def header_end(self, at: int) -> int:
+        """Place of the first blank line from here on, -1 if there is none."""
+        since, found = self._end
+        if not (since <= at and (found < 0 or at <= found)) or self._end == (0, -1):
+            found = self.data.find(b"\r\n\r\n", at)
+            self._end = (at, found) if found >= 0 else (at or 1, -1)
+        return found
+
+    def record(self, at: int) -> tuple[Record, int] | str:
+        """The record at a version line and its end, or what is wrong with it."""
+        data = self.data
+        version = _VERSION.match(data, at)
+        if not version:
+            return "no version line"
+        stop = self.header_end(version.end() - 2)
+        if stop < 0:
+            return "headers without end"
+        if _NEXT.search(data, version.end() - 1, stop):
+            return "version line inside headers"  # looked for first: many such records may follow each other
+        headers: dict[str, str] = {}
+        for line in data[version.end() : stop].split(b"\r\n"):
+            name, colon, value = line.partition(b":")
+            if not colon or not _NAME.fullmatch(name) or b"\r" in value or b"\n" in value:
+                return "malformed header"
+            name = name.decode("ascii").lower()
+            if name in headers and name != "warc-concurrent-to":
+                return "repeated header"  # cut inside its headers, another's follow
+            headers[name] = value.decode("utf-8", "replace").strip()
+        for name in _REQUIRED:
+            if not headers.get(name):
+                return f"no {name}"
+        size = headers["content-length"]
+        if not size.isascii() or not size.isdigit() or len(size) > 18:
+            return "no content length"
+        start = stop + 4
+        end = start + int(size)
+        if end > len(data):
+            return "truncated block"
+        if data[end : end + 4] != b"\r\n\r\n":
+            return "no terminator"
+        block = data[start:end]
+        if (digest := headers.get("warc-block-digest", "")).startswith("sha1:") and digest[5:] != sha1_base32(block):
+            return "block digest differs"
+        return Record(at, headers, block), end + 4
+
+    def next_plain(self, at: int) -> int:
+        """Place of the next good plain record, the end if there is none."""
+        if self._plain and self._plain[0] <= at <= self._plain[1]:
+            return self._plain[1]
+        # a version line inside a broken record may belong to a good one: try each
+        found = _VERSION.search(self.data, at)
+        while found and isinstance(self.record(found.start()), str):
+            found = _VERSION.search(self.data, found.start() + 1)
+        self._plain = (at, found.start() if found else len(self.data))
+        return self._plain[1]
+
+    def next_good(self, at: int) -> int:
+        """Place of the next good record or of a member with one, else the end."""
+        plain = self.next_plain(at)
+        packed = self.data.find(_GZIP, at, plain)
+        while packed >= 0:
+            if _member_at(self.data, packed)[0].records:
+                return packed
+            packed = self.data.find(_GZIP, packed + 1, plain)
+        return plain
+
+
+def read_plain(data: bytes) -> Archive:
+    """Records of uncompressed bytes."""
+    source, out, at = _Source(data), Archive(), 0
     while at < len(data):
-        got = _record_at(data, at)
+        got = source.record(at)
         if not isinstance(got, str):
-            got[0].offset += shift
             out.records.append(got[0])
             at = got[1]
             continue
-        # a version line inside a broken record may belong to a good one: try each
-        following = at
-        while (found := _VERSION.search(data, following + 1)) and isinstance(_record_at(data, found.start()), str):
-            following = found.start()
-        end = found.start() if found else len(data)
-        out.gaps.append(Gap(at + shift, end - at, got))
+        end = source.next_plain(at + 1)
+        out.gaps.append(Gap(at, end - at, got))
         at = end
     return out
 
 
-def _member_at(data: bytes, at: int) -> tuple[Archive, int] | str:
-    """The records of the gzip member at a place and its end, or what is wrong
-    with it. They have the member's offset in the file; a gap inside it counts
-    inflated bytes, its place there is in the reason."""
+def _inflated(data: bytes, at: int) -> tuple[bytes, int | None]:
+    """What the gzip member at a place holds, as far as it can be read, and its
+    end, None if it breaks off. Input is fed in pieces, so a small member costs
+    little however long the file."""
     inflater = zlib.decompressobj(31)
-    try:
-        plain = inflater.decompress(memoryview(data)[at:])
-    except zlib.error:
-        return "no gzip member"
-    if not inflater.eof:
-        return "truncated member"
+    parts, size, step = [], 0, 1 << 14
+    while at < len(data) and not inflater.eof and size < MEMBER_BYTES:
+        piece = data[at : at + step]
+        before = inflater.copy()
+        try:
+            parts.append(inflater.decompress(piece))
+        except zlib.error:
+            for i in range(len(piece)):  # up to the byte that breaks it
+                try:
+                    parts.append(before.decompress(piece[i : i + 1]))
+                except zlib.error:
+                    break
+            return b"".join(parts), None
+        size += len(parts[-1])
+        at += len(piece)
+        step = min(2 * step, 1 << 20)
+    return b"".join(parts), at - len(inflater.unused_data) if inflater.eof else None
+
+
+def _member_at(data: bytes, at: int) -> tuple[Archive, int | None]:
+    """The records of the gzip member at a place and its end, None if it is
+    broken. They have the member's offset in the file; a gap inside it counts
+    inflated bytes, its place there is in the reason."""
+    plain, end = _inflated(data, at)
     inner = read_plain(plain)
     for record in inner.records:
         record.offset = at
     inner.gaps = [Gap(at, g.length, f"in member at {g.offset}: {g.reason}") for g in inner.gaps]
-    return inner, len(data) - len(inflater.unused_data)
+    return inner, end
 
 
 def read_archive(data: bytes) -> Archive:
     """Records of plain bytes and of gzip members (one or more records each), in
     any mixture. Where neither begins, the next record that holds or the next
-    member that holds one is sought; a packed payload holds none."""
-    out, at = Archive(), 0
+    member that holds one is sought; a packed payload holds none. A broken member
+    is one gap, whatever records its readable part gives."""
+    source, out, at = _Source(data), Archive(), 0
     while at < len(data):
         if data.startswith(_GZIP, at):
-            got = _member_at(data, at)
-            if not isinstance(got, str):
-                out.records += got[0].records
-                out.gaps += got[0].gaps
-                at = got[1]
+            inner, end = _member_at(data, at)
+            out.records += inner.records
+            if end is not None:
+                out.gaps += inner.gaps
+                at = end
                 continue
+            why = f"broken member, {len(inner.records)} records recovered" if inner.records else "broken member"
         else:
-            got = _record_at(data, at)
+            got = source.record(at)
             if not isinstance(got, str):
                 out.records.append(got[0])
                 at = got[1]
                 continue
-        end = _next_good(data, at + 1)
-        out.gaps.append(Gap(at, end - at, got))
+            why = got
+        end = source.next_good(at + 1)
+        out.gaps.append(Gap(at, end - at, why))
         at = end
     return out
 
 
-def _next_good(data: bytes, at: int) -> int:
-    """The next place of a good record or of a member with one, else the end."""
-    found = _VERSION.search(data, at)
-    while found and isinstance(_record_at(data, found.start()), str):
-        # a version line inside a broken record may belong to a good one: try each
-        found = _VERSION.search(data, found.start() + 1)
-    plain = found.start() if found else len(data)
-    packed = data.find(_GZIP, at, plain)
-    while packed >= 0:
-        got = _member_at(data, packed)
-        if not isinstance(got, str) and got[0].records:
-            return packed
-        packed = data.find(_GZIP, packed + 1, plain)
-    return plain
-
-
 def base32_sha1(c: Column) -> Column:
     """Upper-case base32 of SHA-1: each five hex digits are four base-32 digits."""
     digest = F.sha1(c)
@@ -183,15 +235,16 @@ def base32_sha1(c: Column) -> Column:
 def records_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """``(id, record)``: the text of one WARC record per row, without terminator.
 
-    Payloads of at least ``least_bytes`` that are equal (by SHA-1 and length)
-    refer to the smallest id. Null html is an empty payload, a null url is left
-    out, a row without id is always a response.
+    Payloads of at least ``least_bytes`` that are equal (by SHA-256) refer to the
+    smallest id. Null html is an empty payload, a null url is left out, a row
+    without id is always a response; rows that share the smallest id and the
+    payload are all responses. Other columns are ignored.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumns(
-        {"digest": base32_sha1(F.col("html")), "bytes": F.octet_length("html").cast("long")}
-    )
-    first = rows.groupBy("digest", "bytes").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), F.col("bytes").alias("b"), "first")
-    rows = rows.join(first, (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b")), "left")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    same = F.sha2("html", 256)
+    # written first: small, so its true size decides how the pages meet it
+    first = materialize(rows.groupBy(same.alias("same")).agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    rows = join_classes(rows.withColumn("same", same), first, "same", "n").withColumns({"digest": base32_sha1(F.col("html")), "bytes": F.octet_length("html").cast("long")})
     again = F.coalesce((F.col("id") > F.col("first")) & (F.col("bytes") >= least_bytes), F.lit(False))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     line = lambda key, value: F.concat(F.lit(f"\r\n{key}: "), value)
@@ -210,67 +263,118 @@ def records_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     return rows.select("id", record.alias("record"))
 
 
-def longest_record(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> int:
-    """A bound of the bytes of the longest record: its page, address and at most 1,024 of headers."""
-    size = F.coalesce(F.octet_length(html_col), F.lit(0)).cast("long") + F.coalesce(F.octet_length(url_col), F.lit(0))
-    return 1024 + (pages.agg(F.max(size)).first()[0] or 0)
+def _place(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and the folder's path in it."""
+    if folder.startswith("file:"):
+        folder = "/" + folder[5:].lstrip("/")
+    return (fs.LocalFileSystem(), folder) if folder.startswith("/") else fs.FileSystem.from_uri(folder)
 
 
-def write_archives(pages: DataFrame, folder: str, records_per_file: int = RECORDS_PER_FILE, **columns) -> None:
-    """Write the rows as WARC files to a folder that executors share. The
-    longest record tells how many fit into ``FILE_BYTES``."""
-    longest = longest_record(pages, columns.get("url_col", "url"), columns.get("html_col", "html"))
-    records_per_file = max(1, min(records_per_file, FILE_BYTES // longest))
-    records_of(pages, **columns).select("record").write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(folder)
+def write_archives(pages: DataFrame, folder: str, file_bytes: int | None = None, **columns) -> DataFrame:
+    """Write the rows as ``.warc.gz`` files to a folder that executors share and
+    return the table of files: ``(path, records, bytes)``."""
+    most = file_bytes or FILE_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _place(folder)
+        system.create_dir(base, recursive=True)
+        sink, path, records, size = None, "", 0, 0
+
+        def finished() -> pa.RecordBatch:
+            sink.close()
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], names=["path", "records", "bytes"])
+
+        for batch in sliced(batches, "record"):
+            for text in batch.column("record"):
+                packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+                member = packer.compress(text.as_py().encode() + END.encode()) + packer.flush()
+                if sink and size + len(member) > most:
+                    yield finished()
+                    sink = None
+                if not sink:
+                    path, records, size = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0
+                    sink = system.open_output_stream(path, compression=None)
+                sink.write(member)
+                records, size = records + 1, size + len(member)
+        if sink:
+            yield finished()
+
+    return materialize(records_of(pages, **columns).select("record").mapInArrow(run, "path string, records long, bytes long"))
 
 
 _SCHEMA = "file string, offset long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, gap_bytes long, reason string, payload binary"
+_NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
+_KINDS = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in _SCHEMA.split(", ")]
+#: Rows of one Arrow batch of the reader's output.
+_OUT_ROWS = 1000
+
+
+def _number(uri: str) -> int | None:
+    found = re.fullmatch(r"<urn:page:(-?\d{1,18})>", uri)
+    return int(found[1]) if found else None
+
+
+def _rows(path: str, data: bytes, payloads: bool) -> Iterator[pa.RecordBatch]:
+    """The reader's output for one file."""
+    archive, made = read_archive(data), []
+    for r in archive.records:
+        h = r.headers
+        body = r.block.partition(b"\r\n\r\n")[2]
+        kind = h["warc-type"]
+        if kind == "revisit":
+            length = h.get("x-payload-length", "")
+            size, digest, body = int(length) if re.fullmatch(r"[0-9]{1,18}", length) else None, h.get("warc-payload-digest", "").removeprefix("sha1:"), b""
+        else:
+            size, digest = len(body), sha1_base32(body)
+        made.append((path, r.offset, _number(h["warc-record-id"]), h.get("warc-target-uri"), kind, size, digest, _number(h.get("warc-refers-to", "")), None, None, body if payloads else None))
+    made += [(path, g.offset, None, None, None, None, None, None, g.length, g.reason, None) for g in archive.gaps]
+    for start in range(0, len(made), _OUT_ROWS):
+        part = zip(*made[start : start + _OUT_ROWS], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, _KINDS, strict=True)], names=_NAMES)
+
+
+def read_files(files: DataFrame, payloads: bool = False) -> DataFrame:
+    """Records and gaps of the files that a table from ``write_archives`` names,
+    with the columns of ``read_archives``. Tasks open the files themselves, no
+    list of them passes the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                system, place = _place(path)
+                with system.open_input_stream(place, compression=None) as source:
+                    data = source.read()
+                yield from _rows(path, data, payloads)
+
+    return files.select("path").repartition(F.col("path")).mapInArrow(run, _SCHEMA)
 
 
 def read_archives(spark: SparkSession, folder: str, payloads: bool = False, pattern: str = "*") -> DataFrame:
     """Records and gaps of every archive in the folder (gzip or plain).
 
     A record row has the payload's size and digest (taken from the payload
-    itself for responses, from the headers for revisits); a gap row has
-    ``gap_bytes`` and ``reason`` and no record. With ``payloads`` the bytes too.
+    itself for responses, from the headers for revisits; null if a header is no
+    number); a gap row has ``gap_bytes`` and ``reason`` and no record. With
+    ``payloads`` the bytes too. A file beyond 2 GB can't be read.
     """
 
-    def number(uri: str) -> int | None:
-        found = re.fullmatch(r"<urn:page:(-?\d+)>", uri)
-        return int(found[1]) if found else None
-
-    def rows(path: str, data: bytes) -> Iterator[tuple]:
-        archive = read_archive(data)
-        for r in archive.records:
-            h = r.headers
-            body = r.block.partition(b"\r\n\r\n")[2]
-            kind = h.get("warc-type")
-            if kind == "revisit":
-                size, digest, body = int(h.get("x-payload-length") or 0), h.get("warc-payload-digest", "").removeprefix("sha1:"), b""
-            else:
-                size, digest = len(body), sha1_base32(body)
-            yield path, r.offset, number(h.get("warc-record-id", "")), h.get("warc-target-uri"), kind, size, digest, number(h.get("warc-refers-to", "")), None, None, body if payloads else None
-        for g in archive.gaps:
-            yield path, g.offset, None, None, None, None, None, None, g.length, g.reason, None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "content"):
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                found = list(rows(path, data))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
+                yield from _rows(path, data, payloads)
 
-    names = [x.split()[0] for x in _SCHEMA.split(", ")]
-    of = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
-    kinds = [of[x.split()[1]] for x in _SCHEMA.split(", ")]
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
     return files.mapInArrow(run, _SCHEMA)
 
 
 def round_trip(pages: DataFrame, **columns) -> DataFrame:
     """Write the pages to a new folder among the shared ones, read the archives
-    back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    spark = pages.sparkSession
-    folder = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    write_archives(pages, folder, **columns)
-    return read_archives(spark, folder, pattern="part-*").where("record_type is not null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Null html and url, null ids, repeated rows and ties: see ``records_of``. A
+    page of any length is one record, alone in its file beyond ``FILE_BYTES``
+    (up to 2 GB, the bound of a string). An empty table gives an empty result.
+    """
+    folder = f"{shared_folder(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    rows = read_files(write_archives(pages, folder, **columns)).where("record_type is not null")
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -362,12 +362,62 @@ def test_warc_logs_every_gap_of_a_member():
     assert ids(archive) == [0, 1, 2] and [g.length for g in archive.gaps] == [12, 9, 3]
 
 
-def test_warc_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "FILE_BYTES", 50_000)
-    pages = spark.createDataFrame([(i, "u", chr(97 + i) * 10_000) for i in range(20)], "page_id long, url string, html string").coalesce(1)
-    warc.write_archives(pages, str(tmp_path / "w"))
-    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
-    assert max(sizes) <= 50_000 and len(ids(warc.read_archive(b"".join(f.read_bytes() for f in (tmp_path / "w").glob("part-*"))))) == 20
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path):
+    noise = random.Random(1)
+    pages = spark.createDataFrame([(i, "u", "".join(noise.choices("abcdefghijklmnop", k=20_000))) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    files = warc.write_archives(pages, str(tmp_path / "w"), file_bytes=50_000)
+    sizes = [f.stat().st_size for f in (tmp_path / "w").iterdir()]
+    assert max(sizes) <= 50_000 and len(sizes) > 2 and sorted(sizes) == sorted(r.bytes for r in files.collect())
+    assert len(ids(warc.read_archive(b"".join(f.read_bytes() for f in (tmp_path / "w").iterdir())))) == 20
+    assert files.agg({"records": "sum"}).first()[0] == 20
+
+
+def test_warc_junk_before_plain_records():
+    parts = [record(i, b"\x1f\x8b\x08 payload") for i in range(5)]
+    archive = warc.read_archive(b"j" * 5000 + b"".join(parts))
+    assert ids(archive) == list(range(5)) and [(g.offset, g.length) for g in archive.gaps] == [(0, 5000)]
+
+
+@pytest.mark.parametrize(
+    "change",
+    [lambda r: r.replace(b"WARC-Record-ID", b"WARC-Rec\xc3\xb6rd-ID"), lambda r: r.replace(b"WARC-Type: response\r\n", b""), lambda r: r.replace(b"WARC-Type: response\r\n", b"WARC-Type: response\r"),
+     lambda r: r.replace(b"WARC-Type: response\r\n", b"WARC-Type: response\r\nWARC-Type: response\r\n"), lambda r: r.replace(b"Content-Length: ", b"Content-Length: x"), lambda r: r[:60]],
+)
+def test_warc_headers_are_checked(change):
+    parts = [record(i, b"body") for i in range(3)]
+    bad = change(parts[1])
+    archive = warc.read_archive(parts[0] + bad + parts[2])
+    assert ids(archive) == [0, 2] and [(g.offset, g.length) for g in archive.gaps] == [(len(parts[0]), len(bad))]
+
+
+def test_warc_broken_member_gives_what_it_holds():
+    noise = random.Random(2)
+    whole = gzip.compress(b"".join(record(i, noise.randbytes(3000)) for i in range(20)))
+    archive = warc.read_archive(whole[: len(whole) // 2])
+    assert 8 <= len(archive.records) <= 10 and ids(archive) == list(range(len(archive.records))) and len(archive.gaps) == 1
+
+
+def test_warc_reading_is_linear():
+    import time
+
+    members = gzip.compress(record(1, b"x" * 300)) * 8000
+    broken = b"".join(b"WARC/1.1\r\nWARC-Type: response\r\n" for _ in range(50_000)) + record(7, b"end")
+    started = time.perf_counter()
+    assert len(warc.read_archive(members).records) == 8000
+    assert ids(warc.read_archive(broken)) == [7] and ids(warc.read_archive(b"WARC/1.1\r\n" * 100_000)) == []
+    assert time.perf_counter() - started < 20
+
+
+def test_warc_header_that_is_no_number(spark, tmp_path):
+    text = record(1, b"a").replace(b"WARC-Type: response", b"WARC-Type: revisit\r\nX-Payload-Length: 1x")
+    (tmp_path / "a.warc").write_bytes(text)
+    assert [(r.record_type, r.payload_bytes) for r in warc.read_archives(spark, str(tmp_path)).collect()] == [("revisit", None)]
+
+
+def test_warc_repeated_rows(spark):
+    rows = [(1, "u", "x"), (1, "u", "x"), (2, "u", "x")]
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [(1, "response", None), (1, "response", None), (2, "revisit", 1)]
 
 
 def test_warc_reads_damaged_files_in_spark(spark, tmp_path):

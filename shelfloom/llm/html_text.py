@@ -6,14 +6,20 @@ at the next cell or row, the head at whatever can't be in it). Invisible element
 (by name, a ``hidden`` attribute, or an inline style) are skipped whole. The renderer joins inline text with single blanks,
 starts blocks on new lines, leaves one empty line around paragraphs and
 headings, marks and indents list items, keeps preformatted text, and pads the
-cells of a table to columns.
+cells of a table to columns (a cell's own blocks and tables are joined by
+blanks, ``colspan`` leaves columns free).
+
+All of it is linear in the page: a tag is found by possessive patterns, an end
+of a tag that its quotes swallow is looked for once, the places of the open
+elements are kept by name, and nothing recurses.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,19 +45,24 @@ ENDS = {
     "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}), "thead": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}), "tfoot": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comment, declaration, or tag; quotes hide a ``>`` in an attribute's value.
+_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/=]|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++))?+)*+)>", re.S)
+#: The same without regard to quotes.
+_PLAIN_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _UNSEEN_STYLE = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!\s*important\s*)?(?=;|$)")
+_SPAN = re.compile(r"(?i)(?:^|\s)colspan\s*=\s*[\"']?\s*([0-9]{1,9})")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 _BARE_END = re.compile(r"=\s*[^\s\"'>]+$")
 _COMMENT = re.compile(r"/\*.*?\*/", re.S)
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "hidden", "children")
+    __slots__ = ("tag", "hidden", "children", "span")
 
     def __init__(self, tag: str, hidden: bool = False):
-        self.tag, self.hidden, self.children = tag, hidden, []
+        self.tag, self.hidden, self.children, self.span = tag, hidden, [], 1
 
 
 def _hidden(attributes: str) -> bool:
@@ -67,36 +78,67 @@ def _hidden(attributes: str) -> bool:
     return False
 
 
-def _foreign(stack: list[Node]) -> int:
-    """Place of the foreign element that holds the next tag, 0 if none."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in INTEGRATION:
-            return 0
-        if stack[i].tag in FOREIGN:
-            return i
-    return 0
+class _Open:
+    """The stack of open elements with their places by name."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {root.tag: [0]}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, at: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.stack) > at:
+            self.places[self.stack.pop().tag].pop()
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost open element of these names, 0 if there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def end(self, tags: Iterable[str], bounds: Iterable[str]) -> None:
+        """Close the open elements of these names that lie inside the nearest boundary."""
+        bound = self.last(*bounds)
+        outer = min((p[bisect_right(p, bound)] for t in tags if (p := self.places.get(t)) and p[-1] > bound), default=0)
+        if outer:
+            self.cut(outer)
+
+    def foreign(self) -> int:
+        """Place of the foreign element that holds the next tag, 0 if none."""
+        at = self.last(*FOREIGN)
+        return at if at > self.last(*INTEGRATION) else 0
 
 
 def build(page: str) -> Node:
     """The tree of a page; text nodes are strings with entities resolved."""
     root = Node("html")
-    stack = [root]
+    tree = _Open(root)
     at = 0
-
     head = foreign = False
+    token, last_end = _TOKEN, page.rfind(">")
 
     def leave_head() -> None:
         nonlocal head
         head = False
-        _end(stack, {"head"}, {"template", "noscript"})
+        tree.end(("head",), ("template", "noscript"))
 
     def text(part: str) -> None:
         if part:
-            if head and stack[-1].tag == "head" and part.strip():
+            if head and tree.stack[-1].tag == "head" and part.strip():
                 leave_head()
-            stack[-1].children.append(entities.unescape(part) if "&" in part else part)
-
-    while found := _TOKEN.search(page, at):
+            tree.stack[-1].children.append(entities.unescape(part) if "&" in part else part)
+
+    while at <= last_end or page.find("<!--", at) >= 0:
+        found = _PLAIN_TOKEN.search(page, at)
+        if not found:
+            break
+        if token is _TOKEN:
+            if quoted := _TOKEN.match(page, found.start()):
+                found = quoted
+            else:  # its quotes hold every later end: from here on they are ordinary characters
+                token = _PLAIN_TOKEN
         text(page[at : found.start()])
         at = found.end()
         closing, tag, attributes = found.groups()
@@ -104,58 +146,41 @@ def build(page: str) -> Node:
             continue
         tag = tag.lower()
         if closing:
-            _close(stack, tag)
+            # without its element it is ignored; in a table so is one from outside
+            place = tree.last(tag)
+            if place and (place > tree.last("table") or tag in ("table", "body", "html", "div")):
+                tree.cut(place)
             continue
-        if head and tag not in IN_HEAD and stack[-1].tag == "head":
+        if head and tag not in IN_HEAD and tree.stack[-1].tag == "head":
             leave_head()
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
+        if tag in ("html", "body") and tree.places.get(tag):
             continue
-        if foreign and tag in BREAKOUT and (i := _foreign(stack)):
-            del stack[i:]
-        if tag in BLOCK and any(n.tag == "p" for n in stack[1:]):
-            _end(stack, {"p"}, {"table", "td", "th", "button", "li"})
+        if foreign and tag in BREAKOUT and (i := tree.foreign()):
+            tree.cut(i)
+        if tag in BLOCK:
+            tree.end(("p",), ("table", "td", "th", "button", "li"))
         if tag in ENDS:
-            _end(stack, *ENDS[tag])
+            tree.end(*ENDS[tag])
         node = Node(tag, tag in UNSEEN or bool(attributes and _hidden(attributes)))
-        stack[-1].children.append(node)
+        if tag in ("td", "th") and attributes and (span := _SPAN.search(attributes)):
+            node.span = min(max(1, int(span[1])), 1000)  # the standard's bound
+        tree.stack[-1].children.append(node)
         head = head or tag == "head"
         foreign = foreign or tag in FOREIGN
-        if foreign and attributes.endswith("/") and not _BARE_END.search(attributes) and (tag in FOREIGN or _foreign(stack)):
+        if foreign and attributes.endswith("/") and not _BARE_END.search(attributes) and (tag in FOREIGN or tree.foreign()):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            end = RAW_END[tag].search(page, at)
             stop = end.start() if end else len(page)
             node.children.append(page[at:stop] if tag in ("script", "style") else entities.unescape(page[at:stop]))
             at = page.find(">", stop) + 1 if end else len(page)
             at = at or len(page)
         elif tag not in VOID:
-            stack.append(node)
+            tree.push(node)
     text(page[at:])
     return root
 
 
-def _end(stack: list[Node], tags: set[str], bounds: set[str]) -> None:
-    """Close open elements of these names down to the nearest boundary."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in bounds:
-            return
-        if stack[i].tag in tags:
-            del stack[i:]
-            if len(tags) == 1:
-                return
-            return _end(stack, tags, bounds)
-
-
-def _close(stack: list[Node], tag: str) -> None:
-    """A closing tag without its element is ignored; a cell or item outside its own table or list too."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == tag:
-            del stack[i:]
-            return
-        if stack[i].tag == "table" and tag not in ("table", "body", "html", "div"):
-            return
-
-
 class _Out:
     """Lines being written: ``gap`` empty lines are due before the next text."""
 
@@ -181,6 +206,13 @@ class _Out:
             self._put(self.indent + self.mark + "".join(self.line))
         self.line, self.blank = [], False
 
+    def line_break(self) -> None:
+        """The first ends the line, each further one leaves an empty line."""
+        if self.line:
+            self.end_line()
+        elif self.lines and not self.spaced:
+            self.lines.append("")
+
     def _put(self, line: str) -> None:
         if self.spaced and self.lines and self.lines[-1]:
             self.lines.append("")
@@ -223,8 +255,7 @@ def _render(root: Node, out: _Out) -> None:
             continue
         tag = item.tag
         if tag == "br":
-            if out.line:
-                out.end_line()
+            out.line_break()
             continue
         if tag == "img":
             continue
@@ -287,11 +318,38 @@ def _raw_text(node: Node) -> str:
     return "".join(parts)
 
 
+def _flat(node: Node) -> str:
+    """The text of a cell on one line: blocks, items and inner tables are apart by blanks."""
+    parts: list[str] = []
+    counters: list[list] = []
+    work: list = list(reversed(node.children))
+    while work:
+        item = work.pop()
+        if item is None:
+            counters.pop()
+        elif isinstance(item, str):
+            parts.append(item)
+        elif not item.hidden:
+            tag = item.tag
+            apart = tag in BLOCK or tag in ("br", "td", "th", "table")
+            if apart:
+                parts.append(" ")
+                work.append(" ")
+            if tag in ("ul", "ol"):
+                counters.append([tag, 0])
+                work.append(None)
+            elif tag == "li":
+                if counters:
+                    counters[-1][1] += 1
+                parts.append(f"{counters[-1][1]}. " if counters and counters[-1][0] == "ol" else "- ")
+            work += reversed(item.children)
+    return " ".join("".join(parts).split())
+
+
 def _table(table: Node) -> list[str]:
-    """Rows with cells padded to the width of their column; a caption first.
-    A cell's own blocks are joined by blanks."""
+    """Rows with cells padded to the width of their column; a caption first."""
     before: list[str] = []
-    rows: list[list[str]] = []
+    rows: list[list[tuple[str, int]]] = []
     work: list = list(reversed(table.children))
     while work:
         item = work.pop()
@@ -305,23 +363,37 @@ def _table(table: Node) -> list[str]:
             for c in item.children:
                 if isinstance(c, str):
                     if c.strip():
-                        cells.append(_BLANK.sub(" ", c).strip(" "))
+                        cells.append((_BLANK.sub(" ", c).strip(" "), 1))
                 elif not c.hidden:
-                    cells.append(" ".join(render(_as_block(c)).split()))
+                    cells.append((_flat(c), c.span))
             rows.append(cells)
         elif item.tag in ("thead", "tbody", "tfoot"):
             work += reversed(item.children)
-        elif (inner := " ".join(render(_as_block(item)).split())):
+        elif inner := _flat(_around(item)):
             before.append(inner)
-    columns = max(map(len, rows), default=0)
-    widths = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(columns)]
-    return before + ["  ".join(c.ljust(w) for c, w in zip(r, widths, strict=False)).rstrip() for r in rows if any(r)]
-
-
-def _as_block(node: Node) -> Node:
-    block = Node("div")
-    block.children = node.children
-    return block
+    widths: dict[int, int] = {}
+    for cells in rows:
+        place = 0
+        for text, span in cells:
+            if span == 1:
+                widths[place] = max(widths.get(place, 0), len(text))
+            place += span
+    lines = []
+    for cells in rows:
+        line, place = [], 0
+        for text, span in cells:
+            room = sum(widths.get(i, 0) for i in range(place, place + span)) + 2 * (sum(i in widths for i in range(place, place + span)) - 1)
+            line.append(text.ljust(room))
+            place += span
+        if any(text for text, _ in cells):
+            lines.append("  ".join(line).rstrip())
+    return before + lines
+
+
+def _around(node: Node) -> Node:
+    outer = Node("div")
+    outer.children.append(node)
+    return outer
 
 
 def page_text(page: str) -> str:
@@ -331,8 +403,9 @@ def page_text(page: str) -> str:
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Per row: id, ``text`` (all visible text), ``n_chars`` and ``n_lines``.
 
-    Null and empty html give an empty text (0, 0). Repeated rows give repeated
-    results; an empty table gives an empty one; other columns are ignored.
+    Null and empty html give an empty text (0, 0); pages of any length and depth
+    are read whole. Null ids stay null; repeated rows give repeated results; an
+    empty table gives an empty one; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,5 +416,6 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
                 names=["id", "text", "n_chars", "n_lines"],
             )
 
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(run, "id long, text string, n_chars long, n_lines long").withColumnRenamed("id", id_col)
+    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, text string, n_chars long, n_lines long").withColumnRenamed("id", id_col)

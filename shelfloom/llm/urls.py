@@ -83,9 +83,9 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "host", "path", "rule", "ruled")), strict_n, soft_n], names=["id", "host", "path", "rule", "ruled", "strict_hits", "soft_hits"])
 
     host, path = host_and_path(F.col("url"))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url")).select("id", host.alias("host"), path.alias("path"), ascii_lower(F.col("url")).alias("low"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", host.alias("host"), path.alias("path"), ascii_lower(F.col("url")).alias("low"))
     rule, ruled = rule_column(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "ruled": ruled})
-    scored = rows.mapInArrow(run, "id long, host string, path string, rule string, ruled string, strict_hits long, soft_hits long")
+    scored = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, host string, path string, rule string, ruled string, strict_hits long, soft_hits long")
     own = F.when((F.col("strict_hits") > 0) | (F.col("soft_hits") >= soft_hits), "block").otherwise("allow")
     return scored.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "strict_hits", "soft_hits")

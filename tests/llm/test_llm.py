@@ -465,6 +465,75 @@ def test_html_visibility(page, want):
     assert html_text.page_text(page) == want
 
 
+class Plain(__import__("html.parser", fromlist=["x"]).HTMLParser):
+    """A second, simple renderer: the visible words in order, without layout."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.out = [], []
+
+    def handle_starttag(self, tag, attrs):
+        unseen = tag in ("head", "script", "style", "template") or any(k == "hidden" or (k == "style" and "display:none" in (v or "")) for k, v in attrs)
+        if tag not in html_text.VOID:
+            self.hidden.append((tag, unseen))
+        if tag in html_text.BLOCK or tag in ("br", "td", "th", "table"):
+            self.out.append(" ")
+
+    def handle_endtag(self, tag):
+        for i in range(len(self.hidden) - 1, -1, -1):
+            if self.hidden[i][0] == tag:
+                del self.hidden[i:]
+                break
+        if tag in html_text.BLOCK or tag in ("td", "th", "table"):
+            self.out.append(" ")
+
+    def handle_data(self, data):
+        if not any(h for _, h in self.hidden):
+            self.out.append(data)
+
+
+def random_page(dice, depth=0):
+    word = lambda: "".join(dice.choices("abcdefg", k=4))
+    parts = []
+    for _ in range(dice.randrange(1, 4)):
+        kind = dice.choice(["text", "p", "div", "ul", "table", "b", "hidden", "script"] if depth < 4 else ["text"])
+        inner = random_page(dice, depth + 1) if kind not in ("text", "p", "script") else word()
+        parts.append(
+            {"text": word() + " &amp; " + word(), "ul": f"<ul><li>{inner}</li><li>{word()}</li></ul>", "table": f"<table><tr><td title='a > b'>{inner}</td><td colspan=2>{word()}</td></tr></table>",
+             "hidden": f"<div {dice.choice(['hidden', 'style=display:none', chr(34).join(['style=', 'display:none', ''])])}>{inner}</div>", "script": f"<script>if (a<b) '{inner}'</script>"}.get(kind, f"<{kind}>{inner}</{kind}>")
+        )
+    return " ".join(parts)
+
+
+def test_html_words_equal_a_second_renderer():
+    for seed in range(200):
+        page = f"<html><head><title>no</title></head><body>{random_page(random.Random(seed))}</body></html>"
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        assert [w for w in html_text.page_text(page).split() if w != "-"] == "".join(plain.out).split(), page
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [("<table>" * 5000 + "<tr><td>deep", "deep"), ("<div>" * 50_000 + "x", "x"), ("<p>a</p>" + "<a b='" * 100_000, None), ("<a b='" * 50_000 + ">t", None), ("<a b='" * 50_000 + "'>'", None), ("<a b='" * 50_001 + "'>'", None), ("<b><table>" + "<div></b>" * 20_000 + "y", "y"),
+     ("<![CDATA[" * 50_000, None), ("<li>" * 20_000 + "z", None), ("<ul>" * 3000 + "<li>w", None)],
+)
+def test_html_is_linear(page, want):
+    import time
+
+    started = time.perf_counter()
+    text = html_text.page_text(page)
+    assert time.perf_counter() - started < 5 and (want is None or text == want)
+
+
+def test_html_breaks_spans_and_quotes():
+    assert html_text.page_text("a<br><br>b<br>c") == "a\n\nb\nc"
+    assert html_text.page_text("<table><tr><td>aaaa<td>bb<td>c<tr><td colspan=2>x<td>d</table>") == "aaaa  bb  c\nx         d"
+    assert html_text.page_text("<a title='a > b'>t</a> <a title=don't>u</a> <p title='open>v</p>w") == "t u\n\nv\n\nw"
+    assert html_text.page_text("<table><tr><td><ul><li>a<li>b</ul><p>c</p><table><tr><td>d<td>e</table></table>") == "- a - b c d e"
+
+
 def test_html_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "<div>" * 5000 + "deep"), (4, "</p></li><td>x"), (5, "<"), (5, "<"), (None, "a<!-- open"), (6, "<table><tr><td>")]
     out = html_text.extract_text(spark.createDataFrame(rows, "page_id long, html string")).collect()

@@ -7,9 +7,16 @@ pair of lowest rank. A merge changes three leaves; each is updated on its path
 to the root. The word is done when the root holds no rank.
 
 Many words are merged side by side: words of one length class are the rows of an
-array, so a step is a few numpy operations over all rows still open. A text is
-cut at blanks first, and results are kept per distinct piece in a bounded table,
-for natural text repeats its pieces.
+array, so a step is a few numpy operations over all rows still open; a word that
+is longer than ``LONG`` has a tree of its own in plain arrays (28 bytes a
+symbol), where a step costs a path to the root and no more. A text is cut at
+blanks first, and results of short pieces are kept in a bounded table, for
+natural text repeats its pieces.
+
+The tokenizers library takes its letters, its lower case and its normal form
+from three versions of Unicode, none of which is Python's. Where they differ,
+the fixed ranges below say what the library does; a test compares every code
+point.
 """
 
 from __future__ import annotations
@@ -17,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +35,47 @@ from pyspark.sql import functions as F
 
 from .common import sliced
 
-#: Pieces kept per worker; when full, the table starts anew.
+#: Pieces kept per worker, of at most CACHE_CHARS characters each; when full, the table starts anew.
 CACHE_PIECES = 300_000
+CACHE_CHARS = 64
+#: Words of more bytes have a tree of their own.
+LONG = 2048
 #: Symbols in one array of words.
 ROOM = 1 << 19
 _NONE = np.iinfo(np.int64).max
+# Where the library's Unicode tables differ from those of Python and of the regex module.
+#: Letters and numbers (first and last) that the library's splitting pattern doesn't count as such.
+NO_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4),
+    (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3),
+    (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128),
+    (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2),
+    (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479),
+    (0x3D000, 0x3FC3F),
+)
+#: Marks, and parts of one composed letter, that the library's normal form leaves where they stand.
+NO_MARKS = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA),
+    (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B),
+    (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x11938, 0x11938), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34),
+    (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F),
+    (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+)
+#: Capitals whose small letters Python doesn't know.
+SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+SMALL |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+
+def _of_ranges(ranges) -> str:
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges)
+
+
+_NO_LETTERS = regex.compile(f"[{_of_ranges(NO_LETTERS)}]")
+_NO_MARKS = regex.compile(f"([{_of_ranges(NO_MARKS)}])")
+_SMALL = regex.compile(f"[{''.join(map(chr, SMALL))}]")
+#: Neither blank nor letter nor number, whatever the version.
+_OTHER = "\uffff"
 #: Python splits at these too, the vocabulary's white space doesn't have them.
 _ODD_BLANK = regex.compile(r"[\x1c-\x1f]")
 
@@ -65,7 +109,8 @@ class WordBpe:
         pairs = [(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         keys = np.array([(vocab[a] << 32) | vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self._made = made
+        self._made, self._made_list = made, made.tolist()
+        self._rank_of = dict(zip(keys.tolist(), range(len(keys)), strict=True))
         self._fill(keys)
         self._known: dict[str, bytes] = {}
 
@@ -111,6 +156,9 @@ class WordBpe:
         out = [b""] * len(words)
         classes: dict[int, list[int]] = {}
         for i, word in enumerate(words):
+            if len(word) > LONG:
+                out[i] = self._merge_long(word)
+                continue
             classes.setdefault(max(1, (len(word) - 1).bit_length()), []).append(i)
         for bits, members in classes.items():
             step = max(1, ROOM >> bits)
@@ -120,6 +168,56 @@ class WordBpe:
                     out[i] = ids
         return out
 
+    def _merge_long(self, word: bytes) -> bytes:
+        """The same for one long word."""
+        n = len(word)
+        width = 1 << (n - 1).bit_length()
+        raw = np.frombuffer(word, np.uint8)
+        start = self._first[raw]
+        start[-1] = self._last[raw[-1]]
+        ranks = np.full(width, _NONE, np.int64)
+        for a in range(0, n - 1, ROOM):
+            b = min(n - 1, a + ROOM)
+            ranks[a:b] = self._rank(start[a:b], start[a + 1 : b + 1])
+        shift = width.bit_length()
+        tree = np.empty(2 * width, np.int64)
+        tree[width:] = np.where(ranks == _NONE, _NONE, (ranks << shift) | np.arange(width))
+        level = width
+        while level > 1:
+            level //= 2
+            np.minimum(tree[2 * level : 4 * level : 2], tree[2 * level + 1 : 4 * level : 2], out=tree[level : 2 * level])
+        tree, symbol = array("q", tree.tobytes()), array("i", start.astype(np.int32).tobytes())
+        after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        made, known, low = self._made_list, self._rank_of, (1 << shift) - 1
+
+        def put(at: int, value: int) -> None:
+            node = width + at
+            tree[node] = value
+            while node > 1:
+                node >>= 1
+                left, right = tree[2 * node], tree[2 * node + 1]
+                least = left if left < right else right
+                if tree[node] == least:
+                    return
+                tree[node] = least
+
+        def leaf(at: int, right: int) -> int:
+            rank = known.get((symbol[at] << 32) | symbol[right]) if right < n else None
+            return _NONE if rank is None else (rank << shift) | at
+
+        while (root := tree[1]) != _NONE:
+            at = root & low
+            gone = after[at]
+            right, left = after[gone], before[at]
+            symbol[at], symbol[gone], after[at] = made[root >> shift], -1, right
+            if right < n:
+                before[right] = at
+            put(gone, _NONE)
+            put(at, leaf(at, right))
+            if left >= 0:
+                put(left, leaf(left, at))
+        return np.array([x for x in symbol if x >= 0], "<u4").tobytes()
+
     def _merge_rows(self, words: list[bytes], width: int) -> list[bytes]:
         n = len(words)
         lengths = np.fromiter(map(len, words), np.int64, n)
@@ -183,19 +281,30 @@ class WordBpe:
         return np.where(rank == _NONE, _NONE, (rank << shift) | at)
 
     def _blank_pieces(self, text: str) -> list[str]:
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        # each character alone: no final form of sigma
-        text = text.replace("Σ", "σ").lower()
+        if not text.isascii():
+            if _NO_MARKS.search(text):
+                text = "".join(unicodedata.normalize("NFC", part) for part in _NO_MARKS.split(text))
+            elif not unicodedata.is_normalized("NFC", text):
+                text = unicodedata.normalize("NFC", text)
+            if _SMALL.search(text):
+                text = text.translate(SMALL)
+            text = text.replace("Σ", "σ")  # each character alone: no final form of sigma
+        text = text.lower()
         return [p for p in regex.split(r"\s+", text) if p] if _ODD_BLANK.search(text) else text.split()
 
+    def _words(self, piece: str) -> list[bytes]:
+        if piece.isascii() or not _NO_LETTERS.search(piece):
+            return list(map(str.encode, self.pattern.findall(piece)))
+        shown = _NO_LETTERS.sub(_OTHER, piece)
+        return [piece[m.start() : m.end()].encode() for m in self.pattern.finditer(shown)]
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text, as the tokenizers library gives them without
         special tokens of its own; those written in a text count."""
         cut: list[list[str]] = []
         for text in texts:
             parts: list[str] = []
-            for section in self._at_special.split(text) if self._at_special and "<|" in text else [text]:
+            for section in self._at_special.split(text) if self._at_special and self._at_special.search(text) else [text]:
                 # a piece holds no blank, so this key is free
                 parts += [f" {section}"] if section in self.special else self._blank_pieces(section)
             cut.append(parts)
@@ -207,13 +316,14 @@ class WordBpe:
         found = [list(map(known.get, parts)) for parts in cut]
         new = list({p for parts, ids in zip(cut, found, strict=True) if None in ids for p, i in zip(parts, ids, strict=True) if i is None})
         if new:
-            words = [list(map(str.encode, self.pattern.findall(p))) for p in new]
+            words = [self._words(p) for p in new]
             distinct = list(set().union(*words))
             made = dict(zip(distinct, self.merge(distinct), strict=True))
-            known |= zip(new, [made[ws[0]] if len(ws) == 1 else b"".join(map(made.__getitem__, ws)) for ws in words], strict=True)
+            now = dict(zip(new, [made[ws[0]] if len(ws) == 1 else b"".join(map(made.__getitem__, ws)) for ws in words], strict=True))
+            known |= {p: ids for p, ids in now.items() if len(p) <= CACHE_CHARS}
             for parts, ids in zip(cut, found, strict=True):
                 if None in ids:
-                    ids[:] = [known[p] if i is None else i for p, i in zip(parts, ids, strict=True)]
+                    ids[:] = [now[p] if i is None else i for p, i in zip(parts, ids, strict=True)]
         return [np.frombuffer(b"".join(ids), "<u4") for ids in found]
 
     def decode(self, ids) -> str:
@@ -234,9 +344,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     """Per row: id, ``n_tokens`` and the named outputs; the digests are of the
     ids as little-endian unsigned 32-bit numbers and of the decoded text's UTF-8.
 
-    Null text counts as empty: no tokens. Repeated rows give repeated results;
-    an empty table gives an empty one; other columns are ignored. The vocabulary
-    file is read on the driver and sent to the executors by Spark.
+    Null and empty text: no tokens. Texts and words of any length are encoded
+    whole. Null ids stay null; repeated rows give repeated results; an empty table
+    gives an empty one; other columns are ignored. The vocabulary file is read on
+    the driver and sent to the executors by Spark.
     """
     with open(vocabulary, encoding="utf-8") as file:
         content = docs.sparkSession.sparkContext.broadcast(file.read())

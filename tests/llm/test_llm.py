@@ -218,6 +218,42 @@ def test_bpe_tree_equals_plain_merging():
     assert model.merge(words) == [plain(w) for w in words]
 
 
+def own_bpe():
+    with open(queries.vocabulary(), encoding="utf-8") as file:
+        return bpe.WordBpe(file.read())
+
+
+def test_bpe_every_code_point_equals_library():
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}b !{c} 1{c} e{c}\u0301\u0323 e\u0301{c}" for c in points[i : i + 256]) for i in range(0, len(points), 256)]
+    model, lib = own_bpe(), library()
+    for start in range(0, len(texts), 500):
+        part = texts[start : start + 500]
+        for text, ids, want in zip(part, model.encode_batch(part), lib.encode_batch(part, add_special_tokens=False), strict=True):
+            assert ids.tolist() == want.ids, text
+
+
+def test_bpe_random_sequences_equal_library():
+    dice = random.Random(6)
+    odd = [chr(c) for r in (bpe.NO_LETTERS, bpe.NO_MARKS) for a, b in r for c in (a, b)] + list(map(chr, bpe.SMALL)) + list("aeΣé\u0301\u0323\u0345\u1df6 1'<|>\x1c") + ["<|endoftext|>"]
+    texts = ["".join(dice.choices(odd, k=dice.randrange(1, 12))) for _ in range(20_000)]
+    model, lib = own_bpe(), library()
+    for text, ids, want in zip(texts, model.encode_batch(texts), lib.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids.tolist() == want.ids, text
+
+
+def test_bpe_long_words():
+    import time
+
+    dice = random.Random(7)
+    texts = ["".join(dice.choices("etaoinshr", k=100_000)), "a" * 70_000, "".join(dice.choices("ab", k=bpe.LONG + 1)), "é" * 3000]
+    started = time.perf_counter()
+    made = own_bpe().encode_batch(texts)
+    assert time.perf_counter() - started < 10
+    lib = library()
+    assert [m.tolist() for m in made] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_bpe_odd_rows(spark):
     assert len(bpe.encode_documents(docs(spark, odd_rows()), queries.vocabulary()).collect()) == 8
     assert bpe.encode_documents(docs(spark, []), queries.vocabulary()).count() == 0

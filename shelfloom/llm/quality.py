@@ -6,11 +6,13 @@ and repeated words), hashed into a fixed number of places. Spark counts, over
 the labelled sample, how many texts of each class have a feature; an indicator
 is scaled by the log ratio of the two smoothed counts. A hinge-loss model on the
 unit-length rows is fitted by dual coordinate descent, and a logistic curve of
-out-of-fold margins turns margins into probabilities.
+out-of-fold margins turns margins into probabilities; a fold's model and scale
+come from the other folds alone.
 
-Fitting uses at most ``SAMPLE_ROWS`` labelled rows, chosen by a hash of the id.
-Only their feature lists and the count table (``PLACES`` rows at most) reach the
-driver. Scoring covers every row and whole texts, in one Arrow pass.
+Fitting uses at most ``SAMPLE_ROWS`` labelled texts of each class, chosen by a
+hash of id and text, and of these as many as have ``SAMPLE_FEATURES`` features in
+all. Only their feature lists (two bytes a feature) reach the driver. Scoring
+covers every row and whole texts, in one Arrow pass.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, materialize, sliced
 
 #: Bound of the labelled rows that the fit uses, for each class.
 SAMPLE_ROWS = 3000
+#: Bound of the sample's features: 64 MB on the driver, whatever the texts' lengths.
+SAMPLE_FEATURES = 1 << 25
 #: Feature places.
 PLACES = 1 << 16
 #: Lengths of the n-grams of the outline.
@@ -102,29 +106,35 @@ class Model:
 
 
 def _descend(rows: list[np.ndarray], signs: np.ndarray, scale: np.ndarray, cost: float = COST, epochs: int = EPOCHS, seed: int = 11) -> np.ndarray:
-    """Dual coordinate descent for the squared hinge loss on unit-length rows of
-    scaled indicators; returns weights on the unscaled, unnormalized indicators."""
-    values = []
-    for places in rows:
-        v = scale[places]
-        norm = np.sqrt(np.square(v).sum())
-        values.append(v / norm if norm > 0 else v)
+    """Dual coordinate descent for the hinge loss on unit-length rows of scaled
+    indicators; returns weights on the unscaled, unnormalized indicators."""
+    lengths = np.array([np.sqrt(np.square(scale[places]).sum()) for places in rows])
     w, alpha = np.zeros(len(scale)), np.zeros(len(rows))
     # each class weighs alike
-    share = np.where(signs > 0, (signs < 0).mean(), (signs > 0).mean()) * 2
-    diagonal = 1.0 / (2 * cost * np.maximum(share, 1e-6))
-    own = np.array([np.square(v).sum() for v in values]) + diagonal
+    most = cost * np.maximum(np.where(signs > 0, (signs < 0).mean(), (signs > 0).mean()) * 2, 1e-6)
     dice = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in dice.permutation(len(rows)):
-            gradient = signs[i] * float(values[i] @ w[rows[i]]) - 1 + diagonal[i] * alpha[i]
-            new = max(0.0, alpha[i] - gradient / own[i])
+            if not lengths[i]:
+                continue
+            values = scale[rows[i]] / lengths[i]
+            gradient = signs[i] * float(values @ w[rows[i]]) - 1
+            new = min(most[i], max(0.0, alpha[i] - gradient))
             if new != alpha[i]:
-                w[rows[i]] += (new - alpha[i]) * signs[i] * values[i]
+                w[rows[i]] += (new - alpha[i]) * signs[i] * values
                 alpha[i] = new
     return w * scale
 
 
+def _log_ratios(rows: list[np.ndarray], good: np.ndarray) -> np.ndarray:
+    """Log ratio of the smoothed shares of good and bad rows that have a feature."""
+    have = np.zeros((2, PLACES))
+    for places, g in zip(rows, good, strict=True):
+        have[int(g)][places] += 1  # a row's places are distinct
+    shares = [(have[i] + SMOOTHING) / (n + 2 * SMOOTHING) for i, n in ((0, (~good).sum()), (1, good.sum()))]
+    return np.log(shares[1]) - np.log(shares[0])
+
+
 def _curve(margins: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     """Logistic curve by Newton steps, with softened targets."""
     p, n = good.sum(), (~good).sum()
@@ -146,40 +156,48 @@ def _featurize(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stamp = np.zeros(PLACES, np.int32)
         for batch in sliced(batches, "text"):
-            found = [np.sort(features(t, stamp)) for t in as_bytes(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(found, pa.list_(pa.int64()))], names=["id", "label", "places"])
+            found = [np.sort(features(t, stamp)).astype("<u2") for t in as_bytes(batch, "text")]
+            packed = pa.array([f.tobytes() for f in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "body", "label")), pa.array(map(len, found), pa.int64()), packed], names=["id", "body", "label", "n", "places"])
+
+    return rows.select("id", "body", "label", "text").mapInArrow(run, "id long, body long, label int, n long, places binary")
+
 
-    return rows.select("id", "label", "text").mapInArrow(run, "id long, label int, places array<long>")
+def _sample(docs: DataFrame, usable: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int) -> DataFrame:
+    """``(id, body, label, n, places)`` of the rows to fit on, bounded as the module says."""
+    one = usable.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).alias("other")).where("label = other").drop("other")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("body", F.xxhash64("text"))
+    # by id first, so that few rows of the documents go on; then by row, as an id may have many
+    first = (F.broadcast(_least(one, sample_rows, "id")), "id")
+    rows = texts.join(*first).select("id", "label", "body").distinct()
+    chosen = materialize(_least(rows, sample_rows, "id", "body"))
+    found = _featurize(texts.join(F.broadcast(chosen), ["id", "body"]))
+    sample = materialize(found.groupBy("id", "body", "label").agg(F.first("n").alias("n"), F.first("places").alias("places")))
+    so_far = F.sum("n").over(Window.orderBy(F.xxhash64("id", "body"), "id", "body").rowsBetween(Window.unboundedPreceding, 0))  # the sample, without its features
+    kept = sample.select("id", "body", "n").withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_FEATURES).select("id", "body")
+    return sample.join(F.broadcast(kept), ["id", "body"])
+
+
+def _least(rows: DataFrame, k: int, *key: str) -> DataFrame:
+    """Of each class the k rows with the least hash of the key."""
+    parts = [rows.where(F.col("label") == value).orderBy(F.xxhash64(*key), *key).limit(k) for value in (0, 1)]
+    return parts[0].unionByName(parts[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on labelled rows for which ``held_out`` (over ``id_col``) is false.
-    Rows without an id or label are not used; if one class is missing, every
+
+    Rows without an id or label, and ids with both labels, are not used; rows
+    that repeat another in id and text count once. If one class is missing, every
     score is the share of good labels (one half without any)."""
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out)
-    ids = None
-    for value in (0, 1):
-        part = (
-            usable.where(F.col(label_col) == value).select(F.col(id_col).cast("long").alias("id"), F.lit(value).alias("label")).distinct()
-            .orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-        )
-        ids = part if ids is None else ids.unionByName(part)
-    # two sample_rows rows at most, whatever the input
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
-    sample = materialize(_featurize(chosen))
-    sums = sample.select("label", F.explode("places").alias("place")).groupBy("place").agg(F.sum("label").alias("good"), F.count("*").alias("all")).toPandas()
-    data = sample.orderBy("id", "label").toPandas()
-    good = data["label"].to_numpy() == 1
+    data = _sample(docs, usable, id_col, text_col, label_col, sample_rows).orderBy("id", "body").select("label", "places").toArrow()
+    good = data.column("label").to_numpy() == 1
     if not good.any() or good.all():
         share = 0.5 if not len(good) else float(good.mean())
         share = min(max(share, 0.01), 0.99)
         return Model(np.zeros(PLACES), np.zeros(PLACES), 0.0, float(np.log(share / (1 - share))))
-    have = np.zeros((2, PLACES))
-    have[1, sums["place"]] = sums["good"]
-    have[0, sums["place"]] = sums["all"] - sums["good"]
-    with_one, with_zero = (have[1] + SMOOTHING) / (good.sum() + 2 * SMOOTHING), (have[0] + SMOOTHING) / ((~good).sum() + 2 * SMOOTHING)
-    scale = np.log(with_one) - np.log(with_zero)
-    rows = [np.asarray(p, np.int64) for p in data["places"]]
+    rows = [np.frombuffer(p.as_buffer(), "<u2") for p in data.column("places")]
     signs = np.where(good, 1.0, -1.0)
     margins = np.zeros(len(rows))
     fold = np.arange(len(rows)) % 3
@@ -187,15 +205,18 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc
         inside = np.flatnonzero(fold != f)
         if len(set(signs[inside])) < 2:
             continue
-        part = Model(_descend([rows[i] for i in inside], signs[inside], scale, epochs=6), scale, 1.0, 0.0)
+        own = [rows[i] for i in inside]
+        scale = _log_ratios(own, good[inside])
+        part = Model(_descend(own, signs[inside], scale, epochs=6), scale, 1.0, 0.0)
         for i in np.flatnonzero(fold == f):
             margins[i] = part.margin(rows[i])
     slope, offset = _curve(margins, good)
+    scale = _log_ratios(rows, good)
     return Model(_descend(rows, signs, scale), scale, slope, offset)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a ``quality_score`` (0 to 1) beside its own columns."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
+    """``docs`` with a score (0 to 1) beside its own columns, under a name that none of them has."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
@@ -205,14 +226,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             plain = column.cast(pa.binary())
             yield pa.array([sent.value.score(features(t.as_py() or b"", stamp)) for t in plain], pa.float64())
 
-    return docs.withColumn("quality_score", scores(F.col(text_col)))
+    return docs.withColumn(score_col, scores(F.col(text_col)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """Per row: id, ``held_out`` (CRC-32 of the id modulo 5 is 0), ``score``,
-    ``predicted`` (1 from ``threshold`` on). Null and empty texts get the score
-    of a text without features; an empty table gives an empty result."""
+    ``predicted`` (1 from ``threshold`` on).
+
+    Null and empty texts get the score of a text without features, texts of any
+    length are read whole. A null id is not held out, but has no label either.
+    Repeated rows give repeated results, an empty table an empty one; other
+    columns are ignored."""
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
     model = fit(docs, labels, held, id_col, text_col, label_col)
-    rows = score(docs.select(F.col(id_col), F.col(text_col)), model, id_col, text_col)
-    return rows.select(id_col, held.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= threshold).cast("int").alias("predicted"))
+    rows = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))
+    return score(rows, model, "text", "score").select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

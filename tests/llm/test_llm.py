@@ -154,6 +154,47 @@ def test_license_altered_notice_and_odd_rows(spark):
     assert licenses.license_labels(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("opening", ["this is free ", "this is free and ", "this is free and unencumbered "])
+def test_license_after_repeated_openings(spark, opening):
+    notice = "this is free and unencumbered software released into the public domain"
+    texts = [(1, opening * 10 + notice[13:]), (2, opening * 10 + notice), (3, notice), (4, notice + " " + opening * 10), (5, "word " * 50 + notice + " word" * 50 + " " + notice), (6, opening * 10)]
+    got = {r.doc_id: r for r in licenses.license_labels(docs(spark, texts)).collect()}
+    assert all(got[i].labels == "unlicense" and got[i].score == 1.0 for i in (2, 3, 4, 5)) and got[1].labels == "unlicense" and got[6].labels == ""
+    spans = licenses.scan_licenses(docs(spark, texts)).where("doc = 5 and label = 'unlicense'").collect()
+    assert sorted((r.start, r.end) for r in spans) == [(50, 61), (111, 122)]
+
+
+def brute_cover(words, notice):
+    """Best share of a notice that lies on neighbouring diagonals, by plain search."""
+    t, k = notice.split(), licenses.K
+    hits = sorted((p - a, a) for a in range(len(t) - k + 1) for p in range(len(words) - k + 1) if words[p : p + k] == t[a : a + k])
+    best = 0.0
+    for low, _ in hits:
+        part = {a + i for d, a in hits if low <= d <= low + len(t) // 2 for i in range(k)}
+        best = max(best, len(part) / len(t))
+    return best
+
+
+def test_license_scores_equal_brute_force(spark):
+    """Exact on any text without drift; a drifting one has at least what half a window holds."""
+    dice = random.Random(8)
+    notices = list(licenses.NOTICES)
+    texts = []
+    for i in range(120):
+        words = dice.choice(notices).split()
+        for _ in range(dice.randrange(0, 4)):
+            at = dice.randrange(len(words))
+            words[at : at + dice.randrange(0, 2)] = dice.choice([[], ["inserted"]])
+        texts.append((i, " ".join(dice.choices(["alpha", "beta", "gamma"], k=9) + words + ["omega"] * 5)))
+    got = {r.doc_id: r for r in licenses.license_labels(docs(spark, texts)).collect()}
+    for i, text in texts:
+        cover = {n: brute_cover(text.split(), n) for n in notices}
+        base = brute_license(text)[4]
+        cover["base"] = float(bool(base))
+        want = {licenses.NOTICES[n] for n, c in cover.items() if n != "base" and c >= licenses.COVER} | set(filter(None, base.split(",")))
+        assert set(filter(None, got[i].labels.split(","))) == want and got[i].score == pytest.approx(max([c for c in cover.values() if c >= licenses.COVER], default=0.0)), text
+
+
 # --- 3
 
 
@@ -278,6 +319,41 @@ def test_classifier_odd_rows(spark):
     assert quality.classify(docs(spark, []), labels).count() == 0
 
 
+def test_classifier_fit_is_bounded(spark, monkeypatch):
+    """An id that many rows share, an id with both labels, and long texts stay within the sample's bounds."""
+    dice = random.Random(3)
+    texts = [(1, "good words " * 5 + str(i)) for i in range(300)] + [(2, "BAD!! " * 9)] * 300 + [(3, "either")] + [(10 + i, "".join(dice.choices("abcdefghijk ", k=400))) for i in range(60)]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 0, 0), (3, 1, 0)] + [(10 + i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    sample = lambda n: quality._sample(docs(spark, texts), labels, "doc_id", "text", "quality", n).collect()
+    rows = sample(50)
+    assert Counter(r.label for r in rows) == {1: 50, 0: 31} and not any(r.id == 3 for r in rows) and sum(r.id == 2 for r in rows) == 1
+    monkeypatch.setattr(quality, "SAMPLE_FEATURES", 2000)
+    assert 0 < sum(r.n for r in sample(50)) <= 2000
+    assert quality.classify(docs(spark, texts), labels).count() == len(texts)
+
+
+def test_descent_reaches_the_hinge_optimum():
+    """Against subgradient steps on the primal."""
+    import numpy as np
+
+    dice = np.random.default_rng(1)
+    rows = [np.sort(dice.choice(12, 5, replace=False)) for _ in range(60)]
+    signs = np.where([1.0 if (r < 6).sum() > 2 else -1.0 for r in rows], [1.0 if (r < 6).sum() > 2 else -1.0 for r in rows], 0)
+    scale = dice.normal(size=12)
+    x = np.zeros((60, 12))
+    for i, r in enumerate(rows):
+        x[i, r] = scale[r] / np.sqrt(np.square(scale[r]).sum())
+    most = np.where(signs > 0, (signs < 0).mean(), (signs > 0).mean()) * 2
+    loss = lambda w: w @ w / 2 + (most * np.maximum(0, 1 - signs * (x @ w))).sum()
+    ours = quality._descend(rows, signs, scale, epochs=300) / scale
+    w, best = np.zeros(12), np.inf
+    for t in range(1, 20_000):
+        g = w - ((most * signs * (signs * (x @ w) < 1)) @ x)
+        w = w - g / (t + 10)
+        best = min(best, loss(w))
+    assert loss(ours) <= best * 1.001
+
+
 # --- 6
 
 

@@ -27,7 +27,8 @@
 ``t`` is exact for sets that fit into a sketch; for larger ones it lies 4.2
 standard deviations below the expected overlap at the threshold. A pair exactly
 at the threshold is missed with a probability of about 3e-5, one at 0.8 with
-less than 1e-7, and a class is mostly held together by several links.
+less than 1e-7, and a class is mostly held together by several links. With
+``exact`` every text is listed by its full set and no sketch drops a pair.
 """
 
 from __future__ import annotations
@@ -177,18 +178,20 @@ def _full_postings(members: DataFrame, texts: DataFrame, size: int, percent: int
     )
 
 
-def _compared(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, size: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are similar enough."""
+def _compared(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, size: int, percent: int, estimate: bool = True) -> DataFrame:
+    """The pairs ``(a, b)`` whose full sets are similar enough. Without ``estimate``
+    only sets that the sketches hold whole are settled by them."""
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     common = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
     whole = (F.col("na") <= k) & (F.col("nb") <= k)
-    exact = common * 100 >= percent * F.size(union)
+    settled = common * 100 >= percent * F.size(union)
+    likely = common >= least_overlap(k, percent) if estimate else F.lit(True)
     hopeful = (
         pairs.join(left, "a").where("na > 0").join(right, "b")
         .where((F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")))
-        .where(F.when(whole & (F.size(F.array_union("sa", "sb")) <= k), exact).otherwise(common >= least_overlap(k, percent)))
+        .where(F.when(whole & (F.size(F.array_union("sa", "sb")) <= k), settled).otherwise(likely))
         .select("a", "b")
     )
 
@@ -215,14 +218,16 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SKETCH_SIZE, size: int = WORDS_PER_SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SKETCH_SIZE, size: int = WORDS_PER_SHINGLE, percent: int = PERCENT, exact: bool = False) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id`` (smallest id
     reachable over links, itself included) and ``kept`` (id = component_id).
 
-    Null text counts as empty. A text without words is linked with nothing. Rows
-    that share an id are one document: what one of them links to, all reach. A
-    row without an id is linked with nothing; its component is null and it is
-    kept. An empty table gives an empty result.
+    Null text counts as empty. A text without words is linked with nothing; one of
+    any length has its full set. Equal texts are one node. Rows that share an id
+    are one document: what one of them links to, all reach. A row without an id is
+    linked with nothing; its component is null and it is kept. Ids are whole
+    numbers. An empty table gives an empty result; other columns are ignored.
+    ``exact`` misses no link, at the price of full sets for all texts.
     """
     rows = materialize(sketch(docs, id_col, text_col, k, size))
     nodes = materialize(
@@ -230,7 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     )
     postings = materialize(_postings(nodes, k, percent))
-    listed = postings.select("node").distinct()
+    listed = nodes.select("node") if exact else postings.select("node").distinct()
     # shuffled once with the long side; only texts that some list mentions go on
     texts = materialize(
         docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
@@ -266,16 +271,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         outside = lists.where("component <> main").select("value", "node", "weight")
         inner = lists.where("component = main").groupBy("value").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot"))
         pivots = inner.unionByName(outside.groupBy("value").agg(typical))
-    if rest[0]:
-        full = materialize(_full_postings(lists.select("node", "component").distinct(), texts, size, percent))
-        other = full.select("value", *(F.col(c).alias(f"{c}2") for c in ("node", "component", "n", "previous", "onward")))
+    if rest[0] or exact:
+        members = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component")) if exact else lists.select("node", "component").distinct()
+        full = materialize(_full_postings(members, texts, size, percent))
+        # linked sets differ in size by the threshold's factor at most, so a list is split by their magnitude
+        magnitude = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
+        full = full.withColumn("magnitude", magnitude)
+        near = F.explode(F.sequence(F.col("magnitude") - 1, F.col("magnitude") + 1)).alias("magnitude")
+        other = full.select("value", near, *(F.col(c).alias(f"{c}2") for c in ("node", "component", "n", "previous", "onward")))
         fresh = (
-            full.join(other, "value")
+            full.join(other, ["value", "magnitude"])
             .where("node < node2 and component <> component2 and not coalesce(previous = previous2, false)")
             .where(F.least("onward", "onward2") * (100 + percent) >= percent * (F.col("n") + F.col("n2")))
             .select(*_pair("node", "node2")).distinct().join(done, ["a", "b"], "left_anti")
         )
-        found = materialize(_compared(materialize(fresh), inside, texts, k, size, percent))
+        found = materialize(_compared(materialize(fresh), inside, texts, k, size, percent, not exact))
         if not found.isEmpty():
             labels = materialize(connected_components(links.unionByName(found)))
 

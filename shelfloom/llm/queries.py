@@ -89,7 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _url_sql() -> str:
-    low = "translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    low = "translate(url_decode(url), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     hits = lambda terms: " + ".join(f"coalesce(regexp_matches({low}, '(^|[^a-z0-9]){t}([^a-z0-9]|$)'), false)::BIGINT" for t in terms)
     fits = [(v, h, p, f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))") for v, h, p in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))]
     rule = " ".join(f"WHEN {c} THEN '{h}{p}'" for _, h, p, c in fits)

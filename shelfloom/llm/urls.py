@@ -1,27 +1,36 @@
 """URL filter: host rules, then a weighted vocabulary.
 
 An Aho-Corasick automaton finds the vocabulary's terms in the lower-cased URL in
-one pass, whatever their number. A hit counts only between boundaries (no ASCII
-letter or digit beside it). One strict term rejects; so do several distinct soft
+one pass, whatever their number; percent-coded characters are decoded first. A
+hit counts only between boundaries (no ASCII letter or digit beside it). One strict term rejects; so do several distinct soft
 ones. A host rule that fits overrides the vocabulary.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import LOWER, UPPER, ascii_lower
 
-#: Terms that reject alone, and terms of which SOFT_HITS distinct ones do.
-STRICT = ("porn", "porno", "xxx", "hentai", "nsfw", "camgirls", "escorts", "viagra", "cialis", "warez", "adult-x", "spam-farm", "ads-track")
+#: Terms that reject alone, and terms of which SOFT_HITS distinct ones do. Defaults; a table of own
+#: terms goes in by ``vocabulary_of``. Soft terms are words that are rare in addresses of ordinary
+#: shops and media, so that two of them mean something.
+STRICT = (
+    "porn", "porno", "pornos", "pornhub", "pornstar", "pornstars", "porntube", "xxx", "xxxvideos", "hentai", "nsfw", "camgirl", "camgirls", "sexcam", "sexcams", "livesex", "escort", "escorts",
+    "callgirl", "callgirls", "milf", "milfs", "gangbang", "blowjob", "handjob", "creampie", "bukkake", "upskirt", "fuck", "fucking", "xvideos", "xhamster", "redtube", "youporn", "viagra", "cialis",
+    "levitra", "kamagra", "warez", "keygen", "keygens", "nulled", "crackz", "serialz", "adult-x", "spam-farm", "ads-track", "link-farm", "linkfarm", "doorway-page", "payday-loans", "replica-watches",
+)
 SOFT = (
-    "adult", "ads", "bet", "bets", "bonus", "casino", "cheap", "crack", "dating", "farm", "free", "gamble", "jackpot", "keygen", "lottery",
-    "loan", "nude", "pharma", "pills", "poker", "sex", "sexy", "slots", "spam", "torrent", "track", "win", "xvideo",
+    "adult", "adults", "amateur", "anal", "babes", "bdsm", "bigtits", "boobs", "busty", "casino", "casinos", "cumshot", "dating", "dildo", "erotic", "erotica", "erotik", "fetish", "gamble", "gambling",
+    "hardcore", "hookup", "hookups", "horny", "jackpot", "jackpots", "kinky", "lesbian", "lingerie", "lolita", "lottery", "loan", "loans", "naked", "naughty", "nude", "nudes", "nudist", "orgasm",
+    "orgy", "payday", "pharma", "pills", "poker", "pussy", "roulette", "seduce", "sex", "sexe", "sexo", "sexshop", "sexy", "shemale", "slots", "slut", "sluts", "softcore", "spam", "strip", "striptease",
+    "swinger", "swingers", "tits", "torrent", "torrents", "voyeur", "webcam", "webcams", "whore", "xvideo",
 )
 SOFT_HITS = 2
 #: (verdict, host, path)
@@ -29,6 +38,17 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
+_LOW = str.maketrans(UPPER, LOWER)
+
+
+def vocabulary_of(terms: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(strict, soft) terms from a table ``(term, weight)`` of a vocabulary: weight
+    1 and more is strict, less is soft; null or empty terms are left out. The
+    driver holds the vocabulary, which is a parameter and no data."""
+    rows = terms.where("term <> '' and weight > 0").select(ascii_lower(F.col("term")).alias("term"), "weight").distinct().orderBy("term").collect()
+    return tuple(r.term for r in rows if r.weight >= 1), tuple(r.term for r in rows if r.weight < 1)
+
+
 def automaton(strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for term in soft:
@@ -71,19 +91,21 @@ def rule_column(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT, soft_hits: int = SOFT_HITS) -> DataFrame:
     """Per row: id, host, path, rule, verdict, ``strict_hits``, ``soft_hits``.
 
-    A null or empty URL has no hits and is allowed. Repeated rows give repeated
-    results; an empty table gives an empty one; other columns are ignored.
+    A null or empty URL has no hits and is allowed; one of any length is read
+    whole. Of rules that fit and are equally long the later in ``rules`` wins.
+    Null ids stay null; repeated rows give repeated results; an empty table gives
+    an empty one; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton(strict, soft)
         for batch in batches:
-            hits = [term_hits(u or "", found) for u in batch.column("low").to_pylist()]
+            hits = [term_hits(unquote(u or "").translate(_LOW), found) for u in batch.column("raw").to_pylist()]
             strict_n, soft_n = (pa.array([h[i] for h in hits], pa.int64()) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "host", "path", "rule", "ruled")), strict_n, soft_n], names=["id", "host", "path", "rule", "ruled", "strict_hits", "soft_hits"])
 
     host, path = host_and_path(F.col("url"))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", host.alias("host"), path.alias("path"), ascii_lower(F.col("url")).alias("low"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", host.alias("host"), path.alias("path"), F.col("url").alias("raw"))
     rule, ruled = rule_column(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "ruled": ruled})
     scored = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, host string, path string, rule string, ruled string, strict_hits long, soft_hits long")

@@ -83,8 +83,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``base_failed``: fewer than 50 words, or more than half of the words in
     repeated 3-word windows. ``kept`` is false then, else the bands' verdict.
-    Null text counts as empty (fails the base); repeated rows give repeated
-    results; an empty table gives an empty one.
+    Null and empty text fail the base; texts of any length are judged whole. Null
+    ids stay null; repeated rows give repeated results; an empty table gives an
+    empty one; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -128,6 +128,12 @@ def test_components(spark):
     assert got == {i: root(i) for a, b in edges if a != b for i in (a, b)}
 
 
+@pytest.mark.parametrize("seed", [3, 11])
+def test_near_duplicates_exact(spark, seed):
+    texts = planted(seed)
+    assert near(spark, texts, exact=True)[0] == brute_components(texts)
+
+
 # --- 2
 
 
@@ -199,7 +205,7 @@ def test_license_scores_equal_brute_force(spark):
 
 
 def test_urls(spark):
-    rows = [(1, "HTTP://A.Example.NET/en/x"), (2, "http://example.net/fr/"), (3, "http://example.com/de/a?b"), (4, "x.org/fr/"), (5, "http://b.org/fr/casino-win"), (6, None), (7, "http://x.org/my-casino/win"),
+    rows = [(1, "HTTP://A.Example.NET/en/x"), (2, "http://example.net/fr/"), (3, "http://example.com/de/a?b"), (4, "x.org/fr/"), (5, "http://b.org/fr/casino-win"), (6, None), (7, "http://x.org/my-casino/jackpot"),
             (8, "http://notexample.com/de/"), (9, "http://x.com#/de/"), (10, "http://x.com/adult-x"), (11, "http://x.com/cheapest/pillsbury"), (12, "http://"), (13, "http://x.net"), (13, "http://x.net")]
     out = [tuple(r)[:5] for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()]
     assert len(out) == 14
@@ -212,6 +218,15 @@ def test_urls(spark):
     assert got[12] == ("", "", None, "allow") and got[13] == ("x.net", "", None, "allow")
 
 
+def test_url_terms_are_decoded_and_given(spark):
+    rows = [(1, "http://a.com/p%6Frn/x"), (2, "http://a.com/%20PORN%2f"), (3, "http://a.com/100%"), (4, "http://a.com/acme/widgets"), (5, "http://shop.com/free-ads/win-a-bet")]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urls.filter_urls(frame).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
+    strict, soft = urls.vocabulary_of(spark.createDataFrame([("Acme", 0.5), ("widgets", 0.5), ("100", 2.0), (None, 1.0), ("", 1.0)], "term string, weight double"))
+    assert (strict, soft) == (("100",), ("acme", "widgets"))
+    assert {r.page_id: r.verdict for r in urls.filter_urls(frame, strict=strict, soft=soft).collect()} == {1: "allow", 2: "allow", 3: "block", 4: "block", 5: "allow"}
+
+
 # --- 4
 
 
@@ -720,6 +735,22 @@ def test_rules_equal_brute_force(spark):
     assert not any(r.kept and r.base_failed for r in out)
 
 
+def brute_kept(text):
+    import zstandard
+
+    data = (text or "").encode()
+    ratio = lambda b: len(b) / len(zstandard.ZstdCompressor(level=3).compress(b))
+    limits = lambda n: next((low, high) for top, low, high in rules.BANDS if top is None or n <= top)
+    parts = [data] + [data[a : a + 4096] if a + 4096 <= len(data) else data[max(0, len(data) - 4096) :] for a in range(0, len(data), 4096)]
+    return not brute_rules(text)[5] and all(limits(len(p))[0] <= ratio(p) <= limits(len(p))[1] for p in parts)
+
+
+def test_rules_kept_equals_brute_force(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    out = queries.op10_quality_rules(spark, "/root/testdata/sf0.01").collect()
+    assert {r.doc_id: r.kept for r in out} == {i: brute_kept(t) for i, t in texts.items()}
+
+
 def test_compression_bands(spark):
     dice = random.Random(4)
     words = ["".join(dice.choices("etaoinshrdlu", k=dice.randrange(2, 9))) for _ in range(400)]
@@ -745,6 +776,45 @@ def test_one_bad_stretch_rejects_wherever_it_lies(spark, prose_bytes, bad_bytes)
     assert all(r.chunks == -(-len(dict(texts)[i]) // rules.CHUNK_BYTES) for i, r in out.items())
 
 
+# --- all
+
+EXTRA = "id value key n text_sha256 kept kept_id keep_id group_size copy copies taken taken_id size source_size target shard quality_score score label body same sketch n_shingles component_id h d k w doc words".split()
+
+
+def with_extra(frame):
+    """Columns whose names the operators use inside, or return."""
+    from pyspark.sql import functions as F
+
+    return frame.withColumns({c: F.lit(f"own {c}") for c in EXTRA if c not in frame.columns})
+
+
+OPERATORS = {
+    "op1": (near_dedup.near_duplicates, {}), "op2": (licenses.license_labels, {}), "op4": (lambda d: bpe.encode_documents(d, queries.vocabulary()), {}), "op6": (exact_dedup.exact_duplicates, {}),
+    "op7": (mixing.mix, {}), "op10": (rules.quality_rules, {}),
+}
+
+
+@pytest.mark.parametrize("name", [*OPERATORS, "op5"])
+def test_documents_with_clashing_columns(spark, name):
+    frame = docs(spark, odd_rows())
+    if name == "op5":
+        labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+        plan = lambda d: quality.classify(d, with_extra(labels) if d is not frame else labels)
+    else:
+        plan = OPERATORS[name][0]
+    assert sorted(map(str, plan(with_extra(frame)).collect())) == sorted(map(str, plan(frame).collect()))
+    assert len(plan(frame).collect()) == 8 and plan(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("plan", [urls.filter_urls, html_text.extract_text, warc.round_trip])
+def test_pages_with_clashing_columns(spark, plan):
+    rows = [(1, "http://a.net/", "<p>x"), (1, "http://a.net/", "<p>x"), (None, None, None), (2, "", ""), (3, "u" * 70_000, "y" * 2_000_000)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    extra = with_extra(frame).withColumnRenamed("text_sha256", "record").withColumnRenamed("size", "first")
+    assert sorted(map(str, plan(extra).collect())) == sorted(map(str, plan(frame).collect()))
+    assert plan(frame).count() == 5 and plan(frame.limit(0)).count() == 0
+
+
 # --- pipeline
 
 

@@ -842,6 +842,18 @@ def test_pipeline(spark, tmp_path):
     assert all(r.ids == lib.encode(mixed[r.doc_id], add_special_tokens=False).ids for r in frame.collect())
 
 
+@pytest.mark.parametrize("number", range(4))
+def test_pipeline_stages_with_clashing_columns(spark, number):
+    import corpus_pipeline as p
+
+    frame, stage = docs(spark, odd_rows()), p.STAGES[number][1]
+    plain, more = stage(spark, frame, SF), with_extra(frame)
+    got = stage(spark, more, SF)
+    assert got.columns == more.columns
+    assert sorted(map(str, got.select(*frame.columns).collect())) == sorted(map(str, plain.collect()))
+    assert all(r[c] == f"own {c}" for r in got.collect() for c in EXTRA if c not in frame.columns)
+
+
 def test_pipeline_stages_odd_rows(spark):
     import corpus_pipeline as p
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfloom.sources.tables import written
+
 
 def match(edges: DataFrame, subject: str | None = None, predicate: str | None = None, obj: str | None = None, least: float = 0.0) -> DataFrame:
     out = edges.where(F.col("confidence") >= least)
@@ -14,10 +16,11 @@ def match(edges: DataFrame, subject: str | None = None, predicate: str | None =
     return out
 
 
-def pattern(edges: DataFrame, triples: list[tuple[str, str, str]], select: list[str], filters: list[str] = ()) -> DataFrame:
+def pattern(edges: DataFrame, triples: list[tuple[str, str, str]], select: list[str], filters: list[str] = (), cross: bool = False) -> DataFrame:
     """Basic graph pattern: terms that start with ``?`` are variables; triples
     join on the variables they share (an empty match empties the result), bag
-    semantics. Filters are SQL conditions over variable names."""
+    semantics. Filters are SQL conditions over variable names. Triples that share no
+    variable with those before them are refused unless ``cross`` is set."""
     bound = None
     for s, p, o in triples:
         part = edges
@@ -32,6 +35,8 @@ def pattern(edges: DataFrame, triples: list[tuple[str, str, str]], select: list[
                 part = part.where(F.col(column) == term)
         part = part.select(*(F.col(c).alias(v) for v, c in names.items()))
         shared = [v for v in names if bound is not None and v in bound.columns]
+        if bound is not None and not shared and not cross:
+            raise ValueError(f"no variable in common with the triples before: {(s, p, o)}")
         bound = part if bound is None else (bound.join(part, shared) if shared else bound.crossJoin(part))
     for condition in filters:
         bound = bound.where(condition)
@@ -44,29 +49,33 @@ def neighbours(edges: DataFrame, entity: str) -> DataFrame:
 
 
 def levels(edges: DataFrame, start: str, depth: int = 3) -> DataFrame:
-    """Breadth-first levels in both directions: (entity, depth), least depth."""
-    both = edges.select("subject", "object").union(edges.select("object", "subject")).distinct()
-    seen = edges.sparkSession.createDataFrame([(start, 0)], "entity string, depth int")
-    frontier = seen
+    """Breadth-first levels in both directions: (entity, depth), least depth. The
+    edges and every level are written, so a level costs one join and no more."""
+    both = written(edges.select("subject", "object").union(edges.select("object", "subject")).distinct())
+    frontier = written(edges.sparkSession.createDataFrame([(start, 0)], "entity string, depth int"))
+    seen = frontier
     for d in range(1, depth + 1):
         found = both.join(frontier, both.subject == frontier.entity).select(F.col("object").alias("entity")).distinct()
-        frontier = found.join(seen, "entity", "left_anti").withColumn("depth", F.lit(d))
+        frontier = written(found.join(seen, "entity", "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.union(frontier)
     return seen
 
 
 def shortest_paths(edges: DataFrame, start: str, end: str, depth: int = 4) -> DataFrame:
-    """Outgoing path with the fewest edges (first in text order among equals), null if none within ``depth``."""
-    session = edges.sparkSession
-    paths = session.createDataFrame([([start], start)], "path array<string>, at string")
-    out = paths.where(F.col("at") == end).select("path")
-    steps = edges.select("subject", "object").distinct()
-    for _ in range(depth):
-        paths = paths.join(steps, paths["at"] == steps.subject).where(~F.array_contains("path", F.col("object")))
-        # one path per entity is enough for a shortest path
-        paths = paths.select(F.array_append("path", F.col("object")).alias("path"), F.col("object").alias("at")).groupBy("at").agg(F.min("path").alias("path")).select("path", "at")
-        out = out.union(paths.where(F.col("at") == end).select("path"))
-    return out.orderBy(F.size("path"), "path").limit(1).select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("hops"))
+    """Outgoing path with the fewest edges (first in text order among equals), null
+    if none within ``depth``. Stops at the first depth that reaches the end."""
+    steps = written(edges.select("subject", "object").distinct())
+    paths = edges.sparkSession.createDataFrame([([start], start)], "path array<string>, at string")
+    for d in range(depth + 1):
+        if d:
+            longer = paths.join(steps, paths["at"] == steps.subject).where(~F.array_contains("path", F.col("object")))
+            # one path per entity is enough for a shortest path
+            longer = longer.select(F.array_append("path", F.col("object")).alias("path"), F.col("object").alias("at"))
+            paths = written(longer.groupBy("at").agg(F.min("path").alias("path")).select("path", "at"))
+        out = paths.where(F.col("at") == end)
+        if not out.isEmpty():
+            break
+    return out.orderBy("path").limit(1).select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("hops"))
 
 
 def degrees(edges: DataFrame, k: int | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfloom.sources.tables import written
+
 K1, B = 1.5, 0.75
 RRF_K = 60
 
@@ -33,8 +35,8 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
     """(query, doc, score, rank) of the k best documents for rows (query, text)."""
-    index = postings(docs)
-    corpus = F.broadcast(docs.select(F.size(tokens(F.col("text"))).alias("n")).where("n > 0").agg(F.count("*").alias("docs"), F.avg("n").alias("avg_length")))
+    index = written(postings(docs))  # texts are cut once; all figures of the corpus come from here
+    corpus = F.broadcast(index.agg(F.count_distinct("doc").alias("docs"), F.sum("tf").alias("tokens")).select("docs", (F.col("tokens") / F.col("docs")).alias("avg_length")))
     asked = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     # only the asked terms' postings leave the scan side
     hits = index.join(asked.select("term").distinct(), "term", "left_semi")
@@ -51,13 +53,37 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """Exact cosine top-k of a stated, bounded set of query vectors (broadcast)
-    against all rows: (query, vec_id, similarity, rank)."""
-    pairs = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("query"))
-    scored = pairs.select("query", "vec_id", cosine(F.col("embedding"), F.col("query_embedding")).alias("similarity"))
+#: Query vectors of one block; a block is broadcast.
+QUERY_BLOCK = 4096
+
+
+def _unit(name: str) -> Column:
+    """The vector at length 1, null for a vector of zeros."""
+    v = F.transform(F.col(name), lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+    return F.when(norm > 0, F.transform(v, lambda x: x / norm))
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
+    """Exact cosine top-k of a stated set of query vectors against all rows:
+    (query, vec_id, similarity, rank). Queries go in blocks of at most ``block``
+    rows, each broadcast against one pass over the vectors; norms are taken once a row."""
+    asked = written(queries.select("query", _unit("query_embedding").alias("q")).dropDuplicates(["query"]))
+    rows = vectors.select("vec_id", _unit("embedding").alias("v"))
+    parts, most = 1, asked.count()
+    while most > block:  # hash ranges of the id, halved until all fit
+        parts *= 2
+        part = F.pmod(F.xxhash64("query"), F.lit(parts))
+        most = asked.groupBy(part).count().agg(F.max("count")).first()[0]
+    blocks = [asked.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == p) for p in range(parts)]
+    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 6)), "vec_id"))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k)
+    out = None
+    for part in blocks:
+        scored = rows.join(F.broadcast(part), F.col("vec_id") != F.col("query")).select("query", "vec_id", dot.alias("similarity"))
+        best = scored.withColumn("rank", place).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def rrf(lists: list[DataFrame], keys: list[str], k: int = RRF_K) -> DataFrame:

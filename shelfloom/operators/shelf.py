@@ -28,6 +28,14 @@ def known_brand(brand: str = "brand") -> Column:
     return F.col(brand).isNotNull() & (F.col(brand) != "") & (F.lower(brand) != "unknown")
 
 
+#: Averages of doubles are taken over whole multiples of 1 / GRAIN, so they don't depend on the order of rows.
+GRAIN = 1e6
+
+
+def exact_sum(c: Column) -> Column:
+    return F.sum(F.floor(c * GRAIN + 0.5).cast("long"))
+
+
 def share_of_shelf(shelf: DataFrame, top_n: int = 100, keys: list[str] = GROUP) -> DataFrame:
     """Share of each brand among the Top-N products; unknown brands stay in the denominator."""
     counts = shelf.where(top(n=top_n)).groupBy(*keys, "brand").agg(F.count("*").alias("products"))
@@ -52,12 +60,12 @@ def brand_metrics(shelf: DataFrame, keys: list[str] = GROUP) -> DataFrame:
     brand in one aggregation; market averages come from a window over its rows."""
     price, rating = F.when(F.col("price") > 0, F.col("price")), F.when(F.col("rating") > 0, F.col("rating"))
     per = shelf.groupBy(*keys, "brand").agg(
-        F.count("*").alias("products"), F.avg("rank").alias("avg_rank"), F.min("rank").alias("best_rank"), F.sum(price).alias("ps"), F.count(price).alias("pc"),
-        F.sum(rating).alias("rs"), F.count(rating).alias("rc"), F.count_if(top(n=10)).alias("top10"), F.count_if(top(n=20)).alias("top20"),
+        F.count("*").alias("products"), F.avg("rank").alias("avg_rank"), F.min("rank").alias("best_rank"), exact_sum(price).alias("ps"), F.count(price).alias("pc"),
+        exact_sum(rating).alias("rs"), F.count(rating).alias("rc"), F.count_if(top(n=10)).alias("top10"), F.count_if(top(n=20)).alias("top20"),
     )
     w = Window.partitionBy(*keys)
-    share = lambda s, c: F.when(F.col(c) > 0, F.col(s) / F.col(c))
-    market = lambda s, c: F.sum(s).over(w) / F.sum(c).over(w)
+    share = lambda s, c: F.when(F.col(c) > 0, F.col(s) / F.col(c) / GRAIN)
+    market = lambda s, c: F.sum(s).over(w) / F.sum(c).over(w) / GRAIN
     return per.select(
         *keys, "brand", "products", (F.col("products") / F.sum("products").over(w)).alias("sos"), "avg_rank", "best_rank", "top10", "top20",
         (100 * share("ps", "pc") / market("ps", "pc")).alias("cpi"), (share("rs", "rc") - market("rs", "rc")).alias("rating_gap"),
@@ -112,7 +120,7 @@ def days_in_top(shelf: DataFrame, tiers: tuple[int, ...] = TIERS) -> DataFrame:
 
 def market_metrics(shelf: DataFrame) -> DataFrame:
     """Concentration, leader with its share, average price and rating, rating spread."""
-    per = shelf.groupBy(*GROUP, "brand").agg(F.count("*").alias("c"), F.sum("price").alias("p"), F.sum("rating").alias("r"), F.avg("rating").alias("ar"))
+    per = shelf.groupBy(*GROUP, "brand").agg(F.count("*").alias("c"), exact_sum(F.col("price")).alias("p"), exact_sum(F.col("rating")).alias("r"))
     total = F.sum("c").over(Window.partitionBy(*GROUP))
     s = F.col("c") / F.col("n")
     order = Window.partitionBy(*GROUP).orderBy(F.desc("c"), "brand")
@@ -120,7 +128,7 @@ def market_metrics(shelf: DataFrame) -> DataFrame:
         per.withColumn("n", total).withColumn("place", F.row_number().over(order)).groupBy(*GROUP)
         .agg(
             F.sum(s * s).alias("hhi"), F.max(F.when(F.col("place") == 1, F.col("brand"))).alias("top_brand"), F.max(F.when(F.col("place") == 1, s)).alias("top_share"),
-            (F.sum("p") / F.sum("c")).alias("avg_price"), (F.sum("r") / F.sum("c")).alias("avg_rating"), (F.max("ar") - F.min("ar")).alias("rating_spread"),
+            (F.sum("p") / F.sum("c") / GRAIN).alias("avg_price"), (F.sum("r") / F.sum("c") / GRAIN).alias("avg_rating"), ((F.max(F.col("r") / F.col("c")) - F.min(F.col("r") / F.col("c"))) / GRAIN).alias("rating_spread"),
         )
     )
 

@@ -45,15 +45,15 @@ add("hhi_by_category", V.shelf, S.concentration, HHI.format(k="snapshot_date, ca
 add("hhi_points_daily", V.shelf, lambda s: S.concentration(s, ["snapshot_date"], 10000.0, "both"), HHI.format(k="snapshot_date", m=10000), "hhi")
 add("hhi_kept_unknown", V.shelf, lambda s: S.concentration(s, ["category_id"], 1.0, "keep"), HHI.format(k="category_id", m=1), "hhi")
 add("brand_metrics", V.shelf, S.brand_metrics, """SELECT snapshot_date, category_id, brand, count(*) AS products, count(*)::DOUBLE / max(n) AS sos, avg(rank) AS avg_rank, min(rank) AS best_rank,
-  count(*) FILTER (rank <= 10) AS top10, count(*) FILTER (rank <= 20) AS top20, 100 * avg(price) FILTER (price > 0) / max(mp) AS cpi, avg(rating) FILTER (rating > 0) - max(mr) AS rating_gap
-  FROM (SELECT *, count(*) OVER w AS n, avg(price) FILTER (price > 0) OVER w AS mp, avg(rating) FILTER (rating > 0) OVER w AS mr FROM shelf WINDOW w AS (PARTITION BY snapshot_date, category_id)) GROUP BY 1, 2, 3""", "sos avg_rank cpi rating_gap")
-add("churn_rate", V.shelf, S.churn, """, d AS (SELECT *, lag(snapshot_date) OVER (PARTITION BY category_id ORDER BY snapshot_date) AS before FROM (SELECT DISTINCT snapshot_date, category_id FROM shelf)),
+  count(*) FILTER (rank <= 10) AS top10, count(*) FILTER (rank <= 20) AS top20, 100 * (sum(pq)::DOUBLE / count(pq) / 1e6) / (max(mp)::DOUBLE / max(mpc) / 1e6) AS cpi, sum(rq)::DOUBLE / count(rq) / 1e6 - max(mr)::DOUBLE / max(mrc) / 1e6 AS rating_gap
+  FROM (SELECT *, count(*) OVER w AS n, sum(pq) OVER w AS mp, count(pq) OVER w AS mpc, sum(rq) OVER w AS mr, count(rq) OVER w AS mrc FROM (SELECT *, CASE WHEN price > 0 THEN floor(price * 1e6 + 0.5)::BIGINT END AS pq, CASE WHEN rating > 0 THEN floor(rating * 1e6 + 0.5)::BIGINT END AS rq FROM shelf) WINDOW w AS (PARTITION BY snapshot_date, category_id)) GROUP BY 1, 2, 3""", "sos avg_rank cpi rating_gap")
+CHURN = """WITH d AS (SELECT *, lag(snapshot_date) OVER (PARTITION BY category_id ORDER BY snapshot_date) AS before FROM (SELECT DISTINCT snapshot_date, category_id FROM shelf)),
   e AS (SELECT d.snapshot_date, d.category_id, d.before, s.asin, 1 AS t, 0 AS y FROM d JOIN shelf s USING (snapshot_date, category_id)
         UNION ALL SELECT d.snapshot_date, d.category_id, d.before, s.asin, 0, 1 FROM d JOIN shelf s ON s.category_id = d.category_id AND s.snapshot_date = d.before),
   f AS (SELECT snapshot_date, category_id, asin, max(t) AS t, max(y) AS y, any_value(before) AS before FROM e GROUP BY 1, 2, 3)
   SELECT snapshot_date, category_id, count(*) FILTER (y = 0 AND before IS NOT NULL) AS entered, count(*) FILTER (t = 0) AS "left",
-  (count(*) FILTER (y = 0 AND before IS NOT NULL) + count(*) FILTER (t = 0)) / 200.0::DOUBLE AS churn_rate FROM f GROUP BY 1, 2""".lstrip(", "), "churn_rate")
-SQL["churn_rate"] = SQL["churn_rate"].replace("FROM (d AS", "FROM (WITH d AS")
+  (count(*) FILTER (y = 0 AND before IS NOT NULL) + count(*) FILTER (t = 0)) / 200.0::DOUBLE AS churn_rate FROM f GROUP BY 1, 2"""
+add("churn_rate", V.shelf, S.churn, CHURN, "churn_rate")
 HIST = """SELECT snapshot_date, category_id, asin, brand, rank, price, rating, rank - lag(rank) OVER h AS rank_change, rank - lag(rank, 7) OVER h AS rank_change_7,
   coalesce(abs(rank - lag(rank) OVER h) >= 5, false) AS rank_shock, CASE WHEN count(*) OVER l >= 2 THEN stddev_pop(rank) OVER l END AS volatility,
   CASE WHEN count(*) OVER l >= 2 THEN regr_slope(CASE WHEN rating > 0 THEN rating END, idx) OVER l END AS rating_trend,
@@ -65,9 +65,9 @@ for name, keep in (("rank_change", "rank_change"), ("rank_change_7", "rank_chang
 add("rank_volatility", V.shelf, lambda s: S.product_history(s).select("snapshot_date", "category_id", "asin", "volatility"), f"SELECT snapshot_date, category_id, asin, volatility FROM ({HIST})", "volatility")
 add("rating_trend", V.shelf, lambda s: S.product_history(s.where("rating > 0")).select("snapshot_date", "category_id", "asin", "rating_trend"), f"SELECT snapshot_date, category_id, asin, rating_trend FROM ({HIST.replace('FROM shelf', 'FROM shelf WHERE rating > 0')})", "rating_trend")
 add("days_in_top_n", V.shelf, S.days_in_top, "SELECT category_id, asin, " + ", ".join(f"count(*) FILTER (rank <= {t}) AS top{t}" for t in S.TIERS) + ", min(rank) AS best_rank FROM shelf GROUP BY 1, 2")
-add("market_metrics", V.shelf, S.market_metrics, """SELECT snapshot_date, category_id, sum((c / n) * (c / n)) AS hhi, max(brand) FILTER (place = 1) AS top_brand, max(c / n) FILTER (place = 1) AS top_share, sum(p) / sum(c) AS avg_price, sum(r) / sum(c) AS avg_rating, max(ar) - min(ar) AS rating_spread
+add("market_metrics", V.shelf, S.market_metrics, """SELECT snapshot_date, category_id, sum((c / n) * (c / n)) AS hhi, max(brand) FILTER (place = 1) AS top_brand, max(c / n) FILTER (place = 1) AS top_share, sum(p)::DOUBLE / sum(c) / 1e6 AS avg_price, sum(r)::DOUBLE / sum(c) / 1e6 AS avg_rating, (max(r / c) - min(r / c)) / 1e6 AS rating_spread
   FROM (SELECT *, sum(c) OVER (PARTITION BY snapshot_date, category_id) AS n, row_number() OVER (PARTITION BY snapshot_date, category_id ORDER BY c DESC, brand) AS place
-        FROM (SELECT snapshot_date, category_id, brand, count(*)::DOUBLE AS c, sum(price) AS p, sum(rating) AS r, avg(rating) AS ar FROM shelf GROUP BY 1, 2, 3)) GROUP BY 1, 2""", "hhi top_share avg_price avg_rating rating_spread")
+        FROM (SELECT snapshot_date, category_id, brand, count(*)::DOUBLE AS c, sum(floor(price * 1e6 + 0.5)::BIGINT)::DOUBLE AS p, sum(floor(rating * 1e6 + 0.5)::BIGINT)::DOUBLE AS r FROM shelf GROUP BY 1, 2, 3)) GROUP BY 1, 2""", "hhi top_share avg_price avg_rating rating_spread")
 ALERTS = f"""SELECT snapshot_date, category_id, asin, 'rank_drop' AS alert, CASE WHEN rank_change >= 10 THEN 'critical' ELSE 'warning' END AS severity FROM ({HIST}) WHERE rank_change >= 5
   UNION ALL SELECT snapshot_date, category_id, asin, 'top10_entry', 'info' FROM ({HIST}) WHERE rank <= 10 AND rank - rank_change > 10
   UNION ALL SELECT snapshot_date, category_id, asin, 'rank_shock', 'warning' FROM ({HIST}) WHERE rank_shock"""
@@ -100,8 +100,9 @@ add("product_view", V.shelf, lambda s: P.product_view(S.product_history(s)), f""
 add("product_share", V.shelf, P.product_share, "SELECT category_id, product, weight::BIGINT AS weight, weight / sum(weight) OVER (PARTITION BY category_id) AS share FROM (SELECT category_id, CASE WHEN rank <= 5 THEN asin::VARCHAR ELSE 'Others' END AS product, sum(greatest(1, 100 - rank))::DOUBLE AS weight FROM shelf WHERE snapshot_date = (SELECT max(snapshot_date) FROM shelf) GROUP BY 1, 2)", "share")
 add("brand_matrix", V.shelf, P.brand_matrix, "SELECT brand, count(*) AS products, avg(rank) AS avg_rank, avg(rating) AS avg_rating FROM shelf GROUP BY 1 HAVING count(*) >= 2 ORDER BY products DESC, brand LIMIT 10", "avg_rank avg_rating")
 add("recent_sos_trend", V.shelf, lambda s: P.recent_trend(s, TARGET), f"SELECT * FROM ({DAILY}) ORDER BY snapshot_date DESC LIMIT 14", "sos")
-MONTHS = ["199701", "199702", "199703"]
-add("rank_series_pivot", V.shelf, P.rank_series, "SELECT asin, " + ", ".join(f"min(rank) FILTER (strftime(snapshot_date, '%Y%m') = '{m}') AS r{m}" for m in MONTHS) + " FROM shelf WHERE snapshot_date BETWEEN DATE '1997-01-01' AND DATE '1997-03-01' GROUP BY 1")
+#: The months of the supplied tables.
+MONTHS = [f"{y}{m:02d}" for y in range(1995, 2002) for m in range(1, 13)][:83]
+add("rank_series_pivot", V.shelf, P.rank_series, "SELECT asin, " + ", ".join(f"min(rank) FILTER (strftime(snapshot_date, '%Y%m') = '{m}') AS r{m}" for m in MONTHS) + " FROM shelf GROUP BY 1")
 add("discount_trend", V.shelf, P.discount_trend, "SELECT snapshot_date, category_id, avg(discount_percent) AS avg_discount, min_by(discount_percent, rank) AS best_product_discount, max(discount_percent) AS max_discount FROM shelf GROUP BY 1, 2", "avg_discount best_product_discount max_discount")
 add("growth_types", V.shelf, P.growth_types, "SELECT category_id, CASE WHEN discount_percent > 5 THEN 'promotion' ELSE 'organic' END AS growth, count(*) AS rows FROM shelf GROUP BY 1, 2")
 add("duplicate_groups", V.shelf, lambda s: P.duplicate_groups(s.union(s.where("rank <= 3"))), "SELECT snapshot_date, asin, category_id, 2::BIGINT AS n FROM shelf WHERE rank <= 3")

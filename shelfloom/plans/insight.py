@@ -14,6 +14,8 @@ from shelfloom.operators import shelf as S
 from shelfloom.sources import views as V
 from shelfloom.streaming import monitor as M
 
+from . import analytics as A
+
 QUERIES: dict = {}
 SQL: dict = {}
 
@@ -32,9 +34,22 @@ def on(table):
 
 # --- rules
 
-CONTEXT_SQL = """b AS (SELECT snapshot_date, category_id, brand, count(*)::DOUBLE / max(n) AS sos, avg(rank) AS avg_rank, min(rank) AS current_rank, 100 * avg(price) FILTER (price > 0) / max(mp) AS cpi, avg(rating) FILTER (rating > 0) - max(mr) AS rating_gap
-  FROM (SELECT *, count(*) OVER w AS n, avg(price) FILTER (price > 0) OVER w AS mp, avg(rating) FILTER (rating > 0) OVER w AS mr FROM shelf WINDOW w AS (PARTITION BY snapshot_date, category_id)) GROUP BY 1, 2, 3),
-ctx AS (SELECT *, sum(sos * sos) OVER g AS hhi, count(*) OVER g - 1 AS competitors, sos - lag(sos) OVER (PARTITION BY category_id, brand ORDER BY snapshot_date) AS sos_change, brand = 'Brand#23' AS is_target FROM b WINDOW g AS (PARTITION BY snapshot_date, category_id))"""
+CONTEXT_SQL = """quant AS (SELECT *, CASE WHEN price > 0 THEN floor(price * 1e6 + 0.5)::BIGINT END AS pq, CASE WHEN rating > 0 THEN floor(rating * 1e6 + 0.5)::BIGINT END AS rq FROM shelf),
+b AS (SELECT snapshot_date, category_id, brand, count(*)::DOUBLE / max(n) AS sos, avg(rank) AS avg_rank, min(rank) AS current_rank, 100 * (sum(pq)::DOUBLE / count(pq) / 1e6) / (max(mp)::DOUBLE / max(mpc) / 1e6) AS cpi,
+    sum(rq)::DOUBLE / count(rq) / 1e6 - max(mr)::DOUBLE / max(mrc) / 1e6 AS rating_gap
+  FROM (SELECT *, count(*) OVER w AS n, sum(pq) OVER w AS mp, count(pq) OVER w AS mpc, sum(rq) OVER w AS mr, count(rq) OVER w AS mrc FROM quant WINDOW w AS (PARTITION BY snapshot_date, category_id)) GROUP BY 1, 2, 3),
+ctx0 AS (SELECT *, sum(sos * sos) OVER g AS hhi, count(*) OVER g - 1 AS competitors, sos - lag(sos) OVER (PARTITION BY category_id, brand ORDER BY snapshot_date) AS sos_change, brand = 'Brand#23' AS is_target FROM b WINDOW g AS (PARTITION BY snapshot_date, category_id)),
+h0 AS (SELECT *, row_number() OVER o AS idx, sum((rank > 10)::INT) OVER o AS miss, rank - lag(rank) OVER o AS rank_change, rank - lag(rank, 7) OVER o AS rank_change_7, price / nullif(lag(price, 7) OVER o, 0) - 1 AS price_change,
+    coalesce(rank < lag(rank) OVER o, false) AS rose, coalesce(discount_percent > lag(discount_percent) OVER o, false) AS cheaper FROM shelf WINDOW o AS (PARTITION BY category_id, asin ORDER BY snapshot_date)),
+h1 AS (SELECT snapshot_date, category_id, asin, brand, rank, reviews_count AS reviews, rank_change, rank_change_7, price_change, abs(coalesce(rank_change, 0)) >= 5 AS rank_shock,
+    round(CASE WHEN count(*) OVER l >= 2 THEN stddev_pop(rank) OVER l END, 9) AS volatility, round(CASE WHEN count(*) OVER l >= 2 THEN covar_pop(idx::DOUBLE, CASE WHEN rating > 0 THEN rating END) OVER l / nullif(var_pop(idx::DOUBLE) OVER l, 0) END, 9) AS rating_trend,
+    sum((rank <= 10)::INT) OVER (PARTITION BY category_id, asin, miss ORDER BY snapshot_date) AS streak,
+    sum((rose AND discount_percent > 5)::INT) OVER f::DOUBLE / nullif(sum(rose::INT) OVER f, 0) AS discount_overlap, sum((rose AND cheaper)::INT) OVER f::DOUBLE / nullif(idx - 1, 0) AS discount_score
+  FROM h0 WINDOW l AS (PARTITION BY category_id, asin ORDER BY snapshot_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), f AS (PARTITION BY category_id, asin ORDER BY snapshot_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+h2 AS (SELECT *, bool_or(rank_shock) OVER (PARTITION BY snapshot_date, category_id, brand) AS shock FROM h1 QUALIFY row_number() OVER (PARTITION BY snapshot_date, category_id, brand ORDER BY rank) = 1),
+churned AS (""" + A.CHURN + """),
+ctx AS (SELECT ctx0.*, rank_change, rank_change_7, volatility, streak, rating_trend, price_change, discount_overlap, discount_score, reviews, shock AS rank_shock, churn_rate
+  FROM ctx0 LEFT JOIN h2 USING (snapshot_date, category_id, brand) LEFT JOIN churned USING (snapshot_date, category_id))"""
 
 
 def brand_context(shelf):
@@ -52,18 +67,21 @@ def context(spark, sf):
     """The same with the brand's best product and its category's churn: all metrics that the tables hold."""
     shelf = V.shelf(spark, sf)
     churn = S.churn(shelf).select("snapshot_date", "category_id", "churn_rate")
-    return brand_context(shelf).join(S.best_products(S.product_history(shelf)), KEYS, "left").join(churn, KEYS[:2], "left")
+    history = S.product_history(shelf).withColumns({c: F.round(c, 9) for c in ("volatility", "rating_trend")})  # so that 3 and 5 are whole
+    return brand_context(shelf).join(S.best_products(history), KEYS, "left").join(churn, KEYS[:2], "left")
 
 
-USED = ("market_dominance_fragmented", "market_dominance_concentrated", "challenger_position", "fragmented_market_competition", "strong_avg_rank", "competitive_pressure", "price_quality_mismatch",
-        "category_entry_opportunity", "top3_achievement", "strong_rating_position", "value_position", "premium_price_position", "premium_defense_success")
-PICKED = [r for r in N.RULES if r[0] in USED]
+#: Metrics without a source table.
+ABSENT = ("trend_keywords", "has_badge", "tags", "revenue_yoy", "growth_quarters", "has_campaign", "is_owned")
+PICKED = [r for r in N.RULES if not any(m in r[2] for m in ABSENT)]
 HITS = "\n UNION ALL ".join(f"SELECT snapshot_date, category_id, brand, '{n}' AS rule, '{g}' AS kind, {p} AS priority, {c}::DOUBLE AS confidence FROM ctx WHERE {w}" for n, g, w, p, c in PICKED)
 RULE_SQL = f"WITH {V.SHELF_SQL}, {CONTEXT_SQL}, hits AS ({HITS})"
 KEYS = ["snapshot_date", "category_id", "brand"]
 add("rule_hits", lambda s, d: N.infer(context(s, d), KEYS).groupBy("rule", "kind", "priority", "confidence").agg(F.count("*").alias("entities")), RULE_SQL + " SELECT rule, kind, priority, confidence, count(*) AS entities FROM hits GROUP BY ALL")
 add("rule_hits_top2", lambda s, d: N.infer(context(s, d), KEYS, 2).groupBy("brand", "rule").agg(F.count("*").alias("n")), RULE_SQL + " SELECT brand, rule, count(*) AS n FROM (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY snapshot_date, category_id, brand ORDER BY priority DESC, rule) <= 2) GROUP BY ALL")
-add("insight_merge", lambda s, d: N.merge_insights(N.infer(context(s, d), KEYS).select("category_id", F.col("kind").alias("text"), F.col("priority").alias("ordinal"), "confidence").distinct(), ["category_id"]))
+add("insight_merge", lambda s, d: N.merge_insights(N.infer(context(s, d), KEYS).select("category_id", F.col("kind").alias("text"), F.col("priority").alias("ordinal"), "confidence").distinct(), ["category_id"]),
+    RULE_SQL + """ SELECT category_id, lower(text[1:50]) AS insight, list_reduce(list(confidence ORDER BY ordinal, confidence), lambda a, x: least(1, a + x / 2)) AS confidence, count(*) AS sources
+      FROM (SELECT DISTINCT category_id, kind AS text, priority AS ordinal, confidence FROM hits) GROUP BY 1, 2""", "confidence")
 LIMITS = [("sos", ">=", 0.1, "info"), ("cpi", ">", 110.0, "warning"), ("hhi", "<", 0.15, "info"), ("cpi", "~", 1.0, "none")]
 add("threshold_rules", lambda s, d: N.thresholds(brand_context(V.shelf(s, d)).unpivot(KEYS, ["sos", "cpi", "hhi"], "metric", "value"), s.createDataFrame(LIMITS, "metric string, op string, limit double, severity string")).groupBy("metric", "severity").agg(F.count("*").alias("n")),
     f"WITH {V.SHELF_SQL}, {CONTEXT_SQL} SELECT 'sos' AS metric, 'info' AS severity, count(*) AS n FROM ctx WHERE sos >= 0.1 UNION ALL SELECT 'cpi', 'warning', count(*) FROM ctx WHERE cpi > 110 UNION ALL SELECT 'hhi', 'info', count(*) FROM ctx WHERE hhi < 0.15")
@@ -136,7 +154,7 @@ def judged(s, d):
     return E.ranked(found.join(asked, "query").select("query", "rank", right.alias("right"), "gold"), "query")
 
 
-JUDGED = f"(SELECT * FROM ({KNN_SQL}) JOIN (SELECT vec_id AS query, label FROM embeddings) USING (query) JOIN (SELECT label, list(vec_id ORDER BY vec_id) AS gold FROM (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 20) GROUP BY 1) USING (label))"
+JUDGED = f"(SELECT * FROM ({KNN_SQL}) JOIN (SELECT vec_id AS query, label FROM embeddings) USING (query) JOIN (SELECT label, list(vec_id ORDER BY vec_id) AS gold FROM embeddings GROUP BY 1) USING (label))"
 GAIN = "list_sum(list_transform(found[1:10], lambda x, i: list_contains(gold, x)::INT / log2(i + 1.0)))"
 add("recall_precision_mrr", lambda s, d: judged(s, d).select("query", "recall", "precision", "mrr", "hits"),
     f"SELECT query, len(list_intersect(found, gold))::DOUBLE / len(gold) AS recall, len(list_filter(found, lambda x: list_contains(gold, x)))::DOUBLE / len(found) AS precision, coalesce(1.0::DOUBLE / list_min(list_filter(list_transform(found, lambda x, i: CASE WHEN list_contains(gold, x) THEN i END), lambda x: x IS NOT NULL)), 0) AS mrr, list_has_any(found[1:3], gold)::INT::DOUBLE AS hits FROM {JUDGED}", "recall precision mrr")
@@ -176,7 +194,7 @@ add("user_engagement", on("events")(lambda e: e.groupBy("user_id").agg(X.engagem
     "SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'view') > 0 THEN 100.0::DOUBLE * (count(*) FILTER (event_type = 'click') + count(*) FILTER (event_type = 'purchase')) / count(*) FILTER (event_type = 'view') ELSE 0 END AS rate FROM events GROUP BY 1", "rate")
 add("supplier_ranking", lambda s, d: V.table(s, d, "supplier").join(F.broadcast(V.table(s, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("suppliers"), F.max("s_acctbal").alias("best")).orderBy(F.desc("suppliers"), "n_name").limit(5),
     "SELECT n_name, count(*) AS suppliers, max(s_acctbal) AS best FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1 ORDER BY suppliers DESC, n_name LIMIT 5")
-PERIOD = "SELECT o_orderkey, o_custkey, least(o_orderdate, l_shipdate) AS a, greatest(o_orderdate, l_shipdate) AS b, l_returnflag FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1"
+PERIOD = "SELECT o_orderkey, o_custkey, least(o_orderdate, l_shipdate) AS a, greatest(o_orderdate, l_shipdate) AS b, l_returnflag FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
 
 
 def _periods(s, d):

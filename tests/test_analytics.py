@@ -287,3 +287,21 @@ def test_promotion_history(spark):
 def test_eviction_takes_the_lowest_tenth(spark):
     edges = spark.createDataFrame([(f"s{i}", "p", "o", 0.1 if i < 3 else 0.9) for i in range(59)], "subject string, predicate string, object string, confidence double")
     assert [(r.n, r.evicted) for r in G.eviction(edges).orderBy("score").collect()] == [(3, 3), (56, 2)]
+
+
+def test_vector_blocks_give_the_same(spark):
+    v = V.table(spark, SF, "embeddings").select("vec_id", "embedding")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("query_embedding"))
+    assert sorted(R.vector_topk(asked, v, 5, block=7).collect()) == sorted(R.vector_topk(asked, v, 5).collect())
+
+
+def test_scans_of_a_traversal_grow_with_its_depth(spark):
+    edges = V.triples(spark, SF)
+    scans = [G.levels(edges, "EUROPE", d)._jdf.queryExecution().executedPlan().toString().count("FileScan") for d in (1, 2, 3)]
+    assert scans[2] - scans[1] == scans[1] - scans[0]
+
+
+def test_pattern_refuses_a_cross_product(spark):
+    edges = V.triples(spark, SF)
+    with pytest.raises(ValueError):
+        G.pattern(edges, [("?a", "hasProduct", "?b"), ("?c", "parentCategory", "?d")], ["a", "c"])

@@ -24,3 +24,19 @@ def alert_classes(deals: DataFrame, least: int = 5) -> DataFrame:
     """First matching class: lightning, deep discount, deal of the day, plain discount."""
     kind = F.when(F.col("deal_type") == "lightning", "lightning").when(F.col("discount_percent") >= 9, "deep").when(F.col("deal_type") == "deal_of_day", "day").when(F.col("discount_percent") >= least, "discount")
     return deals.withColumn("alert", kind).where("alert is not null").groupBy("brand", "alert").agg(F.count("*").alias("alerts"))
+
+
+def competitor_deals(deals: DataFrame, own: str, part: str | None = None, hours: int = 24) -> DataFrame:
+    """Other brands' deals of the last hours before the newest, of brands that contain ``part``, strongest first."""
+    newest = F.broadcast(deals.agg(F.max("snapshot_datetime").alias("_newest")))
+    rows = deals.where(F.col("brand") != own).join(newest, F.col("snapshot_datetime").cast("timestamp") >= F.timestamp_add("hour", F.lit(-hours), F.col("_newest").cast("timestamp"))).drop("_newest")
+    rows = rows if part is None else rows.where(F.contains(F.lower("brand"), F.lit(part.lower())))
+    return rows.orderBy(F.desc("discount_percent"), "asin")
+
+
+def overview(deals: DataFrame) -> DataFrame:
+    """One row over all deals."""
+    return deals.agg(
+        F.count("*").alias("deals"), F.count_if(F.col("deal_type") == "lightning").alias("lightning"), F.count_distinct("brand").alias("brands"), F.count_distinct(F.to_date("snapshot_datetime")).alias("days"),
+        F.avg("discount_percent").alias("avg_discount"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfloom.sources.tables import written
@@ -172,3 +172,82 @@ def validated(edges: DataFrame) -> DataFrame:
     for s, p, o in ALLOWED:
         fine |= (F.col("predicate") == p) & F.col("sk").isin(s, "entity") & F.col("ok").isin(o, "entity")
     return rows.withColumn("valid", fine)
+
+
+def terms(edges: DataFrame, **given) -> DataFrame:
+    """Distinct subjects and objects of the matching triples: (place, term)."""
+    rows = match(edges, given.get("subject"), given.get("predicate"), given.get("obj"))
+    return rows.select(F.lit("subject").alias("place"), F.col("subject").alias("term")).union(rows.select(F.lit("object"), "object")).distinct()
+
+
+def brand_products(edges: DataFrame, brand: str, category: str | None = None) -> DataFrame:
+    """Products of a brand with their categories, of one category if given."""
+    made = edges.where((F.col("predicate") == "hasProduct") & (F.col("subject") == brand)).select(F.col("object").alias("product"))
+    held = edges.where("predicate = 'belongsToCategory'").select(F.col("subject").alias("product"), F.col("object").alias("category"))
+    out = made.join(held, "product")
+    return out if category is None else out.where(F.col("category") == category)
+
+
+def entity_context(edges: DataFrame, entity: str, depth: int = 2, first: int = 5) -> DataFrame:
+    """Neighbourhood of an entity: (depth, here, predicate, there, direction), the
+    ``first`` edges of each direction (by predicate, then name) at every step.
+    Only the steps' edges are ranked, never all of the graph."""
+    here = written(edges.sparkSession.createDataFrame([(entity,)], "here string"))
+    out = None
+    for d in range(1, depth + 1):
+        ways = edges.join(here, F.col("subject") == F.col("here")).select("here", "predicate", F.col("object").alias("there"), F.lit("out").alias("direction"))
+        ways = ways.union(edges.join(here, F.col("object") == F.col("here")).select("here", "predicate", "subject", F.lit("in")))
+        place = F.row_number().over(Window.partitionBy("here", "direction").orderBy("predicate", "there"))
+        step = written(ways.withColumn("n", place).where(F.col("n") <= first).select(F.lit(d).alias("depth"), "here", "predicate", "there", "direction").distinct())
+        out = step if out is None else out.union(step)
+        here = written(step.select(F.col("there").alias("here")).distinct())
+    return out
+
+
+def children(edges: DataFrame, parent: str, predicate: str = "parentCategory") -> DataFrame:
+    """Entities one level below."""
+    return match(edges, None, predicate, parent).select(F.col("subject").alias("child"))
+
+
+def product_context(edges: DataFrame, product: str) -> DataFrame:
+    """A product's categories and how many products each holds."""
+    held = edges.where("predicate = 'belongsToCategory'")
+    mine = held.where(F.col("subject") == product).select(F.col("subject").alias("product"), F.col("object").alias("category"))
+    sizes = held.groupBy(F.col("object").alias("category")).agg(F.count("*").alias("siblings"))
+    return mine.join(sizes, "category").select("product", "category", "siblings")
+
+
+def inconsistencies(edges: DataFrame) -> DataFrame:
+    """(entity, problem, severity): products without a category or with several
+    (errors), entities that are both brand and product (errors), brands without
+    products (warnings). One aggregation over both ends of the edges."""
+    ends = edges.select(F.col("subject").alias("entity"), "predicate", F.lit("s").alias("end")).union(edges.select("object", "predicate", F.lit("o")))
+    is_ = lambda p, e: F.count_if((F.col("predicate") == p) & (F.col("end") == e))
+    per = ends.groupBy("entity").agg(is_("hasProduct", "o").alias("made"), is_("hasProduct", "s").alias("makes"), is_("belongsToCategory", "s").alias("held"), (is_("directCompetitor", "s") + is_("indirectCompetitor", "s")).alias("rivals"))
+    named = lambda problem, severity: F.struct(F.lit(problem).alias("problem"), F.lit(severity).alias("severity"))
+    found = F.array(
+        F.when((F.col("made") > 0) & (F.col("held") == 0), named("no category", "error")), F.when(F.col("held") > 1, named("several categories", "error")),
+        F.when((F.col("made") > 0) & (F.col("makes") > 0), named("brand and product", "error")), F.when((F.col("rivals") > 0) & (F.col("makes") == 0), named("brand without products", "warning")),
+    )
+    return per.select("entity", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("entity", "x.*")
+
+
+def allowed() -> Column:
+    """Whether the schema allows a triple ("entity" stands for any kind)."""
+    fine = F.lit(False)
+    for s, p, o in ALLOWED:
+        fine |= (F.col("predicate") == p) & entity_kind("subject").isin(s, "entity") & entity_kind("object").isin(o, "entity")
+    return fine
+
+
+def insert_checked(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """Triples after a validated insert: what the schema forbids stays out, a
+    triple that exists keeps its higher confidence."""
+    return edges.unionByName(new.where(allowed())).groupBy("subject", "predicate", "object").agg(F.max("confidence").alias("confidence"))
+
+
+def metric_edges(metrics: DataFrame, keys: list[str], at: str, names: dict[str, str]) -> DataFrame:
+    """Metrics as edges (subject, predicate, value, at): one row per key and metric."""
+    subject = F.concat_ws("/", *keys)
+    pairs = F.array(*(F.struct(F.lit(p).alias("predicate"), F.col(c).cast("double").alias("value")) for c, p in names.items()))
+    return metrics.select(subject.alias("subject"), F.col(at).alias("at"), F.explode(pairs).alias("x")).select("subject", "x.predicate", "x.value", "at")

@@ -75,3 +75,45 @@ def product_type(title: Column, kinds: tuple[tuple[str, str], ...]) -> Column:
     for word, kind in reversed(kinds):
         out = F.when(F.lower(title).contains(word), kind).otherwise(out)
     return out
+
+
+#: Shortened brand names of listings and the full ones.
+BRAND_NAMES = {
+    "burt's": "Burt's Bees", "wet": "wet n wild", "tree": "Tree Hut", "clean": "Clean Skin Club", "summer": "Summer Fridays", "rare": "Rare Beauty", "la": "La Roche-Posay",
+    "beauty": "Beauty of Joseon", "tower": "Tower 28", "drunk": "Drunk Elephant", "paula's": "Paula's Choice", "the": "The Ordinary", "glow": "Glow Recipe", "youth": "Youth To The People",
+    "first": "First Aid Beauty", "charlotte": "Charlotte Tilbury", "too": "Too Faced", "urban": "Urban Decay", "fenty": "Fenty Beauty", "huda": "Huda Beauty",
+    "anastasia": "Anastasia Beverly Hills", "physicians": "Physicians Formula", "covergirl": "COVERGIRL", "medicube": "MEDICUBE",
+}
+#: Words of a title and the product's type, the first that fits.
+PRODUCT_TYPES = (
+    ("lip sleeping", "lip_balm"), ("lip mask", "lip_balm"), ("lip glowy", "lip_balm"), ("lip butter", "lip_balm"), ("lip balm", "lip_balm"), ("water sleeping", "sleeping_mask"),
+    ("sleeping mask", "sleeping_mask"), ("water bank", "moisturizer"), ("cream", "moisturizer"), ("moisturizer", "moisturizer"), ("toner", "toner"), ("serum", "serum"),
+)
+
+
+def normal_brand(brand: Column, title: Column, names: dict[str, str] = BRAND_NAMES) -> Column:
+    """The full name of a shortened brand; else the first full name that the title
+    contains; else the brand. Missing and unknown brands stay as they are."""
+    known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[F.lower(F.trim(brand))]
+    titled = F.lit(None).cast("string")
+    for full in reversed(names.values()):
+        titled = F.when(F.contains(F.lower(title), F.lit(full.lower())), full).otherwise(titled)
+    return F.when(brand.isNull() | brand.isin("", "Unknown"), brand).otherwise(F.coalesce(known, titled, brand))
+
+
+def converted(amount: Column, currency: Column, rates: dict[str, float]) -> Column:
+    """Amount in the base currency; an unknown currency gives null."""
+    return amount * F.create_map(*(F.lit(x) for pair in rates.items() for x in pair))[currency]
+
+
+def figures(text: Column) -> Column:
+    """First amount with its unit (million, billion) in a text, as a number."""
+    amount = F.nullif(F.regexp_extract(text, r"([0-9]+(?:\.[0-9]+)?) (?:million|billion)", 1), F.lit("")).try_cast("double")
+    return amount * F.when(F.regexp_extract(text, r"[0-9] (million|billion)", 1) == "billion", 1e9).otherwise(1e6)
+
+
+def recent_change(values: Column, n: int = 4) -> Column:
+    """Relative change from the first to the last of the newest n values; null without two or from 0."""
+    last = F.slice(values, F.greatest(F.lit(1), F.size(values) - n + 1), F.lit(n))
+    first = F.element_at(last, 1)
+    return F.when((F.size(last) >= 2) & (first != 0), (F.element_at(last, -1) - first) / first)

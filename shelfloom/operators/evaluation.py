@@ -98,3 +98,78 @@ def histogram(samples: DataFrame, key: str, value: str, order: list[str], keep:
     last = samples.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= keep)
     pick = lambda q: F.element_at("v", F.floor(F.size("v") * q).cast("int") + 1)
     return last.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("v")).select(key, F.size("v").cast("long").alias("n"), pick(0.5).alias("p50"), pick(0.9).alias("p90"), pick(0.99).alias("p99"))
+
+
+def set_precision(found: Column, gold: Column) -> Column:
+    """Nothing found is 1 if nothing was wanted, else 0."""
+    n = F.size(clean(found))
+    return F.when(n == 0, (F.size(clean(gold)) == 0).cast("double")).otherwise(F.size(F.array_intersect(clean(found), clean(gold))) / n)
+
+
+def set_recall(found: Column, gold: Column) -> Column:
+    """Nothing wanted is 1."""
+    n = F.size(clean(gold))
+    return F.when(n == 0, 1.0).otherwise(F.size(F.array_intersect(clean(found), clean(gold))) / n)
+
+
+def answer_words(c: Column) -> Column:
+    """Distinct lower-case words without punctuation."""
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), r"[^a-z0-9\s]", " "), r"\s+"), lambda x: x != ""))
+
+
+def exact_match(answer: Column, gold: Column) -> Column:
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9\s]", " "), r"\s+", " "))
+    return (plain(answer) == plain(gold)).cast("double")
+
+
+def token_f1(answer: Column, gold: Column) -> Column:
+    """F1 over the sets of words; no gold is 1."""
+    return F.when(gold.isNull() | (gold == ""), 1.0).otherwise(set_f1(answer_words(answer), answer_words(gold)))
+
+
+def numeric_accuracy(answer: Column, wanted: Column, tolerance: float = 0.05) -> Column:
+    """Share of the wanted numbers that a number of the answer meets within the relative tolerance; 1 without any."""
+    said = F.transform(F.regexp_extract_all(answer, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0)), lambda x: x.cast("double"))
+    met = F.filter(wanted, lambda w: F.exists(said, lambda s: F.abs(s - w) <= tolerance * F.abs(w)))
+    return F.when(F.size(wanted) == 0, 1.0).otherwise(F.size(met) / F.size(wanted))
+
+
+def violation_rate(violations: Column, inferences: Column, explicit: Column) -> Column:
+    return violations / (inferences + F.greatest(F.lit(1), explicit))
+
+
+def stub_judge(answer: Column, context: Column) -> Column:
+    """0.3 and 0.4 of the share of the answer's words that the context has."""
+    said = answer_words(answer)
+    return 0.3 + 0.4 * F.when(F.size(said) == 0, 0.0).otherwise(F.size(F.array_intersect(said, answer_words(context))) / F.size(said))
+
+
+#: Limits of the gate, fixed values: (tag, metric, limit, whether the metric must be at least it, for items with a graph, without, or any).
+GATES = (
+    ("L1_mapping_fail", "entity_link_f1", 0.5, True, None), ("L1_concept_fail", "concept_map_f1", 0.5, True, None), ("L2_doc_retrieval_fail", "context_recall", 0.8, True, False),
+    ("L3_kg_fail", "hits", 0.8, True, True), ("L3_edge_fail", "edge_f1", 0.5, True, True), ("L4_constraint_violation", "violation_rate", 0.05, False, None),
+    ("L4_type_inconsistency", "type_consistency", 0.9, True, None), ("L5_wrong_answer", "answer_f1", 0.5, True, None), ("L5_grounding_fail", "groundedness", 0.7, True, None),
+    ("L5_relevance_fail", "relevance", 0.7, True, None),
+)
+
+
+def fail_tags(items: DataFrame, requires_graph: Column, gates=GATES) -> Column:
+    """Tags of the gates that an item fails; a metric that is null or absent fails none."""
+    tags = []
+    for tag, metric, limit, least, graph in gates:
+        if metric in items.columns:
+            fails = F.col(metric) < limit if least else F.col(metric) > limit
+            tags.append(F.when(fails if graph is None else fails & (requires_graph if graph else ~requires_graph), F.lit(tag)))
+    return F.filter(F.array(*tags), lambda x: x.isNotNull())
+
+
+def costs(calls: DataFrame, prices: dict[str, float], layer: str, model: str, tokens: str) -> DataFrame:
+    """Cost of each layer from the price of a thousand tokens of every model; models without a price are counted apart."""
+    price = F.create_map(*(F.lit(x) for pair in prices.items() for x in pair))[F.col(model)]
+    return calls.groupBy(layer).agg((F.sum(F.col(tokens) * price) / 1000).alias("cost"), F.sum(tokens).alias("tokens"), F.count_if(price.isNull()).alias("unpriced"))
+
+
+def last_figures(samples: DataFrame, key: str, order: list[str], value: str, keep: int = 100) -> DataFrame:
+    """Count, mean and least of the newest ``keep`` samples of a key."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*map(F.desc, order)))
+    return samples.withColumn("_n", place).where(F.col("_n") <= keep).groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"))

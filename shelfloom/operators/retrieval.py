@@ -139,3 +139,55 @@ def masked(text: Column) -> Column:
     for pattern, name in SECRETS:
         text = F.regexp_replace(text, pattern, name)
     return text
+
+
+def over_best(hits: DataFrame, key: str = "query", score: str = "score") -> DataFrame:
+    """Scores over the key's best one: 0 to 1; all 0 if the best is."""
+    best = F.max(score).over(Window.partitionBy(key))
+    return hits.withColumn(score, F.when(best > 0, F.col(score) / best).otherwise(0.0))
+
+
+def fused_lists(lists: dict[str, DataFrame], key: str, content: str, k: int = RRF_K, top: int = 10) -> DataFrame:
+    """Named ranked lists (key, content, rank) fused by content: equal texts are one
+    (by SHA-256), with their sources in order of name. (key, hash, score, sources, rank)."""
+    both = None
+    for name, rows in lists.items():
+        part = rows.select(key, F.substring(F.sha2(F.col(content), 256), 1, 16).alias("hash"), "rank", F.lit(name).alias("source"))
+        both = part if both is None else both.unionByName(part)
+    fused = both.groupBy(key, "hash").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 6).alias("score"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "hash"))
+    return fused.withColumn("rank", place).where(F.col("rank") <= top)
+
+
+def source_scores(hits: DataFrame, key: str, best: int = 3) -> DataFrame:
+    """One score a source from rows (key, source, score): vectors the mean of the
+    best three, the ontology its best, entities their mean; scores outside 0 to 1 are left out."""
+    place = F.row_number().over(Window.partitionBy(key, "source").orderBy(F.desc("score")))
+    rows = hits.where("score between 0 and 1").withColumn("_n", place)
+    s = F.when((F.col("source") == "vector") & (F.col("_n") > best), None).when((F.col("source") == "ontology") & (F.col("_n") > 1), None).otherwise(F.col("score"))
+    return rows.groupBy(key, "source").agg(F.avg(s).alias("score"))
+
+
+def normalised(scores: DataFrame, key: str, value: str, mode: str) -> DataFrame:
+    """Scores of a key: ``min_max``, ``softmax``, ``z`` or ``none``; equal values are 1 by min-max and 0.5 by z."""
+    if mode == "none":
+        return scores
+    if mode == "min_max":
+        return min_max(scores, key, value)
+    w = Window.partitionBy(key)
+    if mode == "softmax":
+        e = F.exp(F.col(value) - F.max(value).over(w))
+        return scores.withColumn("_e", e).withColumn(value, F.col("_e") / F.sum("_e").over(w)).drop("_e")
+    spread, mean = F.stddev_pop(value).over(w), F.avg(value).over(w)
+    return scores.withColumn(value, F.when(spread > 1e-12, 1 / (1 + F.exp(-(F.col(value) - mean) / spread))).otherwise(0.5))
+
+
+def weighted_merge(parts: dict[str, tuple[DataFrame, float, int]], key: str) -> DataFrame:
+    """Rows (key, item, score) of several kinds, each weighted and cut to its own
+    number a key: (key, kind, item, score)."""
+    out = None
+    for kind, (rows, weight, keep) in parts.items():
+        place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "item"))
+        part = rows.select(key, F.lit(kind).alias("kind"), "item", (F.col("score") * weight).alias("score")).withColumn("_n", place).where(F.col("_n") <= keep).drop("_n")
+        out = part if out is None else out.unionByName(part)
+    return out

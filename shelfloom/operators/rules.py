@@ -88,3 +88,12 @@ def thresholds(metrics: DataFrame, table: DataFrame) -> DataFrame:
     v, t = F.col("value"), F.col("limit")
     holds = F.when(F.col("op") == ">=", v >= t).when(F.col("op") == ">", v > t).when(F.col("op") == "<=", v <= t).when(F.col("op") == "<", v < t).when(F.col("op") == "==", v == t).when(F.col("op") == "!=", v != t).otherwise(False)
     return metrics.join(F.broadcast(table), "metric").where(holds)
+
+
+def top_actions(context: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
+    """Rule hits and alerts of an entity as one list of actions, by priority and
+    then name, ``k`` at most: (keys, origin, name, priority)."""
+    hits = infer(context, keys).select(*keys, F.lit("rule").alias("origin"), F.col("rule").alias("name"), "priority")
+    alerts = context.where("rank_shock").select(*keys, F.lit("alert").alias("origin"), F.lit("rank_shock").alias("name"), F.lit(9).alias("priority"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("priority"), "name"))
+    return hits.unionByName(alerts).withColumn("_n", place).where(F.col("_n") <= k).drop("_n")

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfloom.operators import shelf as S
 from shelfloom.sources import views as V
 
-from . import analytics, dashboard, insight, reports
+from . import analytics, dashboard, insight, reports, texts
 
-MODULES = [analytics, insight, reports, dashboard]
+MODULES = [analytics, insight, reports, dashboard, texts]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

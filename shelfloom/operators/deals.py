@@ -20,9 +20,9 @@ def latest(deals: DataFrame, kind: str | None = None, k: int = 200) -> DataFrame
     return rows.groupBy("snapshot_datetime", "asin", "brand").agg(F.max("discount_percent").alias("discount_percent")).orderBy(F.desc("snapshot_datetime"), "asin").limit(k)
 
 
-def alert_classes(deals: DataFrame, least: int = 5) -> DataFrame:
+def alert_classes(deals: DataFrame, least: int = 5, deep: int = 30) -> DataFrame:
     """First matching class: lightning, deep discount, deal of the day, plain discount."""
-    kind = F.when(F.col("deal_type") == "lightning", "lightning").when(F.col("discount_percent") >= 9, "deep").when(F.col("deal_type") == "deal_of_day", "day").when(F.col("discount_percent") >= least, "discount")
+    kind = F.when(F.col("deal_type") == "lightning", "lightning").when(F.col("discount_percent") >= deep, "deep").when(F.col("deal_type") == "deal_of_day", "day").when(F.col("discount_percent") >= least, "discount")
     return deals.withColumn("alert", kind).where("alert is not null").groupBy("brand", "alert").agg(F.count("*").alias("alerts"))
 
 

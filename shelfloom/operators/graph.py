@@ -145,13 +145,15 @@ def eviction(edges: DataFrame, share: float = 0.1) -> DataFrame:
     return counts.select("score", "n", F.greatest(F.lit(0), F.least(F.col("n"), room)).cast("long").alias("evicted"))
 
 
-def ancestors(edges: DataFrame, predicate: str = "parentCategory", depth: int = 5) -> DataFrame:
-    """Chain of parents of every entity: (entity, ancestor, steps)."""
-    up = edges.where(F.col("predicate") == predicate).select("subject", "object").distinct()
+def ancestors(edges: DataFrame, predicates: tuple[str, ...] = ("parentCategory",), depth: int = 5) -> DataFrame:
+    """Chain of parents of every entity: (entity, ancestor, steps), each step written."""
+    up = written(edges.where(F.col("predicate").isin(*predicates)).select("subject", "object").distinct())
     step = up.select(F.col("subject").alias("entity"), F.col("object").alias("ancestor"), F.lit(1).alias("steps"))
     out = step
     for d in range(2, depth + 1):
-        step = step.join(up, step.ancestor == up.subject).select("entity", F.col("object").alias("ancestor"), F.lit(d).alias("steps"))
+        step = written(step.join(up, step.ancestor == up.subject).select("entity", F.col("object").alias("ancestor"), F.lit(d).alias("steps")))
+        if step.isEmpty():
+            break
         out = out.union(step)
     return out
 
@@ -251,3 +253,23 @@ def metric_edges(metrics: DataFrame, keys: list[str], at: str, names: dict[str,
     subject = F.concat_ws("/", *keys)
     pairs = F.array(*(F.struct(F.lit(p).alias("predicate"), F.col(c).cast("double").alias("value")) for c, p in names.items()))
     return metrics.select(subject.alias("subject"), F.col(at).alias("at"), F.explode(pairs).alias("x")).select("subject", "x.predicate", "x.value", "at")
+
+
+def entity_facts(edges: DataFrame, entities: DataFrame, most: int = 5) -> DataFrame:
+    """Facts about the entities of a table (entity), at most ``most`` a kind of
+    edge: (entity, predicate, other, direction)."""
+    ways = edges.join(entities, F.col("subject") == F.col("entity")).select("entity", "predicate", F.col("object").alias("other"), F.lit("out").alias("direction"))
+    ways = ways.union(edges.join(entities, F.col("object") == F.col("entity")).select("entity", "predicate", "subject", F.lit("in")))
+    place = F.row_number().over(Window.partitionBy("entity", "predicate", "direction").orderBy("other"))
+    return ways.distinct().withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
+
+
+def enriched(context: DataFrame, edges: DataFrame, brand: str = "brand") -> DataFrame:
+    """A context with the graph's figures of its brand: products, categories, rivals (0 without)."""
+    made = edges.where("predicate = 'hasProduct'").select(F.col("subject").alias("_b"), F.col("object").alias("_p"))
+    held = edges.where("predicate = 'belongsToCategory'").select(F.col("subject").alias("_p"), F.col("object").alias("_c"))
+    products = made.join(held, "_p", "left").groupBy("_b").agg(F.count_distinct("_p").alias("kg_products"), F.count_distinct("_c").alias("kg_categories"))
+    rivals = competitors(edges).groupBy(F.col("subject").alias("_b")).agg(F.count("*").alias("kg_rivals"))
+    figures = products.join(rivals, "_b", "full_outer")
+    names = ("kg_products", "kg_categories", "kg_rivals")
+    return context.join(figures, F.col(brand) == F.col("_b"), "left").drop("_b").withColumns({n: F.coalesce(n, F.lit(0)) for n in names})

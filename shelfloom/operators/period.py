@@ -170,7 +170,7 @@ def discount_trend(shelf: DataFrame) -> DataFrame:
     return shelf.groupBy(DATE, "category_id").agg(F.avg("discount_percent").alias("avg_discount"), F.min_by("discount_percent", "rank").alias("best_product_discount"), F.max("discount_percent").alias("max_discount"))
 
 
-def growth_types(shelf: DataFrame, promoted: float = 5.0) -> DataFrame:
+def growth_types(shelf: DataFrame, promoted: float = 15.0) -> DataFrame:
     kind = F.when(F.col("discount_percent") > promoted, "promotion").otherwise("organic")
     return shelf.groupBy("category_id", kind.alias("growth")).agg(F.count("*").alias("rows"))
 
@@ -196,15 +196,20 @@ def presence(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, DATE, "full_outer").select(DATE, F.coalesce("left_rows", F.lit(0)).alias("left_rows"), F.coalesce("right_rows", F.lit(0)).alias("right_rows"))
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Last writer wins on the key: new rows replace old ones."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Last writer wins on the key: new rows replace old ones. Of several new rows
+    of a key the largest in ``order`` (all other columns by default) is the last."""
     both = old.withColumn("_seq", F.lit(0)).unionByName(new.withColumn("_seq", F.lit(1)), allowMissingColumns=True)
-    return both.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_seq")))).where("_rn = 1").drop("_seq", "_rn")
+    rest = order or [c for c in both.columns if c not in (*keys, "_seq")]
+    return both.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*map(F.desc_nulls_last, ["_seq", *rest])))).where("_rn = 1").drop("_seq", "_rn")
 
 
-def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """First writer wins: only keys not yet there are added."""
-    return old.unionByName(new.join(old.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+def insert_absent(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """First writer wins: only keys not yet there are added, each once (the row
+    that is least in ``order``, all other columns by default)."""
+    rest = order or [c for c in new.columns if c not in keys]
+    first = new.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*map(F.asc_nulls_last, rest or keys)))).where("_rn = 1").drop("_rn")
+    return old.unionByName(first.join(old.select(*keys), keys, "left_anti"), allowMissingColumns=True)
 
 
 def overlaps(left: DataFrame, right: DataFrame, key: str, start: str, end: str, span_days: int) -> DataFrame:
@@ -216,3 +221,22 @@ def overlaps(left: DataFrame, right: DataFrame, key: str, start: str, end: str,
     a, b = cut(left).alias("a"), cut(right).alias("b")
     meets = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._b") == F.col("b._b")) & (F.col(f"b.{start}") <= F.col(f"a.{end}")) & (F.col(f"b.{end}") >= F.col(f"a.{start}"))
     return a.join(b, meets, "left_semi").drop("_b").distinct()
+
+
+def concentration_label(daily: DataFrame, value: str = "hhi") -> DataFrame:
+    """Mean of daily concentration in points and its label: competitive below 1,500, moderate below 2,500."""
+    mean = daily.agg(F.avg(value).alias("avg_hhi"))
+    return mean.withColumn("label", F.when(F.col("avg_hhi") < 1500, "competitive").when(F.col("avg_hhi") < 2500, "moderate").otherwise("concentrated"))
+
+
+def frequent(shelf: DataFrame, last: int = 7, least: int = 5, rank: int = 20) -> DataFrame:
+    """Extension: products with at least ``least`` rows up to ``rank`` within the last ``last`` snapshots of all."""
+    dates = shelf.select(DATE).distinct().orderBy(F.desc(DATE)).limit(last)
+    rows = shelf.where(F.col("rank") <= rank).join(F.broadcast(dates), DATE)
+    return rows.groupBy("category_id", "asin").agg(F.count("*").alias("seen")).where(F.col("seen") >= least)
+
+
+def promoted_gains(shelf: DataFrame, discount: float = 30.0, gain: int = 10) -> DataFrame:
+    """Extension: rows with a discount of at least ``discount`` that gained ``gain`` ranks since the product's row before."""
+    order = Window.partitionBy("category_id", "asin").orderBy(DATE)
+    return shelf.withColumn("gain", F.lag("rank").over(order) - F.col("rank")).where((F.col("gain") >= gain) & (F.col("discount_percent") >= discount)).select(DATE, "category_id", "asin", "gain")

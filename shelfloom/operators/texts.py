@@ -168,3 +168,34 @@ def suppressed(events: DataFrame, keys: list[str], at: str = "ts", seconds: int
     rows = events.withColumn("_w", F.window(at, f"{seconds} seconds").start)
     place = F.row_number().over(Window.partitionBy(*keys, "_w").orderBy(at, *[c for c in events.columns if c not in (*keys, at)][:1]))
     return rows.withColumn("_n", place).where(F.col("_n") <= most).drop("_n", "_w")
+
+
+def reference_type(tier: Column, source: Column, tiers: dict[str, str], parts: list[tuple[str, str]]) -> Column:
+    """Type of a reference: by its tier, else by the first part that its source contains, else article."""
+    out = F.lit("article")
+    for word, kind in reversed(parts):
+        out = F.when(F.contains(F.lower(source), F.lit(word)), kind).otherwise(out)
+    return F.coalesce(F.create_map(*(F.lit(x) for p in tiers.items() for x in p))[tier], out)
+
+
+def extracted(text: Column, pattern: str, least: int = 3, most: int = 10) -> Column:
+    """Distinct matches of a pattern's first group, of at least ``least`` characters, the first ``most``."""
+    return F.slice(F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.length(x) >= least)), 1, most)
+
+
+def allowed_kinds(text: Column, intents: list[tuple[list[str], list[str]]]) -> Column:
+    """Kinds of insight that a question asks for: those of every intent with a word in it; null (no filter) without any."""
+    found = F.flatten(F.array(*(F.when(hits(text, words) > 0, F.array(*map(F.lit, kinds))).otherwise(F.array().cast("array<string>")) for words, kinds in intents)))
+    return F.when(F.size(found) > 0, F.array_sort(F.array_distinct(found)))
+
+
+def mentioned_recall(answer: Column, wanted: Column) -> Column:
+    """Share of the wanted names that stand in an answer as whole words; 1 without any."""
+    there = F.filter(wanted, lambda w: F.contains(F.concat(F.lit(" "), F.regexp_replace(F.lower(answer), "[^a-z0-9]+", " "), F.lit(" ")), F.concat(F.lit(" "), F.lower(w), F.lit(" "))))
+    return F.when(F.size(wanted) == 0, 1.0).otherwise(F.size(there) / F.size(wanted))
+
+
+def mean_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """Mean vector of every key, one aggregation per dimension and key."""
+    parts = rows.select(key, F.posexplode(vector).alias("place", "x")).groupBy(key, "place").agg(F.avg("x").alias("x"))
+    return parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda p: p["x"]).alias("mean"))

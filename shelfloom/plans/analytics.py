@@ -43,6 +43,7 @@ add("market_position", V.shelf, lambda s: G.market_position(S.share_of_shelf(s))
 HHI = "SELECT {k}, sum(s * s) * {m} AS hhi FROM (SELECT {k}, brand, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY {k}) AS s FROM shelf GROUP BY {k}, brand) GROUP BY {k}"
 add("hhi_by_category", V.shelf, S.concentration, HHI.format(k="snapshot_date, category_id", m=1), "hhi")
 add("hhi_points_daily", V.shelf, lambda s: S.concentration(s, ["snapshot_date"], 10000.0, "both"), HHI.format(k="snapshot_date", m=10000), "hhi")
+add("hhi_label", V.shelf, lambda s: P.concentration_label(S.concentration(s, ["snapshot_date"], 10000.0, "both")), "SELECT avg(hhi) AS avg_hhi, CASE WHEN avg(hhi) < 1500 THEN 'competitive' WHEN avg(hhi) < 2500 THEN 'moderate' ELSE 'concentrated' END AS label FROM (" + HHI.format(k="snapshot_date", m=10000) + ")", "avg_hhi")
 add("hhi_kept_unknown", V.shelf, lambda s: S.concentration(s, ["category_id"], 1.0, "keep"), HHI.format(k="category_id", m=1), "hhi")
 add("brand_metrics", V.shelf, S.brand_metrics, """SELECT snapshot_date, category_id, brand, count(*) AS products, count(*)::DOUBLE / max(n) AS sos, avg(rank) AS avg_rank, min(rank) AS best_rank,
   count(*) FILTER (rank <= 10) AS top10, count(*) FILTER (rank <= 20) AS top20, 100 * (sum(pq)::DOUBLE / count(pq) / 1e6) / (max(mp)::DOUBLE / max(mpc) / 1e6) AS cpi, sum(rq)::DOUBLE / count(rq) / 1e6 - max(mr)::DOUBLE / max(mrc) / 1e6 AS rating_gap
@@ -104,10 +105,12 @@ add("recent_sos_trend", V.shelf, lambda s: P.recent_trend(s, TARGET), f"SELECT *
 MONTHS = [f"{y}{m:02d}" for y in range(1995, 2002) for m in range(1, 13)][:83]
 add("rank_series_pivot", V.shelf, P.rank_series, "SELECT asin, " + ", ".join(f"min(rank) FILTER (strftime(snapshot_date, '%Y%m') = '{m}') AS r{m}" for m in MONTHS) + " FROM shelf GROUP BY 1")
 add("discount_trend", V.shelf, P.discount_trend, "SELECT snapshot_date, category_id, avg(discount_percent) AS avg_discount, min_by(discount_percent, rank) AS best_product_discount, max(discount_percent) AS max_discount FROM shelf GROUP BY 1, 2", "avg_discount best_product_discount max_discount")
-add("growth_types", V.shelf, P.growth_types, "SELECT category_id, CASE WHEN discount_percent > 5 THEN 'promotion' ELSE 'organic' END AS growth, count(*) AS rows FROM shelf GROUP BY 1, 2")
+add("growth_types", V.shelf, lambda s: P.growth_types(s, 5.0), "SELECT category_id, CASE WHEN discount_percent > 5 THEN 'promotion' ELSE 'organic' END AS growth, count(*) AS rows FROM shelf GROUP BY 1, 2")
 add("duplicate_groups", V.shelf, lambda s: P.duplicate_groups(s.union(s.where("rank <= 3"))), "SELECT snapshot_date, asin, category_id, 2::BIGINT AS n FROM shelf WHERE rank <= 3")
 add("grouping_report", V.shelf, P.grouping_report, "SELECT category_id, brand, count(*) AS rows, min(rank) AS best_rank, grouping(category_id, brand) AS level FROM shelf GROUP BY CUBE (category_id, brand)")
 add("rank_surges", V.shelf, P.surges, "SELECT snapshot_date, category_id, asin, rank, gain FROM (SELECT *, lag(rank, 3) OVER (PARTITION BY category_id, asin ORDER BY snapshot_date) - rank AS gain FROM shelf) WHERE gain >= 20")
+add("frequent_products", V.shelf, lambda s: P.frequent(s, 36, 3, 30), "SELECT category_id, asin, count(*) AS seen FROM shelf WHERE rank <= 30 AND snapshot_date IN (SELECT DISTINCT snapshot_date FROM shelf ORDER BY 1 DESC LIMIT 36) GROUP BY 1, 2 HAVING count(*) >= 3")
+add("promoted_gains", V.shelf, lambda s: P.promoted_gains(s, 8.0), "SELECT snapshot_date, category_id, asin, gain FROM (SELECT *, lag(rank) OVER (PARTITION BY category_id, asin ORDER BY snapshot_date) - rank AS gain FROM shelf) WHERE gain >= 10 AND discount_percent >= 8")
 add("presence_check", V.shelf, lambda s: P.presence(s.where("rank <= 50"), s.where("category_id like 'S%'")), "SELECT snapshot_date, count(*) FILTER (rank <= 50) AS left_rows, count(*) FILTER (category_id LIKE 'S%') AS right_rows FROM shelf GROUP BY 1")
 add("missing_dates", V.shelf, lambda s: s.select("snapshot_date").distinct().join(s.where("month(snapshot_date) <> 2").select("snapshot_date").distinct(), "snapshot_date", "left_anti"), "SELECT DISTINCT snapshot_date FROM shelf WHERE month(snapshot_date) = 2")
 add("upsert_latest", V.shelf, lambda s: P.upsert(s.select("snapshot_date", "category_id", "asin", "rank"), s.where("rank <= 5").select("snapshot_date", "category_id", "asin", (F.col("rank") + 1).alias("rank")), ["snapshot_date", "category_id", "asin"]), "SELECT snapshot_date, category_id, asin, CASE WHEN rank <= 5 THEN rank + 1 ELSE rank END AS rank FROM shelf")
@@ -118,7 +121,7 @@ add("deals_by_date", V.deals, D.by_date, "SELECT CAST(snapshot_datetime AS DATE)
 LATEST = "SELECT snapshot_datetime, asin, brand, max(discount_percent) AS discount_percent FROM deals {w} GROUP BY 1, 2, 3 ORDER BY snapshot_datetime DESC, asin LIMIT {k}"
 add("competitor_deals_latest", V.deals, lambda d: D.latest(d, None, 500), LATEST.format(w="", k=500))
 add("lightning_deals_latest", V.deals, lambda d: D.latest(d, "lightning"), LATEST.format(w="WHERE deal_type = 'lightning'", k=200))
-add("deal_alerts", V.deals, D.alert_classes, "SELECT brand, CASE WHEN deal_type = 'lightning' THEN 'lightning' WHEN discount_percent >= 9 THEN 'deep' WHEN deal_type = 'deal_of_day' THEN 'day' ELSE 'discount' END AS alert, count(*) AS alerts FROM deals WHERE deal_type IN ('lightning', 'deal_of_day') OR discount_percent >= 5 GROUP BY 1, 2")
+add("deal_alerts", V.deals, lambda d: D.alert_classes(d, deep=9), "SELECT brand, CASE WHEN deal_type = 'lightning' THEN 'lightning' WHEN discount_percent >= 9 THEN 'deep' WHEN deal_type = 'deal_of_day' THEN 'day' ELSE 'discount' END AS alert, count(*) AS alerts FROM deals WHERE deal_type IN ('lightning', 'deal_of_day') OR discount_percent >= 5 GROUP BY 1, 2")
 
 add("kg_match", V.triples, lambda t: G.match(t, predicate="belongsToCategory", least=0.5).groupBy("object").agg(F.count("*").alias("n")), "SELECT object, count(*) AS n FROM triples WHERE predicate = 'belongsToCategory' GROUP BY 1")
 add("kg_neighbours", V.triples, lambda t: G.neighbours(t, "EUROPE"), "SELECT predicate, object AS neighbour, 'out' AS direction FROM triples WHERE subject = 'EUROPE' UNION ALL SELECT predicate, subject, 'in' FROM triples WHERE object = 'EUROPE'")
@@ -138,19 +141,19 @@ add("kg_dominance", V.triples, lambda t: G.dominance(t, 0.05), f"SELECT category
 add("price_position", V.shelf, lambda s: G.price_position(s.select(F.col("category_id").alias("category"), "brand", "price")), "SELECT category, brand, ratio, CASE WHEN ratio >= 1.3 THEN 'premium' WHEN ratio <= 0.7 THEN 'value' ELSE 'mid' END AS position FROM (SELECT category_id AS category, brand, avg(price) / max(m) AS ratio FROM (SELECT *, avg(price) OVER (PARTITION BY category_id) AS m FROM shelf) GROUP BY 1, 2)", "ratio")
 add("kg_importance", V.triples, G.importance, "SELECT score, count(*) AS n FROM (SELECT DISTINCT *, 0.5::DOUBLE + CASE WHEN predicate = 'hasProduct' THEN 10 ELSE 0 END + 2 * confidence + CASE WHEN predicate IN ('directCompetitor', 'belongsToCategory') THEN 1 ELSE 0 END AS score FROM triples) GROUP BY 1", "score")
 add("kg_eviction", V.triples, G.eviction, "SELECT score, n, greatest(0, least(n, floor(sum(n) OVER () * 0.1::DOUBLE) - coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS evicted FROM (SELECT score, count(*) AS n FROM (SELECT DISTINCT *, 0.5::DOUBLE + CASE WHEN predicate = 'hasProduct' THEN 10 ELSE 0 END + 2 * confidence + CASE WHEN predicate IN ('directCompetitor', 'belongsToCategory') THEN 1 ELSE 0 END AS score FROM triples) GROUP BY 1)", "score")
-add("kg_ancestors", V.triples, lambda t: G.ancestors(t), "SELECT subject AS entity, object AS ancestor, 1 AS steps FROM triples WHERE predicate = 'parentCategory'")
+add("kg_ancestors", V.triples, lambda t: G.ancestors(t, ("originatesFrom", "parentCategory")), "SELECT subject AS entity, object AS ancestor, 1 AS steps FROM triples WHERE predicate IN ('originatesFrom', 'parentCategory') UNION ALL SELECT a.subject, b.object, 2 FROM triples a JOIN triples b ON a.object = b.subject WHERE a.predicate = 'originatesFrom' AND b.predicate = 'parentCategory'")
 VALID = " OR ".join(f"(predicate = '{p}' AND sk IN ('{s}', 'entity') AND ok IN ('{o}', 'entity'))" for s, p, o in G.ALLOWED)
 KIND = "CASE WHEN regexp_matches({c}, '^P[0-9]+$') THEN 'product' WHEN {c} LIKE 'Brand%' THEN 'brand' WHEN {c} LIKE 'Supplier%' THEN 'supplier' ELSE 'entity' END"
 add("kg_validate", V.triples, G.validated, f"SELECT predicate, sk, ok, n, ({VALID}) AS valid FROM (SELECT predicate, {KIND.format(c='subject')} AS sk, {KIND.format(c='object')} AS ok, count(*) AS n FROM triples GROUP BY 1, 2, 3)")
 add("run_sessions", V.runs, lambda r: r.groupBy("user_id", "session").agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("errors")), "SELECT user_id, session, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors FROM runs GROUP BY 1, 2")
-add("run_success_rate", V.runs, lambda r: r.groupBy("event_type").agg(F.count("*").alias("runs"), F.avg("value").alias("mean_value"), F.count_distinct("user_id").alias("users")), "SELECT event_type, count(*) AS runs, avg(value) AS mean_value, count(DISTINCT user_id) AS users FROM runs GROUP BY 1", "mean_value")
+add("run_success_rate", V.runs, lambda r: r.groupBy("event_type").agg(F.count("*").alias("runs"), F.avg("value").alias("mean_value"), F.count_distinct("user_id").alias("users"), F.avg((F.col("value") <= 50).cast("double")).alias("success_rate")), "SELECT event_type, count(*) AS runs, avg(value) AS mean_value, count(DISTINCT user_id) AS users, avg((value <= 50)::INT::DOUBLE) AS success_rate FROM runs GROUP BY 1", "mean_value success_rate")
 
 #: Dates leave as text, so that no reader's date type changes a value.
 DATED = {"snapshot_stats": ("first", "last"), "deals_by_date": ("day",)}
 DATED |= dict.fromkeys(
     """shelf_snapshot latest_snapshot filtered_scan distinct_dates sos_by_brand market_position hhi_by_category hhi_points_daily brand_metrics churn_rate rank_change rank_change_7 rank_shock
     streak_days best_rank rank_range rank_volatility rating_trend market_metrics metric_alerts daily_trends sos_trend competitor_avg_sos recent_sos_trend discount_trend duplicate_groups
-    rank_surges presence_check missing_dates upsert_latest""".split(),
+    rank_surges promoted_gains presence_check missing_dates upsert_latest""".split(),
     ("snapshot_date",),
 )
 

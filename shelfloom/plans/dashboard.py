@@ -117,6 +117,11 @@ triples("kg_product_context", lambda t: G.product_context(t, "P1"), "SELECT subj
 triples("kg_consistency", lambda t: G.inconsistencies(t.where("not (predicate = 'belongsToCategory' and object = 'PROMO')")), "SELECT subject AS entity, 'no category' AS problem, 'error' AS severity FROM triples WHERE predicate = 'belongsToCategory' AND object = 'PROMO'")
 triples("kg_insert_checked", lambda t: G.insert_checked(t, t.where("predicate = 'hasProduct'").select(F.col("object").alias("subject"), "predicate", F.col("subject").alias("object"), "confidence").union(t.where("predicate = 'originatesFrom'").withColumn("confidence", F.lit(1.0)))).groupBy("predicate").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence")), "SELECT predicate, count(*) AS n, CASE WHEN predicate LIKE '%Competitor' THEN 0.8 ELSE 1.0 END::DOUBLE AS confidence FROM triples GROUP BY 1")
 shelf("kg_metric_edges", lambda s: G.metric_edges(S.share_of_shelf(s), ["category_id", "brand"], "snapshot_date", {"sos": "hasShare", "products": "hasProducts"}).groupBy("predicate").agg(F.count("*").alias("edges"), F.sum("value").alias("total")), "SELECT predicate, count(*) AS edges, sum(v) AS total FROM (SELECT unnest(['hasShare', 'hasProducts']) AS predicate, unnest([c / n, c]) AS v FROM (SELECT *, sum(c) OVER (PARTITION BY snapshot_date, category_id)::DOUBLE AS n FROM (SELECT snapshot_date, category_id, brand, count(*)::DOUBLE AS c FROM shelf GROUP BY 1, 2, 3))) GROUP BY 1", "total")
+triples("kg_entity_facts", lambda t: G.entity_facts(t, t.where("predicate = 'parentCategory'").select(F.col("object").alias("entity")).distinct()), """SELECT entity, predicate, other, direction FROM (SELECT DISTINCT e.entity, predicate, other, direction FROM (SELECT subject AS entity, predicate, object AS other, 'out' AS direction FROM triples UNION ALL SELECT object, predicate, subject, 'in' FROM triples) w
+  JOIN (SELECT DISTINCT object AS entity FROM triples WHERE predicate = 'parentCategory') e USING (entity)) QUALIFY row_number() OVER (PARTITION BY entity, predicate, direction ORDER BY other) <= 5""")
+triples("kg_enriched", lambda t: G.enriched(t.select(F.col("subject").alias("brand")).distinct(), t), """SELECT brand, coalesce(kg_products, 0) AS kg_products, coalesce(kg_categories, 0) AS kg_categories, coalesce(kg_rivals, 0) AS kg_rivals FROM (SELECT DISTINCT subject AS brand FROM triples)
+  LEFT JOIN (SELECT a.subject AS brand, count(DISTINCT a.object) AS kg_products, count(DISTINCT b.object) AS kg_categories FROM triples a LEFT JOIN triples b ON a.object = b.subject AND b.predicate = 'belongsToCategory' WHERE a.predicate = 'hasProduct' GROUP BY 1) USING (brand)
+  LEFT JOIN (SELECT brand, count(DISTINCT other) AS kg_rivals FROM (SELECT subject AS brand, object AS other FROM triples WHERE predicate LIKE '%Competitor' UNION ALL SELECT object, subject FROM triples WHERE predicate LIKE '%Competitor') GROUP BY 1) USING (brand)""")
 triples("kg_round_trip", lambda t: written(t).groupBy("predicate").agg(F.count("*").alias("n")), "SELECT predicate, count(*) AS n FROM triples GROUP BY 1")
 
 # --- alerts, text sources

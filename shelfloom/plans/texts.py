@@ -148,8 +148,16 @@ add("ranked_signals", _signals, f"SELECT event_id, user_id, score FROM (SELECT *
 add("numbered_sources", on("events")(lambda e: T.numbered_sources(e, ["event_type", "props"], ["user_id", "ts", "event_id"]).select("user_id", "event_type", "props", "number")), "SELECT user_id, event_type, props, row_number() OVER (PARTITION BY user_id ORDER BY min(struct_pack(ts, event_id)))::INT AS number FROM events GROUP BY 1, 2, 3")
 add("suppressed_errors", on("events")(lambda e: T.suppressed(e.where("event_type = 'error'"), ["event_type"], "ts", 3600, 3).select("event_id")), "SELECT event_id FROM events WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY time_bucket(INTERVAL 1 HOUR, ts) ORDER BY ts, event_id) <= 3")
 
+INTENTS = [(["how", "why"], ["cause", "advice"]), (["data", "model"], ["fact"]), (["what"], ["fact", "cause"])]
+_K = "list_sort(list_distinct(flatten([" + ", ".join(f"CASE WHEN {count_of(w)} > 0 THEN {listed(k)} ELSE [] END" for w, k in INTENTS) + "])))"
+add("asked_kinds", on("conversations")(lambda c: c.groupBy(F.array_join(T.allowed_kinds(F.col("text"), INTENTS), ",").alias("kinds")).agg(F.count("*").alias("turns"))), f"SELECT CASE WHEN len({_K}) > 0 THEN array_to_string({_K}, ',') END AS kinds, count(*) AS turns FROM conversations GROUP BY 1")
+add("reference_types", on("pages")(lambda p: p.groupBy(T.reference_type(F.when(F.col("page_id") % 10 == 0, "t1"), F.col("url"), {"t1": "official"}, [("blog", "blog"), ("/fr/", "foreign")]).alias("kind")).agg(F.count("*").alias("n"))), "SELECT CASE WHEN page_id % 10 = 0 THEN 'official' WHEN contains(lower(url), 'blog') THEN 'blog' WHEN contains(lower(url), '/fr/') THEN 'foreign' ELSE 'article' END AS kind, count(*) AS n FROM pages GROUP BY 1")
+add("extracted_terms", on("documents")(lambda d: d.select("doc_id", F.array_join(T.extracted(F.col("text"), "([A-Z][a-z]+)"), ",").alias("terms"))), "SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '([A-Z][a-z]+)', 1), lambda x, i: length(x) >= 3 AND list_position(regexp_extract_all(text, '([A-Z][a-z]+)', 1), x) = i)[1:10], ',') AS terms FROM documents")
+add("mean_vectors", on("embeddings")(lambda e: T.mean_vectors(e, "label", "embedding").select("label", F.posexplode("mean").alias("place", "mean"))), "SELECT label, place::INT AS place, avg(x) AS mean FROM (SELECT label, unnest(range(len(embedding))) AS place, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2", "mean")
+
 # --- evaluation
 
+add("mentioned_names", lambda s, d: _answers(s, d).select("conv_id", "turn", T.mentioned_recall(F.col("text"), F.array(*map(F.lit, ("the", "an", "data")))).alias("recall")), "SELECT conv_id, turn, (" + " + ".join(f"contains(' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ', ' {w} ')::INT" for w in ("the", "an", "data")) + f") / 3.0::DOUBLE AS recall FROM {ANSWERS}", "recall")
 
 def _sets(s, d):
     a = _answers(s, d)

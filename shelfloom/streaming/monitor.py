@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,18 +42,26 @@ def threshold_alerts(events: DataFrame, limits: dict[str, float]) -> DataFrame:
 
 def breaker(events: DataFrame, failures: int = 3, cool_seconds: int = 60) -> DataFrame:
     """Circuit breaker per user over (ts, event_type): opens after consecutive
-    errors, tries again after the cooling time. One row per state change."""
+    errors, tries again after the cooling time. One row per state change. A batch
+    holds time and kind of a user's events only (9 bytes each) and is taken in
+    order of time; events older than the last of the batches before are late and
+    are left out."""
     schema = "user_id long, ts timestamp, state string"
 
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, count, since = state.get if state.exists else ("closed", 0, 0.0)
+        now, count, since, last = state.get if state.exists else ("closed", 0, 0.0, float("-inf"))
         out = []
-        rows = pd.concat(list(chunks)).sort_values("ts")
-        for ts, kind in zip(rows["ts"], rows["event_type"], strict=True):
+        parts = [(c["ts"].to_numpy("datetime64[ns]"), (c["event_type"] == "error").to_numpy()) for c in chunks]
+        times, errors = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        for i in np.argsort(times, kind="stable"):
+            ts = pd.Timestamp(times[i])
             before, at = now, ts.timestamp()
+            if at < last:
+                continue
+            last = at
             if now == "open" and at - since >= cool_seconds:
                 now = "half_open"
-            if kind == "error":
+            if errors[i]:
                 count += 1
                 if now == "half_open" or (now == "closed" and count >= failures):
                     now, since = "open", at
@@ -60,10 +69,10 @@ def breaker(events: DataFrame, failures: int = 3, cool_seconds: int = 60) -> Dat
                 now, count = "closed", 0
             if now != before:
                 out.append((key[0], ts, now))
-        state.update((now, count, since))
+        state.update((now, count, since, last))
         yield pd.DataFrame(out, columns=["user_id", "ts", "state"])
 
-    return events.select("user_id", "ts", "event_type").groupBy("user_id").applyInPandasWithState(step, schema, "now string, count int, since double", "append", GroupStateTimeout.NoTimeout)
+    return events.select("user_id", "ts", "event_type").groupBy("user_id").applyInPandasWithState(step, schema, "now string, count int, since double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
 def deliver(alerts: DataFrame, folder: str, checkpoint: str):

@@ -88,6 +88,15 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
+def _latin(text: str) -> bool:
+    """Whether a text is in normal form and known to every version of Unicode: Latin-1 only."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordBpe:
     """A vocabulary file of the kind "BPE with word ends" (lower case, white
     space dropped): normalizer, splitting pattern, ranks and pieces."""
@@ -281,7 +290,7 @@ class WordBpe:
         return np.where(rank == _NONE, _NONE, (rank << shift) | at)
 
     def _blank_pieces(self, text: str) -> list[str]:
-        if not text.isascii():
+        if not _latin(text):
             if _NO_MARKS.search(text):
                 text = "".join(unicodedata.normalize("NFC", part) for part in _NO_MARKS.split(text))
             elif not unicodedata.is_normalized("NFC", text):
@@ -293,7 +302,7 @@ class WordBpe:
         return [p for p in regex.split(r"\s+", text) if p] if _ODD_BLANK.search(text) else text.split()
 
     def _words(self, piece: str) -> list[bytes]:
-        if piece.isascii() or not _NO_LETTERS.search(piece):
+        if _latin(piece) or not _NO_LETTERS.search(piece):
             return list(map(str.encode, self.pattern.findall(piece)))
         shown = _NO_LETTERS.sub(_OTHER, piece)
         return [piece[m.start() : m.end()].encode() for m in self.pattern.finditer(shown)]
@@ -304,7 +313,7 @@ class WordBpe:
         cut: list[list[str]] = []
         for text in texts:
             parts: list[str] = []
-            for section in self._at_special.split(text) if self._at_special and self._at_special.search(text) else [text]:
+            for section in self._at_special.split(text) if any(map(text.__contains__, self.special)) else [text]:
                 # a piece holds no blank, so this key is free
                 parts += [f" {section}"] if section in self.special else self._blank_pieces(section)
             cut.append(parts)

@@ -191,3 +191,14 @@ def weighted_merge(parts: dict[str, tuple[DataFrame, float, int]], key: str) ->
         part = rows.select(key, F.lit(kind).alias("kind"), "item", (F.col("score") * weight).alias("score")).withColumn("_n", place).where(F.col("_n") <= keep).drop("_n")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def hybrid(queries: DataFrame, docs: DataFrame, expand, k: int = 10) -> DataFrame:
+    """Search end to end for rows (query, text) with whole numbers as ``query``:
+    gated, searched as asked and as expanded (``expand``: Column to Column) in one
+    pass over the postings, both lists fused by rank: (query, doc, score, lists, rank)."""
+    asked = queries.where(gate(F.col("text")) == "retrieve")
+    both = asked.select((F.col("query") * 2).alias("query"), "text").union(asked.select(F.col("query") * 2 + 1, expand(F.col("text"))))
+    found = bm25(both, docs, k).select(F.floor(F.col("query") / 2).alias("query"), "doc", "rank")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "doc"))
+    return rrf([found], ["query", "doc"]).withColumn("rank", place).where(F.col("rank") <= k)

@@ -76,6 +76,10 @@ shelf("competitor_list", lambda s: D.competitor_list(s, own(), TRACKED), f"SELEC
 shelf("price_index_trend", lambda s: D.price_index_trend(s, mine(), "PROMO"), f"SELECT snapshot_date, coalesce(100 * avg(price) FILTER ({IS}) / avg(price), 100) AS cpi FROM shelf WHERE category_id = 'PROMO' GROUP BY 1", "cpi", "snapshot_date")
 shelf("competitor_promotions", lambda s: D.promotions(s, own()), f"SELECT brand, count(*) AS products, count(*) FILTER (discount_percent > 5) AS promoted, max(discount_percent) AS max_discount FROM shelf WHERE {NOW} AND NOT {OWNED} GROUP BY 1 HAVING count(*) FILTER (discount_percent > 5) > 0 ORDER BY promoted DESC, max_discount DESC, brand LIMIT 15", "max_discount")
 shelf("morning_brief", lambda s: D.morning_brief(s, own()), f"SELECT kind, category_id, asin, brand, rank, gain FROM (SELECT *, unnest([CASE WHEN rank <= 50 AND gain >= 10 THEN 'riser' WHEN rank <= 50 AND gain <= -10 THEN 'faller' END, CASE WHEN {OWNED} AND rank <= 5 THEN 'highlight' END]) AS kind FROM ({PRIOR})) WHERE kind IS NOT NULL AND {NOW}")
+_M = f"SELECT category_id, asin, min_by(rank, snapshot_date) AS start_rank, max_by(rank, snapshot_date) AS end_rank, count(*) AS seen, max(brand) AS brand, min_by(rank, snapshot_date) - max_by(rank, snapshot_date) AS move FROM shelf WHERE {IS} GROUP BY 1, 2 HAVING count(*) >= 2"
+shelf("target_movers", lambda s: P.movers(s.where(mine())), f"(SELECT *, 'riser' AS kind FROM ({_M}) WHERE move > 5 ORDER BY move DESC, category_id, asin LIMIT 10) UNION ALL (SELECT *, 'faller' FROM ({_M}) WHERE move < -5 ORDER BY move, category_id, asin LIMIT 10)")
+shelf("target_top_products", lambda s: D.at_latest(s).where(mine()).orderBy("rank", "category_id").limit(10).select("category_id", "asin", "rank"), f"SELECT category_id, asin, rank FROM shelf WHERE {NOW} AND {IS} ORDER BY rank, category_id LIMIT 10")
+shelf("category_average_share", lambda s: s.groupBy("category_id").agg(F.count_distinct("brand").alias("brands")).select("category_id", "brands", (100.0 / F.col("brands")).alias("avg_sos")), "SELECT category_id, count(DISTINCT brand) AS brands, 100.0::DOUBLE / count(DISTINCT brand) AS avg_sos FROM shelf GROUP BY 1", "avg_sos")
 add("sibling_nations", lambda s, d: D.siblings(V.table(s, d, "nation"), "n_regionkey", "n_name"), "SELECT x.n_regionkey, x.n_name AS a, y.n_name AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_name <> y.n_name")
 add("new_documents", lambda s, d: V.table(s, d, "documents").join(V.table(s, d, "labels"), "doc_id", "left_anti").select("doc_id"), "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
 add("mapped_brands", lambda s, d: D.with_mapping(V.deals(s, d).select("asin", "brand"), V.table(s, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("asin"), F.lower("p_brand").alias("brand")), "asin", "brand").groupBy("brand").agg(F.count("*").alias("n")),

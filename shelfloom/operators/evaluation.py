@@ -73,9 +73,37 @@ def ranked(found: DataFrame, key: str, k: int = 10, hits: int = 3) -> DataFrame:
     )
 
 
-def overall(l1: Column, l2: Column, l3: Column, l4: Column) -> Column:
-    """Layer scores weigh 0.45, 0.35, 0.10 and 0.10."""
-    return 0.45 * l1 + 0.35 * l2 + 0.10 * l3 + 0.10 * l4
+def overall(layers: dict[str, Column], graph: Column, answer: list[Column]) -> Column:
+    """Overall score of an item: 0.45 answer, 0.35 retrieval, 0.10 mapping, 0.10 ontology.
+
+    ``layers`` holds entity_link_f1, concept_map_f1, constraint_f1, recall, precision,
+    mrr, hits, edge_f1, violation_rate and type_consistency; items that need the
+    ``graph`` weigh retrieval otherwise. ``answer`` scores that are null don't count.
+    """
+    x = layers
+    mapping = (x["entity_link_f1"] + x["concept_map_f1"] + x["constraint_f1"]) / 3
+    with_graph = 0.3 * x["recall"] + 0.1 * x["mrr"] + 0.4 * x["hits"] + 0.2 * x["edge_f1"]
+    without = 0.5 * x["recall"] + 0.2 * x["precision"] + 0.3 * x["mrr"]
+    ontology = 0.5 * (1 - x["violation_rate"]) + 0.5 * x["type_consistency"]
+    given = F.filter(F.array(*answer), lambda v: v.isNotNull())
+    said = F.when(F.size(given) == 0, 0.0).otherwise(F.aggregate(given, F.lit(0.0), lambda a, v: a + v) / F.size(given))
+    return 0.45 * said + 0.35 * F.when(graph, with_graph).otherwise(without) + 0.10 * mapping + 0.10 * ontology
+
+
+def graph_layer(found: Column, gold: Column, found_edges: Column, gold_edges: Column, k: int = 10) -> Column:
+    """struct(hits, edge_f1, precision, recall) of the entities and edges found in a graph."""
+    return F.struct(
+        hits_at(found, gold, k).alias("hits"), set_f1(found_edges, gold_edges).alias("edge_f1"), set_precision(found, gold).alias("precision"), set_recall(found, gold).alias("recall")
+    )
+
+
+def graded_ndcg(ranked_rows: DataFrame, key: str, k: int = 10) -> DataFrame:
+    """nDCG with graded gains from rows (key, rank, gain); the ideal sorts all gains
+    of the key, also of rows beyond ``k`` (rank null: not found). 0 without any gain."""
+    best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("gain")))
+    rows = ranked_rows.withColumn("_best", best)
+    gained = lambda place: F.sum(F.when(F.col(place) <= k, F.col("gain") / F.log2(F.col(place) + F.lit(1.0))).otherwise(0.0))
+    return rows.groupBy(key).agg(gained("rank").alias("_dcg"), gained("_best").alias("_ideal")).select(key, F.when(F.col("_ideal") > 0, F.col("_dcg") / F.col("_ideal")).otherwise(0.0).alias("ndcg"))
 
 
 def report(results: DataFrame, dims: list[str], metrics: list[str]) -> DataFrame:

@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 #: What a missing metric counts as.
 DEFAULTS = {"sos": 0.0, "cpi": 100.0, "current_rank": 100}
 
+#: Fixed words of the sentiment rules: tags of good value, and words of a summary.
+VALUE = ("value for money", "good value", "affordable")
+PRAISE = "love|great|excellent|amazing|best|recommend|perfect"
+MILD, DOUBT = "like|good|nice", "but|however|although|wish|could be better"
+
 #: (name, group, condition, priority, confidence)
 RULES = (
     ("market_dominance_fragmented", "market", "sos >= 0.15 AND hhi < 0.15", 10, 0.9),
@@ -39,24 +44,25 @@ RULES = (
     ("bestseller_badge_effect", "price", "has_badge AND abs(rank_change_7) <= 3", 7, 0.9),
     ("high_discount_dependency_score", "price", "discount_score >= 0.7", 7, 0.85),
     ("premium_defense_success", "price", "cpi > 120 AND current_rank <= 10", 8, 0.9),
-    ("hydration_strength", "sentiment", "array_contains(tags, 'hydration')", 7, 0.85),
-    ("value_advantage", "sentiment", "array_contains(tags, 'value')", 8, 0.8),
-    ("packaging_weakness", "sentiment", "array_contains(tags, 'packaging') AND NOT array_contains(tags, 'usability')", 6, 0.75),
-    ("usability_strength", "sentiment", "array_contains(tags, 'usability')", 6, 0.8),
-    ("effectiveness_strong", "sentiment", "array_contains(tags, 'effectiveness')", 7, 0.85),
-    ("sensory_gap", "sentiment", "array_contains(tags, 'sensory') AND NOT array_contains(tags, 'effectiveness')", 6, 0.75),
-    ("perception_positive", "sentiment", "size(tags) >= 3", 7, 0.8),
-    ("perception_mixed", "sentiment", "size(tags) = 2", 6, 0.75),
-    ("prime_day_impact", "ir", "rank_change < -10", 9, 0.85),
+    ("hydration_strength", "sentiment", "size(clusters['Hydration']) >= 2", 7, 0.85),
+    ("value_advantage", "sentiment", f"exists(tags, t -> lower(t) IN {VALUE + ('worth the price',)}) AND NOT coalesce(exists(rival_tags, t -> lower(t) IN {VALUE}), false)", 8, 0.8),
+    ("packaging_weakness", "sentiment", "NOT coalesce(map_contains_key(clusters, 'Packaging'), false) AND map_contains_key(rival_clusters, 'Packaging')", 6, 0.75),
+    ("usability_strength", "sentiment", "map_contains_key(clusters, 'Usability')", 6, 0.8),
+    ("effectiveness_strong", "sentiment", "size(clusters['Effectiveness']) >= 1", 7, 0.85),
+    ("sensory_gap", "sentiment", "NOT coalesce(map_contains_key(clusters, 'Sensory'), false) AND map_contains_key(rival_clusters, 'Sensory')", 6, 0.75),
+    ("perception_positive", "sentiment", f"lower(summary) RLIKE '{PRAISE}'", 7, 0.8),
+    ("perception_mixed", "sentiment", f"lower(summary) RLIKE '{MILD}' AND lower(summary) RLIKE '{DOUBT}'", 6, 0.75),
+    ("prime_day_impact", "ir", "event_named AND event_rank_change < -10", 9, 0.85),
     ("americas_revenue_correlation", "ir", "revenue_yoy > 0 AND sos_change > 0 AND is_target", 8, 0.8),
     ("growth_momentum", "ir", "growth_quarters >= 2", 7, 0.7),
-    ("growth_slowdown_warning", "ir", "growth_quarters = 0", 8, 0.65),
-    ("brand_campaign_effect", "ir", "has_campaign AND sos_change > 0", 7, 0.75),
+    ("growth_slowdown_warning", "ir", "growth_before > 0 AND coalesce(growth_now, 0) < growth_before * 0.5", 8, 0.65),
+    ("brand_campaign_effect", "ir", "has_campaign AND rank_change_7 < 0", 7, 0.75),
     ("brand_ownership_verification", "ir", "is_owned", 5, 1.0),
 )
 _OPTIONAL = {
-    "double": "sos hhi avg_rank sos_change cpi rating_gap churn_rate rating_trend discount_overlap price_change discount_score volatility revenue_yoy",
-    "long": "competitors current_rank rank_change rank_change_7 streak trend_keywords reviews growth_quarters", "boolean": "is_target rank_shock has_badge has_campaign is_owned", "array<string>": "tags",
+    "double": "sos hhi avg_rank sos_change cpi rating_gap churn_rate rating_trend discount_overlap price_change discount_score volatility revenue_yoy growth_now growth_before",
+    "long": "competitors current_rank rank_change rank_change_7 streak trend_keywords reviews growth_quarters event_rank_change", "boolean": "is_target rank_shock has_badge has_campaign is_owned event_named",
+    "array<string>": "tags rival_tags", "map<string,array<string>>": "clusters rival_clusters", "string": "summary",
 }
 
 

@@ -16,7 +16,7 @@ SQL: dict = {}
 
 
 def rounded(df, *names, digits=6):
-    return df.withColumns({n: F.round(F.col(n), digits) for n in names})
+    return df.withColumns({n: F.round(F.col(n), digits) + F.lit(0.0) for n in names})  # no negative zeros
 
 
 def add(name, source, plan, sql, doubles=""):
@@ -24,7 +24,7 @@ def add(name, source, plan, sql, doubles=""):
     cols = doubles.split()
     QUERIES[name] = lambda spark, sf: rounded(plan(source(spark, sf)), *cols)
     views = {V.shelf: V.SHELF_SQL, V.deals: V.DEALS_SQL, V.triples: V.TRIPLES_SQL, V.runs: V.RUNS_SQL}[source]
-    body = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in cols)}) FROM ({sql})" if cols else sql
+    body = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) + 0.0::DOUBLE AS {c}' for c in cols)}) FROM ({sql})" if cols else sql
     SQL[name] = f"WITH {views}\n{body}"
 
 

@@ -34,6 +34,9 @@ def on(table):
 
 # --- rules
 
+#: Month of the sales event that the event rules look at.
+EVENT_MONTH = 7
+
 CONTEXT_SQL = """quant AS (SELECT *, CASE WHEN price > 0 THEN floor(price * 1e6 + 0.5)::BIGINT END AS pq, CASE WHEN rating > 0 THEN floor(rating * 1e6 + 0.5)::BIGINT END AS rq FROM shelf),
 b AS (SELECT snapshot_date, category_id, brand, count(*)::DOUBLE / max(n) AS sos, avg(rank) AS avg_rank, min(rank) AS current_rank, 100 * (sum(pq)::DOUBLE / count(pq) / 1e6) / (max(mp)::DOUBLE / max(mpc) / 1e6) AS cpi,
     sum(rq)::DOUBLE / count(rq) / 1e6 - max(mr)::DOUBLE / max(mrc) / 1e6 AS rating_gap
@@ -48,7 +51,7 @@ h1 AS (SELECT snapshot_date, category_id, asin, brand, rank, reviews_count AS re
   FROM h0 WINDOW l AS (PARTITION BY category_id, asin ORDER BY snapshot_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), f AS (PARTITION BY category_id, asin ORDER BY snapshot_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 h2 AS (SELECT *, bool_or(rank_shock) OVER (PARTITION BY snapshot_date, category_id, brand) AS shock FROM h1 QUALIFY row_number() OVER (PARTITION BY snapshot_date, category_id, brand ORDER BY rank) = 1),
 churned AS (""" + A.CHURN + """),
-ctx AS (SELECT ctx0.*, rank_change, rank_change_7, volatility, streak, rating_trend, price_change, discount_overlap, discount_score, reviews, shock AS rank_shock, churn_rate
+ctx AS (SELECT ctx0.*, rank_change, rank_change_7, volatility, streak, rating_trend, price_change, discount_overlap, discount_score, reviews, shock AS rank_shock, churn_rate, month(snapshot_date) = 7 AS event_named, CASE WHEN month(snapshot_date) = 7 THEN rank_change END AS event_rank_change
   FROM ctx0 LEFT JOIN h2 USING (snapshot_date, category_id, brand) LEFT JOIN churned USING (snapshot_date, category_id))"""
 
 
@@ -68,11 +71,13 @@ def context(spark, sf):
     shelf = V.shelf(spark, sf)
     churn = S.churn(shelf).select("snapshot_date", "category_id", "churn_rate")
     history = S.product_history(shelf).withColumns({c: F.round(c, 9) for c in ("volatility", "rating_trend")})  # so that 3 and 5 are whole
-    return brand_context(shelf).join(S.best_products(history), KEYS, "left").join(churn, KEYS[:2], "left")
+    event = F.month("snapshot_date") == EVENT_MONTH
+    out = brand_context(shelf).join(S.best_products(history), KEYS, "left").join(churn, KEYS[:2], "left")
+    return out.withColumns({"event_named": event, "event_rank_change": F.when(event, F.col("rank_change"))})
 
 
-#: Metrics without a source table.
-ABSENT = ("trend_keywords", "has_badge", "tags", "revenue_yoy", "growth_quarters", "has_campaign", "is_owned")
+#: Metrics without a source table; those of sentiment have their own query.
+ABSENT = ("trend_keywords", "has_badge", "tags", "clusters", "summary", "revenue_yoy", "growth_quarters", "growth_before", "has_campaign", "is_owned")
 PICKED = [r for r in N.RULES if not any(m in r[2] for m in ABSENT)]
 HITS = "\n UNION ALL ".join(f"SELECT snapshot_date, category_id, brand, '{n}' AS rule, '{g}' AS kind, {p} AS priority, {c}::DOUBLE AS confidence FROM ctx WHERE {w}" for n, g, w, p, c in PICKED)
 RULE_SQL = f"WITH {V.SHELF_SQL}, {CONTEXT_SQL}, hits AS ({HITS})"

@@ -273,3 +273,32 @@ def enriched(context: DataFrame, edges: DataFrame, brand: str = "brand") -> Data
     figures = products.join(rivals, "_b", "full_outer")
     names = ("kg_products", "kg_categories", "kg_rivals")
     return context.join(figures, F.col(brand) == F.col("_b"), "left").drop("_b").withColumns({n: F.coalesce(n, F.lit(0)) for n in names})
+
+
+def ownership_edges(brands: DataFrame) -> DataFrame:
+    """Edges of rows (brand, owner, segment, country, acquired): ownedByGroup,
+    ownsBrand, hasSegment, originatesFrom and, if acquired, acquiredIn. Sisters of a
+    brand are found through its owner (``ownership``) and not stored pair by pair."""
+    edge = lambda s, p, o, real: F.when(real & o.isNotNull(), F.struct(s.alias("subject"), F.lit(p).alias("predicate"), o.cast("string").alias("object")))
+    b, always = F.col("brand"), F.col("brand") != ""
+    found = F.array(
+        edge(b, "ownedByGroup", F.col("owner"), always), edge(F.col("owner"), "ownsBrand", b, always & F.col("owner").isNotNull()), edge(b, "hasSegment", F.coalesce("segment", F.lit("Unknown")), always),
+        edge(b, "originatesFrom", F.col("country"), always), edge(b, "acquiredIn", F.col("acquired"), always),
+    )
+    return brands.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("x.*", F.lit(1.0).alias("confidence")).distinct()
+
+
+def ownership(edges: DataFrame) -> DataFrame:
+    """(brand, owner, segment, country, acquired, sisters): one aggregation over a
+    brand's edges; sisters are the owner's other brands, counted."""
+    names = {"ownedByGroup": "owner", "hasSegment": "segment", "originatesFrom": "country", "acquiredIn": "acquired"}
+    per = edges.where(F.col("predicate").isin(*names)).groupBy(F.col("subject").alias("brand")).agg(*(F.min(F.when(F.col("predicate") == p, F.col("object"))).alias(n) for p, n in names.items()))
+    sizes = edges.where("predicate = 'ownsBrand'").groupBy(F.col("subject").alias("owner")).agg((F.count_distinct("object") - 1).alias("sisters"))
+    return per.join(sizes, "owner", "left").select("brand", "owner", "segment", "country", "acquired", F.coalesce("sisters", F.lit(0)).alias("sisters"))
+
+
+def sisters(edges: DataFrame, brand: str) -> DataFrame:
+    """The other brands of a brand's owner."""
+    owner = match(edges, brand, "ownedByGroup").select(F.col("object").alias("owner"))
+    owned = edges.where("predicate = 'ownsBrand'").select(F.col("subject").alias("owner"), F.col("object").alias("sister"))
+    return owned.join(owner, "owner", "left_semi").where(F.col("sister") != brand).select("sister").distinct()

@@ -134,9 +134,16 @@ def gate(text: Column) -> Column:
 SECRETS = ((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>"), (r"\+?[0-9][0-9() -]{8,}[0-9]", "<phone>"), (r"[0-9a-f]{32,}", "<key>"))
 
 
-def masked(text: Column) -> Column:
+#: Keys and tokens of log lines with what stands for them, fixed values, applied in this order.
+KEYS = (
+    (r"sk-[a-zA-Z0-9]{20,}", "sk-****"), (r"apify_api_[a-zA-Z0-9]{20,}", "apify_api_****"), (r"tvly-[a-zA-Z0-9]{20,}", "tvly-****"),
+    (r"""(?i)(api[_-]?key|token|secret|password)["']?\s*[:=]\s*["']?([a-zA-Z0-9_\-]{16,})["']?""", "$1=****"), (r"Bearer\s+[a-zA-Z0-9_\-\.]{20,}", "Bearer ****"), (r"\b[a-zA-Z0-9_\-]{40,}\b", "****"),
+)
+
+
+def masked(text: Column, patterns=SECRETS) -> Column:
     """Secrets replaced."""
-    for pattern, name in SECRETS:
+    for pattern, name in patterns:
         text = F.regexp_replace(text, pattern, name)
     return text
 

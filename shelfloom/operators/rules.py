@@ -103,3 +103,14 @@ def top_actions(context: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
     alerts = context.where("rank_shock").select(*keys, F.lit("alert").alias("origin"), F.lit("rank_shock").alias("name"), F.lit(9).alias("priority"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("priority"), "name"))
     return hits.unionByName(alerts).withColumn("_n", place).where(F.col("_n") <= k).drop("_n")
+
+
+def action_queue(context: DataFrame, keys: list[str], most: int = 3) -> DataFrame:
+    """Up to ``most`` actions (keys, place, action) for rows with shocks, cpi,
+    rating_gap and churn_rate, in a fixed order; all_quiet if none is due."""
+    due = F.array(
+        F.when(F.col("shocks") > 0, F.lit("check_moved_products")), F.when((F.col("cpi") > 100) & (F.col("rating_gap") < 0), F.lit("check_price_against_rating")),
+        F.when(F.col("churn_rate") > 0.2, F.lit("check_entries_and_exits")),
+    )
+    named = F.filter(due, lambda x: x.isNotNull())
+    return context.select(*keys, F.posexplode(F.when(F.size(named) == 0, F.array(F.lit("all_quiet"))).otherwise(F.slice(named, 1, most))).alias("place", "action"))

@@ -199,3 +199,25 @@ def mean_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """Mean vector of every key, one aggregation per dimension and key."""
     parts = rows.select(key, F.posexplode(vector).alias("place", "x")).groupBy(key, "place").agg(F.avg("x").alias("x"))
     return parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda p: p["x"]).alias("mean"))
+
+
+def semantic_chunks(units: DataFrame, share: float = 0.25, least: float = 0.5, low: int = 100, high: int = 1000) -> DataFrame:
+    """Chunk numbers of sentences (doc, place, size, vector): a chunk ends where the
+    cosine to the next sentence is below the document's ``share`` quantile (``least``
+    at least) and it holds ``low`` characters, or where it holds ``high``. Vectors
+    meet only their neighbour; the fold sees one document's sizes and cuts. A vector of zeros has cosine 0."""
+    w = Window.partitionBy("doc").orderBy("place")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    rows = units.withColumns({"_next": F.lead("vector").over(w), "_norm": F.sqrt(dot(F.col("vector"), F.col("vector")))}).withColumn("_after", F.lead("_norm").over(w))
+    rows = rows.select("doc", "place", "size", F.when(F.col("_next").isNotNull(), F.coalesce(dot(F.col("vector"), F.col("_next")) / F.nullif(F.col("_norm") * F.col("_after"), F.lit(0.0)), F.lit(0.0))).alias("sim"))
+    limit = F.greatest(F.percentile("sim", share).over(Window.partitionBy("doc")), F.lit(least))
+    cut = rows.select("doc", F.struct("place", "size", F.coalesce(F.col("sim") < limit, F.lit(False)).alias("cut")).alias("s"))
+    start = F.struct(F.array().cast("array<int>").alias("chunks"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("chunk"))
+
+    def step(acc, s):
+        used = acc["used"] + s["size"]
+        ends = (s["cut"] & (used >= low)) | (used >= high)
+        return F.struct(F.array_append(acc["chunks"], acc["chunk"]).alias("chunks"), F.when(ends, F.lit(0).cast("long")).otherwise(used).alias("used"), (acc["chunk"] + ends.cast("int")).alias("chunk"))
+
+    folded = cut.groupBy("doc").agg(F.array_sort(F.collect_list("s")).alias("s")).select("doc", "s", F.aggregate("s", start, step, lambda acc: acc["chunks"]).alias("c"))
+    return folded.select("doc", F.explode(F.arrays_zip(F.col("s")["place"].alias("place"), F.col("c").alias("chunk"))).alias("x")).select("doc", F.col("x.place").alias("place"), F.col("x.chunk").alias("chunk"))

@@ -18,18 +18,38 @@ CONTEXT = 50
 STATUS_SCORE = {"verified": 1.0, "close": 0.7, "unknown": 0.4, "refuted": 0.0}
 
 
-def _found(text: Column, kind: str) -> Column:
+#: Patterns of claims in Korean and English reports by unit, fixed values.
+REPORT_PATTERNS = {
+    "rank": r"\d+\s*위", "rank_place": r"\d+\s*등", "rank_top": r"[Tt][Oo][Pp]\s*\d+", "percent": r"\d+\.?\d*\s*%", "percent_word": r"\d+\.?\d*\s*퍼센트",
+    "sos": r"[Ss][Oo][Ss]\s*[:=]?\s*\d+\.?\d*\s*%?", "hhi": r"[Hh][Hh][Ii]\s*[:=]?\s*\d+\.?\d*", "cpi": r"[Cc][Pp][Ii]\s*[:=]?\s*\d+\.?\d*", "price_usd": r"\$\s*\d+\.?\d*",
+    "price_krw": r"\d{1,3}(?:,\d{3})*\s*원", "count": r"\d+\s*개", "count_people": r"\d+\s*명",
+    "today": "오늘", "yesterday": "어제", "this_week": r"이번\s*주", "last_week": r"지난\s*주", "this_month": r"이번\s*달", "last_month": r"지난\s*달", "recent": "최근", "current": "현재",
+    "date": r"\d{4}[-./]\d{1,2}[-./]\d{1,2}", "date_kr": r"\d{1,2}월\s*\d{1,2}일",
+    "competitive_positive": r"경쟁력\s*(?:있|높|강)", "position_positive": "강세|우위|선두|지배", "trend_positive": "성장|상승|증가|개선", "competitive_negative": r"경쟁력\s*(?:없|낮|약)",
+    "position_negative": "약세|열위|후발|미미", "trend_negative": "하락|감소|악화|저조", "neutral": "보통|중간|평균|유지",
+    "comparison": r"보다\s*(?:높|낮|많|적|크|작)", "change": r"대비\s*\d+\.?\d*\s*%?\s*(?:증가|감소|상승|하락)", "multiple": r"\d+\.?\d*\s*배",
+}
+#: Weights of the kinds of claims in the score of a whole text, fixed values.
+KIND_WEIGHT = {"numerical": 1.5, "temporal": 1.0, "logical": 1.2, "comparative": 0.8}
+#: Ways to write a change of rank, and shortened names that a report should not hold, fixed values.
+RANK_MOVES = (r"(\d+)\s*위에서\s*(\d+)\s*위로", r"(\d+)위\s*→\s*(\d+)위", r"순위:\s*(\d+)\s*→\s*(\d+)")
+SHORTENED = ("Burt's", "wet", "Tree", "Summer", "Rare", "La", "Beauty", "Tower", "Drunk", "Paula's", "The", "Glow", "Youth")
+#: What may follow such a word, since then the name is whole.
+COMPLETED = ("Bees", r"n\s*wild", "Hut", "Fridays", "Beauty", "Roche", r"of\s*Joseon", "28", "Elephant", "Choice", "Ordinary", "Recipe", "To")
+
+
+def _found(text: Column, kind: str, patterns: dict[str, str]) -> Column:
     """Array of the claims of one kind, each with the text on both sides."""
-    found, around = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), F.split(text, PATTERNS[kind], -1)
+    found, around = F.regexp_extract_all(text, F.lit(patterns[kind]), F.lit(0)), F.split(text, patterns[kind], -1)
     zipped = F.arrays_zip(found.alias("claim"), F.slice(around, 1, F.size(found)).alias("left"), F.slice(around, 2, F.size(found)).alias("right"))
     return F.transform(zipped, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("number"), x["claim"].alias("claim"), x["left"].alias("left"), x["right"].alias("right")))
 
 
-def extract(docs: DataFrame, kinds: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def extract(docs: DataFrame, kinds: list[str], id_col: str = "doc_id", text_col: str = "text", patterns: dict[str, str] = PATTERNS) -> DataFrame:
     """One row per claim: id, kind, number within the text from 0, start offset,
     the claim, and up to 50 characters on both sides as far as the next claim of
     its kind. Null and empty texts have none."""
-    parts = [_found(F.col(text_col), kind) for kind in kinds]
+    parts = [_found(F.col(text_col), kind, patterns) for kind in kinds]
     rows = docs.where(F.length(text_col) > 0).select(F.col(id_col), F.explode(F.concat(*parts)).alias("c")).select(id_col, "c.*")
     order = Window.partitionBy(id_col, "kind").orderBy("number")
     start = F.sum(F.length("left")).over(order) + F.coalesce(F.sum(F.length("claim")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -86,3 +106,40 @@ def with_fallback(sources: list[DataFrame], key: str) -> DataFrame:
     for later in sources[1:]:
         out = out.unionByName(later.join(out.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
     return out
+
+
+def rank_status(claimed: Column, actual: Column, near: int = 1) -> Column:
+    """struct(status, confidence) of a claimed rank: verified when equal, close within ``near``, else refuted; unknown without either."""
+    off = F.abs(claimed - actual)
+    pair = lambda s, c: F.struct(F.lit(s).alias("status"), F.lit(c).alias("confidence"))
+    return F.when(off.isNull(), pair("unknown", 0.0)).when(off == 0, pair("verified", 1.0)).when(off <= near, pair("close", 0.8)).otherwise(pair("refuted", 0.0))
+
+
+def text_scores(claims: DataFrame, key: str) -> DataFrame:
+    """Score and grade of every text from its claims (key, kind, status, confidence):
+    0.7 of the status score and 0.3 of the confidence, weighted by kind."""
+    known = lambda table, c: F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[c]
+    score = 0.7 * F.coalesce(known(STATUS_SCORE, F.col("status")), F.lit(0.5)) + 0.3 * F.col("confidence")
+    weight = F.coalesce(known(KIND_WEIGHT, F.col("kind")), F.lit(1.0))
+    total = F.round(F.sum(score * weight) / F.sum(weight), 3)
+    return claims.groupBy(key).agg(total.alias("score")).withColumn("grade", F.when(F.col("score") >= 0.85, "high").when(F.col("score") >= 0.60, "medium").otherwise("low"))
+
+
+def report_issues(text: Column, jump: int = 30, share: float = 50.0, points: float = 10_000.0) -> Column:
+    """Sorted issues of a report's text: a rank that moves by more than ``jump``, a
+    share above ``share`` percent, a concentration above ``points``, a shortened or an unknown brand. Empty for null."""
+    number = lambda p, i: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(i)), lambda x: x.cast("double"))
+    jumps = [F.exists(F.zip_with(number(p, 1), number(p, 2), lambda a, b: F.abs(a - b)), lambda x: x > jump) for p in RANK_MOVES]
+    short = text.rlike(rf"(?i)\b(?:{'|'.join(SHORTENED)})\b(?!\s*(?:{'|'.join(COMPLETED)}))")
+    found = {
+        "rank_jump": jumps[0] | jumps[1] | jumps[2], "share_above_limit": F.exists(number(r"SoS[:\s]*(\d+\.?\d*)%", 1), lambda x: x > share),
+        "concentration_above_limit": F.exists(number(r"HHI[:\s]*(\d+\.?\d*)", 1), lambda x: x > points), "shortened_brand": short, "unknown_brand": text.rlike(r"(?i)\bUnknown\b"),
+    }
+    return F.sort_array(F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in found.items())), lambda x: x.isNotNull()))
+
+
+def context_names(facts: Column, most: int = 5) -> Column:
+    """struct(entities, relations) of an array of (subject, predicate, object): distinct
+    names in order, ``most`` entities; null and empty names don't count."""
+    plain = lambda a: F.array_sort(F.array_distinct(F.filter(a, lambda x: x.isNotNull() & (x != ""))))
+    return F.struct(F.slice(plain(F.concat(facts["subject"], facts["object"])), 1, most).alias("entities"), plain(facts["predicate"]).alias("relations"))

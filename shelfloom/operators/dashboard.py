@@ -228,3 +228,37 @@ def metadata_filter(spec: dict) -> Column:
             part = F.col(key).isin(value["$in"]) if isinstance(value, dict) else F.col(key) == value
         out &= F.coalesce(part, F.lit(False))
     return out
+
+
+def ladder(history: DataFrame) -> DataFrame:
+    """Best row of every product in the latest snapshot with the first signal that
+    holds, its action and priority: ranks moved by more than 2, a rating below 4, a
+    range above 15 in the last seven rows, a place in the Top 5."""
+    best = at_latest(history).withColumn("_n", F.row_number().over(Window.partitionBy("asin").orderBy("rank", "category_id"))).where("_n = 1")
+    change = F.coalesce("rank_change", F.lit(0))
+    step = lambda s, a, p: F.struct(F.lit(s).alias("signal"), F.lit(a).alias("action"), F.lit(p).alias("priority"))
+    first = (
+        F.when(change < -2, step("rise", "MONITOR", "P1")).when(change > 2, step("fall", "CHECK", "P1")).when((F.col("rating") > 0) & (F.col("rating") < 4), step("low_rating", "CHECK", "P1"))
+        .when(F.col("rank_range") > 15, step("volatile", "DEEP DIVE", "P1")).when(F.col("rank") <= 5, step("top", "MONITOR", "P2")).otherwise(step("steady", "DEEP DIVE", "P2"))
+    )
+    return best.select("asin", "category_id", "rank", change.alias("change"), first.alias("x")).select("asin", "category_id", "rank", "change", "x.*")
+
+
+def growth_type(discount: Column, coupon: Column, badges: Column, above: float = 15.0) -> Column:
+    """discount_based with a discount above ``above``, a coupon or a deal badge, else organic."""
+    return F.when((discount > above) | F.coalesce(coupon != "", F.lit(False)) | F.coalesce(badges.rlike("Deal|Lightning"), F.lit(False)), "discount_based").otherwise("organic")
+
+
+def matrix(shelf: DataFrame, forced: str, k: int = 10) -> DataFrame:
+    """The k brands of most rows (two at least) and the forced one, with their average rank."""
+    per = shelf.groupBy("brand").agg(F.count("*").alias("products"), F.avg("rank").alias("avg_rank"))
+    top = per.where("products >= 2").orderBy(F.desc("products"), "brand").limit(k)
+    return top.unionByName(per.where(F.col("brand") == forced)).distinct()
+
+
+def run_summary(shelf: DataFrame, alerts: DataFrame, mine: Column) -> DataFrame:
+    """Per category of the latest snapshot: the target's share, its best product,
+    and the snapshot's alerts by severity (alerts: DATE, category_id, severity)."""
+    per = at_latest(shelf).groupBy(DATE, "category_id").agg((F.count_if(mine) / F.count("*")).alias("sos"), F.min_by(F.when(mine, F.col("asin")), F.when(mine, F.col("rank"))).alias("best"))
+    counts = alerts.groupBy(DATE, "category_id").agg(*(F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "warning", "info")))
+    return per.join(counts, [DATE, "category_id"], "left").na.fill(0, ["critical", "warning", "info"])

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfloom.operators import shelf as S
 from shelfloom.sources import views as V
 
-from . import analytics, dashboard, insight, knowledge, reports, texts
+from . import analytics, checks, dashboard, insight, knowledge, reports, texts
 
-MODULES = [analytics, insight, reports, dashboard, texts, knowledge]
+MODULES = [analytics, insight, reports, dashboard, texts, knowledge, checks]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shelfloom.operators import claims as C
+from shelfloom.operators import dashboard as D
 from shelfloom.operators import evaluation as E
 from shelfloom.operators import fuzzy
 from shelfloom.operators import graph as G
@@ -112,3 +114,29 @@ def test_layers_and_masks(spark):
     assert [(r.k, r.action) for r in queue.where("place < 2").orderBy("k", "place").collect()] == [(1, "all_quiet"), (2, "check_moved_products"), (2, "check_price_against_rating")]
     line = spark.createDataFrame([("token = 'abcdefghijklmnop1' sk-short tvly-" + "a" * 20, None)], "a string, b string")
     assert tuple(line.select(R.masked(F.col("a"), R.KEYS), R.masked(F.col("b"), R.KEYS)).first()) == ("token=**** sk-short tvly-****", None)
+
+
+def test_report_issues_and_scores(spark):
+    cases = {
+        None: [], "": [], "순위: 5 → 40": ["rank_jump"], "12위에서 3위로": [], "SoS: 50% SoS 50.5%": ["share_above_limit"], "HHI: 10000, HHI 10001": ["concentration_above_limit"],
+        "Tree Hut, Burt's Bees, wet n wild": [], "burt's 1위, unknown": ["shortened_brand", "unknown_brand"],
+    }
+    frame = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
+    got = {r.i: r.x for r in frame.select("i", C.report_issues(F.col("t")).alias("x")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    claims = spark.createDataFrame([(1, "numerical", "verified", 1.0), (1, "comparative", "refuted", 0.0), (2, None, None, 1.0), (3, "logical", "verified", 1.0)], "k int, kind string, status string, confidence double")
+    assert {r.k: (r.score, r.grade) for r in C.text_scores(claims, "k").collect()} == {1: (0.652, "medium"), 2: (0.65, "medium"), 3: (1.0, "high")}
+    ranks = spark.createDataFrame([(3, 3), (3, 4), (3, 5), (3, None)], "a int, b int").select(C.rank_status(F.col("a"), F.col("b")).alias("x")).collect()
+    assert [(r.x.status, r.x.confidence) for r in ranks] == [("verified", 1.0), ("close", 0.8), ("refuted", 0.0), ("unknown", 0.0)]
+    named = spark.range(1).select(C.context_names(F.expr("array(struct('b' AS subject, 'p' AS predicate, '' AS object), struct(string(null) AS subject, 'p' AS predicate, 'a' AS object))"), 1).alias("x")).first().x
+    assert (named.entities, named.relations) == (["a"], ["p"])
+
+
+def test_ladder_and_growth(spark):
+    day = date(2024, 1, 2)
+    rows = [("a", "x", 9, -3, 4.5, 0), ("b", "x", 9, 3, 4.5, 0), ("c", "x", 9, 2, 3.9, 99), ("d", "x", 9, None, 0.0, 16), ("e", "x", 5, 0, None, 15), ("f", "x", 6, 0, 4.0, 15), ("f", "w", 6, 9, 4.0, 15), ("e", "y", 7, 9, 4.0, 15)]
+    history = spark.createDataFrame([(day, *r) for r in rows] + [(date(2023, 1, 1), "z", "x", 1, 0, 1.0, 0)], "snapshot_date date, asin string, category_id string, rank int, rank_change int, rating double, rank_range int")
+    got = {r.asin: (r.signal, r.action, r.priority) for r in D.ladder(history).collect()}
+    assert got == {"a": ("rise", "MONITOR", "P1"), "b": ("fall", "CHECK", "P1"), "c": ("low_rating", "CHECK", "P1"), "d": ("volatile", "DEEP DIVE", "P1"), "e": ("top", "MONITOR", "P2"), "f": ("fall", "CHECK", "P1")}
+    promos = spark.createDataFrame([(15.0, None, None), (15.1, None, None), (None, "5%", None), (0.0, "", "Lightning Deal")], "d double, c string, b string")
+    assert [r.g for r in promos.select(D.growth_type(F.col("d"), F.col("c"), F.col("b")).alias("g")).collect()] == ["organic", "discount_based", "discount_based", "discount_based"]

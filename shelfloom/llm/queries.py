@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, licenses, mixing, near_dedup, quality, rules, urls, warc
+from . import bpe, exact_dedup, html_text, katz, licenses, mixing, near_dedup, quality, rules, urls, warc
 
 
 _SHIPPED: set[str] = set()
@@ -77,6 +78,11 @@ def op10_quality_rules(spark, sf_dir):
     return rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op11_katz_score(spark, sf_dir):
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return katz.katz_scores(_table(spark, sf_dir, "documents"), held_out)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_near_dedup, op2_license_scan, op3_url_filter, op4_bpe, op5_quality_classifier, op6_exact_dedup, op7_source_mix, op8_warc, op9_html_text, op10_quality_rules, pipeline)
+    named = (op1_near_dedup, op2_license_scan, op3_url_filter, op4_bpe, op5_quality_classifier, op6_exact_dedup, op7_source_mix, op8_warc, op9_html_text, op10_quality_rules, op11_katz_score, pipeline)
     return {f.__name__: f for f in named}
 
 

@@ -44,7 +44,7 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from .common import as_bytes, materialize, shared_folder, sliced
 
 #: Tokens of a block, more only for a longer text.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Tokens of the corpus for each bucket of n-grams, and the fewest buckets.
 BUCKET, LEAST_BUCKETS = 1 << 20, 128
 #: Counts up to this one are discounted after Good and Turing.
@@ -100,8 +100,8 @@ class Block:
         self.held = np.array(row["held"], bool)
         self.lengths = _unpack(row["lengths"], np.int64)
         starts = np.cumsum(self.lengths) - self.lengths
-        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        self.place = np.arange(len(self.doc)) - starts[self.doc]
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+        self.place = (np.arange(len(self.doc)) - np.repeat(starts, self.lengths)).astype(np.int32)
         self.train = ~self.held[self.doc]
         word = _unpack(row["vocabulary"], np.uint64, True)[_unpack(row["tokens"], np.int32)]
         self.hashes, self.grams = [word], []
@@ -287,7 +287,7 @@ def _resolve(state: pa.Table, answers: pa.Table, order: int, totals: Totals, kin
             tables.append({"history": history.view(np.int64), "lost": np.bincount(group, lost, len(history)), "lower": np.bincount(group, lower[last], len(history)), "kind": "weight"})
     score[missing] = np.log10(totals.unknown)
     tables[0]["score"] = np.bincount(block.doc, score, len(block.lengths))
-    doc, (history, number) = block.doc[np.concatenate(open_at)], np.unique(np.concatenate(open_history), return_inverse=True)
+    doc, (history, number) = block.doc[np.concatenate(open_at)].astype(np.int64), np.unique(np.concatenate(open_history), return_inverse=True)
     pairs, times = np.unique(doc * np.int64(max(1, len(history))) + number, return_counts=True)
     tables.append({"kind": "open", "doc": pairs // max(1, len(history)), "history": history[pairs % max(1, len(history))].view(np.int64), "times": times})
     return pa.concat_tables([_filled(t, row["block"], schema) for t in tables])

@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, katz, licenses, mixing, near_dedup, quality, rules, urls, warc
+from . import bpe, clusters, codebooks, exact_dedup, html_text, katz, licenses, mixing, near_dedup, quality, rules, urls, warc
 
 
 _SHIPPED: set[str] = set()
@@ -83,6 +83,15 @@ def op11_katz_score(spark, sf_dir):
     return katz.katz_scores(_table(spark, sf_dir, "documents"), held_out)
 
 
+def op12_clusters(spark, sf_dir):
+    start = F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")), 256)
+    return clusters.lloyd(_table(spark, sf_dir, "embeddings"), start, k=16, rounds=3, dims=64, scale=64)
+
+
+def op13_vector_codes(spark, sf_dir):
+    return codebooks.vector_codes(_table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, dims=64, scale=4096)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_near_dedup, op2_license_scan, op3_url_filter, op4_bpe, op5_quality_classifier, op6_exact_dedup, op7_source_mix, op8_warc, op9_html_text, op10_quality_rules, op11_katz_score, pipeline)
+    named = (op1_near_dedup, op2_license_scan, op3_url_filter, op4_bpe, op5_quality_classifier, op6_exact_dedup, op7_source_mix, op8_warc, op9_html_text, op10_quality_rules, op11_katz_score, op12_clusters, op13_vector_codes, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -125,6 +134,43 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 FROM b"""
 
 
+def _kept_sql(scale: int) -> str:
+    """Usable vectors as whole numbers, each with a number of its own."""
+    return f"""kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v
+FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+
+_SQUARED = "list_sum(list_transform(list_zip(a.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+
+
+def _lloyd_sql(rounds: int = 3) -> str:
+    steps = [_kept_sql(64), "c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR)) - 1 AS k, v FROM kept ORDER BY sha256('1:' || vec_id::VARCHAR) LIMIT 16)"]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, vec_id, v, k, d FROM (SELECT a.r, a.vec_id, a.v, c.k, {_SQUARED} AS d FROM kept a, c{i} c) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)""")
+        steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT k, coalesce(n.v, c.v) AS v FROM c{i} c LEFT JOIN
+(SELECT k, list(m ORDER BY i) AS v FROM (SELECT k, i, floor(sum(v[i])::DOUBLE / count(*))::BIGINT AS m FROM a{i}, range(1, 65) t(i) GROUP BY k, i) GROUP BY k) n USING (k))""")
+    return f"""WITH {", ".join(steps[:-1])}
+SELECT vec_id, k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c USING (k)"""
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    parts = "range(8) t(p)"
+    steps = [
+        _kept_sql(4096), f"parts AS MATERIALIZED (SELECT r, vec_id, label, p, v[8 * p + 1 : 8 * p + 8] AS v FROM kept, {parts})",
+        "c0 AS (SELECT r - 1 AS k, p, v FROM parts WHERE r <= 16)",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, vec_id, label, p, v, k, d FROM (SELECT a.*, c.k, {_SQUARED} AS d FROM parts a JOIN c{i} c USING (p)) QUALIFY row_number() OVER (PARTITION BY r, p ORDER BY d, k) = 1)""")
+        steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT k, p, coalesce(n.v, c.v) AS v FROM c{i} c LEFT JOIN
+(SELECT k, p, list(m ORDER BY i) AS v FROM (SELECT k, p, i, floor(sum(v[i])::DOUBLE / count(*))::BIGINT AS m FROM a{i}, range(1, 9) t(i) GROUP BY k, p, i) GROUP BY k, p) n USING (k, p))""")
+    return f"""WITH {", ".join(steps[:-1])},
+rows_of AS (SELECT r, vec_id, label, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r, vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, k)) FROM c{rounds}) AS codebooks_sha256
+FROM rows_of"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express an operator; the others are tested in tests/llm."""
-    return {"op3_url_filter": _url_sql(), "op6_exact_dedup": _EXACT_SQL, "op8_warc": _WARC_SQL}
+    return {"op3_url_filter": _url_sql(), "op6_exact_dedup": _EXACT_SQL, "op8_warc": _WARC_SQL, "op12_clusters": _lloyd_sql(), "op13_vector_codes": _codes_sql()}

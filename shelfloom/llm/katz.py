@@ -44,7 +44,7 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from .common import as_bytes, materialize, shared_folder, sliced
 
 #: Tokens of a block, more only for a longer text.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Tokens of the corpus for each bucket of n-grams, and the fewest buckets.
 BUCKET, LEAST_BUCKETS = 1 << 20, 128
 #: Counts up to this one are discounted after Good and Turing.

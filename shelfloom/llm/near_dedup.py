@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, sliced
+from .common import as_bytes, join_classes, materialize, sliced
 from .components import connected_components
 
 WORDS_PER_SHINGLE = 5
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialize(sketch(docs, id_col, text_col, k, size))
     nodes = materialize(
         rows.where("id is not null and same is not null").groupBy("same")
-        .agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+        .agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
     )
     postings = materialize(_postings(nodes, k, percent))
     listed = nodes.select("node") if exact else postings.select("node").distinct()
@@ -289,9 +289,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not found.isEmpty():
             labels = materialize(connected_components(links.unionByName(found)))
 
-    classes = nodes.select("same", "node").join(labels, "node", "left").select("same", F.coalesce("component", "node").alias("reached"))
+    # classes of many copies are joined apart; a row without words has a key of its own
+    classes = nodes.select("same", "node", "copies").join(labels, "node", "left")
+    classes = materialize(classes.select(F.hex("same").alias("key"), F.coalesce("component", "node").alias("reached"), "copies"))
+    alone = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
     result = (
-        rows.select("id", "n_shingles", "same").join(classes, "same", "left")
+        join_classes(rows.select("id", "n_shingles", F.coalesce(F.hex("same"), alone).alias("key")), classes, "key", "copies")
         .select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("reached", "id")).alias("component_id"))
     )
     return result.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

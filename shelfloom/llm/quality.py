@@ -2,9 +2,9 @@
 
 A text's features are indicators of the byte trigrams it holds and of n-grams
 of its outline (runs of capitals, small letters, digits, blanks and punctuation,
-and repeated words), hashed into a fixed number of places. Spark counts, over
-the labelled sample, how many texts of each class have a feature; an indicator
-is scaled by the log ratio of the two smoothed counts. A hinge-loss model on the
+and repeated words), hashed into a fixed number of places. Counted over the
+labelled sample is how many texts of each class have a feature; an indicator is
+scaled by the log ratio of the two smoothed counts. A hinge-loss model on the
 unit-length rows is fitted by dual coordinate descent, and a logistic curve of
 out-of-fold margins turns margins into probabilities; a fold's model and scale
 come from the other folds alone.

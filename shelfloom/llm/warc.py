@@ -38,8 +38,12 @@ from .common import join_classes, materialize, shared_folder, sliced
 END = "\r\n\r\n"
 #: Files hold at most this many bytes (a larger record is alone); they are read whole.
 FILE_BYTES = 32 << 20
-#: A member that inflates to more is read up to here and counts as broken.
+#: A member that inflates to more is read on only as far as its records' headers say they go.
 MEMBER_BYTES = 1 << 30
+#: Largest record that the writer and Arrow can hold.
+RECORD_BYTES = 1 << 31
+#: Bytes in which a record's headers end.
+HEADER_BYTES = 1 << 16
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _NEXT = re.compile(rb"\nWARC/1\.[01]\r\n")
 _NAME = re.compile(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+")
@@ -161,13 +165,32 @@ def read_plain(data: bytes) -> Archive:
     return out
 
 
+def _promised(plain: bytes) -> int:
+    """Where the record that the bytes break off in ends by its own length (a little
+    further on if they break off in its headers), 0 if they are no sound records."""
+    at = 0
+    while (version := _VERSION.match(plain, at)) and (stop := plain.find(b"\r\n\r\n", version.end() - 2)) >= 0:
+        size = re.search(rb"\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n", plain[at : stop + 2], re.IGNORECASE)
+        if not size or int(size[1]) > RECORD_BYTES:
+            return 0
+        at = stop + 4 + int(size[1]) + 4
+        if at >= len(plain):
+            return at
+    return at + HEADER_BYTES if at and len(plain) - at < HEADER_BYTES else 0
+
+
 def _inflated(data: bytes, at: int) -> tuple[bytes, int | None]:
     """What the gzip member at a place holds, as far as it can be read, and its
     end, None if it breaks off. Input is fed in pieces, so a small member costs
     little however long the file."""
     inflater = zlib.decompressobj(31)
-    parts, size, step = [], 0, 1 << 14
-    while at < len(data) and not inflater.eof and size < MEMBER_BYTES:
+    parts, size, step, most = [], 0, 1 << 14, MEMBER_BYTES
+    while at < len(data) and not inflater.eof:
+        if size >= most:
+            parts = [b"".join(parts)]
+            if (more := _promised(parts[0])) < size:
+                break
+            most = max(more, size + MEMBER_BYTES // 4)
         piece = data[at : at + step]
         before = inflater.copy()
         try:

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfloom.llm import bpe, components, exact_dedup, html_text, licenses, mixing, near_dedup, quality, queries, rules, urls, warc
 
@@ -559,6 +560,18 @@ def test_warc_headers_are_checked(change):
     assert ids(archive) == [0, 2] and [(g.offset, g.length) for g in archive.gaps] == [(len(parts[0]), len(bad))]
 
 
+def test_warc_large_members_are_read_as_far_as_their_headers_say(monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 1 << 16)
+    dice = random.Random(5)
+    noise = lambda n: bytes(dice.choices(b"abcdefghij", k=n))
+    alone = gzip.compress(record(1, noise(1 << 17)))
+    several = gzip.compress(record(2, noise(100)) + record(3, noise(1 << 18)) + record(4, noise(1 << 17)))
+    bomb = gzip.compress(b"\0" * (1 << 22))
+    archive = warc.read_archive(alone + several + bomb + gzip.compress(record(5, b"end")))
+    assert [r.headers["warc-record-id"] for r in archive.records] == [f"<urn:page:{i}>" for i in range(1, 6)]
+    assert len(archive.gaps) == 1
+
+
 def test_warc_broken_member_gives_what_it_holds():
     noise = random.Random(2)
     whole = gzip.compress(b"".join(record(i, noise.randbytes(3000)) for i in range(20)))
@@ -859,6 +872,17 @@ def test_pipeline_stages_odd_rows(spark):
 
     frame = docs(spark, odd_rows())
     assert sorted((r.doc_id or 0) for r in p.drop_copies(spark, frame, SF).collect()) == [0, 2, 3, 5, 6]
+    # one row repeated very often, and rows without id that are all alike
+    hot = spark.range(200_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same").alias("text")).unionByName(spark.range(300).select(F.lit(None).cast("long").alias("doc_id"), F.lit("no id").alias("text")))
+    assert {tuple(r) for r in p.drop_copies(spark, hot, SF).groupBy("doc_id").count().collect()} == {(7, 1), (None, 300)}
+
+
+def test_near_duplicates_of_hot_classes(spark):
+    """A third of the rows is one class, a third has no words."""
+    n = 3000
+    text = F.when(F.col("id") % 3 == 0, "one two three four five six").when(F.col("id") % 3 == 1, " ").otherwise(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" b c d e f")))
+    out = near_dedup.near_duplicates(spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"))).collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {(i, 0 if i % 3 == 0 else i) for i in range(n)}
     assert sorted((r.doc_id or 0) for r in p.drop_near_copies(spark, frame, SF).collect()) == [0, 1, 2, 3, 4, 6]
     assert p.mix_sources(spark, frame, SF).count() > 0
     for _, stage in p.STAGES:

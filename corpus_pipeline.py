@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfloom.llm import bpe, exact_dedup, mixing, near_dedup, quality
@@ -36,14 +36,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: of equal texts the largest doc_id stays, once; of rows without
     an id whose text no row with an id has, all stay."""
-    own, digest, copy, kept_id, kept_text = (fresh(docs, n) for n in ("own", "digest", "copy", "kept_id", "kept_text"))
+    digest, kept_id, kept_text = (fresh(docs, n) for n in ("digest", "kept_id", "kept_text"))
     kept = exact_dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_text)).distinct()
     rows = docs.withColumn(digest, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(digest) == F.col(kept_text)), "left_semi")
-    # rows that repeat the kept one are numbered; those without an id each have a number of their own, so they don't meet
-    rows = rows.withColumn(own, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    once = Window.partitionBy("doc_id", digest, own).orderBy("doc_id")
-    return rows.withColumn(copy, F.row_number().over(once)).where(F.col(copy) == 1).select(*docs.columns)
+    # repeated rows meet after each task has dropped its own; rows without an id are never compared
+    once = rows.where("doc_id is not null").dropDuplicates(["doc_id", digest]).unionByName(rows.where("doc_id is null"))
+    return once.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(digest) == F.col(kept_text)), "left_semi").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

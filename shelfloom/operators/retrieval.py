@@ -1,7 +1,7 @@
 """Document retrieval: chunks, BM25, vector search, rank and confidence fusion.
 
-Queries are rows too, so one plan serves a batch of them. BM25 reads a postings
-table; document frequencies and lengths are aggregates of the same postings.
+Queries are rows too, so one plan serves a batch of them. The indexes that terms
+and vectors are stored in have modules of their own.
 """
 
 from __future__ import annotations
@@ -27,27 +27,6 @@ def paragraphs(docs: DataFrame, size: int = 500) -> DataFrame:
     return lines.select("doc_id", "line", F.posexplode(parts).alias("part", "content"))
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, term, tf, length) of every document."""
-    rows = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("t")).where(F.size("t") > 0)
-    return rows.select("doc", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("doc", "length", "term").agg(F.count("*").alias("tf"))
-
-
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """(query, doc, score, rank) of the k best documents for rows (query, text)."""
-    index = written(postings(docs))  # texts are cut once; all figures of the corpus come from here
-    corpus = F.broadcast(index.agg(F.count_distinct("doc").alias("docs"), F.sum("tf").alias("tokens")).select("docs", (F.col("tokens") / F.col("docs")).alias("avg_length")))
-    asked = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    # only the asked terms' postings leave the scan side
-    hits = index.join(asked.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length"))
-    scored = asked.join(hits.join(df, "term"), "term").crossJoin(corpus).groupBy("query", "doc").agg(F.sum(idf * F.col("tf") * (k1 + 1) / norm).alias("score"))
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 6)), "doc"))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k)
-
-
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda acc, v: acc + v)
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
@@ -200,12 +179,30 @@ def weighted_merge(parts: dict[str, tuple[DataFrame, float, int]], key: str) ->
     return out
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, expand, k: int = 10) -> DataFrame:
+def hybrid(queries: DataFrame, search, expand, k: int = 10) -> DataFrame:
     """Search end to end for rows (query, text) with whole numbers as ``query``:
-    gated, searched as asked and as expanded (``expand``: Column to Column) in one
-    pass over the postings, both lists fused by rank: (query, doc, score, lists, rank)."""
+    gated, searched (``search``: rows to ranked rows) as asked and as expanded
+    (``expand``: Column to Column) at once, both lists fused by rank: (query, doc,
+    score, lists, rank)."""
     asked = queries.where(gate(F.col("text")) == "retrieve")
     both = asked.select((F.col("query") * 2).alias("query"), "text").union(asked.select(F.col("query") * 2 + 1, expand(F.col("text"))))
-    found = bm25(both, docs, k).select(F.floor(F.col("query") / 2).alias("query"), "doc", "rank")
+    found = search(both).select(F.floor(F.col("query") / 2).alias("query"), "doc", "rank")
+    return fused([found], k)
+
+
+def fused(lists: list[DataFrame], k: int = 10) -> DataFrame:
+    """The k best of ranked lists (query, doc, rank) by reciprocal rank: (query, doc, score, lists, rank)."""
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "doc"))
-    return rrf([found], ["query", "doc"]).withColumn("rank", place).where(F.col("rank") <= k)
+    return rrf(lists, ["query", "doc"]).withColumn("rank", place).where(F.col("rank") <= k)
+
+
+def with_fallback(scores: DataFrame, k: int = 10, least: int = 3) -> DataFrame:
+    """The k best of rows (query, doc, score, passes) that pass a filter; for a query
+    of which fewer than ``least`` pass, the k best of all: (query, doc, score, rank,
+    filtered). Each side is cut to k rows a query first, so what decides is small."""
+    order = [F.desc(F.round("score", 6)), "doc"]
+    head = scores.withColumn("n", F.row_number().over(Window.partitionBy("query", "passes").orderBy(*order))).where(F.col("n") <= max(k, least))
+    passing = F.count_if("passes").over(Window.partitionBy("query"))
+    chosen = head.withColumn("filtered", passing >= least).where(F.col("passes") | ~F.col("filtered"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(*order))
+    return chosen.withColumn("rank", place).where(F.col("rank") <= k).select("query", "doc", "score", "rank", "filtered")

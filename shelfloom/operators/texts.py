@@ -112,10 +112,10 @@ def complexity(text: Column, words: list[str]) -> Column:
     return F.when((hits(text, words) > 0) | (marks >= 2), "complex").when(F.length(text) > 50, "moderate").otherwise("simple")
 
 
-def compound(text: Column, cap: int = 5000) -> Column:
-    """Parts of a question of several: cut at question marks and at joining words; texts beyond the cap are one part."""
+def compound(text: Column) -> Column:
+    """Parts of a question of several: cut at question marks and at joining words."""
     parts = F.filter(F.transform(F.split(text, r"(?i)\?\s*|\s+(?:and then|and also|as well as)\s+"), lambda p: F.trim(p)), lambda p: p != "")
-    return F.when(F.length(text) > cap, F.array(text)).otherwise(parts)
+    return parts
 
 
 def keyword_relevance(text: Column, words: list[str]) -> Column:
@@ -201,6 +201,33 @@ def mean_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda p: p["x"]).alias("mean"))
 
 
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def chunk_means(units: DataFrame) -> DataFrame:
+    """``(doc, chunk, part, mean)``: mean vector of a chunk's own sentences (doc,
+    chunk, place, vector), by component; the sentence that a chunk repeats from the
+    one before belongs to that one alone."""
+    parts = units.select("doc", "chunk", F.posexplode("vector").alias("part", "x"))
+    return parts.groupBy("doc", "chunk", "part").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+
+
+def chunk_similarity(units: DataFrame) -> DataFrame:
+    """``(doc, chunk, sentences, similarity)``: mean cosine of each sentence with the
+    one before it, that which the chunk repeats included; null for a text of one sentence."""
+    before = F.lag("vector").over(Window.partitionBy("doc").orderBy("place"))
+    rows = units.withColumn("before", before)
+    cos = _dot(F.col("vector"), F.col("before")) / F.nullif(F.sqrt(_dot(F.col("vector"), F.col("vector"))) * F.sqrt(_dot(F.col("before"), F.col("before"))), F.lit(0.0))
+    return rows.groupBy("doc", "chunk").agg(F.count("*").alias("sentences"), F.avg(cos).alias("similarity"))
+
+
+def expanded_by_insight(text: Column, kinds: Column, indicators: Column, added, named) -> Column:
+    """A question with the words of the kinds of insight found for it and of its indicators, in the tables' order."""
+    words = [F.when(F.arrays_overlap(kinds, F.array(*map(F.lit, k))), F.lit(w)) for k, w in added] + [F.when(F.array_contains(indicators, i), F.lit(w)) for i, w in named]
+    return F.concat_ws(" ", text, *words)
+
+
 def semantic_chunks(units: DataFrame, share: float = 0.25, least: float = 0.5, low: int = 100, high: int = 1000) -> DataFrame:
     """Chunk numbers of sentences (doc, place, size, vector): a chunk ends where the
     cosine to the next sentence is below the document's ``share`` quantile (``least``

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from shelfloom.operators import period as P
 from shelfloom.operators import retrieval as R
 from shelfloom.operators import rules as N
 from shelfloom.operators import shelf as S
+from shelfloom.operators.text_index import index_of
 from shelfloom.sources import views as V
+from shelfloom.sources.tables import shared_folder
 from shelfloom.streaming import monitor as M
 
 from . import analytics as A
@@ -103,8 +107,13 @@ BM25_SQL = f"""WITH t AS (SELECT doc_id AS doc, {TOK} AS t FROM documents), p AS
   SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc)::INT AS rank FROM s QUALIFY rank <= 10"""
 
 
+def text_index(s, d):
+    """The stored index of the documents; further searches of the application find it there."""
+    return index_of(V.table(s, d, "documents"), f"{d}/documents", f"{shared_folder(s).rstrip('/')}/terms-{uuid.uuid4().hex}")
+
+
 def bm25(s, d):
-    return R.bm25(V.table(s, d, "benchmark").select(F.col("item_id").alias("query"), "text"), V.table(s, d, "documents"))
+    return text_index(s, d).search(V.table(s, d, "benchmark").select(F.col("item_id").alias("query"), "text"))
 
 
 add("bm25_topk", bm25, BM25_SQL.replace("2.5 /", "2.5::DOUBLE /"), "score")

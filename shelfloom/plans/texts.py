@@ -111,12 +111,12 @@ add("expanded_queries", on("conversations")(lambda c: c.select("conv_id", "turn"
 TERMS = {"the": ["report"], "a": ["study", "model"]}
 _O = "list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{k}') AND NOT contains(lower(text), '{w}') THEN '{w}' END" for k, ws in TERMS.items() for w in ws[:2]) + "], lambda x: x IS NOT NULL)[1:3]"
 _MORE = f"(SELECT item_id, CASE WHEN len({_O}) > 0 THEN text || ' (' || array_to_string({_O}, ', ') || ')' ELSE text END AS text FROM benchmark)"
-add("hybrid_search", lambda s, d: R.hybrid(_asked(s, d), V.table(s, d, "documents"), lambda c: T.expanded(c, TERMS)),
+add("hybrid_search", lambda s, d: R.hybrid(_asked(s, d), I.text_index(s, d).search, lambda c: T.expanded(c, TERMS)),
     f"""SELECT query, doc, sum(1.0::DOUBLE / (60 + rank)) AS score, count(*) AS lists, row_number() OVER (PARTITION BY query ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 9) DESC, doc)::INT AS rank
     FROM (SELECT query, doc, rank AS rank FROM ({BM25}) UNION ALL SELECT query, doc, rank FROM ({BM25.replace('FROM benchmark', 'FROM ' + _MORE)})) GROUP BY query, doc QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 9) DESC, doc) <= 10""", "score")
 COMPLEX = ["why", "how", "compare", "because"]
 add("query_complexity", on("conversations")(lambda c: c.groupBy(T.complexity(F.col("text"), COMPLEX).alias("level")).agg(F.count("*").alias("turns"))), f"SELECT CASE WHEN {count_of(COMPLEX)} > 0 OR length(text) - length(translate(text, ',?', '')) >= 2 THEN 'complex' WHEN length(text) > 50 THEN 'moderate' ELSE 'simple' END AS level, count(*) AS turns FROM conversations GROUP BY 1")
-add("compound_queries", on("conversations")(lambda c: c.select("conv_id", "turn", F.size(T.compound(F.col("text"))).alias("parts"))), "SELECT conv_id, turn, CASE WHEN length(text) > 5000 THEN 1 ELSE len(list_filter(string_split_regex(text, '(?i)\\?\\s*|\\s+(?:and then|and also|as well as)\\s+'), lambda p: trim(p) <> '')) END::INT AS parts FROM conversations")
+add("compound_queries", on("conversations")(lambda c: c.select("conv_id", "turn", F.size(T.compound(F.col("text"))).alias("parts"))), "SELECT conv_id, turn, len(list_filter(string_split_regex(text, '(?i)\\?\\s*|\\s+(?:and then|and also|as well as)\\s+'), lambda p: trim(p) <> ''))::INT AS parts FROM conversations")
 add("context_scores", on("events")(lambda e: e.groupBy("user_id").agg(T.context_score(F.count_if(F.col("event_type") == "view"), F.count_if(F.col("event_type") == "click"), F.count_if(F.col("event_type") == "purchase"), F.count_if(F.col("event_type") == "signup")).alias("score")).withColumn("level", T.score_level(F.col("score")))),
     "SELECT user_id, score, CASE WHEN score >= 5 THEN 'high' WHEN score >= 3 THEN 'medium' WHEN score >= 1.5 THEN 'low' ELSE 'unknown' END AS level FROM (SELECT user_id, (1.5 * least(count(*) FILTER (event_type = 'view'), 3) + least(count(*) FILTER (event_type = 'click'), 3) + 2.0 * least(count(*) FILTER (event_type = 'purchase'), 2) + least(count(*) FILTER (event_type = 'signup'), 3))::DOUBLE AS score FROM events GROUP BY 1)")
 BLOCKED = ("ignore (all|previous)", "system prompt", "<script")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -106,14 +106,26 @@ def converted(amount: Column, currency: Column, rates: dict[str, float]) -> Colu
     return amount * F.create_map(*(F.lit(x) for pair in rates.items() for x in pair))[currency]
 
 
-def figures(text: Column) -> Column:
-    """First amount with its unit (million, billion) in a text, as a number."""
-    amount = F.nullif(F.regexp_extract(text, r"([0-9]+(?:\.[0-9]+)?) (?:million|billion)", 1), F.lit("")).try_cast("double")
-    return amount * F.when(F.regexp_extract(text, r"[0-9] (million|billion)", 1) == "billion", 1e9).otherwise(1e6)
+#: Where the figures of a statement stand, fixed patterns.
+FIGURES = {
+    "revenue": r"(?i)Revenue[:\s]+(\d+[.,]?\d*)\s*(?:billion|B)",
+    "operating_profit": r"(?i)Operating (?:Profit|Income)[:\s]+(\d+[.,]?\d*)\s*(?:billion|B)",
+    "net_income": r"(?i)Net (?:Profit|Income)[:\s]+(\d+[.,]?\d*)\s*(?:billion|B)",
+    "revenue_yoy": r"(?i)Revenue.*?([+-]?\d+[.,]?\d*)\s*%\s*(?:YoY|y-o-y)",
+}
 
 
-def recent_change(values: Column, n: int = 4) -> Column:
-    """Relative change from the first to the last of the newest n values; null without two or from 0."""
-    last = F.slice(values, F.greatest(F.lit(1), F.size(values) - n + 1), F.lit(n))
-    first = F.element_at(last, 1)
-    return F.when((F.size(last) >= 2) & (first != 0), (F.element_at(last, -1) - first) / first)
+def figures(text: Column) -> Column:
+    """Struct of a statement's revenue, operating profit and net income (in billions)
+    and the revenue's change over a year (percent); null for what it doesn't say.
+    Commas separate thousands."""
+    found = lambda p: F.replace(F.nullif(F.regexp_extract(text, p, 1), F.lit("")), F.lit(","), F.lit("")).try_cast("double")
+    return F.struct(*(found(p).alias(n) for n, p in FIGURES.items()))
+
+
+def recent_change(rows: DataFrame, key: str, order: list[str], value: str, n: int = 4) -> DataFrame:
+    """``(key, change)``: relative change over the newest n values of each key; null
+    without two or from 0. No more than n values of a key leave their task's window."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*map(F.desc, order)))
+    last = rows.withColumn("_n", place).where(F.col("_n") <= n).groupBy(key).agg(F.max_by(value, "_n").alias("a"), F.min_by(value, "_n").alias("b"), F.count("*").alias("c"))
+    return last.select(key, F.when((F.col("c") >= 2) & (F.col("a") != 0), (F.col("b") - F.col("a")) / F.col("a")).alias("change"))

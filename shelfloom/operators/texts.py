@@ -5,8 +5,12 @@ Lists of words are parameters: each becomes one expression a row, no join.
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 500) -> DataFrame:
@@ -141,12 +145,26 @@ def overlap_ratio(sentence: Column, other: Column, words) -> Column:
     return F.when(F.size(mine) == 0, 0.0).otherwise(F.size(F.array_intersect(mine, words(other))) / F.size(mine))
 
 
+def nfkc(text: Column) -> Column:
+    """Compatibility form: full-width and other look-alike letters become the plain ones."""
+
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return run(text)
+
+
 def guarded(text: Column, patterns: tuple[str, ...]) -> Column:
-    """Whether an input holds none of the blocked patterns."""
-    blocked = F.lit(False)
+    """Whether an input holds none of the blocked patterns, in whatever letters."""
+    return ~F.coalesce(F.lower(nfkc(text)).rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(False))
+
+
+def redacted(text: Column, patterns: tuple[str, ...], mark: str = "[REDACTED]") -> Column:
+    """An answer with what must not get out replaced, whatever its case."""
     for p in patterns:
-        blocked |= F.lower(text).rlike(p)
-    return ~F.coalesce(blocked, F.lit(False))
+        text = F.regexp_replace(text, f"(?i){p}", mark)
+    return text
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -27,7 +27,7 @@ def add(name, plan, sql, doubles="", dates=""):
 
 
 def of(source):
-    views = {V.shelf: V.SHELF_SQL, V.deals: V.DEALS_SQL, V.triples: V.TRIPLES_SQL, V.runs: V.RUNS_SQL}[source]
+    views = {V.shelf: V.SHELF_SQL, V.deals: V.DEALS_SQL, V.triples: V.TRIPLES_SQL, V.runs: V.RUNS_SQL, V.latest_shelf: V.SHELF_SQL}[source]
 
     def register(name, plan, sql, doubles="", dates=""):
         add(name, lambda spark, sf: plan(source(spark, sf)), f"WITH {views} {sql}", doubles, dates)
@@ -53,32 +53,34 @@ def own():
 
 
 shelf, deals, triples = of(V.shelf), of(V.deals), of(V.triples)
+#: Plans that read the newest month alone.
+now = of(V.latest_shelf)
 
 shelf("history_range", lambda s: D.history(s, 365).select("snapshot_date", "category_id", "rank", "asin"), "SELECT snapshot_date, category_id, rank, asin FROM shelf WHERE snapshot_date >= (SELECT max(snapshot_date) FROM shelf) - INTERVAL 365 DAY ORDER BY snapshot_date DESC, category_id, rank LIMIT 10000", "", "snapshot_date")
-shelf("products_of_brand", lambda s: D.products_of(s, TARGET).select("category_id", "asin", "price", "rating"), f"SELECT category_id, asin, price, rating FROM shelf WHERE {NOW} AND {OWNED}", "price rating")
+now("products_of_brand", lambda s: D.products_of(s, TARGET).select("category_id", "asin", "price", "rating"), f"SELECT category_id, asin, price, rating FROM shelf WHERE {NOW} AND {OWNED}", "price rating")
 shelf("category_share_average", lambda s: D.category_share_average(s, mine()), f"SELECT category_id, avg(sos) AS avg_sos, count(*) AS days FROM (SELECT category_id, snapshot_date, count(*) FILTER ({IS})::DOUBLE / count(*) AS sos FROM shelf GROUP BY 1, 2) GROUP BY 1", "avg_sos")
 shelf("daily_history", lambda s: D.daily_history(s, mine()), f"SELECT snapshot_date, count(*) / 100.0::DOUBLE AS sos, avg(rank) AS avg_rank, count(*) FILTER (rank <= 10) AS top10 FROM shelf WHERE {IS} GROUP BY 1", "sos avg_rank", "snapshot_date")
-shelf("priority_counts", lambda s: D.at_latest(s).groupBy("category_id", D.priority(F.col("rank")).alias("priority")).agg(F.count("*").alias("products")), f"SELECT category_id, CASE WHEN rank <= 5 THEN 'P1' WHEN rank <= 20 THEN 'P2' ELSE 'P3' END AS priority, count(*) AS products FROM shelf WHERE {NOW} GROUP BY 1, 2")
-shelf("home_status", lambda s: D.home_status(s, mine()), f"SELECT top10, CASE WHEN top10 >= 3 THEN 'strong' WHEN top10 >= 1 THEN 'present' ELSE 'absent' END AS status FROM (SELECT count(*) FILTER ({IS} AND rank <= 10) AS top10 FROM shelf WHERE {NOW})")
+now("priority_counts", lambda s: D.at_latest(s).groupBy("category_id", D.priority(F.col("rank")).alias("priority")).agg(F.count("*").alias("products")), f"SELECT category_id, CASE WHEN rank <= 5 THEN 'P1' WHEN rank <= 20 THEN 'P2' ELSE 'P3' END AS priority, count(*) AS products FROM shelf WHERE {NOW} GROUP BY 1, 2")
+now("home_status", lambda s: D.home_status(s, mine()), f"SELECT top10, CASE WHEN top10 >= 3 THEN 'strong' WHEN top10 >= 1 THEN 'present' ELSE 'absent' END AS status FROM (SELECT count(*) FILTER ({IS} AND rank <= 10) AS top10 FROM shelf WHERE {NOW})")
 shelf("change_since_oldest", D.since_oldest, "SELECT snapshot_date, category_id, asin, rank, first_rank, rank - first_rank AS change FROM (SELECT *, CASE WHEN row_number() OVER w > 1 THEN first_value(rank) OVER w END AS first_rank FROM shelf WINDOW w AS (PARTITION BY category_id, asin ORDER BY snapshot_date))", "", "snapshot_date")
 PRIOR = """SELECT s.snapshot_date, s.category_id, s.asin, s.brand, s.rank, coalesce(b.rank, 100) AS prior, coalesce(b.rank, 100) - s.rank AS gain FROM shelf s
   JOIN (SELECT *, lag(snapshot_date) OVER (PARTITION BY category_id ORDER BY snapshot_date) AS before FROM (SELECT DISTINCT snapshot_date, category_id FROM shelf)) d ON d.category_id = s.category_id AND d.snapshot_date = s.snapshot_date AND before IS NOT NULL
   LEFT JOIN shelf b ON b.category_id = s.category_id AND b.asin = s.asin AND b.snapshot_date = before"""
 shelf("change_since_previous", D.since_previous, PRIOR, "", "snapshot_date")
-shelf("competitor_against_own", lambda s: D.against_own(D.at_latest(s).where(~own()), D.at_latest(s).where(own()), "product_name"),
+now("competitor_against_own", lambda s: D.against_own(D.at_latest(s).where(~own()), D.at_latest(s).where(own()), "product_name"),
       f"SELECT t.category_id, t.asin, t.brand, o.asin AS own_asin, t.price - o.price AS price_gap, t.rating - o.rating AS rating_gap FROM (SELECT * FROM shelf WHERE {NOW} AND NOT {OWNED}) t LEFT JOIN (SELECT * FROM shelf WHERE {NOW} AND {OWNED} QUALIFY row_number() OVER (PARTITION BY product_name ORDER BY rank, asin) = 1) o USING (product_name)", "price_gap rating_gap")
-shelf("competitor_averages", lambda s: D.brand_averages(D.at_latest(s), own()), f"SELECT brand, count(*) AS products, avg(price) AS avg_price, avg(rating) AS avg_rating, avg(price) - (SELECT avg(price) FROM shelf WHERE {NOW} AND {OWNED}) AS price_gap, avg(rating) - (SELECT avg(rating) FROM shelf WHERE {NOW} AND {OWNED}) AS rating_gap FROM shelf WHERE {NOW} AND NOT {OWNED} GROUP BY 1", "avg_price avg_rating price_gap rating_gap")
+now("competitor_averages", lambda s: D.brand_averages(D.at_latest(s), own()), f"SELECT brand, count(*) AS products, avg(price) AS avg_price, avg(rating) AS avg_rating, avg(price) - (SELECT avg(price) FROM shelf WHERE {NOW} AND {OWNED}) AS price_gap, avg(rating) - (SELECT avg(rating) FROM shelf WHERE {NOW} AND {OWNED}) AS rating_gap FROM shelf WHERE {NOW} AND NOT {OWNED} GROUP BY 1", "avg_price avg_rating price_gap rating_gap")
 shelf("latest_brands", D.latest_brands, f"SELECT brand, count(*) AS rows, avg(rank) AS avg_rank, min(rank) AS best_rank FROM shelf WHERE brand IN (SELECT brand FROM shelf WHERE {NOW}) GROUP BY 1", "avg_rank")
 shelf("brand_summary", D.summary, "SELECT brand, count(*) AS rows, avg(rank) AS avg_rank, avg(rating) AS avg_rating, min(snapshot_date) AS first, max(snapshot_date) AS last, count(*)::DOUBLE / (SELECT count(*) FROM shelf) AS share FROM shelf GROUP BY 1 ORDER BY rows DESC, brand LIMIT 20", "avg_rank avg_rating share", "first last")
 shelf("brand_view", lambda s: D.brand_view(s, mine()), f"SELECT sos, products, avg_rank, top10, avg_price, sos - lead(sos) OVER (ORDER BY snapshot_date DESC) AS sos_delta FROM (SELECT snapshot_date, count(*) FILTER ({IS})::DOUBLE / count(*) AS sos, count(*) FILTER ({IS}) AS products, avg(rank) FILTER ({IS}) AS avg_rank, count(*) FILTER ({IS} AND rank <= 10) AS top10, avg(price) FILTER ({IS}) AS avg_price FROM shelf GROUP BY 1) ORDER BY snapshot_date DESC LIMIT 1", "sos avg_rank avg_price sos_delta")
 TRACKED = ["Brand#11", "Brand#12", "Brand#55"]
-shelf("competitor_list", lambda s: D.competitor_list(s, own(), TRACKED), f"SELECT brand, products, avg_rank, kind FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY products DESC, brand) AS n FROM (SELECT brand, count(*) AS products, avg(rank) AS avg_rank, CASE WHEN brand IN ('Brand#11', 'Brand#12', 'Brand#55') THEN 'tracked' ELSE 'organic' END AS kind FROM shelf WHERE {NOW} AND NOT {OWNED} GROUP BY 1)) WHERE kind = 'tracked' OR n <= 7 ORDER BY products DESC, brand LIMIT 10", "avg_rank")
+now("competitor_list", lambda s: D.competitor_list(s, own(), TRACKED), f"SELECT brand, products, avg_rank, kind FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY products DESC, brand) AS n FROM (SELECT brand, count(*) AS products, avg(rank) AS avg_rank, CASE WHEN brand IN ('Brand#11', 'Brand#12', 'Brand#55') THEN 'tracked' ELSE 'organic' END AS kind FROM shelf WHERE {NOW} AND NOT {OWNED} GROUP BY 1)) WHERE kind = 'tracked' OR n <= 7 ORDER BY products DESC, brand LIMIT 10", "avg_rank")
 shelf("price_index_trend", lambda s: D.price_index_trend(s, mine(), "PROMO"), f"SELECT snapshot_date, coalesce(100 * avg(price) FILTER ({IS}) / avg(price), 100) AS cpi FROM shelf WHERE category_id = 'PROMO' GROUP BY 1", "cpi", "snapshot_date")
-shelf("competitor_promotions", lambda s: D.promotions(s, own()), f"SELECT brand, count(*) AS products, count(*) FILTER (discount_percent > 5) AS promoted, max(discount_percent) AS max_discount FROM shelf WHERE {NOW} AND NOT {OWNED} GROUP BY 1 HAVING count(*) FILTER (discount_percent > 5) > 0 ORDER BY promoted DESC, max_discount DESC, brand LIMIT 15", "max_discount")
+now("competitor_promotions", lambda s: D.promotions(s, own()), f"SELECT brand, count(*) AS products, count(*) FILTER (discount_percent > 5) AS promoted, max(discount_percent) AS max_discount FROM shelf WHERE {NOW} AND NOT {OWNED} GROUP BY 1 HAVING count(*) FILTER (discount_percent > 5) > 0 ORDER BY promoted DESC, max_discount DESC, brand LIMIT 15", "max_discount")
 shelf("morning_brief", lambda s: D.morning_brief(s, own()), f"SELECT kind, category_id, asin, brand, rank, gain FROM (SELECT *, unnest([CASE WHEN rank <= 50 AND gain >= 10 THEN 'riser' WHEN rank <= 50 AND gain <= -10 THEN 'faller' END, CASE WHEN {OWNED} AND rank <= 5 THEN 'highlight' END]) AS kind FROM ({PRIOR})) WHERE kind IS NOT NULL AND {NOW}")
 _M = f"SELECT category_id, asin, min_by(rank, snapshot_date) AS start_rank, max_by(rank, snapshot_date) AS end_rank, count(*) AS seen, max(brand) AS brand, min_by(rank, snapshot_date) - max_by(rank, snapshot_date) AS move FROM shelf WHERE {IS} GROUP BY 1, 2 HAVING count(*) >= 2"
 shelf("target_movers", lambda s: P.movers(s.where(mine())), f"(SELECT *, 'riser' AS kind FROM ({_M}) WHERE move > 5 ORDER BY move DESC, category_id, asin LIMIT 10) UNION ALL (SELECT *, 'faller' FROM ({_M}) WHERE move < -5 ORDER BY move, category_id, asin LIMIT 10)")
-shelf("target_top_products", lambda s: D.at_latest(s).where(mine()).orderBy("rank", "category_id").limit(10).select("category_id", "asin", "rank"), f"SELECT category_id, asin, rank FROM shelf WHERE {NOW} AND {IS} ORDER BY rank, category_id LIMIT 10")
+now("target_top_products", lambda s: D.at_latest(s).where(mine()).orderBy("rank", "category_id").limit(10).select("category_id", "asin", "rank"), f"SELECT category_id, asin, rank FROM shelf WHERE {NOW} AND {IS} ORDER BY rank, category_id LIMIT 10")
 shelf("category_average_share", lambda s: s.groupBy("category_id").agg(F.count_distinct("brand").alias("brands")).select("category_id", "brands", (100.0 / F.col("brands")).alias("avg_sos")), "SELECT category_id, count(DISTINCT brand) AS brands, 100.0::DOUBLE / count(DISTINCT brand) AS avg_sos FROM shelf GROUP BY 1", "avg_sos")
 add("sibling_nations", lambda s, d: D.siblings(V.table(s, d, "nation"), "n_regionkey", "n_name"), "SELECT x.n_regionkey, x.n_name AS a, y.n_name AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_name <> y.n_name")
 add("new_documents", lambda s, d: V.table(s, d, "documents").join(V.table(s, d, "labels"), "doc_id", "left_anti").select("doc_id"), "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
@@ -115,9 +117,10 @@ deals("deals_overview", L.overview, "SELECT count(*) AS deals, count(*) FILTER (
 triples("kg_terms", lambda t: G.terms(t, predicate="parentCategory"), "SELECT DISTINCT 'subject' AS place, subject AS term FROM triples WHERE predicate = 'parentCategory' UNION ALL SELECT DISTINCT 'object', object FROM triples WHERE predicate = 'parentCategory'")
 triples("kg_brand_products", lambda t: G.brand_products(t, TARGET, "PROMO"), f"SELECT a.object AS product, b.object AS category FROM triples a JOIN triples b ON a.object = b.subject WHERE a.predicate = 'hasProduct' AND b.predicate = 'belongsToCategory' AND a.subject = '{TARGET}' AND b.object = 'PROMO'")
 NEXT = "SELECT *, row_number() OVER (PARTITION BY here, direction ORDER BY predicate, there) AS n FROM (SELECT subject AS here, predicate, object AS there, 'out' AS direction FROM triples UNION ALL SELECT object, predicate, subject, 'in' FROM triples)"
-triples("kg_entity_context", lambda t: G.entity_context(t, "GERMANY", 2), f"SELECT DISTINCT 1 AS depth, here, predicate, there, direction FROM ({NEXT}) WHERE here = 'GERMANY' AND n <= 5 UNION ALL SELECT DISTINCT 2, b.here, b.predicate, b.there, b.direction FROM ({NEXT}) b WHERE b.n <= 5 AND b.here IN (SELECT there FROM ({NEXT}) WHERE here = 'GERMANY' AND n <= 5)")
+triples("kg_entity_context", lambda t: G.entity_context(t, "NATION_3", 2), f"SELECT DISTINCT 1 AS depth, here, predicate, there, direction FROM ({NEXT}) WHERE here = 'NATION_3' AND n <= 5 UNION ALL SELECT DISTINCT 2, b.here, b.predicate, b.there, b.direction FROM ({NEXT}) b WHERE b.n <= 5 AND b.here IN (SELECT there FROM ({NEXT}) WHERE here = 'NATION_3' AND n <= 5)")
 triples("kg_children", lambda t: G.children(t, "EUROPE"), "SELECT subject AS child FROM triples WHERE predicate = 'parentCategory' AND object = 'EUROPE'")
 triples("kg_product_context", lambda t: G.product_context(t, "P1"), "SELECT subject AS product, object AS category, (SELECT count(*) FROM triples x WHERE x.predicate = 'belongsToCategory' AND x.object = t.object) AS siblings FROM triples t WHERE predicate = 'belongsToCategory' AND subject = 'P1'")
+# the edges of one category are taken away first, so that there is something to find
 triples("kg_consistency", lambda t: G.inconsistencies(t.where("not (predicate = 'belongsToCategory' and object = 'PROMO')")), "SELECT subject AS entity, 'no category' AS problem, 'error' AS severity FROM triples WHERE predicate = 'belongsToCategory' AND object = 'PROMO'")
 triples("kg_insert_checked", lambda t: G.insert_checked(t, t.where("predicate = 'hasProduct'").select(F.col("object").alias("subject"), "predicate", F.col("subject").alias("object"), "confidence").union(t.where("predicate = 'originatesFrom'").withColumn("confidence", F.lit(1.0)))).groupBy("predicate").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence")), "SELECT predicate, count(*) AS n, CASE WHEN predicate LIKE '%Competitor' THEN 0.8 ELSE 1.0 END::DOUBLE AS confidence FROM triples GROUP BY 1")
 shelf("kg_metric_edges", lambda s: G.metric_edges(S.share_of_shelf(s), ["category_id", "brand"], "snapshot_date", {"sos": "hasShare", "products": "hasProducts"}).groupBy("predicate").agg(F.count("*").alias("edges"), F.sum("value").alias("total")), "SELECT predicate, count(*) AS edges, sum(v) AS total FROM (SELECT unnest(['hasShare', 'hasProducts']) AS predicate, unnest([c / n, c]) AS v FROM (SELECT *, sum(c) OVER (PARTITION BY snapshot_date, category_id)::DOUBLE AS n FROM (SELECT snapshot_date, category_id, brand, count(*)::DOUBLE AS c FROM shelf GROUP BY 1, 2, 3))) GROUP BY 1", "total")

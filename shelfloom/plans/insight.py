@@ -15,7 +15,7 @@ from shelfloom.operators import rules as N
 from shelfloom.operators import shelf as S
 from shelfloom.operators.text_index import index_of
 from shelfloom.sources import views as V
-from shelfloom.sources.tables import shared_folder
+from shelfloom.sources.tables import shared_folder, written
 from shelfloom.streaming import monitor as M
 
 from . import analytics as A
@@ -72,7 +72,7 @@ def brand_context(shelf):
 
 def context(spark, sf):
     """The same with the brand's best product and its category's churn: all metrics that the tables hold."""
-    shelf = V.shelf(spark, sf)
+    shelf = written(V.shelf(spark, sf))  # three metrics start from it
     churn = S.churn(shelf).select("snapshot_date", "category_id", "churn_rate")
     history = S.product_history(shelf).withColumns({c: F.round(c, 9) for c in ("volatility", "rating_trend")})  # so that 3 and 5 are whole
     event = F.month("snapshot_date") == EVENT_MONTH

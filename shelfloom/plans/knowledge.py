@@ -44,13 +44,13 @@ TAG_OF = {
 }
 
 
-def customers_say(s, d, every=2):
+def customers_say(s, d):
     """(product, brand, tags, summary, success) of parts."""
     words = F.create_map(*(F.lit(x) for pair in TAG_OF.items() for x in pair))
     key = F.col("p_partkey")
     return V.table(s, d, "part").select(
         key.cast("string").alias("product"), F.col("p_brand").alias("brand"), F.transform(F.split("p_name", " "), lambda w: F.coalesce(words[w], w)).alias("tags"),
-        F.when(key % 3 == 0, "Customers LOVE it").when(key % 3 == 1, "Nice, but small").otherwise("").alias("summary"), (key % every == 0).alias("success"),
+        F.when(key % 3 == 0, "Customers LOVE it").when(key % 3 == 1, "Nice, but small").otherwise("").alias("summary"), F.lit(True).alias("success"),
     )
 
 
@@ -58,14 +58,14 @@ def _cluster(tag):
     return "CASE " + " ".join(f"WHEN {' OR '.join(f'''contains(lower({tag}), '{w}') OR contains('{w}', lower({tag}))''' for w in words)} THEN '{name}'" for name, words in M.CLUSTERS) + " END"
 
 
-def say_sql(every=2):
+def say_sql():
     word = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in TAG_OF.items()) + " ELSE w END"
-    return f"""said AS (SELECT p_partkey::VARCHAR AS product, p_partkey AS id, p_brand AS brand, list_transform(string_split(p_name, ' '), lambda w: {word}) AS words, CASE p_partkey % 3 WHEN 0 THEN 'Customers LOVE it' WHEN 1 THEN 'Nice, but small' ELSE '' END AS summary FROM part WHERE p_partkey % {every} = 0),
+    return f"""said AS (SELECT p_partkey::VARCHAR AS product, p_partkey AS id, p_brand AS brand, list_transform(string_split(p_name, ' '), lambda w: {word}) AS words, CASE p_partkey % 3 WHEN 0 THEN 'Customers LOVE it' WHEN 1 THEN 'Nice, but small' ELSE '' END AS summary FROM part),
 tags AS (SELECT DISTINCT product, brand, tag, {_cluster('tag')} AS cluster FROM (SELECT product, brand, unnest(words) AS tag FROM said))"""
 
 
-def edges(s, d, every=2):
-    return M.sentiment_edges(customers_say(s, d, every))
+def edges(s, d):
+    return M.sentiment_edges(customers_say(s, d))
 
 
 def made(s, d):
@@ -87,8 +87,8 @@ add("tagged_products", lambda s, d: M.tagged(edges(s, d), "hydrating", made(s, d
 
 def _sentiment_context(s, d):
     rivals = V.triples(s, d).where("predicate = 'directCompetitor'").select(F.col("subject").alias("brand"), F.col("object").alias("rival"))
-    summary = customers_say(s, d, 41).where("success").groupBy("brand").agg(F.min(F.when(F.col("summary") != "", F.col("summary"))).alias("summary"))
-    return M.brand_sentiment_context(edges(s, d, 41), made(s, d), rivals).join(summary, "brand", "left")
+    summary = customers_say(s, d).groupBy("brand").agg(F.min(F.when(F.col("summary") != "", F.col("summary"))).alias("summary"))
+    return M.brand_sentiment_context(edges(s, d), made(s, d), rivals).join(summary, "brand", "left")
 
 
 def _value(words):
@@ -102,7 +102,7 @@ _WHEN = {
     "perception_mixed": f"regexp_matches(lower(summary), '{N.MILD}') AND regexp_matches(lower(summary), '{N.DOUBT}')",
 }
 add("sentiment_rule_hits", lambda s, d: N.infer(_sentiment_context(s, d), ["brand"], rules=[_RULE[n] for n in _WHEN]),
-    f"WITH {V.TRIPLES_SQL}, {say_sql(41)}, own AS (SELECT DISTINCT brand, tag, cluster FROM tags), rival AS (SELECT DISTINCT subject AS brand, tag, cluster FROM triples JOIN own ON object = own.brand WHERE predicate = 'directCompetitor'), "
+    f"WITH {V.TRIPLES_SQL}, {say_sql()}, own AS (SELECT DISTINCT brand, tag, cluster FROM tags), rival AS (SELECT DISTINCT subject AS brand, tag, cluster FROM triples JOIN own ON object = own.brand WHERE predicate = 'directCompetitor'), "
     + "a AS (SELECT brand, " + ", ".join(f"count(*) FILTER (cluster = '{c.capitalize()}') AS {c}" for c in ("hydration", "packaging", "usability", "effectiveness", "sensory")) + f", count(*) FILTER (lower(tag) IN {_value((*N.VALUE, 'worth the price'))}) AS good_value FROM own GROUP BY 1), "
     + f"b AS (SELECT brand, count(*) FILTER (cluster = 'Packaging') AS rival_packaging, count(*) FILTER (cluster = 'Sensory') AS rival_sensory, count(*) FILTER (lower(tag) IN {_value(N.VALUE)}) AS rival_value FROM rival GROUP BY 1), "
     + "c AS (SELECT * FROM a LEFT JOIN b USING (brand) LEFT JOIN (SELECT brand, min(nullif(summary, '')) AS summary FROM said GROUP BY 1) USING (brand)) "

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfloom.operators import shelf as S
 from shelfloom.sources import views as V
 
-from . import analytics, checks, dashboard, insight, knowledge, reports, search, texts
+from . import analytics, checks, dashboard, insight, knowledge, reports, search, stored, texts
 
-MODULES = [analytics, insight, reports, dashboard, texts, knowledge, checks, search]
+MODULES = [analytics, insight, reports, dashboard, texts, knowledge, checks, search, stored]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,9 +38,9 @@ def upsert(rows: DataFrame, folder: str, keys: list[str], partition: str, order:
         changed = new
     else:
         old = old.select(*(F.col(c).cast(new.schema[c].dataType) for c in new.columns))
-        fresh = written(new.exceptAll(old.join(F.broadcast(new.select(partition).distinct()), partition)).select(partition).distinct())  # one row a partition
-        now = new.join(F.broadcast(fresh), partition)
-        kept = old.join(F.broadcast(fresh), partition).join(new.select(*keys), keys, "left_anti")
+        inside = lambda rows, some: rows.join(F.broadcast(some), partition, "left_semi").select(*new.columns)  # noqa: E731  one row a partition
+        fresh = written(new.exceptAll(inside(old, new.select(partition).distinct())).select(partition).distinct())
+        now, kept = inside(new, fresh), inside(old, fresh).join(new.select(*keys), keys, "left_anti").select(*new.columns)
         changed = written(now.unionByName(kept))  # read before its folder is written
     n = changed.select(partition).distinct().count()
     if n:

@@ -17,11 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shelf(spark: SparkSession, sf_dir: str, top_n: int = TOP_N) -> DataFrame:
+def shelf(spark: SparkSession, sf_dir: str, top_n: int = TOP_N, since=None) -> DataFrame:
     """Monthly ranking of products per category: one row per (snapshot_date,
-    category_id, rank)."""
+    category_id, rank); from the month of ``since`` on, if given: earlier sales
+    are left out by the scan."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
     sold = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag")
+    if since is not None:
+        sold = sold.where(F.col("l_shipdate") >= F.lit(since.replace(day=1, hour=0, minute=0, second=0, microsecond=0)))
     # part facts are aggregated before the join, so the join sees one row per product and month
     monthly = sold.groupBy(F.trunc(F.col("l_shipdate").cast("date"), "MM").alias("snapshot_date"), "l_partkey").agg(
         F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"),
@@ -42,6 +45,12 @@ def shelf(spark: SparkSession, sf_dir: str, top_n: int = TOP_N) -> DataFrame:
     )
 
 
+def latest_shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest month of ``shelf``, without a pass over the others."""
+    last = table(spark, sf_dir, "lineitem").agg(F.max("l_shipdate").cast("timestamp")).first()[0]
+    return shelf(spark, sf_dir, since=last)
+
+
 SHELF_SQL = """monthly AS (
   SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS snapshot_date, l_partkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents, sum(CAST(l_quantity AS BIGINT)) AS units,
          sum(CAST(round(l_discount * 100) AS BIGINT)) AS discounts, count(*) AS reviews_count, count(*) FILTER (l_returnflag = 'R') AS returned

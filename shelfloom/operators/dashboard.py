@@ -262,3 +262,18 @@ def run_summary(shelf: DataFrame, alerts: DataFrame, mine: Column) -> DataFrame:
     per = at_latest(shelf).groupBy(DATE, "category_id").agg((F.count_if(mine) / F.count("*")).alias("sos"), F.min_by(F.when(mine, F.col("asin")), F.when(mine, F.col("rank"))).alias("best"))
     counts = alerts.groupBy(DATE, "category_id").agg(*(F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "warning", "info")))
     return per.join(counts, [DATE, "category_id"], "left").na.fill(0, ["critical", "warning", "info"])
+
+
+def morning_figures(shelf: DataFrame, mine: Column) -> DataFrame:
+    """One row of the latest snapshot: the target's products, average rank, number in
+    the Top 10, share in percent, and by how much the average rank improved since the snapshot before."""
+    daily = shelf.groupBy(DATE).agg(F.count_if(mine).alias("products"), F.avg(F.when(mine, F.col("rank"))).alias("avg_rank"), F.count_if(mine & (F.col("rank") <= 10)).alias("top10"), (100 * F.count_if(mine) / F.count("*")).alias("sos"))
+    last = daily.orderBy(F.desc(DATE)).limit(2).agg(F.max_by(F.struct("products", "avg_rank", "top10", "sos"), DATE).alias("v"), F.min_by("avg_rank", DATE).alias("_before"), F.count("*").alias("_n"))
+    return last.select("v.*", F.when(F.col("_n") == 2, F.col("_before") - F.col("v.avg_rank")).alias("rank_change"))
+
+
+def newcomers(shelf: DataFrame, mine: Column, known: int = 50) -> DataFrame:
+    """Per category of the latest snapshot: the target's products, all products, and
+    how many others there are beyond ``known``."""
+    per = at_latest(shelf).groupBy("category_id").agg(F.count_if(mine).alias("own"), F.count("*").alias("products"))
+    return per.withColumn("new_competitors", F.greatest(F.lit(0), F.col("products") - F.col("own") - known))

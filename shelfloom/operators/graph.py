@@ -302,3 +302,11 @@ def sisters(edges: DataFrame, brand: str) -> DataFrame:
     owner = match(edges, brand, "ownedByGroup").select(F.col("object").alias("owner"))
     owned = edges.where("predicate = 'ownsBrand'").select(F.col("subject").alias("owner"), F.col("object").alias("sister"))
     return owned.join(owner, "owner", "left_semi").where(F.col("sister") != brand).select("sister").distinct()
+
+
+def compares(value: Column, op: str, limit: str) -> Column:
+    """Whether a term meets a condition (``= != < <= > >=``): as numbers if both are, else as texts."""
+    ops = {"=": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}
+    number = F.lit(limit).try_cast("double")
+    as_number = getattr(value.try_cast("double"), ops[op])(number)
+    return F.when(value.try_cast("double").isNotNull() & number.isNotNull(), as_number).otherwise(getattr(value, ops[op])(F.lit(limit)))

@@ -18,11 +18,17 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     text between them by level-two headings, long sections packed to ``size``."""
     table = r"((?:\|[^\n]+\|\n){2,})"
     rows = docs.select(F.col(id_col).alias("id"), F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n")).alias("t"))
-    tables = rows.select("id", F.posexplode(F.regexp_extract_all("t", F.lit(table), F.lit(1))).alias("section", "content"))
-    before = F.split(F.expr("substring(t, 1, locate(content, t) - 1)"), "\n")
-    heads = F.filter(F.slice(before, F.greatest(F.lit(1), F.size(before) - 5), F.lit(6)), lambda x: F.trim(x).rlike(r"^(#|\*\*)"))
-    title = F.trim(F.regexp_replace(F.coalesce(F.try_element_at(heads, F.lit(-1)), F.lit("")), r"[#*]", ""))
-    named = tables.join(rows, "id").select("id", F.lit("table").alias("kind"), "section", F.lit(0).alias("part"), F.when(title == "", F.concat(F.lit("Table "), F.col("section") + 1)).otherwise(title).alias("title"), F.regexp_replace("content", r"\s+$", "").alias("content"))
+    cut = rows.select("id", F.regexp_extract_all("t", F.lit(table), F.lit(1)).alias("tables"), F.split("t", table, -1).alias("pieces"))
+
+    def before(i):
+        """The text's end before a table: six lines reach over three tables at most."""
+        parts = F.transform(F.sequence(F.greatest(F.lit(0), i - 3), i), lambda j: F.concat(F.get(F.col("pieces"), j), F.when(j < i, F.get(F.col("tables"), j)).otherwise("")))
+        lines = F.split(F.array_join(parts, ""), "\n")
+        return F.filter(F.slice(lines, F.greatest(F.lit(1), F.size(lines) - 5), F.lit(6)), lambda x: F.trim(x).rlike(r"^(#|\*\*)"))
+
+    tables = cut.select("id", F.posexplode(F.transform("tables", lambda c, i: F.struct(c.alias("content"), F.try_element_at(before(i), F.lit(-1)).alias("head")))).alias("section", "x"))
+    title = F.trim(F.regexp_replace(F.coalesce("x.head", F.lit("")), r"[#*]", ""))
+    named = tables.select("id", F.lit("table").alias("kind"), "section", F.lit(0).alias("part"), F.when(title == "", F.concat(F.lit("Table "), F.col("section") + 1)).otherwise(title).alias("title"), F.regexp_replace("x.content", r"\s+$", "").alias("content"))
     plain = rows.select("id", F.posexplode(F.split(F.regexp_replace("t", table, "\n"), "\n## ")).alias("section", "body")).where(F.trim(F.regexp_replace("body", r"\s", "")) != "")
     body = F.regexp_replace("body", r"^\s+|\s+$", "")
     head = F.trim(F.regexp_replace(F.substring_index(body, "\n", 1), "#", ""))

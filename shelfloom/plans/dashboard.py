@@ -172,3 +172,6 @@ def _quarters(s, d):
     per = V.table(s, d, "orders").join(V.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(quarter, "c_mktsegment").agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
     reports = per.groupBy("quarter").agg(F.collect_list(F.struct(F.col("c_mktsegment").alias("name"), "cents")).alias("segments"))
     return reports.orderBy(F.desc("quarter")).limit(1).select("quarter", F.explode("segments").alias("x")).select("quarter", "x.*").where("name <> 'MACHINERY'")
+
+shelf("morning_figures", lambda s: D.morning_figures(s, own()), f"SELECT products, avg_rank, top10, sos, lead(avg_rank) OVER (ORDER BY snapshot_date DESC) - avg_rank AS rank_change FROM (SELECT snapshot_date, count(*) FILTER ({OWNED}) AS products, avg(rank) FILTER ({OWNED}) AS avg_rank, count(*) FILTER ({OWNED} AND rank <= 10) AS top10, 100.0::DOUBLE * count(*) FILTER ({OWNED}) / count(*) AS sos FROM shelf GROUP BY 1) ORDER BY snapshot_date DESC LIMIT 1", "avg_rank sos rank_change")
+now("category_newcomers", lambda s: D.newcomers(s, own(), 10), f"SELECT category_id, count(*) FILTER ({OWNED}) AS own, count(*) AS products, greatest(0, count(*) - count(*) FILTER ({OWNED}) - 10) AS new_competitors FROM shelf WHERE {NOW} GROUP BY 1")

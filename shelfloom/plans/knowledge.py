@@ -233,3 +233,9 @@ for _p, _to in R.KEYS:
     _q, _t = _p.replace("'", "''"), _to.replace("$1", "\\1")
     _LINE = f"regexp_replace({_LINE}, '{_q}', '{_t}', 'g')"
 add("masked_keys", _log_lines, f"SELECT o_orderkey, {_LINE} AS line FROM (SELECT o_orderkey, sha256(o_orderkey::VARCHAR) AS h FROM orders)")
+
+# --- conditions on terms, as numbers where they are
+
+_NUM = "CASE WHEN try_cast(object AS DOUBLE) IS NOT NULL THEN try_cast(object AS DOUBLE) {o} {n} ELSE object {o} '{n}' END"
+add("kg_term_filter", lambda s, d: owned(s, d).where(G.compares(F.col("object"), ">=", "2010")).where(G.compares(F.col("object"), "!=", "2015.0")).select("subject", "predicate", "object"),
+    f"SELECT subject, predicate, object FROM ({SQL['kg_ownership_edges']}) WHERE {_NUM.format(o='>=', n='2010')} AND {_NUM.format(o='<>', n='2015.0')}")

@@ -188,3 +188,29 @@ def _case(m):
 _WORDS = ", ".join(f"CASE WHEN list_has_any(kinds, {X.listed(k)}) THEN '{w}' END" for k, w in ADDED) + ", " + ", ".join(f"CASE WHEN list_contains(indicators, '{i}') THEN '{w}' END" for i, w in INDICATORS)
 add("insight_expansion", lambda s, d: _kinds(s, d).select("user_id", T.expanded_by_insight(F.lit("why"), F.col("kinds"), F.col("indicators"), ADDED, INDICATORS).alias("question")),
     f"SELECT user_id, array_to_string(list_concat(['why'], list_filter([{_WORDS}], lambda x: x IS NOT NULL)), ' ') AS question FROM (SELECT user_id, list(DISTINCT {_case(KIND_OF)}) AS kinds, coalesce(list(DISTINCT {_case(INDICATOR_OF)}) FILTER ({_case(INDICATOR_OF)} IS NOT NULL), []) AS indicators FROM events WHERE value > 60 GROUP BY 1)")
+
+#: How an intent is searched: weights of graph, documents and inferences, number of
+#: documents, their types and the fusion; fixed values.
+STRATEGIES = (
+    ("diagnosis", 0.5, 0.3, 0.2, 5, "playbook,metric_guide,intelligence", "weighted_sum"), ("competitive", 0.5, 0.25, 0.25, 5, "intelligence,playbook", "weighted_sum"), ("general", 0.3, 0.5, 0.2, 5, None, "weighted_sum"),
+    ("definition", 0.2, 0.6, 0.2, 5, "metric_guide,playbook", "weighted_sum"), ("data_query", 0.4, 0.4, 0.2, 5, None, "weighted_sum"), ("interpretation", 0.3, 0.5, 0.2, 5, "metric_guide,playbook", "weighted_sum"),
+    ("analysis", 0.3, 0.3, 0.4, 5, "intelligence,playbook,metric_guide", "geometric_mean"), ("insight_rule", 0.25, 0.35, 0.4, 5, "intelligence,knowledge_base", "geometric_mean"),
+    ("trend", 0.35, 0.35, 0.3, 7, "intelligence,knowledge_base,response_guide", "harmonic_mean"), ("crisis", 0.35, 0.4, 0.25, 7, "response_guide,intelligence,playbook", "harmonic_mean"),
+    ("metric", 0.4, 0.4, 0.2, 5, "metric_guide,playbook", "weighted_sum"), ("combination", 0.35, 0.35, 0.3, 7, "playbook,metric_guide", "harmonic_mean"),
+)
+#: For intents without a strategy.
+DEFAULT = "general"
+NAMED = {"trend": "trend", "compare": "competitive", "price": "metric", "why": "diagnosis", "definition": "definition", "general": "small talk"}
+
+
+def _strategies(s, d):
+    """Every turn with the strategy of its intent; an intent without one gets the default."""
+    table = F.broadcast(s.createDataFrame(STRATEGIES, "strategy string, kg double, rag double, inference double, top_k int, types string, fusion string"))  # twelve rows
+    names = F.create_map(*(F.lit(x) for p in NAMED.items() for x in p))
+    known = F.array(*(F.lit(x[0]) for x in STRATEGIES))
+    turns = V.table(s, d, "conversations").select("conv_id", "turn", names[R.intent(F.col("text"))].alias("intent"))
+    return turns.withColumn("strategy", F.when(F.array_contains(known, F.col("intent")), F.col("intent")).otherwise(DEFAULT)).join(table, "strategy").drop("intent")
+
+
+_VALUES = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else f"{v}::INT" for v in row) + ")" for row in STRATEGIES)
+add("retrieval_strategies", _strategies, f"SELECT conv_id, turn, strategy, kg, rag, inference, top_k, types, fusion FROM (SELECT conv_id, turn, CASE {I.INTENT} " + " ".join(f"WHEN '{a}' THEN '{b if b != 'small talk' else 'general'}'" for a, b in NAMED.items()) + f" END AS strategy FROM conversations) JOIN (VALUES {_VALUES}) v(strategy, kg, rag, inference, top_k, types, fusion) USING (strategy)")

@@ -263,3 +263,13 @@ add("run_rates", on("events")(lambda e: e.groupBy("user_id").agg((1 - F.count_if
 add("merged_actions", lambda s, d: N.top_actions(I.context(s, d), I.KEYS, 10).groupBy("brand", "origin").agg(F.count("*").alias("n")),
     I.RULE_SQL + """ SELECT brand, origin, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_date, category_id, brand ORDER BY priority DESC, name) AS place
       FROM (SELECT snapshot_date, category_id, brand, 'rule' AS origin, rule AS name, priority FROM hits UNION ALL SELECT snapshot_date, category_id, brand, 'alert', 'rank_shock', 9 FROM ctx WHERE rank_shock)) WHERE place <= 10 GROUP BY 1, 2""")
+
+
+def _named_sales(s, d):
+    """Units by month and normalised brand: however a listing spells it."""
+    brand = _listing(V.table(s, d, "part")).select("p_partkey", X.normal_brand(F.col("brand"), F.col("title")).alias("brand"))
+    sold = V.table(s, d, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month"), "l_partkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("units"))
+    return sold.join(brand, F.col("l_partkey") == F.col("p_partkey")).groupBy("month", "brand").agg(F.sum("units").alias("units"), F.count_distinct("p_partkey").alias("products"))
+
+
+add("monthly_brands", _named_sales, f"SELECT strftime(l_shipdate, '%Y-%m') AS month, brand, sum(l_quantity::BIGINT)::BIGINT AS units, count(DISTINCT p_partkey) AS products FROM lineitem JOIN ({SQL['normal_brands']}) ON l_partkey = p_partkey GROUP BY 1, 2")

@@ -142,3 +142,18 @@ def _streamed(s, d):
 
 add("last_figures_streamed", _streamed, """SELECT user_id, n, mean, least, v[n // 2 + 1] AS p50, v[floor(n * 0.9::DOUBLE)::INT + 1] AS p90, v[floor(n * 0.99::DOUBLE)::INT + 1] AS p99
   FROM (SELECT user_id, count(*) AS n, fsum(value) / count(*) AS mean, min(value) AS least, list(value ORDER BY value) AS v FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 100) GROUP BY 1)""", "mean")
+
+LIMITS = [("error", ">", 50.0, "critical"), ("purchase", ">=", 90.0, "warning"), ("view", "<", 1.0, "info"), ("click", "~", 1.0, "none")]
+
+
+def _acted(s, d):
+    """Events in four files and one of the files again, against rules; an unknown operator never holds."""
+    folder, e = _folder(s, "actions"), V.table(s, d, "events").select("event_id", F.col("event_type").alias("metric"), "value")
+    for part in (e, e.where("event_id % 4 = 1")):
+        part.repartition(4, "event_id").write.mode("append").parquet(f"{folder}/events")
+    stream = s.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/events")
+    W.rule_actions(stream, s.createDataFrame(LIMITS, "metric string, op string, limit double, severity string"), f"{folder}/actions", ["event_id"], f"{folder}/state")
+    return s.read.parquet(f"{folder}/actions").select("event_id", "metric", "value", "severity")
+
+
+add("rule_actions_streamed", _acted, "SELECT event_id, event_type AS metric, value, CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'warning' ELSE 'info' END AS severity FROM events WHERE event_type = 'error' AND value > 50 OR event_type = 'purchase' AND value >= 90 OR event_type = 'view' AND value < 1")

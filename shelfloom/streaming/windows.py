@@ -1,4 +1,5 @@
-"""Figures over the last samples of every key, kept in state while a stream runs."""
+"""Streams read to their end: figures over the last samples of every key, kept in
+state, and actions by a static table of rules."""
 
 from __future__ import annotations
 
@@ -11,6 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from shelfloom.operators.rules import thresholds
+from shelfloom.sources import stored
+
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -59,3 +63,15 @@ def read_to_end(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
     rows = spark.read.parquet(f"{folder}/rows")
     plain = [c for c in rows.columns if c not in (*keys, "batch")]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*plain), "batch").alias("x")).select(*keys, "x.*")
+
+
+def rule_actions(events: DataFrame, rules: DataFrame, folder: str, keys: list[str], state: str) -> None:
+    """Read a stream of rows (metric, value and others) to its end against a static
+    table of rules (metric, op, limit, severity) and store what holds, batch by batch,
+    as an upsert on ``keys`` by severity: a batch that is run again, or an event that
+    comes twice, leaves one row."""
+
+    def store(rows: DataFrame, batch: int) -> None:
+        stored.upsert(rows, folder, [*keys, "severity"], "severity")
+
+    thresholds(events, rules).writeStream.foreachBatch(store).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()

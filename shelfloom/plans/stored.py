@@ -5,13 +5,17 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shelfloom.operators import evaluation as E
 from shelfloom.operators import shelf as S
-from shelfloom.sources import stored, tables
+from shelfloom.sources import files, stored, tables
 from shelfloom.sources import views as V
+from shelfloom.streaming import suppression
 from shelfloom.streaming import windows as W
 
+from . import texts as X
+
 QUERIES: dict = {}
 SQL: dict = {}
 
@@ -157,3 +161,81 @@ def _acted(s, d):
 
 
 add("rule_actions_streamed", _acted, "SELECT event_id, event_type AS metric, value, CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'warning' ELSE 'info' END AS severity FROM events WHERE event_type = 'error' AND value > 50 OR event_type = 'purchase' AND value >= 90 OR event_type = 'view' AND value < 1")
+
+
+HELD, HELD_AT_MOST = 6 * 3600, 3
+
+
+def _held(s, d):
+    """Events in four files, out of order, and a part of them again; beyond the lateness one event that ends the stream."""
+    folder, e = _folder(s, "held"), V.table(s, d, "events").select("event_type", "ts", "event_id")
+    last = e.agg(F.lit("end").alias("event_type"), (F.max("ts") + F.expr("INTERVAL 90 DAYS")).alias("ts"), F.lit(-1).cast("long").alias("event_id"))
+    for part in (e.repartition(4, "event_id"), e.where("event_id % 4 = 1"), last):
+        part.write.mode("append").parquet(f"{folder}/events")
+    stream = s.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/events")
+    out = suppression.suppressed(stream, "event_type", "ts", "event_id", HELD, HELD_AT_MOST, "60 days")
+    return suppression.appended(out, folder).select("event_type", "event_id", "suppressed")
+
+
+# every file holds events of the whole month: only a lateness beyond it keeps all
+add("suppressed_stream", _held, f"""WITH RECURSIVE opened AS (SELECT event_type, min(ts) AS first FROM events GROUP BY 1
+  UNION ALL SELECT o.event_type, min(e.ts) FROM opened o JOIN events e ON e.event_type = o.event_type AND e.ts > o.first + INTERVAL {HELD} SECOND GROUP BY 1),
+  placed AS (SELECT e.event_type, event_id, row_number() OVER (PARTITION BY e.event_type, first ORDER BY e.ts, event_id) - {HELD_AT_MOST} AS over_most FROM events e ASOF JOIN opened o ON o.event_type = e.event_type AND o.first <= e.ts)
+  SELECT event_type, event_id, greatest(0, over_most) AS suppressed FROM placed WHERE over_most <= 1 OR over_most % 10 = 0""")
+
+# --- text files
+
+#: Documents a file.
+FILE_ROWS = 250
+
+
+def _line_file(s, d):
+    """Documents as JSON lines: of a file's, every seventh is cut, every eleventh
+    repeats the number before, every thirteenth has no text; each file begins with a comment."""
+    folder, i = _folder(s, "lines"), F.col("doc_id")
+    body = F.to_json(F.struct(F.when(i % 11 == 5, i - 1).otherwise(i).alias("id"), F.when(i % 13 != 6, F.col("text")).alias("question")))
+    line = F.when(i % 7 == 3, F.substring(body, 1, 8)).otherwise(body)
+    rows = V.table(s, d, "documents").select(F.floor(i / FILE_ROWS).cast("long").alias("shard"), i.alias("place"), line.alias("value"))
+    heads = rows.select("shard").distinct().select("shard", F.lit(-1).cast("long").alias("place"), F.lit("# items").alias("value"))
+    rows.union(heads).repartition("shard").sortWithinPartitions("shard", "place").select("shard", "value").write.partitionBy("shard").text(folder)
+    return files.json_lines(s, folder, "id long, question string")
+
+
+_SHARD = F.regexp_extract("file", "shard=([0-9]+)", 1).cast("long").alias("shard")
+_LINES = f"""(SELECT *, row_number() OVER (PARTITION BY shard ORDER BY doc_id) + 1 AS number FROM (SELECT doc_id, doc_id // {FILE_ROWS} AS shard, doc_id % 7 = 3 AS broken, CASE WHEN doc_id % 11 = 5 THEN doc_id - 1 ELSE doc_id END AS id,
+  doc_id % 13 <> 6 AND coalesce(regexp_matches(text, '\\S'), false) AS filled FROM documents))"""
+add("json_lines_read", lambda s, d: _line_file(s, d).where("bad is null").select(_SHARD, "number", "item.id", F.sha2("item.question", 256).alias("digest")),
+    f"SELECT shard, number, id, sha256(CASE WHEN doc_id % 13 <> 6 THEN text END) AS digest FROM {_LINES} JOIN documents USING (doc_id) WHERE NOT broken")
+add("json_line_problems", lambda s, d: files.line_problems(_line_file(s, d), "id", "question").select(_SHARD, "number", "problem"),
+    f"""SELECT shard, number, unnest(list_filter([CASE WHEN broken THEN 'broken line' WHEN seen > 1 THEN 'repeated key' END, CASE WHEN NOT broken AND NOT filled THEN 'empty field' END], lambda x: x IS NOT NULL)) AS problem
+  FROM (SELECT *, row_number() OVER (PARTITION BY broken, id ORDER BY shard, number) AS seen FROM {_LINES})""")
+
+
+def _json_days(s, d):
+    """Snapshots as JSON records by month; the last three months' come again at list
+    price. Those of a year before the last month are read."""
+    folder, shelf = _folder(s, "records"), tables.written(V.shelf(s, d).select("snapshot_date", "category_id", "asin", "brand", "rank", "price", "list_price"))
+    last = shelf.agg(F.max("snapshot_date")).first()[0]
+    files.save_records(shelf, folder)
+    files.save_records(shelf.where(F.col("snapshot_date") > F.add_months(F.lit(last), -3)).withColumn("price", F.col("list_price")), folder)
+    read = files.recent_records(s, folder, StructType([f for f in shelf.schema]), last, 365)
+    return read.groupBy(F.col("snapshot_date").cast("string").alias("snapshot_date"), "category_id").agg(F.count("*").alias("rows"), F.sum(F.round(F.col("price") * 1_000_000).cast("long")).alias("millionths"), F.min("rank").cast("long").alias("best"))
+
+
+add("json_records_by_day", _json_days, f"""WITH {V.SHELF_SQL}, m AS (SELECT max(snapshot_date) AS m FROM shelf)
+  SELECT snapshot_date::VARCHAR AS snapshot_date, category_id, count(*) AS rows, sum(round((CASE WHEN snapshot_date > m - INTERVAL 3 MONTH THEN list_price ELSE price END) * 1000000)::BIGINT)::BIGINT AS millionths, min(rank)::BIGINT AS best FROM shelf, m WHERE snapshot_date >= m - INTERVAL 365 DAY GROUP BY shelf.snapshot_date, 2""")
+
+SHEET = ["snapshot_date", "asin", "brand", "product_name", "units"]
+
+
+def _sheet_days(s, d):
+    """Sales as sheet rows of strings; of 1997, all of one brand, in whatever spelling."""
+    folder, p = _folder(s, "sheet"), X._listing(V.table(s, d, "part"))
+    sold = V.table(s, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    sold.select(F.col("l_shipdate").cast("date").cast("string").alias("snapshot_date"), F.col("p_partkey").cast("string").alias("asin"), "brand", F.col("title").alias("product_name"), F.col("l_quantity").cast("long").cast("string").alias("units")).write.option("header", True).option("escape", '"').csv(folder)
+    rows = files.sheet(s, folder, SHEET, "1997-01-01", "1997-12-31", "TREE HUT")
+    return rows.groupBy("asin", "brand").agg(F.count("*").alias("rows"), F.sum(F.col("units").try_cast("long")).alias("units"), F.min("snapshot_date").alias("first"), F.max("snapshot_date").alias("last"))
+
+
+add("sheet_history", _sheet_days, f"""SELECT p_partkey::VARCHAR AS asin, brand, count(*) AS rows, sum(l_quantity::BIGINT)::BIGINT AS units, min(l_shipdate::DATE)::VARCHAR AS first, max(l_shipdate::DATE)::VARCHAR AS last
+  FROM lineitem JOIN ({X.SQL['normal_brands']}) ON l_partkey = p_partkey WHERE l_shipdate::DATE BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' AND lower(brand) = 'tree hut' GROUP BY 1, 2""")

@@ -6,9 +6,10 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,6 +19,18 @@ from shelfloom.sources import stored
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The state store that transformWithState needs, for the streams started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def last_figures(events: DataFrame, key: str, at: str, number: str, value: str, most: int = 100) -> DataFrame:
     """``(key, n, mean, least, p50, p90, p99)`` of a key's last ``most`` samples by
     time, then number, after each batch that has some of the key's. Late samples take
@@ -53,13 +66,9 @@ def read_to_end(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
     """The last row of every key that a stream in update mode gives until its source
     is read; each batch is written under its number, so one that is run again replaces itself."""
     spark = stream.sparkSession
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    try:
-        save = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+    save = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+    with state_store(spark):
         stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{folder}/state-{uuid.uuid4().hex}").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     rows = spark.read.parquet(f"{folder}/rows")
     plain = [c for c in rows.columns if c not in (*keys, "batch")]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*plain), "batch").alias("x")).select(*keys, "x.*")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import folds
+
 #: Kinds of claims and what they look like.
 PATTERNS = {
     "percent": r"[0-9]+(?:\.[0-9]+)? ?%",
@@ -92,9 +94,9 @@ def within_budget(rows: DataFrame, group: str, order: list[Column], size: Column
     folded = placed.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("place", "size"))).alias("all")).select(
         group,
         F.explode(F.aggregate(
-            "all", F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("taken")),
-            lambda acc, x: F.when(acc["used"] + x["size"] <= budget, F.struct((acc["used"] + x["size"]).alias("used"), F.array_append(acc["taken"], x["place"]).alias("taken"))).otherwise(acc),
-            lambda acc: acc["taken"],
+            "all", F.struct(F.lit(0).cast("long").alias("used"), folds.empty("int").alias("taken")),
+            lambda acc, x: F.when(acc["used"] + x["size"] <= budget, F.struct((acc["used"] + x["size"]).alias("used"), folds.added(acc["taken"], F.array(x["place"])).alias("taken"))).otherwise(acc),
+            lambda acc: folds.whole(acc["taken"]),
         )).alias("place"),
     )
     return placed.join(folded, [group, "place"]).drop("place")

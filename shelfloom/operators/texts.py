@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from . import folds
+
 
 def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 500) -> DataFrame:
     """Chunks ``(id, kind, section, part, title, content)``: pipe tables whole, the
@@ -41,18 +43,19 @@ def packed(text: Column, size: int) -> Column:
     longer paragraph is cut hard."""
     pieces = F.filter(F.transform(F.split(text, "\n\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
     cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / size).cast("int")), lambda i: F.substring(p, i * size + 1, F.lit(size)))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    start = F.struct(folds.empty("string").alias("done"), F.lit("").alias("open"))
+    opened = lambda acc: F.when(acc["open"] == "", F.array().cast("array<string>")).otherwise(F.array(acc["open"]))
 
     def step(acc, p):
         fits = F.length(acc["open"]) + F.length(p) + 2 <= size
         joined = F.when(acc["open"] == "", p).otherwise(F.concat(acc["open"], F.lit("\n\n"), p))
-        closed = F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"]))
         short = F.length(p) <= size
+        closed = F.when(short, opened(acc)).otherwise(F.concat(opened(acc), cut(p)))
         return F.when(fits, F.struct(acc["done"].alias("done"), joined.alias("open"))).otherwise(
-            F.struct(F.when(short, closed).otherwise(F.concat(closed, cut(p))).alias("done"), F.when(short, p).otherwise("").alias("open"))
+            F.struct(folds.added(acc["done"], closed).alias("done"), F.when(short, p).otherwise("").alias("open"))
         )
 
-    return F.aggregate(pieces, start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+    return F.aggregate(pieces, start, step, lambda acc: F.concat(folds.whole(acc["done"]), opened(acc)))
 
 
 def sentences(text: Column) -> Column:
@@ -65,18 +68,18 @@ def sentences(text: Column) -> Column:
 def overlapping(units: Column, size: int) -> Column:
     """Sentences gathered to at most ``size`` characters (each counts one more),
     the last of a chunk opens the next."""
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("used"))
+    start = F.struct(folds.empty("string").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("used"))
+    joined = lambda acc: F.array(F.array_join(acc["open"], " "))
 
     def step(acc, s):
         full = (acc["used"] + F.length(s) > size) & (F.size(acc["open"]) > 0)
         last = F.slice(acc["open"], -1, 1)
         return F.when(
             full,
-            F.struct(F.array_append(acc["done"], acc["open"]).alias("done"), F.array_append(last, s).alias("open"), (F.length(F.try_element_at(acc["open"], F.lit(-1))) + F.length(s) + 2).alias("used")),
+            F.struct(folds.added(acc["done"], joined(acc)).alias("done"), F.array_append(last, s).alias("open"), (F.length(F.try_element_at(acc["open"], F.lit(-1))) + F.length(s) + 2).alias("used")),
         ).otherwise(F.struct(acc["done"].alias("done"), F.array_append(acc["open"], s).alias("open"), (acc["used"] + F.length(s) + 1).alias("used")))
 
-    chunks = F.aggregate(units, start, step, lambda acc: F.when(F.size(acc["open"]) > 0, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]))
-    return F.transform(chunks, lambda c: F.array_join(c, " "))
+    return F.aggregate(units, start, step, lambda acc: F.concat(folds.whole(acc["done"]), F.when(F.size(acc["open"]) > 0, joined(acc)).otherwise(F.array().cast("array<string>"))))
 
 
 def hits(text: Column, words: list[str]) -> Column:
@@ -263,12 +266,12 @@ def semantic_chunks(units: DataFrame, share: float = 0.25, least: float = 0.5, l
     rows = rows.select("doc", "place", "size", F.when(F.col("_next").isNotNull(), F.coalesce(dot(F.col("vector"), F.col("_next")) / F.nullif(F.col("_norm") * F.col("_after"), F.lit(0.0)), F.lit(0.0))).alias("sim"))
     limit = F.greatest(F.percentile("sim", share).over(Window.partitionBy("doc")), F.lit(least))
     cut = rows.select("doc", F.struct("place", "size", F.coalesce(F.col("sim") < limit, F.lit(False)).alias("cut")).alias("s"))
-    start = F.struct(F.array().cast("array<int>").alias("chunks"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("chunk"))
+    start = F.struct(folds.empty("int").alias("chunks"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("chunk"))
 
     def step(acc, s):
         used = acc["used"] + s["size"]
         ends = (s["cut"] & (used >= low)) | (used >= high)
-        return F.struct(F.array_append(acc["chunks"], acc["chunk"]).alias("chunks"), F.when(ends, F.lit(0).cast("long")).otherwise(used).alias("used"), (acc["chunk"] + ends.cast("int")).alias("chunk"))
+        return F.struct(folds.added(acc["chunks"], F.array(acc["chunk"])).alias("chunks"), F.when(ends, F.lit(0).cast("long")).otherwise(used).alias("used"), (acc["chunk"] + ends.cast("int")).alias("chunk"))
 
-    folded = cut.groupBy("doc").agg(F.array_sort(F.collect_list("s")).alias("s")).select("doc", "s", F.aggregate("s", start, step, lambda acc: acc["chunks"]).alias("c"))
+    folded = cut.groupBy("doc").agg(F.array_sort(F.collect_list("s")).alias("s")).select("doc", "s", F.aggregate("s", start, step, lambda acc: folds.whole(acc["chunks"])).alias("c"))
     return folded.select("doc", F.explode(F.arrays_zip(F.col("s")["place"].alias("place"), F.col("c").alias("chunk"))).alias("x")).select("doc", F.col("x.place").alias("place"), F.col("x.chunk").alias("chunk"))

@@ -158,7 +158,13 @@ def _linked(s, d):
 
 add("fuzzy_links", _linked)
 add("fuzzy_set_f1", lambda s, d: V.table(s, d, "part").select("p_partkey", F.round(fuzzy.set_f1()(F.split("p_name", " "), F.split(F.concat(F.col("p_name"), F.lit("s extra")), " ")), 6).alias("f1")))
-add("semantic_chunks", lambda s, d: T.semantic_chunks(V.table(s, d, "embeddings").select(F.col("label").alias("doc"), F.col("vec_id").alias("place"), (F.col("vec_id") % 200 + 50).alias("size"), F.col("embedding").alias("vector"))))
+add("semantic_chunks", lambda s, d: T.semantic_chunks(V.table(s, d, "embeddings").select(F.col("label").alias("doc"), F.col("vec_id").alias("place"), (F.col("vec_id") % 200 + 50).alias("size"), F.col("embedding").alias("vector"))),
+    """WITH RECURSIVE u AS (SELECT label AS doc, vec_id AS place, vec_id % 200 + 50 AS size, row_number() OVER w AS i, list_cosine_similarity(embedding::DOUBLE[], lead(embedding::DOUBLE[]) OVER w) AS sim FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+  q AS (SELECT doc, greatest(quantile_cont(sim, 0.25), 0.5) AS least FROM u GROUP BY 1), c AS (SELECT u.*, coalesce(sim < least, false) AS cut FROM u JOIN q ON q.doc IS NOT DISTINCT FROM u.doc),
+  r AS (SELECT DISTINCT doc, 0::BIGINT AS i, 0::BIGINT AS chunk, 0::BIGINT AS next, 0::BIGINT AS used FROM c
+    UNION ALL SELECT c.doc, c.i, r.next, r.next + (cut AND used + size >= 100 OR used + size >= 1000)::INT, CASE WHEN cut AND used + size >= 100 OR used + size >= 1000 THEN 0 ELSE used + size END FROM r JOIN c ON c.doc IS NOT DISTINCT FROM r.doc AND c.i = r.i + 1)
+  SELECT c.doc, place, chunk::INT AS chunk FROM r JOIN c ON c.doc IS NOT DISTINCT FROM r.doc AND c.i = r.i""")
+
 
 # --- layer scores
 

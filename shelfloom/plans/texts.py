@@ -41,10 +41,51 @@ def count_of(words, c="text"):
 # --- splitting
 
 add("section_chunks", on("documents")(lambda d: T.sections(d).groupBy("id", "kind").agg(F.count("*").alias("chunks"), F.max(F.length("content")).alias("longest"))))
-add("packed_paragraphs", on("documents")(lambda d: d.select("doc_id", F.posexplode(T.packed(F.regexp_replace("text", "\n", "\n\n"), 500)).alias("part", "content")).select("doc_id", "part", F.sha2("content", 256).alias("digest"))))
+STRIPPED = r"list_filter(list_transform(string_split({t}, E'\n\n'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '')"
+
+
+def packed_sql(rows, size):
+    """Parts (key, part, content) of rows (key, p), p the pieces of a text, taken one
+    after another; ``part`` is the open part's number, ``chunk`` the part of the piece."""
+    return f"""(WITH RECURSIVE pieces AS (SELECT key, unnest(p) AS piece, generate_subscripts(p, 1)::BIGINT AS i FROM ({rows})), sized AS (SELECT *, length(piece) AS n FROM pieces),
+  r AS (SELECT DISTINCT key, 0::BIGINT AS i, 0::BIGINT AS chunk, 0::BIGINT AS part, 0::BIGINT AS used FROM sized
+    UNION ALL SELECT s.key, s.i, CASE WHEN used + n + 2 <= {size} THEN part ELSE part + (used > 0)::INT END,
+      CASE WHEN used + n + 2 <= {size} THEN part WHEN n <= {size} THEN part + (used > 0)::INT ELSE part + (used > 0)::INT + (n + {size - 1}) // {size} END,
+      CASE WHEN used + n + 2 <= {size} THEN used + n + 2 * (used > 0)::INT WHEN n <= {size} THEN n ELSE 0 END FROM r JOIN sized s ON s.key = r.key AND s.i = r.i + 1),
+  placed AS (SELECT key, i, chunk, piece, n FROM r JOIN sized USING (key, i))
+  SELECT key, chunk::INT AS part, string_agg(piece, E'\n\n' ORDER BY i) AS content FROM placed WHERE n <= {size} GROUP BY 1, 2
+  UNION ALL SELECT key, (chunk + x)::INT, substring(piece, x * {size} + 1, {size}) FROM placed, range((n + {size - 1}) // {size}) t(x) WHERE n > {size})"""
+
+
+add("packed_paragraphs", on("documents")(lambda d: d.select("doc_id", F.posexplode(T.packed(F.regexp_replace("text", "\n", "\n\n"), 500)).alias("part", "content")).select("doc_id", "part", F.sha2("content", 256).alias("digest"))),
+    "SELECT key AS doc_id, part, sha256(content) AS digest FROM " + packed_sql("SELECT doc_id AS key, " + STRIPPED.format(t="replace(text, E'\n', E'\n\n')") + " AS p FROM documents", 500))
 SENT = "list_filter(list_transform(string_split_regex(regexp_replace(text, '([^0-9A-Z])([.!?])\\s+', '\\1\\2\n', 'g'), '\n+'), lambda s: trim(s)), lambda s: s <> '')"
 add("sentences", on("benchmark")(lambda d: d.select("item_id", F.posexplode(T.sentences(F.col("text"))).alias("number", "sentence"))), f"SELECT item_id, unnest(range(len(s)))::INT AS number, unnest(s) AS sentence FROM (SELECT item_id, {SENT} AS s FROM benchmark)")
-add("overlapping_chunks", on("documents")(lambda d: d.select("doc_id", F.posexplode(T.overlapping(T.sentences(F.col("text")), 1000)).alias("part", "content")).select("doc_id", "part", F.sha2("content", 256).alias("digest"))))
+add("overlapping_chunks", on("documents")(lambda d: d.select("doc_id", F.posexplode(T.overlapping(T.sentences(F.col("text")), 1000)).alias("part", "content")).select("doc_id", "part", F.sha2("content", 256).alias("digest"))),
+    f"""WITH RECURSIVE docs AS (SELECT doc_id, {SENT} AS s FROM documents), s AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1)::BIGINT AS i FROM docs), sized AS (SELECT *, length(sentence) AS n FROM s),
+  r AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, 0::BIGINT AS part, 0::BIGINT AS used, 0::BIGINT AS before FROM sized
+    UNION ALL SELECT x.doc_id, x.i, part + (used > 0 AND used + n > 1000)::INT, CASE WHEN used > 0 AND used + n > 1000 THEN before + n + 2 ELSE used + n + 1 END, n FROM r JOIN sized x ON x.doc_id = r.doc_id AND x.i = r.i + 1),
+  own AS (SELECT doc_id, i, part, sentence, lead(part) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM r JOIN sized USING (doc_id, i))
+  SELECT doc_id, part::INT AS part, sha256(string_agg(sentence, ' ' ORDER BY i)) AS digest FROM (SELECT doc_id, i, part, sentence FROM own UNION ALL SELECT doc_id, i, next, sentence FROM own WHERE next > part) GROUP BY 1, 2""")
+
+
+
+def _reports(s, d):
+    """A report of every customer's orders: a section with a table for each status."""
+    o, n = V.table(s, d, "orders"), F.lit("\n")
+    line = F.struct("o_orderkey", F.concat(F.lit("| "), F.col("o_orderkey").cast("string"), F.lit(" | "), F.round(F.col("o_totalprice") * 100).cast("long").cast("string"), F.lit(" |")).alias("line"))
+    per = o.groupBy("o_custkey", "o_orderstatus").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    status = F.col("o_orderstatus")
+    body = F.concat(F.lit("## Status "), status, n, F.lit("Orders as of now."), n, n, F.lit("**Orders "), status, F.lit("**"), n, F.lit("| key | cents |"), n, F.lit("| --- | --- |"), n, F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), n)
+    texts = per.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(status, body.alias("body")))).alias("all"))
+    return texts.select(F.col("o_custkey").alias("doc_id"), F.array_join(F.transform("all", lambda x: x["body"]), "\n").alias("text"))
+
+
+add("report_sections", lambda s, d: T.sections(_reports(s, d)).withColumn("digest", F.sha2("content", 256)).drop("content"),
+    """WITH t AS (SELECT o_custkey AS id, o_orderstatus AS s, string_agg('| ' || o_orderkey || ' | ' || round(o_totalprice * 100)::BIGINT || ' |', chr(10) ORDER BY o_orderkey) AS lines FROM orders GROUP BY 1, 2),
+  n AS (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY s) - 1)::INT AS section FROM t)
+  SELECT id, 'table' AS kind, section, 0 AS part, 'Orders ' || s AS title, sha256('| key | cents |' || chr(10) || '| --- | --- |' || chr(10) || lines) AS digest FROM n
+  UNION ALL SELECT id, 'text', section, 0, 'Status ' || s, sha256(CASE WHEN section = 0 THEN '## ' ELSE '' END || 'Status ' || s || chr(10) || 'Orders as of now.' || chr(10) || chr(10) || '**Orders ' || s || '**') FROM n""")
 
 # --- search and fusion
 

@@ -117,3 +117,15 @@ def test_inconsistencies(spark):
     )
     got = {(r.entity, r.problem) for r in G.inconsistencies(edges).collect()}
     assert got == {("p1", "several categories"), ("p2", "no category"), ("p2", "brand and product"), ("p3", "no category"), ("C", "brand without products")}
+
+
+def test_lists_of_folds_keep_order_over_many_pieces(spark):
+    from shelfloom.operators import folds
+
+    rows = spark.range(0, 400, 37).select(F.sequence(F.lit(0), F.col("id")).alias("all"))
+    kept = lambda acc, x: F.when(x % 3 == 0, acc).otherwise(folds.added(acc, F.array(x, -x)))
+    got = rows.select("all", F.aggregate("all", folds.empty("bigint"), kept, folds.whole).alias("kept")).collect()
+    assert all(r.kept == [y for x in r["all"] if x % 3 for y in (x, -x)] for r in got) and any(len(r.kept) > 3 * folds.STEP for r in got)
+    long = "\n\n".join("p%d" % i for i in range(3000))
+    parts = one(spark, long, p=T.packed(F.col("text"), 20)).p
+    assert parts == plain_packed(long, 20) and len(parts) > 500

@@ -162,6 +162,53 @@ def numeric_accuracy(answer: Column, wanted: Column, tolerance: float = 0.05) ->
     return F.when(F.size(wanted) == 0, 1.0).otherwise(F.size(met) / F.size(wanted))
 
 
+#: How figures are named in answers, in the order in which they are read, fixed values.
+KPI_PATTERNS = (
+    r"(?:sos|share\s+of\s+shelf|점유율)[:\s]*(\d+(?:\.\d+)?)\s*%?", r"(?:hhi|허핀달|시장집중도)[:\s]*(\d+(?:\.\d+)?)", r"(?:cpi|가격지수|price\s+index)[:\s]*(\d+(?:\.\d+)?)",
+    r"(?:churn|교체율|이탈율)[:\s]*(\d+(?:\.\d+)?)\s*%?", r"(?:growth|성장률|증가율)[:\s]*(-?\d+(?:\.\d+)?)\s*%?", r"(?:rank|순위)[:\s]*#?(\d+)",
+)
+#: Names of categories, and categories that exclude each other in an answer, fixed values.
+CATEGORY_NAMES = {
+    "lip care": "lip_care", "립케어": "lip_care", "립 케어": "lip_care", "lip makeup": "lip_makeup", "립메이크업": "lip_makeup", "립 메이크업": "lip_makeup",
+    "skin care": "skin_care", "스킨케어": "skin_care", "스킨 케어": "skin_care", "face powder": "face_powder", "파우더": "face_powder", "페이스파우더": "face_powder", "beauty": "beauty", "뷰티": "beauty",
+}
+CONFUSED = (("lip_care", "lip_makeup"), ("skin_care", "makeup"))
+
+
+def figures_said(text: Column, patterns: tuple[str, ...] = KPI_PATTERNS) -> Column:
+    """Numbers of a text: those that a pattern names, by pattern, then place; without any, every number. Repeats stay; null has none."""
+    numbers = lambda c, p, group: F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(p), F.lit(group)), lambda x: x.cast("double"))
+    named = F.concat(*(numbers(F.lower(text), p, 1) for p in patterns))
+    return F.when(F.size(named) > 0, named).otherwise(numbers(text, r"-?\d+(?:\.\d+)?", 0))
+
+
+def figures_met(answer: Column, gold: Column, tolerance: float = 0.05) -> Column:
+    """Share of the gold text's figures that some figure of the answer meets within
+    the tolerance, relative to the gold's (below 0.001: within 0.001); 1 without any."""
+    said, wanted = figures_said(answer), figures_said(gold)
+    close = lambda a, b: (a == b) | F.when(F.abs(b) < 0.001, F.abs(a - b) < 0.001).otherwise(F.abs(a - b) / F.abs(b) <= tolerance)
+    met = F.filter(wanted, lambda w: F.exists(said, lambda a: close(a, w)))
+    return F.when(F.size(wanted) == 0, 1.0).otherwise(F.size(met) / F.size(wanted))
+
+
+def category_met(answer: Column, gold: Column, names: dict[str, str] = CATEGORY_NAMES, confused: tuple[tuple[str, ...], ...] = CONFUSED) -> Column:
+    """1 if the answer names the gold category as whole words and none that is
+    confused with it, else 0; the gold may be any of its names, in any case."""
+    low = F.lower(F.coalesce(answer, F.lit("")))
+    kinds = sorted(set(names.values()))
+    said = {k: F.rlike(low, F.lit(r"(?U)\b(?:" + "|".join(rf"\Q{a}\E" for a, c in names.items() if c == k) + r")\b")) for k in kinds}
+    wanted = F.lower(F.trim(gold))
+    wanted = F.coalesce(F.create_map(*(F.lit(x) for p in names.items() for x in p))[wanted], wanted)
+    right = F.lit(False)
+    for k in kinds:
+        others = [said[o] for group in confused if k in group for o in group if o != k and o in said]
+        fine = said[k]
+        for other in others:
+            fine = fine & ~other
+        right = F.when(wanted == k, fine).otherwise(right)
+    return right.cast("double")
+
+
 def violation_rate(violations: Column, inferences: Column, explicit: Column) -> Column:
     return violations / (inferences + F.greatest(F.lit(1), explicit))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -133,6 +134,101 @@ def _report(s, d):
 add("trace_report", _report, f"SELECT turns, count(*) AS items, avg(entity_f1) AS entity_f1, avg(violation_rate) AS violation_rate, avg(type_consistency) AS type_consistency, count(*) FILTER (entity_f1 < 0.5) AS entity_fails, count(*) FILTER (violation_rate > 0.05::DOUBLE) AS violation_fails, count(*) FILTER (type_consistency < 0.95::DOUBLE) AS type_fails FROM ({_SCORES}) GROUP BY ROLLUP (turns)", "entity_f1 violation_rate type_consistency")
 
 
+# --- gates and overall score of traces: words in order of the alphabet stand for a
+# ranking, long words for concepts, short ones for constraints, beginnings for edges;
+# items of more than two turns need the graph, those of one have no relevance
+
+
+def _graded(s, d):
+    """All layers' metrics of every trace, under the names that gates and score use."""
+    part = lambda c, longer: F.filter(c, lambda w: (F.length(w) > 6) == longer)
+    heads = lambda c: F.transform(c, lambda w: F.substring(w, 1, 2))
+    found, gold = F.col("found"), F.col("gold")
+    share = lambda a, b: F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a))
+    metrics = {
+        "entity_link_f1": E.set_f1(found, gold), "concept_map_f1": E.set_f1(part(found, True), part(gold, True)), "constraint_f1": E.set_f1(part(found, False), part(gold, False)),
+        "context_recall": E.recall_at(found, gold, 10), "context_precision": E.precision_at(found, gold, 10), "mrr": E.reciprocal_rank(found, gold), "hits": E.hits_at(found, gold, 10),
+        "edge_f1": E.set_f1(heads(found), heads(gold)), "answer_f1": E.set_f1(heads(gold), heads(found)), "groundedness": share(heads(found), heads(gold)), "relevance": F.when(F.col("turns") > 1, share(heads(gold), heads(found))),
+    }
+    layers = _layers(s, d).withColumn("found", F.array_sort("found")).select("item", *(c.alias(n) for n, c in metrics.items()))
+    return layers.join(_scores(s, d).select("item", "violation_rate", "type_consistency", "turns"), "item").withColumn("graph", F.col("turns") > 2)
+
+
+def _gated(s, d):
+    """Overall score, tags of the gates that an item fails, and whether it passes."""
+    items = _graded(s, d)
+    names = {"recall": "context_recall", "precision": "context_precision"}
+    layers = {n: F.col(names.get(n, n)) for n in ("entity_link_f1", "concept_map_f1", "constraint_f1", "recall", "precision", "mrr", "hits", "edge_f1", "violation_rate", "type_consistency")}
+    tags = E.fail_tags(items, F.col("graph"))
+    return items.select("item", E.overall(layers, F.col("graph"), [F.col("answer_f1"), F.col("groundedness"), F.col("relevance")]).alias("score"), F.array_join(tags, ",").alias("tags"), (F.size(tags) == 0).alias("passed"))
+
+
+_SET_F1 = "CASE WHEN len({a}) + len({b}) = 0 THEN 1 ELSE 2.0::DOUBLE * len(list_intersect({a}, {b})) / (len({a}) + len({b})) END"
+_LONG = "list_filter({c}, lambda w: length(w) > 6)"
+_SHORT = "list_filter({c}, lambda w: length(w) <= 6)"
+_HEADS = "list_distinct(list_transform({c}, lambda w: w[1:2]))"
+
+
+def _two(of):
+    return _SET_F1.format(a=of.format(c="found"), b=of.format(c="gold"))
+
+
+# the limits and weights are written out here once more, so that a wrong one of the library shows
+add("trace_gates", _gated, f"""WITH s AS (SELECT item, list_sort(found) AS found, gold, turns, turns > 2 AS graph, {_HEADS.format(c='found')} AS hf, {_HEADS.format(c='gold')} AS hg, least(1, broken::DOUBLE / (turns + 1)) AS violation,
+    CASE WHEN len(found) = 0 THEN 1 ELSE len({_SHORT.format(c='found')})::DOUBLE / len(found) END AS typed FROM {_TRACE}),
+  m AS (SELECT *, {_two('{c}')} AS entity, {_two(_LONG)} AS concept, {_two(_SHORT)} AS con, CASE WHEN len(gold) = 0 THEN 1 ELSE len(list_intersect(found[:10], gold))::DOUBLE / len(gold) END AS recall,
+    CASE WHEN len(found) = 0 THEN 0 ELSE len(list_intersect(found[:10], gold))::DOUBLE / len(found[:10]) END AS prec, coalesce(1.0::DOUBLE / list_min(list_filter(list_transform(gold, lambda g: list_position(found, g)), lambda p: p > 0)), 0) AS mrr,
+    CASE WHEN len(gold) = 0 THEN 1 ELSE list_has_any(found[:10], gold)::INT END AS hit, {_SET_F1.format(a='hf', b='hg')} AS edge FROM s),
+  n AS (SELECT *, CASE WHEN len(found) > 0 THEN len(list_intersect(hf, hg))::DOUBLE / len(found) END AS ground, CASE WHEN turns > 1 AND len(gold) > 0 THEN len(list_intersect(hf, hg))::DOUBLE / len(gold) END AS rel FROM m),
+  o AS (SELECT item, 0.45::DOUBLE * (edge + coalesce(ground, 0) + coalesce(rel, 0)) / (1 + (ground IS NOT NULL)::INT + (rel IS NOT NULL)::INT)
+      + 0.35::DOUBLE * CASE WHEN graph THEN 0.3::DOUBLE * recall + 0.1::DOUBLE * mrr + 0.4::DOUBLE * hit + 0.2::DOUBLE * edge ELSE 0.5::DOUBLE * recall + 0.2::DOUBLE * prec + 0.3::DOUBLE * mrr END
+      + 0.1::DOUBLE * (entity + concept + con) / 3 + 0.1::DOUBLE * (0.5::DOUBLE * (1 - violation) + 0.5::DOUBLE * typed) AS score,
+    concat_ws(',', CASE WHEN entity < 0.5::DOUBLE THEN 'L1_mapping_fail' END, CASE WHEN concept < 0.5::DOUBLE THEN 'L1_concept_fail' END, CASE WHEN NOT graph AND recall < 0.8::DOUBLE THEN 'L2_doc_retrieval_fail' END, CASE WHEN graph AND hit < 0.8::DOUBLE THEN 'L3_kg_fail' END,
+      CASE WHEN graph AND edge < 0.5::DOUBLE THEN 'L3_edge_fail' END, CASE WHEN violation > 0.05::DOUBLE THEN 'L4_constraint_violation' END, CASE WHEN typed < 0.9::DOUBLE THEN 'L4_type_inconsistency' END, CASE WHEN edge < 0.5::DOUBLE THEN 'L5_wrong_answer' END,
+      CASE WHEN ground < 0.7::DOUBLE THEN 'L5_grounding_fail' END, CASE WHEN rel < 0.7::DOUBLE THEN 'L5_relevance_fail' END) AS tags FROM n)
+  SELECT item, score, tags, tags = '' AS passed FROM o""", "score")
+
+
+# --- answers judged by their figures and categories
+
+
+def _said(s, d):
+    """Leading brand's share, concentration and number of products of every month and
+    category, as an answer by names of last month's and as a gold text of this
+    month's; a third of both has bare numbers."""
+    per = V.shelf(s, d).groupBy("snapshot_date", "category_id", "brand").agg(F.count("*").alias("n"))
+    m = per.groupBy("snapshot_date", "category_id").agg(F.sum("n").alias("t"), F.max("n").alias("top"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    m = m.select("snapshot_date", "category_id", F.expr("top * 1000 div t").alias("sos"), F.expr("squares * 10000 div (t * t)").alias("hhi"), "t")
+    share = F.concat(F.expr("sos div 10").cast("string"), F.lit("."), F.expr("sos % 10").cast("string"))
+    bare = F.month("snapshot_date") % 3 == 0
+    texts = m.withColumns({
+        "said": F.when(bare, F.concat_ws(" and ", share, "hhi", "t")).otherwise(F.concat(F.lit("In 2 parts: Share of shelf: "), share, F.lit("%, HHI "), "hhi", F.lit("; rank #"), "t")),
+        "gold": F.when(bare, F.concat_ws("; ", share, "hhi", "t")).otherwise(F.concat(F.lit("1위: 점유율 "), share, F.lit(" %, 시장집중도: "), "hhi", F.lit(", 순위 "), "t")),
+    })
+    return texts.withColumn("said", F.lag("said").over(Window.partitionBy("category_id").orderBy("snapshot_date")))
+
+
+add("figures_met", lambda s, d: _said(s, d).select(F.col("snapshot_date").cast("string").alias("snapshot_date"), "category_id", E.figures_met(F.col("said"), F.col("gold")).alias("met")), f"""WITH {V.SHELF_SQL},
+  m AS (SELECT snapshot_date, category_id, [max(n) * 1000 // sum(n) / 10.0::DOUBLE, sum(n * n) * 10000 // (sum(n) * sum(n)), sum(n)]::DOUBLE[] AS v FROM (SELECT snapshot_date, category_id, brand, count(*) AS n FROM shelf GROUP BY 1, 2, 3) GROUP BY 1, 2),
+  w AS (SELECT *, coalesce(lag(v) OVER (PARTITION BY category_id ORDER BY snapshot_date), []) AS b FROM m)
+  SELECT snapshot_date::VARCHAR AS snapshot_date, category_id, len(list_filter(v, lambda x: len(list_filter(b, lambda y: x = y OR abs(y - x) / abs(x) <= 0.05::DOUBLE)) > 0)) / 3.0::DOUBLE AS met FROM w""", "met")
+
+KINDS = {"economy": "eco", "standard": "std", "promo": "promo", "small": "small", "medium": "medium", "large": "large"}
+EXCLUDED = (("eco", "std"), ("promo", "small", "medium"))
+
+
+def _kinds_said(s, d):
+    """Orders as answers that name the kinds of their products; the gold is the first product's kind, by one of its names."""
+    sold = V.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(V.table(s, d, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    per = sold.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("p_type")).alias("kinds"), F.min_by("p_type", F.struct("l_linenumber", "l_partkey")).alias("gold"))
+    return per.select("l_orderkey", F.concat(F.lit("Goods: "), F.array_join("kinds", ", "), F.lit(", smallish.")).alias("said"), F.concat(F.lit(" "), "gold").alias("gold"))
+
+
+_EXCLUDED = " OR ".join(f"(gold IN {g} AND len(list_filter(kinds, lambda k: k IN {g} AND k <> gold)) > 0)" for g in (tuple(n.upper() for n, k in KINDS.items() if k in group) for group in EXCLUDED))
+add("categories_met", lambda s, d: _kinds_said(s, d).select("l_orderkey", E.category_met(F.col("said"), F.col("gold"), KINDS, EXCLUDED).alias("met")),
+    f"SELECT l_orderkey, (NOT ({_EXCLUDED}))::INT::DOUBLE AS met FROM (SELECT l_orderkey, list(DISTINCT p_type) AS kinds, arg_min(p_type, (l_linenumber, l_partkey)) AS gold FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)")
+
+
 # --- a stream read to its end
 
 

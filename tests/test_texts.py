@@ -129,3 +129,30 @@ def test_lists_of_folds_keep_order_over_many_pieces(spark):
     long = "\n\n".join("p%d" % i for i in range(3000))
     parts = one(spark, long, p=T.packed(F.col("text"), 20)).p
     assert parts == plain_packed(long, 20) and len(parts) > 500
+
+
+def plain_figures(text):
+    low, out = text.lower(), []
+    for p in E.KPI_PATTERNS:
+        out += [float(m[1]) for m in re.finditer(p, low)]
+    return out or [float(x) for x in re.findall(r"-?\d+(?:\.\d+)?", text)]
+
+
+def test_figures_met(spark):
+    dice = random.Random(6)
+    words = ["SoS: 23.5%", "점유율 24 %", "HHI 1250", "시장집중도:1200", "CPI: 98.6", "churn 3", "growth: -2.5%", "rank #4", "순위 4", "is 0", "-7", "12.25", "share  of shelf 0.0005", "price index: 100"]
+    pairs = [tuple(" and ".join(dice.sample(words, dice.randrange(0, 4))) for _ in "ab") for _ in range(120)]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    got = {r.i: r.met for r in rows.select("i", E.figures_met(F.col("a"), F.col("b")).alias("met")).collect()}
+    for i, (a, b) in enumerate(pairs):
+        said, wanted = plain_figures(a), plain_figures(b)
+        near = lambda x, y: x == y or (abs(x - y) < 0.001 if abs(y) < 0.001 else abs(x - y) / abs(y) <= 0.05)
+        assert got[i] == pytest.approx(sum(any(near(x, y) for x in said) for y in wanted) / len(wanted) if wanted else 1.0)
+    assert [r[0] for r in spark.createDataFrame([(None, "HHI 3"), ("HHI 3", None)], "a string, b string").select(E.figures_met(F.col("a"), F.col("b"))).collect()] == [0.0, 1.0]
+
+
+def test_category_met(spark):
+    rows = [("A Lip Care product", "lip_care", 1), ("lip care, not Lip Makeup", "lip care", 0), ("Lip Makeup", "lip_care", 0), ("lip careful", "lip_care", 0), ("립케어 제품", " 립 케어 ", 1), ("립케어제품", "lip_care", 0), ("beauty and face powder", "BEAUTY", 1), ("skin care", "toys", 0), (None, "beauty", 0), ("beauty", None, 0)]
+    frame = spark.createDataFrame([(i, a, g) for i, (a, g, _) in enumerate(rows)], "i int, a string, g string")
+    got = {r.i: r.met for r in frame.select("i", E.category_met(F.col("a"), F.col("g")).alias("met")).collect()}
+    assert [got[i] for i in range(len(rows))] == [float(x) for _, _, x in rows]

@@ -117,6 +117,21 @@ def rank_status(claimed: Column, actual: Column, near: int = 1) -> Column:
     return F.when(off.isNull(), pair("unknown", 0.0)).when(off == 0, pair("verified", 1.0)).when(off <= near, pair("close", 0.8)).otherwise(pair("refuted", 0.0))
 
 
+#: Days that data may be old for what a claim says of its time, and for other words, fixed values.
+FRESH_DAYS = {"today": 1, "yesterday": 2, "this_week": 7, "last_week": 14, "this_month": 31, "last_month": 62, "recent": 7, "current": 1}
+OTHER_DAYS = 7
+
+
+def freshness(claimed: Column, last: Column, now: Column) -> Column:
+    """struct(status, confidence) of a claim about time against the newest data:
+    verified up to the allowed age, with confidence from 1 (new) down to 0; else
+    unverified with 0.3; unknown without data."""
+    allowed = F.coalesce(F.create_map(*(F.lit(x) for p in FRESH_DAYS.items() for x in p))[claimed], F.lit(OTHER_DAYS)) * 86_400_000_000
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(last.cast("timestamp"))
+    pair = lambda s, c: F.struct(F.lit(s).alias("status"), c.alias("confidence"))
+    return F.when(age.isNull(), pair("unknown", F.lit(0.0))).when(age <= allowed, pair("verified", 1.0 - age / allowed)).otherwise(pair("unverified", F.lit(0.3)))
+
+
 def text_scores(claims: DataFrame, key: str) -> DataFrame:
     """Score and grade of every text from its claims (key, kind, status, confidence):
     0.7 of the status score and 0.3 of the confidence, weighted by kind."""

@@ -277,3 +277,19 @@ def newcomers(shelf: DataFrame, mine: Column, known: int = 50) -> DataFrame:
     how many others there are beyond ``known``."""
     per = at_latest(shelf).groupBy("category_id").agg(F.count_if(mine).alias("own"), F.count("*").alias("products"))
     return per.withColumn("new_competitors", F.greatest(F.lit(0), F.col("products") - F.col("own") - known))
+
+
+def of_reports(reports: DataFrame, part: str, field: str, wanted: str, keys: list[str], **only) -> DataFrame:
+    """Entries of a nested part (array of structs) whose ``field`` is ``wanted``,
+    whatever its case, with the report's ``keys``; ``only`` picks reports by their
+    columns before anything is unfolded, and other entries are left out inside the row."""
+    for name, value in only.items():
+        reports = reports.where(F.col(name) == value)
+    mine = F.filter(part, lambda x: F.lower(x[field]) == wanted.lower())
+    return reports.select(*keys, F.explode(mine).alias("x")).select(*keys, "x.*")
+
+
+def report_events(reports: DataFrame, part: str, words: list[str], keys: list[str]) -> DataFrame:
+    """``(keys, event)``: events of a nested list of texts that contain one of the words, whatever the case."""
+    mine = F.filter(part, lambda x: F.exists(F.array(*(F.lit(w.lower()) for w in words)), lambda w: F.contains(F.lower(x), w)))
+    return reports.select(*keys, F.explode(mine).alias("event"))

@@ -220,15 +220,15 @@ def product_context(edges: DataFrame, product: str) -> DataFrame:
 
 
 def inconsistencies(edges: DataFrame) -> DataFrame:
-    """(entity, problem, severity): products without a category or with several
-    (errors), entities that are both brand and product (errors), brands without
-    products (warnings). One aggregation over both ends of the edges."""
+    """(entity, problem, severity): products without a category (warnings) or with
+    several (errors), entities that are both brand and product (errors), brands
+    without products (warnings). One aggregation over both ends of the edges."""
     ends = edges.select(F.col("subject").alias("entity"), "predicate", F.lit("s").alias("end")).union(edges.select("object", "predicate", F.lit("o")))
     is_ = lambda p, e: F.count_if((F.col("predicate") == p) & (F.col("end") == e))
     per = ends.groupBy("entity").agg(is_("hasProduct", "o").alias("made"), is_("hasProduct", "s").alias("makes"), is_("belongsToCategory", "s").alias("held"), (is_("directCompetitor", "s") + is_("indirectCompetitor", "s")).alias("rivals"))
     named = lambda problem, severity: F.struct(F.lit(problem).alias("problem"), F.lit(severity).alias("severity"))
     found = F.array(
-        F.when((F.col("made") > 0) & (F.col("held") == 0), named("no category", "error")), F.when(F.col("held") > 1, named("several categories", "error")),
+        F.when((F.col("made") > 0) & (F.col("held") == 0), named("no category", "warning")), F.when(F.col("held") > 1, named("several categories", "error")),
         F.when((F.col("made") > 0) & (F.col("makes") > 0), named("brand and product", "error")), F.when((F.col("rivals") > 0) & (F.col("makes") == 0), named("brand without products", "warning")),
     )
     return per.select("entity", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("entity", "x.*")
@@ -255,6 +255,29 @@ def metric_edges(metrics: DataFrame, keys: list[str], at: str, names: dict[str,
     return metrics.select(subject.alias("subject"), F.col(at).alias("at"), F.explode(pairs).alias("x")).select("subject", "x.predicate", "x.value", "at")
 
 
+def alert_edges(alerts: DataFrame, order: list[str]) -> DataFrame:
+    """Alerts (asin, alert, severity and others) as edges ``(subject, hasAlert,
+    object, properties)``: of equal edges the first in ``order``, then by severity, stays."""
+    rest = [c for c in alerts.columns if c not in ("asin", "alert")]
+    place = F.struct(*order, "severity")
+    return alerts.where("asin is not null").groupBy(F.col("asin").cast("string").alias("subject"), F.coalesce("alert", F.lit("unknown")).alias("object")).agg(F.min_by(F.struct(*rest), place).alias("properties")).select("subject", F.lit("hasAlert").alias("predicate"), "object", "properties")
+
+
+def value_problems(entities: DataFrame, disjoint: tuple[str, ...] = ("dominant", "strong", "niche")) -> DataFrame:
+    """(entity, problem, severity) of stored values. ``entities``: (entity, classes
+    array, share, rank), share and rank as stored, so texts. In several disjoint
+    classes or a share that is no number: errors; a share outside 0 to 1 or a rank
+    that is no whole number from 1 on: warnings. Nulls are no problem."""
+    share, rank = F.col("share").try_cast("double"), F.col("rank").try_cast("double")
+    named = lambda problem, severity: F.struct(F.lit(problem).alias("problem"), F.lit(severity).alias("severity"))
+    found = F.array(
+        F.when(F.size(F.array_intersect(F.coalesce("classes", F.array().cast("array<string>")), F.array(*map(F.lit, disjoint)))) > 1, named("several classes", "error")),
+        F.when(F.col("share").isNotNull() & (share.isNull() | F.isnan(share)), named("share is no number", "error")).when(~share.between(0, 1), named("share out of range", "warning")),
+        F.when(F.col("rank").isNotNull() & ~F.coalesce((rank >= 1) & (rank == F.floor(rank)), F.lit(False)), named("no rank", "warning")),
+    )
+    return entities.select("entity", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("entity", "x.*")
+
+
 def entity_facts(edges: DataFrame, entities: DataFrame, most: int = 5) -> DataFrame:
     """Facts about the entities of a table (entity), at most ``most`` a kind of
     edge: (entity, predicate, other, direction)."""

@@ -121,7 +121,7 @@ triples("kg_entity_context", lambda t: G.entity_context(t, "NATION_3", 2), f"SEL
 triples("kg_children", lambda t: G.children(t, "EUROPE"), "SELECT subject AS child FROM triples WHERE predicate = 'parentCategory' AND object = 'EUROPE'")
 triples("kg_product_context", lambda t: G.product_context(t, "P1"), "SELECT subject AS product, object AS category, (SELECT count(*) FROM triples x WHERE x.predicate = 'belongsToCategory' AND x.object = t.object) AS siblings FROM triples t WHERE predicate = 'belongsToCategory' AND subject = 'P1'")
 # the edges of one category are taken away first, so that there is something to find
-triples("kg_consistency", lambda t: G.inconsistencies(t.where("not (predicate = 'belongsToCategory' and object = 'PROMO')")), "SELECT subject AS entity, 'no category' AS problem, 'error' AS severity FROM triples WHERE predicate = 'belongsToCategory' AND object = 'PROMO'")
+triples("kg_consistency", lambda t: G.inconsistencies(t.where("not (predicate = 'belongsToCategory' and object = 'PROMO')")), "SELECT subject AS entity, 'no category' AS problem, 'warning' AS severity FROM triples WHERE predicate = 'belongsToCategory' AND object = 'PROMO'")
 triples("kg_insert_checked", lambda t: G.insert_checked(t, t.where("predicate = 'hasProduct'").select(F.col("object").alias("subject"), "predicate", F.col("subject").alias("object"), "confidence").union(t.where("predicate = 'originatesFrom'").withColumn("confidence", F.lit(1.0)))).groupBy("predicate").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence")), "SELECT predicate, count(*) AS n, CASE WHEN predicate LIKE '%Competitor' THEN 0.8 ELSE 1.0 END::DOUBLE AS confidence FROM triples GROUP BY 1")
 shelf("kg_metric_edges", lambda s: G.metric_edges(S.share_of_shelf(s), ["category_id", "brand"], "snapshot_date", {"sos": "hasShare", "products": "hasProducts"}).groupBy("predicate").agg(F.count("*").alias("edges"), F.sum("value").alias("total")), "SELECT predicate, count(*) AS edges, sum(v) AS total FROM (SELECT unnest(['hasShare', 'hasProducts']) AS predicate, unnest([c / n, c]) AS v FROM (SELECT *, sum(c) OVER (PARTITION BY snapshot_date, category_id)::DOUBLE AS n FROM (SELECT snapshot_date, category_id, brand, count(*)::DOUBLE AS c FROM shelf GROUP BY 1, 2, 3))) GROUP BY 1", "total")
 triples("kg_entity_facts", lambda t: G.entity_facts(t, t.where("predicate = 'parentCategory'").select(F.col("object").alias("entity")).distinct()), """SELECT entity, predicate, other, direction FROM (SELECT DISTINCT e.entity, predicate, other, direction FROM (SELECT subject AS entity, predicate, object AS other, 'out' AS direction FROM triples UNION ALL SELECT object, predicate, subject, 'in' FROM triples) w

@@ -8,13 +8,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from shelfloom.operators import claims as C
+from shelfloom.operators import dashboard as D
 from shelfloom.operators import evaluation as E
+from shelfloom.operators import graph as G
 from shelfloom.operators import shelf as S
 from shelfloom.sources import files, stored, tables
 from shelfloom.sources import views as V
 from shelfloom.streaming import suppression
 from shelfloom.streaming import windows as W
 
+from . import analytics as A
 from . import texts as X
 
 QUERIES: dict = {}
@@ -229,6 +233,62 @@ add("categories_met", lambda s, d: _kinds_said(s, d).select("l_orderkey", E.cate
     f"SELECT l_orderkey, (NOT ({_EXCLUDED}))::INT::DOUBLE AS met FROM (SELECT l_orderkey, list(DISTINCT p_type) AS kinds, arg_min(p_type, (l_linenumber, l_partkey)) AS gold FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)")
 
 
+# --- values, alerts, freshness and nested reports
+
+
+def _entities(s, d):
+    """Brands with all positions of the last month, their largest share (percents and
+    blanks in some sources) and mean rank, as texts."""
+    last = V.latest_shelf(s, d)
+    m = S.share_of_shelf(last).select("category_id", "brand", "sos")
+    positions = G.market_position(m).groupBy("brand").agg(F.collect_set("position").alias("classes"), F.max("sos").alias("sos"))
+    rank = last.groupBy("brand").agg((F.sum("rank") / F.count("*")).alias("rank"))
+    n = F.regexp_extract("brand", "([0-9]+)", 1).cast("int")
+    share = F.when(n % 4 == 1, F.col("sos") * 100 + 1).otherwise(F.col("sos")).cast("string")
+    return positions.join(rank, "brand").select(F.col("brand").alias("entity"), "classes", F.when(n % 4 == 2, "n/a").when(n % 4 == 3, None).otherwise(share).alias("share"), F.col("rank").cast("string").alias("rank"))
+
+
+_NUMBER = "regexp_extract(brand, '([0-9]+)', 1)::INT"
+add("kg_value_problems", lambda s, d: G.value_problems(_entities(s, d)), f"""WITH {V.SHELF_SQL}, l AS (SELECT * FROM shelf WHERE snapshot_date = (SELECT max(snapshot_date) FROM shelf)),
+  p AS (SELECT brand, count(DISTINCT CASE WHEN sos >= 0.30::DOUBLE THEN 3 WHEN sos >= 0.15::DOUBLE THEN 2 ELSE 1 END) AS classes FROM (SELECT brand, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY category_id) AS sos FROM l GROUP BY category_id, brand) GROUP BY 1),
+  r AS (SELECT brand, sum(rank) % count(*) <> 0 AS broken FROM l GROUP BY 1)
+  SELECT brand AS entity, problem, severity FROM p JOIN r USING (brand), (VALUES ('several classes', 'error'), ('share is no number', 'error'), ('share out of range', 'warning'), ('no rank', 'warning')) v(problem, severity)
+  WHERE CASE problem WHEN 'several classes' THEN classes > 1 WHEN 'share is no number' THEN {_NUMBER} % 4 = 2 WHEN 'share out of range' THEN {_NUMBER} % 4 = 1 ELSE broken END""")
+add("kg_alert_edges", lambda s, d: G.alert_edges(S.metric_alerts(S.product_history(V.shelf(s, d))), ["snapshot_date", "category_id"]).select("subject", "predicate", "object", "properties.severity", F.col("properties.snapshot_date").cast("string").alias("first")),
+    f"WITH {V.SHELF_SQL} SELECT asin::VARCHAR AS subject, 'hasAlert' AS predicate, alert AS object, arg_min(severity, (snapshot_date, category_id, severity)) AS severity, min(snapshot_date)::VARCHAR AS first FROM ({A.ALERTS}) GROUP BY asin, alert")
+
+TIME_WORDS = {"view": "today", "click": "this_week", "purchase": "last_month", "signup": "soon", "error": None}
+
+
+def _fresh(s, d):
+    """Claims by what each user did last of a kind, against the newest event of the table."""
+    e = V.table(s, d, "events")
+    words = F.create_map(*(F.lit(x) for p in TIME_WORDS.items() if p[1] for x in p))
+    now = F.broadcast(e.agg(F.max("ts").alias("now")))  # one row
+    last = e.groupBy("user_id", "event_type").agg(F.max("ts").alias("last"))
+    return last.crossJoin(now).select("user_id", "event_type", C.freshness(words[F.col("event_type")], F.when(F.col("user_id") % 10 > 0, F.col("last")), F.col("now")).alias("x")).select("user_id", "event_type", "x.*")
+
+
+add("fresh_claims", _fresh, """WITH l AS (SELECT user_id, event_type, CASE WHEN user_id % 10 > 0 THEN epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) END AS age, 86400000000 * CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 7 WHEN 'purchase' THEN 62 ELSE 7 END AS allowed FROM events GROUP BY 1, 2)
+  SELECT user_id, event_type, CASE WHEN age IS NULL THEN 'unknown' WHEN age <= allowed THEN 'verified' ELSE 'unverified' END AS status, CASE WHEN age IS NULL THEN 0 WHEN age <= allowed THEN 1 - age::DOUBLE / allowed ELSE 0.3 END::DOUBLE AS confidence FROM l""", "confidence")
+
+
+def _nested(s, d):
+    """Quarterly reports: sales by region, and by brand in a region, and events, nested."""
+    o = V.table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    c = V.table(s, d, "customer").join(V.table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(V.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "c_mktsegment", "r_name")
+    per = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter"), "r_name", "c_mktsegment").agg(F.sum("cents").alias("cents"), F.count("*").alias("orders"))
+    regions = per.groupBy("year", "quarter", "r_name").agg(F.sum("cents").alias("cents")).groupBy("year", "quarter").agg(F.collect_list(F.struct(F.col("r_name").alias("region"), "cents")).alias("regions"))
+    brands = per.groupBy("year", "quarter").agg(F.collect_list(F.struct(F.col("c_mktsegment").alias("brand"), F.col("r_name").alias("region"), "orders")).alias("brands"), F.collect_list(F.concat(F.lit("Fair in "), "r_name", F.lit(" for "), F.initcap("c_mktsegment"))).alias("events"))
+    return regions.join(brands, ["year", "quarter"])
+
+
+_NESTED = "SELECT year(o_orderdate)::INT AS year, quarter(o_orderdate)::INT AS quarter, {c} FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE {w} GROUP BY ALL"
+add("report_regions", lambda s, d: D.of_reports(_nested(s, d), "regions", "region", "asia", ["year", "quarter"]), _NESTED.format(c="r_name AS region, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents", w="r_name = 'ASIA'"))
+add("report_brands", lambda s, d: D.of_reports(_nested(s, d), "brands", "brand", "Building", ["year", "quarter"], year=1996), _NESTED.format(c="c_mktsegment AS brand, r_name AS region, count(*) AS orders", w="c_mktsegment = 'BUILDING' AND year(o_orderdate) = 1996"))
+add("report_events", lambda s, d: D.report_events(_nested(s, d), "events", ["europe", "MACHINERY"], ["year", "quarter"]), _NESTED.format(c="'Fair in ' || r_name || ' for ' || c_mktsegment[1] || lower(c_mktsegment[2:]) AS event", w="r_name = 'EUROPE' OR c_mktsegment = 'MACHINERY'"))
+
+
 # --- a stream read to its end
 
 

@@ -156,3 +156,33 @@ def test_category_met(spark):
     frame = spark.createDataFrame([(i, a, g) for i, (a, g, _) in enumerate(rows)], "i int, a string, g string")
     got = {r.i: r.met for r in frame.select("i", E.category_met(F.col("a"), F.col("g")).alias("met")).collect()}
     assert [got[i] for i in range(len(rows))] == [float(x) for _, _, x in rows]
+
+
+def test_value_problems(spark):
+    rows = [("ok", ["strong", "other"], "0.5", "3"), ("two", ["strong", "niche"], None, None), ("text", None, "much", "1.5"), ("big", [], "1.2", "0"), ("low", ["niche"], "-0.1", "x"), ("nan", ["niche"], "NaN", "4.0"), (None, None, None, None)]
+    frame = spark.createDataFrame(rows, "entity string, classes array<string>, share string, rank string")
+    got = {(r.entity, r.problem, r.severity) for r in G.value_problems(frame).collect()}
+    assert got == {("two", "several classes", "error"), ("text", "share is no number", "error"), ("text", "no rank", "warning"), ("big", "share out of range", "warning"), ("big", "no rank", "warning"), ("low", "share out of range", "warning"), ("low", "no rank", "warning"), ("nan", "share is no number", "error")}
+
+
+def test_alert_edges(spark):
+    alerts = spark.createDataFrame([("d2", "a", "drop", "critical"), ("d1", "a", "drop", "warning"), ("d1", "a", "drop", "warning"), ("d1", "b", None, "info"), ("d1", None, "drop", "info")], "day string, asin string, alert string, severity string")
+    got = {(r.subject, r.predicate, r.object, r.properties.day, r.properties.severity) for r in G.alert_edges(alerts, ["day"]).collect()}
+    assert got == {("a", "hasAlert", "drop", "d1", "warning"), ("b", "hasAlert", "unknown", "d1", "info")}
+
+
+def test_freshness(spark):
+    from shelfloom.operators import claims as C
+
+    rows = [("today", "2024-01-09 12:00:00", "verified", 0.5), ("today", "2024-01-09 00:00:00", "verified", 0.0), ("today", "2024-01-08 23:59:59", "unverified", 0.3), ("other", "2024-01-03 00:00:00", "verified", 0.0), (None, "2024-01-10 00:00:00", "verified", 1.0), ("recent", None, "unknown", 0.0)]
+    frame = spark.createDataFrame([(i, c, last) for i, (c, last, _, _) in enumerate(rows)], "i int, c string, last string")
+    got = {r.i: (r.x.status, r.x.confidence) for r in frame.select("i", C.freshness(F.col("c"), F.col("last").cast("timestamp"), F.lit("2024-01-10 00:00:00")).alias("x")).collect()}
+    assert got == {i: (status, confidence) for i, (_, _, status, confidence) in enumerate(rows)}
+
+
+def test_nested_reports(spark):
+    rows = [(1, 2024, [("Asia", 5), ("EU", 6), ("ASIA", 7)], ["Prime day", "amazon fair"]), (2, 2023, [("asia", 8)], ["none"]), (3, 2024, None, None), (4, 2024, [], [])]
+    frame = spark.createDataFrame(rows, "id int, year int, regions array<struct<region: string, v: int>>, events array<string>")
+    assert sorted((r.id, r.v) for r in D.of_reports(frame, "regions", "region", "aSia", ["id"]).collect()) == [(1, 5), (1, 7), (2, 8)]
+    assert sorted(r.v for r in D.of_reports(frame, "regions", "region", "asia", ["id"], year=2024).collect()) == [5, 7]
+    assert sorted(r.event for r in D.report_events(frame, "events", ["AMAZON", "prime"], ["id"]).collect()) == ["Prime day", "amazon fair"]

@@ -357,12 +357,15 @@ def _line_file(s, d):
     return files.json_lines(s, folder, "id long, question string")
 
 
-_SHARD = F.regexp_extract("file", "shard=([0-9]+)", 1).cast("long").alias("shard")
+def _shard():
+    return F.regexp_extract("file", "shard=([0-9]+)", 1).cast("long").alias("shard")
+
+
 _LINES = f"""(SELECT *, row_number() OVER (PARTITION BY shard ORDER BY doc_id) + 1 AS number FROM (SELECT doc_id, doc_id // {FILE_ROWS} AS shard, doc_id % 7 = 3 AS broken, CASE WHEN doc_id % 11 = 5 THEN doc_id - 1 ELSE doc_id END AS id,
   doc_id % 13 <> 6 AND coalesce(regexp_matches(text, '\\S'), false) AS filled FROM documents))"""
-add("json_lines_read", lambda s, d: _line_file(s, d).where("bad is null").select(_SHARD, "number", "item.id", F.sha2("item.question", 256).alias("digest")),
+add("json_lines_read", lambda s, d: _line_file(s, d).where("bad is null").select(_shard(), "number", "item.id", F.sha2("item.question", 256).alias("digest")),
     f"SELECT shard, number, id, sha256(CASE WHEN doc_id % 13 <> 6 THEN text END) AS digest FROM {_LINES} JOIN documents USING (doc_id) WHERE NOT broken")
-add("json_line_problems", lambda s, d: files.line_problems(_line_file(s, d), "id", "question").select(_SHARD, "number", "problem"),
+add("json_line_problems", lambda s, d: files.line_problems(_line_file(s, d), "id", "question").select(_shard(), "number", "problem"),
     f"""SELECT shard, number, unnest(list_filter([CASE WHEN broken THEN 'broken line' WHEN seen > 1 THEN 'repeated key' END, CASE WHEN NOT broken AND NOT filled THEN 'empty field' END], lambda x: x IS NOT NULL)) AS problem
   FROM (SELECT *, row_number() OVER (PARTITION BY broken, id ORDER BY shard, number) AS seen FROM {_LINES})""")
 

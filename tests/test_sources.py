@@ -99,3 +99,18 @@ def test_suppression_on_a_stream(spark, tmp_path):
     rows = suppression.appended(suppression.suppressed(stream, "k", "at", "n", 20, 3, "12 seconds"), str(tmp_path / "out")).collect()
     assert len(rows) == len({(r.k, r.n) for r in rows})
     assert {(r.k, r.n, r.suppressed) for r in rows} == plain(events, 20, 3)
+
+
+def test_waiting_events_are_packed(spark, tmp_path):
+    """One value for what a batch has of a stretch of time, not one for an event; windows longer and shorter than a batch."""
+    dice = random.Random(5)
+    events = [("a", 1000.0 + dice.randrange(4000) / 4, i) for i in range(6000)]
+    for i in range(0, 6000, 2000):
+        spark.createDataFrame(events[i : i + 2000] + events[:50], "k string, s double, n long").select("k", F.timestamp_millis((F.col("s") * 1000).cast("long")).alias("at"), "n").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("end", 99999.0, 0)], "k string, s double, n long").select("k", F.timestamp_millis((F.col("s") * 1000).cast("long")).alias("at"), "n").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, at timestamp, n long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = suppression.suppressed(stream, "k", "at", "n", 20, 3, "2 hours")
+    rows = suppression.appended(found, str(tmp_path / "out")).collect()
+    assert len(rows) == len({(r.k, r.n) for r in rows}) and {(r.k, r.n, r.suppressed) for r in rows} == plain(events, 20, 3)
+    held = spark.read.format("statestore").option("path", glob.glob(str(tmp_path / "out/state-*"))[0]).option("stateVarName", "waiting").option("batchId", 2).load()
+    assert 0 < held.count() < 60

@@ -71,7 +71,7 @@ add("rank_claims", lambda s, d: _ranks(s, d).groupBy("kind", "status", "confiden
 _W = "CASE kind WHEN 'numerical' THEN 15 WHEN 'comparative' THEN 8 ELSE 12 END"
 _POINTS = "CASE status WHEN 'verified' THEN 100 WHEN 'close' THEN 73 WHEN 'unknown' THEN 28 ELSE 0 END"
 add("text_grades", lambda s, d: C.text_scores(_ranks(s, d), "l_orderkey").groupBy("grade").agg(F.count("*").alias("texts")),
-    f"SELECT CASE WHEN score >= 0.85::DOUBLE THEN 'high' WHEN score >= 0.6::DOUBLE THEN 'medium' ELSE 'low' END AS grade, count(*) AS texts FROM (SELECT l_orderkey, round(sum({_POINTS} * {_W})::DOUBLE / sum({_W}) / 100, 3) AS score FROM {_STATUS} GROUP BY 1) GROUP BY 1")
+    f"SELECT CASE WHEN score >= 0.85::DOUBLE THEN 'high' WHEN score >= 0.6::DOUBLE THEN 'medium' ELSE 'low' END AS grade, count(*) AS texts FROM (SELECT l_orderkey, (20 * sum({_POINTS} * {_W}) + sum({_W})) // (2 * sum({_W})) / 1000.0::DOUBLE AS score FROM {_STATUS} GROUP BY 1) GROUP BY 1")
 
 
 def _names(s, d):

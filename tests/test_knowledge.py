@@ -126,6 +126,9 @@ def test_report_issues_and_scores(spark):
     assert [got[i] for i in range(len(cases))] == list(cases.values())
     claims = spark.createDataFrame([(1, "numerical", "verified", 1.0), (1, "comparative", "refuted", 0.0), (2, None, None, 1.0), (3, "logical", "verified", 1.0)], "k int, kind string, status string, confidence double")
     assert {r.k: (r.score, r.grade) for r in C.text_scores(claims, "k").collect()} == {1: (0.652, "medium"), 2: (0.65, "medium"), 3: (1.0, "high")}
+    # 0.5995 is half way: it goes up, however a double holds it and in whatever order claims come
+    half = spark.createDataFrame([(1, "temporal", "close", 0.365), (2, "logical", "close", 0.8)] + [(2, "logical", "refuted", 0.0)] * 5 + [(2, "comparative", "refuted", 0.0)], "k int, kind string, status string, confidence double")
+    assert {r.k: (r.score, r.grade) for r in C.text_scores(half, "k").collect()} == {1: (0.6, "medium"), 2: (0.11, "low")}
     ranks = spark.createDataFrame([(3, 3), (3, 4), (3, 5), (3, None)], "a int, b int").select(C.rank_status(F.col("a"), F.col("b")).alias("x")).collect()
     assert [(r.x.status, r.x.confidence) for r in ranks] == [("verified", 1.0), ("close", 0.8), ("refuted", 0.0), ("unknown", 0.0)]
     named = spark.range(1).select(C.context_names(F.expr("array(struct('b' AS subject, 'p' AS predicate, '' AS object), struct(string(null) AS subject, 'p' AS predicate, 'a' AS object))"), 1).alias("x")).first().x

@@ -180,3 +180,39 @@ def test_last_figures_of_a_stream(spark, tmp_path):
     for k in "ab":
         last = sorted(v for _, _, v in sorted((s, i, v) for key, s, i, v in rows if key == k)[-20:])
         assert (out[k].n, out[k].mean, out[k].least, out[k].p50, out[k].p90) == (20, pytest.approx(sum(last) / 20), last[0], last[10], last[18])
+
+
+def test_nearest_rows_by_blocks(spark, tmp_path, monkeypatch):
+    """Blocks of rows and queries meet as matrices: no pair of a row and a query is a row of a plan; copies, zeros, nulls and other lengths as before."""
+    dice = random.Random(6)
+    base = [[dice.uniform(-1, 1) for _ in range(8)] for _ in range(40)]
+    rows = [(i, base[dice.randrange(40)]) for i in range(900)] + [(900, None), (901, [0.0] * 8), (902, [1.0, 2.0]), (903, [1.0, None] * 4)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = v.where("vec_id % 100 < 4").select(F.col("vec_id").alias("query"), F.col("embedding").alias("query_embedding"))
+    length = lambda x: sum(c * c for c in x) ** 0.5
+    usable = {i: x for i, x in rows if x and None not in x and length(x) > 0}
+
+    def plain(q, only):
+        near = {}
+        for i, _ in rows:
+            x, y = usable.get(q), usable.get(i)
+            there = x is not None and y is not None and len(x) == len(y)
+            if i != q and (there or not only):
+                near[i] = sum(a * b for a, b in zip(x, y, strict=True)) / length(x) / length(y) if there else None
+        return sorted(near, key=lambda i: (near[i] is None, -round(near[i] or 0, 6), i))[:10]
+
+    monkeypatch.setattr(R, "ROW_BLOCK", 200)
+    monkeypatch.setattr(R, "PIECE", 1000)
+    found = R.vector_topk(asked, v, block=7)
+    assert not re.search("NestedLoop|Cartesian", found._jdf.queryExecution().executedPlan().toString())
+    index = VectorIndex.fit(v.where("vec_id < 900"), str(tmp_path / "v")).append(v.where("vec_id >= 900"))
+    for rows_found, only in ((found, False), (index.search(asked), True)):
+        got = {}
+        for r in sorted(rows_found.collect(), key=lambda r: r["rank"]):
+            got.setdefault(r.query, []).append(r.vec_id)
+        wanted = {q.query: plain(q.query, only) for q in asked.collect() if not only or len(usable.get(q.query, [])) == 8}
+        assert got == wanted
+    tags = v.select("vec_id", F.when(F.col("vec_id") % 3 > 0, F.concat(F.lit("t"), F.col("vec_id") % 3)).alias("tag"))
+    sides = index.sides(asked, tags.withColumnRenamed("vec_id", "query"), tags, 1000).collect()
+    every = {(q.query, i) for q in asked.collect() if len(usable.get(q.query, [])) == 8 for i, x in usable.items() if len(x) == 8 and i != q.query}
+    assert {(r.query, r.vec_id, r.passes) for r in sides} == {(q, i, q % 3 == i % 3 > 0) for q, i in every}

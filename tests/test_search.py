@@ -4,11 +4,12 @@ import glob
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from shelfloom.functions import scalars as X
-from shelfloom.operators import linking, slots
+from shelfloom.operators import linking, slots, text_index
 from shelfloom.operators import retrieval as R
 from shelfloom.operators import texts as T
 from shelfloom.operators.text_index import TextIndex
@@ -216,3 +217,14 @@ def test_nearest_rows_by_blocks(spark, tmp_path, monkeypatch):
     sides = index.sides(asked, tags.withColumnRenamed("vec_id", "query"), tags, 1000).collect()
     every = {(q.query, i) for q in asked.collect() if len(usable.get(q.query, [])) == 8 for i, x in usable.items() if len(x) == 8 and i != q.query}
     assert {(r.query, r.vec_id, r.passes) for r in sides} == {(q, i, q % 3 == i % 3 > 0) for q, i in every}
+
+
+def test_terms_are_handed_on_in_pieces():
+    """A batch of many texts leaves its worker in several of few terms; the rows are the same."""
+    texts = [f"one two{i} one x three" for i in range(50)] + ["", None]
+    batch = pa.record_batch([pa.array(range(52)), pa.array(texts, pa.string())], ["doc", "text"])
+    out = list(text_index._counting(10)(iter([batch, batch.slice(0, 0)])))
+    assert max(len(b["terms"].flatten()) for b in out) <= 13 and len(out) > 10
+    rows = {r["doc"]: (r["length"], {(t["term"], t["tf"]) for t in r["terms"]}) for b in out for r in b.to_pylist()}
+    assert rows[12] == (5, {("one", 2), ("two", 1), ("12", 1), ("three", 1)}) and rows[3] == (4, {("one", 2), ("two", 1), ("three", 1)})
+    assert len(rows) == 52 and rows[50] == rows[51] == (0, set())

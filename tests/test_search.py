@@ -228,3 +228,17 @@ def test_terms_are_handed_on_in_pieces():
     rows = {r["doc"]: (r["length"], {(t["term"], t["tf"]) for t in r["terms"]}) for b in out for r in b.to_pylist()}
     assert rows[12] == (5, {("one", 2), ("two", 1), ("12", 1), ("three", 1)}) and rows[3] == (4, {("one", 2), ("two", 1), ("three", 1)})
     assert len(rows) == 52 and rows[50] == rows[51] == (0, set())
+
+
+def test_runs_outside_the_dictionary_stay_in_their_task(spark):
+    """The sieve lets every alias through and hardly a run that is none; entities join once the covered runs are gone."""
+    names = spark.range(2000).select(F.concat(F.lit("name "), "id").alias("alias"))
+    bits = 1 << 15
+    passing = lambda rows: rows.crossJoin(linking._sieve(names, bits)).where(linking._passes(F.col("alias"), bits)).count()
+    assert passing(names) == 2000 and passing(spark.range(5000).select(F.concat(F.lit("other "), "id").alias("alias"))) < 250
+    known = spark.createDataFrame([("red box", f"e{i}") for i in range(30)] + [("box", "b"), ("red", "r")], "alias string, entity string")
+    texts = spark.createDataFrame([(1, "a red box, box"), (1, "a red box"), (2, "red")], "id int, text string")
+    found = linking.linked(texts, known)
+    assert {(r.id, r.start, r.length, r.alias, r.entity) for r in found.collect()} == {(1, 2, 2, "red box", f"e{i}") for i in range(30)} | {(1, 4, 1, "box", "b"), (2, 1, 1, "red", "r")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "entity" not in plan[plan.index("Window"):]

@@ -114,3 +114,19 @@ def test_waiting_events_are_packed(spark, tmp_path):
     assert len(rows) == len({(r.k, r.n) for r in rows}) and {(r.k, r.n, r.suppressed) for r in rows} == plain(events, 20, 3)
     held = spark.read.format("statestore").option("path", glob.glob(str(tmp_path / "out/state-*"))[0]).option("stateVarName", "waiting").option("batchId", 2).load()
     assert 0 < held.count() < 60
+
+
+def test_tasks_of_sales_do_not_grow(spark, monkeypatch):
+    """Sales are dealt by product to as many tasks as their rows ask for, and counted there: no second exchange by product."""
+    from shelfloom.plans import registry
+    from shelfloom.sources import tables, views
+
+    folder = "/root/testdata/sf0.001"
+    rows = lambda name: sorted(map(str, registry.queries()[name](spark, folder).collect()))
+    whole = {n: rows(n) for n in ("category_kpi", "monthly_brands")}
+    monkeypatch.setattr(tables, "TASK_ROWS", 500)
+    sold = views.sold_rows(spark, folder)
+    for name in whole:
+        df = registry.queries()[name](spark, folder)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert f", {-(-sold // 500)}), REPARTITION_BY_NUM" in plan and plan.count("hashpartitioning(l_partkey") == plan.count("REPARTITION_BY_NUM") and rows(name) == whole[name]
